@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pricelore.llm.decontaminate import OP3_SQL, op3_containment_decontamination
 from pricelore.llm.flac import op9_flac_media
+from pricelore.llm.licence_scan import op2_licence_lines
+from pricelore.llm.near_duplicates import op1_lsh_forest_join
 from pricelore.llm.personal_data import op5_anchor_personal_data
+from pricelore.llm.piece_sampling import op7_gumbel_pieces
 from pricelore.llm.secret_scan import op4_markov_secrets
 from pricelore.llm.token_store import op8_simple8b_tokens
 from pricelore.llm.toxicity import op6_nnpu_toxicity
@@ -13,10 +16,13 @@ from pricelore.llm.url_filter import op10_association_urls
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_lsh_forest_join,
+        op2_licence_lines,
         op3_containment_decontamination,
         op4_markov_secrets,
         op5_anchor_personal_data,
         op6_nnpu_toxicity,
+        op7_gumbel_pieces,
         op8_simple8b_tokens,
         op9_flac_media,
         op10_association_urls,

@@ -120,19 +120,38 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return {"words": {x: float(w[k]) for x, k in known.items() if w[k]}, "bias": float(b), "a": float(a), "b": float(c)}
 
 
+def _scorer(model: dict):
+    find, weights, known = re.compile(WORD).findall, model["words"], frozenset(model["words"])
+
+    def run(texts: list[str | None]) -> np.ndarray:
+        z = np.array([model["bias"] + sum(weights[w] for w in sorted(known.intersection(find((t or "").lower())))) for t in texts], dtype=float)
+        return 1 / (1 + np.exp(-np.clip(model["a"] * z + model["b"], -40, 40)))
+
+    return run
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score for every row, from the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, weights, known = re.compile(WORD).findall, model["words"], frozenset(model["words"])
+        scorer = _scorer(model)
         for batch in batches:
-            z = np.array([model["bias"] + sum(weights[w] for w in sorted(known.intersection(find((t or "").lower())))) for t in batch.column(1).to_pylist()], dtype=float)
-            s = 1 / (1 + np.exp(-np.clip(model["a"] * z + model["b"], -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def harmless(docs: DataFrame, model: dict, least: float = CUT) -> DataFrame:
+    """The rows of ``docs`` that score below ``least``, unchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column("text").to_pylist()) < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
