@@ -20,6 +20,8 @@ from pricelore.llm._common import cut, table
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 SUPPORT, CONFIDENCE, LONGEST = 0.002, 0.8, 3
+#: Pages that a rule needs at least, so that small tables give no rules by chance.
+LEAST_PAGES = 20
 MAX_RULES = 200_000
 BLOCK, ALLOW = "label=block", "label=allow"
 
@@ -63,6 +65,7 @@ def prepared(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
 def mine(ready: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(rule_id, antecedent, confidence, support) of the rules that lead to ``block``. Tokens that can't reach the support are dropped before, which loses no rule."""
     n = ready.count()
+    support = min(1.0, max(support, LEAST_PAGES / max(n, 1)))
     each = ready.select("page_id", "tokens", "fixed", F.monotonically_increasing_id().alias("row"))
     frequent = each.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= max(1.0, support * n)).select("token")  # at most 1 / support * tokens a page
     kept = [r["token"] for r in frequent.orderBy("token").collect()]
