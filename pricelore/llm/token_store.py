@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from pricelore.llm._common import partitions, shared_dir, table
 
 END_ID = 2
-BLOCK = 4096
+BLOCK = 16384
 #: Bits of an id by selector; 15 is the escape.
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
 COUNTS = 60 // WIDTHS
 ESCAPE = 15
-#: Characters that are encoded at once, and words that the cache of a task holds.
+#: Characters that are encoded at once, and words that the cache of a Python worker holds; it lives as long as the worker, over its tasks.
 SLICE_CHARS = 2_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 
 SCHEMA = "part int, row int, first_id long, doc_ids array<long>, lengths array<int>, starts array<long>, n_ids long, word_offsets array<int>, words binary, escapes binary"
 
@@ -174,17 +174,29 @@ class WordEncoder:
             self.clear()
         sizes, pieces = self.split(texts)
         words = pieces.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.cache]:
-            self.learn(new)
-        known = np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))
-        lengths_of, starts_of = self.lengths[known], self.starts[known]
+        known = list(map(self.cache.get, words))
+        if None in known:
+            self.learn([w for w, k in zip(words, known, strict=True) if k is None])
+            known = list(map(self.cache.__getitem__, words))
+        known = np.array(known, dtype=np.int64)
+        lengths_of, starts_of = self.lengths[known].astype(np.int32), self.starts[known].astype(np.int32)
         index = pieces.indices.to_numpy()
         lengths = lengths_of[index]
-        ends = np.cumsum(lengths)
-        ids = self.pool[np.repeat(starts_of[index] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ends = np.cumsum(lengths, dtype=np.int32)
+        ids = self.pool[np.repeat(starts_of[index] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
         return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])])
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(tokenizer_path: str) -> WordEncoder:
+    """The worker's encoder."""
+    if tokenizer_path not in _ENCODERS:
+        _ENCODERS[tokenizer_path] = WordEncoder(tokenizer_path)
+    return _ENCODERS[tokenizer_path]
+
+
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     start = chars = 0
     for k, t in enumerate(texts):
@@ -203,7 +215,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, row, before = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        encoder, part, row, before = encoder_of(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             all_ids, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in _slices(all_texts):
