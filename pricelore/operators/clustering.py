@@ -157,13 +157,11 @@ def token_stages(rows: DataFrame, stages: int = STAGE_COLUMNS, distance: float =
         clusters = linked_clusters(free.select(*path, "text"), path, 1, 4, distance, cut=cut)
         best = clusters.join(free, [*path, "text"]).groupBy(*path, "cluster").agg(F.max_by("text", F.struct("n", F.length("text").alias("l"), F.col("text"))).alias("label"))
         labels = clusters.join(best, [*path, "cluster"]).select(*path, F.col("text").alias("_t"), "label")
-        named = counts.join(labels, [*path, "_t"], "left").select(*path, "_t", F.coalesce("label", "_t").alias(f"c{k}"))
-        joined = F.get("tokens", F.lit(k - 1))
-        same = [out[c].eqNullSafe(named[c]) for c in path]
-        condition = (joined == named["_t"])
-        for s in same:
-            condition = condition & s
-        out = cut(out.join(named, condition, "left").select(*(out[c] for c in out.columns), named[f"c{k}"]))
+        named = counts.join(labels, [*path, "_t"], "left").select(*(F.col(c).alias(f"_p{n}") for n, c in enumerate(path)), "_t", F.coalesce("label", "_t").alias(f"c{k}"))
+        same = F.get("tokens", F.lit(k - 1)) == F.col("_t")
+        for n, c in enumerate(path):
+            same = same & (F.col(c) == F.col(f"_p{n}"))
+        out = cut(out.join(named, same, "left").select(*out.columns, f"c{k}"))
         path = [*path, f"c{k}"]
     return out
 

@@ -46,14 +46,14 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(" ", "p_name", "p_brand").alias("name"),
         F.round("l_extendedprice").cast("long").alias("price"),
         F.when(F.col("l_returnflag") == "N", ON_SALE).when(F.col("l_returnflag") == "A", RESERVED).otherwise(SOLD).alias("status"),
-        F.col("l_shipdate").alias("ts"),
+        F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.col("l_partkey").alias("item_id"),
     )
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, line = tables(spark, sf_dir, "part", "lineitem")
-    least = line.groupBy("l_partkey").agg(F.round(F.min(F.col("l_extendedprice") / F.col("l_quantity"))).cast("long").alias("lowest_price"), F.max("l_shipdate").alias("crawled_at"))
+    least = line.groupBy("l_partkey").agg(F.round(F.min(F.col("l_extendedprice") / F.col("l_quantity"))).cast("long").alias("lowest_price"), F.max("l_shipdate").cast("timestamp").alias("crawled_at"))
     return part.join(least, F.col("p_partkey") == F.col("l_partkey")).select(
         F.col("p_partkey").alias("item_id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"), F.col("p_name").alias("canonical_name"), F.col("p_type").alias("category_name"),
         F.round("p_retailprice").cast("long").alias("current_price"), "lowest_price", "crawled_at", F.when(F.col("p_partkey") % 3 == 0, SOLD).otherwise(ON_SALE).alias("status"),
