@@ -25,7 +25,7 @@ from pricelore.llm._common import table
 
 MARK = "▁"
 LONGEST = 16
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 700_000
 SAMPLES = 2
 SCHEMA = "doc_id long, samples array<struct<ids: array<int>, log_inclusion: double, text_ok: boolean>>"
 
@@ -37,12 +37,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def uniform(key: np.ndarray, *counters: np.ndarray | int) -> np.ndarray:
-    """Numbers above 0 and below 1."""
+def uniform_key(key: np.ndarray, *counters: np.ndarray | int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for k, c in enumerate(counters):
             key = mix(key + np.asarray(c, dtype=np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
-    return ((key >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    return key
+
+
+def uniform(key: np.ndarray, *counters: np.ndarray | int) -> np.ndarray:
+    """Numbers above 0 and below 1."""
+    return ((uniform_key(key, *counters) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+def uniform_one(key: int, *counters: int) -> float:
+    """``uniform`` of one key."""
+    most = (1 << 64) - 1
+    for k, c in enumerate(counters):
+        x = (int(key) + (int(c) & most) * 0x9E3779B97F4A7C15 + k + 1) & most
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & most
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & most
+        key = x ^ (x >> 31)
+    return ((key >> 11) + 0.5) / 2.0**53
 
 
 def below(location, bound, u):
@@ -82,6 +97,19 @@ class Lattice:
                 self.by_length[size] = h[order], np.array(own)[order], there
         self.runs, self.single = re.compile(r"^ |  "), re.compile(r"(?<=[^ ]) ")
 
+    def with_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """Ids in which each -2 - code point has become its bytes' ids."""
+        bare = np.flatnonzero(ids < 0)
+        if not len(bare):
+            return ids
+        known = {i: self.byte_ids[list(chr(-2 - i).encode("utf-8", "surrogatepass"))] for i in set(ids[bare].tolist())}
+        own = [known[i] for i in ids[bare].tolist()]
+        size = np.ones(len(ids), np.int64)
+        size[bare] = [len(x) for x in own]
+        out, at = np.repeat(ids, size), np.cumsum(size) - size
+        out[np.repeat(at[bare], size[bare]) + np.concatenate([np.arange(len(x)) for x in own])] = np.concatenate(own)
+        return out
+
     @staticmethod
     def _more(h: np.ndarray, c: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -103,7 +131,7 @@ class Lattice:
         return sizes, coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
 
     def build(self, words: list[str]) -> dict:
-        """Slots (a place in a string, or its end) with up to LONGEST edges each: id by length, chance summed up, log-chance."""
+        """Slots (a place in a string, or its end) and their edges, those of a slot side by side by length: next slot, id, log-chance, and the chances summed up over all edges."""
         marked = [MARK + w.replace(" ", MARK) for w in words]
         size = np.array([len(w) for w in marked], dtype=np.int64)
         first = np.cumsum(size + 1) - size - 1
@@ -112,9 +140,8 @@ class Lattice:
         inner = left > 0
         codes = np.zeros(n + LONGEST, np.uint32)
         codes[:n][inner] = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
-        edge = np.full((n, LONGEST), -1, np.int32)
-        score = np.full((n, LONGEST), -np.inf)
-        h, rows = np.zeros(n, np.uint64), np.flatnonzero(inner)
+        h, rows, found = np.zeros(n, np.uint64), np.flatnonzero(inner), []
+        bare = inner.copy()
         for k in range(1, LONGEST + 1):
             rows = rows[left[rows] >= k]
             if not len(rows):
@@ -125,46 +152,60 @@ class Lattice:
                 own = rows[there[h[rows] & np.uint64(0xFFFF)]]
                 at = np.minimum(np.searchsorted(known, h[own]), len(known) - 1)
                 hit = known[at] == h[own]
-                own, ids = own[hit], ids[at[hit]]
-                edge[own, k - 1], score[own, k - 1] = ids, self.weight[ids]
-        bare = np.flatnonzero(inner & (edge[:, 0] < 0))
-        edge[bare, 0] = -2 - codes[bare].astype(np.int32)  # bytes
-        code = codes[bare]
-        score[bare, 0] = self.byte_weight * (1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
-        total = np.zeros(n + LONGEST)
+                found.append((own[hit], k, ids[at[hit]], self.weight[ids[at[hit]]]))
+                if k == 1:
+                    bare[own[hit]] = False
+        bare = np.flatnonzero(bare)
+        code = codes[bare].astype(np.int64)
+        found.append((bare, 1, -2 - code, self.byte_weight * (1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))))  # bytes
+        slot = np.concatenate([f[0] for f in found])
+        length = np.concatenate([np.full(len(f[0]), f[1], np.int8) for f in found])
+        rank = np.empty(n, np.int64)  # slots in order of their distance to the end
         order = np.argsort(left, kind="stable")
+        rank[order] = np.arange(n)
+        by = np.argsort(rank[slot] * (LONGEST + 1) + length)
+        slot, after = slot[by], slot[by] + length[by]
+        ids, score = np.concatenate([f[2] for f in found])[by].astype(np.int32), np.concatenate([f[3] for f in found])[by]
+        degree = np.bincount(slot, minlength=n)
+        begin = np.empty(n, np.int64)
+        begin[order] = np.cumsum(degree[order]) - degree[order]
+        total = np.zeros(n)
+        logp = np.empty(len(slot))
         bounds = np.cumsum(np.bincount(left))
         for d in range(1, len(bounds)):
             own = order[bounds[d - 1] : bounds[d]]
-            w = min(d, LONGEST)
-            s = score[own, :w] + total[own[:, None] + np.arange(1, w + 1)]
-            top = s.max(axis=1)
-            total[own] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        logp = score + np.lib.stride_tricks.sliding_window_view(total[1:], LONGEST)[:n] - total[:n, None]
-        logp[~inner] = -np.inf
-        chance = np.cumsum(np.exp(logp), axis=1)
-        last = LONGEST - 1 - np.argmax((edge != -1)[:, ::-1], axis=1)
-        return {"edge": edge, "logp": logp, "sum": chance.astype(np.float32), "last": last, "end": ~inner, "first": first}
+            if not len(own):
+                continue
+            a, z = begin[own[0]], begin[own[-1]] + degree[own[-1]]
+            x, at = score[a:z] + total[after[a:z]], begin[own] - a
+            top = np.maximum.reduceat(x, at)
+            value = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, degree[own])), at))
+            total[own] = value
+            logp[a:z] = x - np.repeat(value, degree[own])
+        return {"next": after, "id": ids, "logp": logp, "sum": np.concatenate([[0.0], np.cumsum(np.exp(logp))]), "begin": begin, "degree": degree, "end": ~inner, "first": first}
 
 
 def walk(lat: dict, slot: np.ndarray, key: np.ndarray, place: np.ndarray, sample: np.ndarray | int, step: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From each slot down to its string's end by the edges' chances: (which start, slot, edge length - 1) of each step, in order."""
+    """From each slot down to its string's end by the edges' chances: (which start, slot, edge) of each step, in order."""
     who, step = np.arange(len(slot)), np.broadcast_to(np.asarray(step), slot.shape)
-    sample = np.broadcast_to(np.asarray(sample), slot.shape)
     alive = ~lat["end"][slot]
     who, at, n, parts = who[alive], slot[alive], step[alive], []
+    with np.errstate(over="ignore"):
+        own = uniform_key(key, place, sample)
+    counts = np.zeros(len(slot), np.int64)
     while len(who):
-        u = uniform(key[who], place[who], n, sample[who]).astype(np.float32)
-        j = np.minimum((lat["sum"][at] <= u[:, None]).sum(axis=1), lat["last"][at])
+        u = uniform(own[who], n)
+        a, d = lat["begin"][at], lat["degree"][at]
+        low = lat["sum"][a]
+        j = np.searchsorted(lat["sum"], low + u * (lat["sum"][a + d] - low), side="right") - 1
+        j = np.clip(j, a, a + d - 1)
         parts.append((who, at, j))
-        at = at + j + 1
+        counts[who] += 1
+        at = lat["next"][j]
         alive = ~lat["end"][at]
         who, at, n = who[alive], at[alive], n[alive] + 1
     if not parts:
         return (np.zeros(0, np.int64),) * 3
-    counts = np.zeros(len(slot), np.int64)
-    for w, _, _ in parts:
-        counts[w] += 1
     begin = np.cumsum(counts) - counts
     out = [np.zeros(int(counts.sum()), np.int64) for _ in range(3)]
     for k, (w, s, j) in enumerate(parts):
@@ -206,7 +247,7 @@ def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int = SAMPLES
             if h < len(steps) and start[d][0] < doc_end[d]:
                 steps[h] = start[d][2]
         who, at, j = walk(lat, slot, keys[which], place, sample, steps)
-        logp = lat["logp"][at, j]
+        logp = lat["logp"][j]
         cut = np.searchsorted(which[who], docs) if len(who) else np.zeros(len(docs), np.int64)
         cut = np.append(cut, len(who))
         run = np.cumsum(logp)
@@ -221,7 +262,7 @@ def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int = SAMPLES
                 bound = below(left, value[d], uniform(np.broadcast_to(keys[d], left.shape), place_of, at[a:b] - first[begin[d] + place_of] if b > a else 0, 1000 + sample))
             state[d]["paths"].append({"kept": prefix[d]["tokens"], "place": place_of, "slot": at[a:b], "edge": j[a:b], "ahead": ahead, "bound": np.where(np.isfinite(left), bound, -np.inf), "logp": so_far[-1] if b > a else before, "value": value[d]})
 
-    root = {d: -np.log(-np.log(uniform(keys[d : d + 1], 7, 7)[0])) for d in live}
+    root = {d: -np.log(-np.log(uniform_one(keys[d], 7, 7))) for d in live}
     add(live, {d: {"logp": 0.0, "tokens": []} for d in live}, {d: (begin[d], None, 0) for d in live}, root, 0)
     kappa = dict.fromkeys(live, -np.inf)
     for sample in range(1, k + 1):
@@ -241,28 +282,27 @@ def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int = SAMPLES
             t = int(np.argmax(p["bound"]))
             taken = s["taken"].setdefault((which, t), {int(p["edge"][t])})
             slot, place = int(p["slot"][t]), int(p["place"][t])
-            chance = np.exp(lat["logp"][slot])
-            chance[list(taken)] = 0
+            a = int(lat["begin"][slot])
+            chance = np.exp(lat["logp"][a : a + int(lat["degree"][slot])])
+            chance[[j - a for j in taken]] = 0
             total = chance.sum()
-            u = uniform(keys[d : d + 1], place, t, 2000 + sample)[0]
+            u = uniform_one(keys[d], place, t, 2000 + sample)
             j = int(min(np.searchsorted(np.cumsum(chance), u * total, side="right"), np.flatnonzero(chance)[-1]))
-            taken.add(j)
             after = total - chance[j]
-            new = below(p["ahead"][t] + np.log(after), tops[which], uniform(keys[d : d + 1], place, t, 3000 + sample)[0]) if after > 1e-12 else -np.inf
+            j += a
+            taken.add(j)
+            new = below(p["ahead"][t] + np.log(after), tops[which], uniform_one(keys[d], place, t, 3000 + sample)) if after > 1e-12 else -np.inf
             value[d] = tops[which]
             p["bound"][t] = new
-            prefix[d] = {"logp": p["ahead"][t] + lat["logp"][slot, j], "tokens": [*p["kept"], (p["slot"][:t], p["edge"][:t]), (np.array([slot]), np.array([j]))]}
-            nxt = slot + j + 1
+            prefix[d] = {"logp": p["ahead"][t] + lat["logp"][j], "tokens": [*p["kept"], p["edge"][:t], np.array([j])]}
+            nxt = int(lat["next"][j])
             start[d] = (begin[d] + place + 1, None, 0) if lat["end"][nxt] else (begin[d] + place, nxt, t + 1)
             todo.append(d)
         if todo:
             add(todo, prefix, start, value, sample)
     for d in live:
         for p in state[d]["paths"][:k]:
-            slots = np.concatenate([*(x[0] for x in p["kept"]), p["slot"]])
-            ids = lat["edge"][slots, np.concatenate([*(x[1] for x in p["kept"]), p["edge"]])].astype(np.int64)
-            if (ids < 0).any():
-                ids = np.concatenate([[i] if i >= 0 else lattice.byte_ids[list(chr(-2 - i).encode("utf-8", "surrogatepass"))] for i in ids.tolist()])
+            ids = lattice.with_bytes(lat["id"][np.concatenate([*p["kept"], p["edge"]])].astype(np.int64))
             gap = p["logp"] - kappa[d]
             result[d].append((ids, 0.0 if np.isinf(kappa[d]) else float(np.log(-np.expm1(-np.exp(gap)))) if gap > -30 else float(gap)))
     return result
