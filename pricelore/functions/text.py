@@ -103,7 +103,7 @@ def least_tokens(text: Column, length: int = 2) -> Column:
 
 def split_list(text: Column, separators: str = r"[,/;|]") -> Column:
     """The distinct trimmed entries of a list in a cell, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separators), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separators), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def jaccard(left: Column, right: Column) -> Column:

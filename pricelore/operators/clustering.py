@@ -79,7 +79,11 @@ def ngrams(texts: DataFrame, group: list[str], low: int, high: int, most: int |
     """(group, text, gram, weight): the TF-IDF vectors of the distinct texts of each group."""
     words = texts.select(*group, "text", F.explode(F.split("text", " ")).alias("w")).where("w <> ''").withColumn("w", F.concat(F.lit(" "), F.col("w"), F.lit(" ")))
     size = F.length("w")
-    grams = F.flatten(F.array(*(F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.substring("w", i, n))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1))))
+
+    def of_length(n: int) -> Column:
+        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring("w", i, n))).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*map(of_length, range(low, high + 1))))
     tf = words.select(*group, "text", F.explode(grams).alias("gram")).groupBy(*group, "text", "gram").agg(F.count("*").alias("tf"))
     df = tf.groupBy(*group, "gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     if most:

@@ -100,7 +100,7 @@ def outlier_summary(rows: DataFrame, group: str = "keyword") -> DataFrame:
 def outlier_overview(rows: DataFrame, group: str = "keyword") -> DataFrame:
     flagged = flag_outliers(rows.where("price > 0"), group)
     low, high = F.count_if(F.col("outlier_type") == "low"), F.count_if(F.col("outlier_type") == "high")
-    return flagged.agg(F.count("*").alias("item_count"), F.count_distinct(group).alias("keyword_count"), low.alias("low_count"), high.alias("high_count"), ((low + high) / F.count("*")).alias("outlier_rate"))
+    return flagged.agg(F.count("*").alias("item_count"), F.count_distinct(group).alias("keyword_count"), low.alias("low_count"), high.alias("high_count"), F.try_divide(low + high, F.count("*")).alias("outlier_rate"))
 
 
 def clean_summary(rows: DataFrame, group: str = "keyword") -> DataFrame:

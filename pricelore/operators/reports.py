@@ -46,7 +46,7 @@ def missing_token_summary(rows: DataFrame) -> DataFrame:
 
 def accuracy_summary(rows: DataFrame) -> DataFrame:
     """(metric, value) in long form."""
-    one = rows.agg(F.count("*").cast("double").alias("total_rows"), F.count_if("is_match").cast("double").alias("pass_rows"), F.count_if(~F.col("is_match")).cast("double").alias("fail_rows"), F.round(F.count_if("is_match") / F.count("*"), 4).alias("pass_rate"))
+    one = rows.agg(F.count("*").cast("double").alias("total_rows"), F.count_if("is_match").cast("double").alias("pass_rows"), F.count_if(~F.col("is_match")).cast("double").alias("fail_rows"), F.round(F.try_divide(F.count_if("is_match"), F.count("*")), 4).alias("pass_rate"))
     return one.unpivot([], one.columns, "metric", "value")
 
 

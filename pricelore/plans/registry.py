@@ -19,7 +19,11 @@ from pricelore.streaming import alerts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-AS_OF = F.lit(A.AS_OF).cast("timestamp")
+
+
+def as_of():
+    return F.lit(A.AS_OF).cast("timestamp")
+
 
 STATS = """
 stats AS (SELECT keyword, count(*) AS item_count, min(price) AS min_price, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS median_price, quantile_cont(price, 0.75) AS q3, max(price) AS max_price, avg(price) AS average_price FROM listings WHERE trim(keyword) <> '' AND price > 0 GROUP BY keyword),
@@ -144,7 +148,7 @@ def price_history_daily(spark: SparkSession, d: str) -> DataFrame:
 )
 def item_rating(spark: SparkSession, d: str) -> DataFrame:
     rows = A.items(spark, d).select("item_id", F.col("canonical_name").alias("cluster_product_name"), F.lit(None).cast("string").alias("cluster_route"), F.col("current_price").alias("price"), F.lit(0).alias("view_count"), F.col("crawled_at").alias("seen_at"))
-    rated = P.rate(rows, AS_OF)
+    rated = P.rate(rows, as_of())
     total = V.rating(F.col("cluster_score"), F.round("price_score", 4), F.col("view_score"), F.round("recency_score", 4))
     return rated.select("item_id", F.round("price_score", 4).alias("price_score"), F.round("recency_score", 4).alias("recency_score"), "cluster_score", F.round(total, 1).alias("rating"))
 
@@ -407,12 +411,12 @@ def wishlist_counts(spark: SparkSession, d: str) -> DataFrame:
     SELECT *, current_price / lowest_price AS r, (epoch(TIMESTAMP '1999-01-01 00:00:00') - epoch(crawled_at)) / 86400 AS g FROM items WHERE status = '판매중' AND current_price > 0 AND (contains(lower(title), 'anvil') OR contains(lower(category_name), 'anvil')) ORDER BY item_id LIMIT 150)) WHERE score > 0 ORDER BY score DESC, current_price, item_id LIMIT 10"""
 )
 def recommend_scored(spark: SparkSession, d: str) -> DataFrame:
-    return I.recommend(A.items(spark, d).withColumn("matched_keywords", F.lit("")), "anvil", AS_OF).select("item_id", "score")
+    return I.recommend(A.items(spark, d).withColumn("matched_keywords", F.lit("")), "anvil", as_of()).select("item_id", "score")
 
 
 @query()
 def recommend_personal(spark: SparkSession, d: str) -> DataFrame:
-    return I.recommend_personal(A.items(spark, d), A.wishlists(spark, d), A.actions(spark, d).where("event_type = 'IMPRESSION'"), AS_OF)
+    return I.recommend_personal(A.items(spark, d), A.wishlists(spark, d), A.actions(spark, d).where("event_type = 'IMPRESSION'"), as_of())
 
 
 @query("SELECT user_id, item_id, current_price, place, current_price - min(current_price) OVER (PARTITION BY user_id) AS gap, max(current_price) OVER (PARTITION BY user_id) - min(current_price) OVER (PARTITION BY user_id) AS spread FROM (SELECT user_id, item_id, current_price, row_number() OVER (PARTITION BY user_id ORDER BY current_price, item_id) AS place FROM wishlists JOIN items USING (item_id) WHERE current_price > 0) WHERE place <= 5")
@@ -493,7 +497,7 @@ def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def refined_listings(spark: SparkSession, d: str) -> DataFrame:
-    clean, _, _ = pipelines.refine(A.listings(spark, d), AS_OF)
+    clean, _, _ = pipelines.refine(A.listings(spark, d), as_of())
     return clean.select("keyword", "platform", "pid", "name", "cluster_product_name", "cluster_route", "price", "rating")
 
 
