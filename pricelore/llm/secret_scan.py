@@ -2,7 +2,7 @@
 
 Base kinds are plain patterns. The method adds the kind ``markov``: a run of 16 or more token characters whose log-likelihood ratio between a first-order model of random strings and one of ordinary
 identifiers passes ``MEAN`` nats a step and ``TOTAL`` nats, and that touches no base span. Both models come from labelled samples: the strings that the base patterns find in a bounded
-sample of documents (``SAMPLE_DOCS``) and strings drawn from hashes (``DRAWN`` of each alphabet) are random; the sample's other tokens are ordinary.
+sample of documents (``SAMPLE_DOCS``) and strings drawn from hashes (``DRAWN`` of each alphabet) are random; the sample's other tokens and names put together from ``IDENTIFIER_WORDS`` are ordinary.
 
 Edge cases: a null text counts as empty and has no spans; repeated rows give equal results; all work on a text is linear in its length; an empty table gives no rows.
 """
@@ -25,7 +25,10 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLE_DOCS, DRAWN = 4000, 1500
-MEAN, TOTAL, PRIOR = 1.0, 24.0, 0.5
+MEAN, TOTAL, PRIOR = 2.4, 36.0, 4.0
+
+#: Words of ordinary identifiers; pairs of them are joined by rule in the usual styles.
+IDENTIFIER_WORDS = "account action address application array attribute batch buffer builder cache callback channel client color column command common config connection container content context controller counter create current data database default delete description directory document element encoding entity error event factory field file filter format function group handler header height index information initial input instance interface internationalization item iterator key language length level library list listener local location manager map maximum memory message method minimum model module name network node number object offset option order output package page parameter parser password path pattern position previous process property provider query range record reference register remote request resource response result return row schema search secret section select sequence server service session setting source start state status storage stream string table target template text thread timeout token transaction type update user utility validation value variable vector version view widget width window writer".split()
 
 SPANS = "array<struct<start: int, rank: int, end_: int, value: string>>"
 
@@ -66,7 +69,11 @@ def samples(docs: DataFrame) -> DataFrame:
     ordinary = seen.select(F.explode(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("token")).select(F.lit(0).alias("label"), "token")
     key = F.sha2(F.col("id").cast("string"), 256)
     drawn = spark.range(DRAWN).select(F.explode(F.array(key, F.upper(F.substring(F.conv(F.substring(key, 1, 14), 16, 36), 1, 10)), F.substring(F.base64(F.unhex(key)), 1, 40))).alias("token")).select(F.lit(1).alias("label"), "token")
-    return flagged.unionByName(ordinary).unionByName(drawn)
+    known = spark.createDataFrame([(k, w) for k, w in enumerate(IDENTIFIER_WORDS)], "k int, w string")
+    pair = known.join(F.broadcast(known.select(F.col("k").alias("k2"), F.col("w").alias("w2"))), F.pmod(F.col("k2") - F.col("k"), F.lit(len(IDENTIFIER_WORDS))).between(1, 12))
+    styles = F.array(F.concat_ws("_", "w", "w2"), F.concat_ws("-", "w", "w2"), F.concat("w", F.initcap("w2")), F.concat(F.initcap("w"), F.initcap("w2")), F.upper(F.concat_ws("_", "w", "w2")))
+    names = pair.select(F.lit(0).alias("label"), F.explode(styles).alias("token"))
+    return flagged.unionByName(ordinary).unionByName(drawn).unionByName(names)
 
 
 def fit(docs: DataFrame) -> list[float]:
@@ -74,10 +81,18 @@ def fit(docs: DataFrame) -> list[float]:
     pairs = samples(docs).where(F.length("token").between(2, 400)).select("label", F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substring(token, i, 2))")).alias("pair"))
     rows = pairs.groupBy("label", "pair").count().select("label", place(F.substring("pair", 1, 1)).alias("a"), place(F.substring("pair", 2, 1)).alias("b"), "count").collect()
     count = {(r["label"], r["a"], r["b"]): r["count"] for r in rows}
-    total: dict = {}
-    for (label, a, _), n in count.items():
-        total[label, a] = total.get((label, a), 0) + n
-    chance = lambda label, a, b: math.log((count.get((label, a, b), 0) + PRIOR) / (total.get((label, a), 0) + PRIOR * (SIZE - 1)))
+    before: dict = {}
+    single: dict = {}
+    for (label, a, b), n in count.items():
+        before[label, a] = before.get((label, a), 0) + n
+        single[label, b] = single.get((label, b), 0) + n
+    whole = [sum(n for (own, _), n in single.items() if own == label) for label in (0, 1)]
+
+    def chance(label: int, a: int, b: int) -> float:
+        """Of a pair, smoothed by the second character's own frequency, and that by an even one."""
+        alone = (single.get((label, b), 0) + 0.5) / (whole[label] + 0.5 * (SIZE - 1))
+        return math.log((count.get((label, a, b), 0) + PRIOR * alone) / (before.get((label, a), 0) + PRIOR))
+
     return [round(chance(1, a, b) - chance(0, a, b), 6) if a and b else 0.0 for a in range(SIZE) for b in range(SIZE)]
 
 
