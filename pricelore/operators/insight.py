@@ -371,3 +371,54 @@ def search_ranking(events: DataFrame, period: str = "7 days") -> DataFrame:
 def seeded_sample(rows: DataFrame, n: int, seed: int, key: Column) -> DataFrame:
     """n rows by the hash of key and seed: the same ones whatever the partitions are."""
     return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
+def product_view(items: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
+    """Products for display: category from the canonical name or the category, inferred where both are blank; points from the history, else the lowest and the current price, else an estimate."""
+    pair = F.array(F.struct(F.date_sub(F.to_date(as_of), 1).alias("recorded_at"), F.col("lowest_price").alias("price")), F.struct(F.to_date(as_of).alias("recorded_at"), F.col("current_price").alias("price")))
+    estimate = F.transform(V.estimated_series(F.col("current_price"), F.to_date(as_of)), lambda p: F.struct(p["day"].alias("recorded_at"), p["price"].alias("price")))
+    name = F.coalesce(F.nullif(T.blank(F.col("canonical_name")), F.lit("")), F.nullif(T.blank(F.col("category_name")), F.lit("")), V.category(F.col("title")))
+    points = F.coalesce("points", F.when(F.col("lowest_price").isNotNull(), pair), estimate)
+    return items.join(series(history), "item_id", "left").select("item_id", "title", name.alias("category"), V.brand(F.col("title")).alias("brand"), "current_price", V.state(F.col("status")).alias("status"), points.alias("points"), lowest_of(points, F.col("current_price")).alias("lowest_price"), search_text("title", "canonical_name", "category_name").alias("search_text"))
+
+
+def combined_search(items: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """Items of the field search in its order, cut to the query's intent and to ``limit``; a blank query gives the newest items."""
+    if not query.strip():
+        return items.orderBy(F.desc("item_id")).limit(limit)
+    ranked = field_search(documents(items), query, widened(limit))
+    placed = ranked.select(F.col("document_id").cast("long").alias("item_id"), F.row_number().over(Window.orderBy(F.desc("score"), "document_id")).alias("place"))  # two hundred rows at most
+    text = F.lower(F.concat_ws(" ", "title", "canonical_name"))
+    return hydrate(placed, items).where(fits_intent(query, text)).orderBy("place").limit(limit)
+
+
+def newest_of(rows: DataFrame, user: str, time: str, key: str, oldest_first: bool = False, since: Column | None = None) -> DataFrame:
+    """Each user's rows in order of time: listings, notifications and alerts newest first, chats oldest first."""
+    kept = rows if since is None else rows.where(F.col(time) >= since)
+    return kept.orderBy(user, F.asc(time) if oldest_first else F.desc(time), key)
+
+
+def finder(items: DataFrame, category: str | None = None, title: str | None = None, on_sale: bool = False) -> DataFrame:
+    """Items of a category, with a text in their title, or on sale, newest first."""
+    ok = F.lit(True)
+    if category is not None:
+        ok = ok & (F.col("category_name") == category)
+    if title is not None:
+        ok = ok & F.lower("title").contains(title.lower())
+    if on_sale:
+        ok = ok & (F.col("status") == V.ON_SALE)
+    return items.where(ok).orderBy(F.desc("item_id"))
+
+
+def simple_counts(items: DataFrame, wishlists: DataFrame, views: DataFrame) -> DataFrame:
+    """(metric, value): items on sale, wishes, users with wishes, views."""
+    on_sale = items.agg(F.count_if(F.col("status") == V.ON_SALE).alias("on_sale_items"))
+    wishes = wishlists.agg(F.count("*").alias("wishes"), F.count_distinct("user_id").alias("users_with_wishes"))
+    seen = views.agg(F.count("*").alias("views"))
+    parts = [df.unpivot([], df.columns, "metric", "value") for df in (on_sale, wishes, seen)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def view_counts(items: DataFrame, views: DataFrame) -> DataFrame:
+    """(item_id, view_count) of every item."""
+    return items.select("item_id").join(views.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("view_count"))

@@ -533,3 +533,49 @@ def _replay(spark: SparkSession, frame: DataFrame, build, name: str, mode: str =
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="spark-shared-")
     return alerts.replay(spark, frame, build, f"{shared}/{uuid.uuid4().hex}", name, mode)
+
+
+@query("SELECT item_id, title, canonical_name AS category, current_price, status, (SELECT min(price) FROM history h WHERE h.item_id = i.item_id) AS lowest_price FROM items i")
+def product_views(spark: SparkSession, d: str) -> DataFrame:
+    return I.product_view(A.items(spark, d), A.history(A.listings(spark, d)), as_of()).select("item_id", "title", "category", "current_price", "status", "lowest_price")
+
+
+@query()
+def combined_search(spark: SparkSession, d: str) -> DataFrame:
+    return I.combined_search(A.items(spark, d), "blue anvil").select("place", "item_id", "title")
+
+
+@query("SELECT item_id, title FROM items WHERE contains(lower(title), 'anvil') AND status = '판매중'")
+def title_finder(spark: SparkSession, d: str) -> DataFrame:
+    return I.finder(A.items(spark, d), title="anvil", on_sale=True).select("item_id", "title")
+
+
+@query(
+    """SELECT 'on_sale_items' AS metric, count(*) FILTER (status = '판매중') AS value FROM items UNION ALL SELECT 'wishes', count(*) FROM wishlists UNION ALL SELECT 'users_with_wishes', count(DISTINCT user_id) FROM wishlists
+    UNION ALL SELECT 'views', count(*) FROM actions WHERE event_type = 'IMPRESSION'"""
+)
+def simple_counts(spark: SparkSession, d: str) -> DataFrame:
+    return I.simple_counts(A.items(spark, d), A.wishlists(spark, d), A.actions(spark, d).where("event_type = 'IMPRESSION'"))
+
+
+@query("SELECT i.item_id, count(a.event_id) AS view_count FROM items i LEFT JOIN actions a ON a.item_id = i.item_id AND a.event_type = 'IMPRESSION' GROUP BY i.item_id")
+def view_counts(spark: SparkSession, d: str) -> DataFrame:
+    return I.view_counts(A.items(spark, d), A.actions(spark, d).where("event_type = 'IMPRESSION'"))
+
+
+@query("SELECT canonical_name, count(*) AS size, round(quantile_cont(current_price, 0.5), 2) AS median_price FROM items GROUP BY canonical_name")
+def group_representatives(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.items(spark, d).select("canonical_name", F.col("title").alias("text"), F.col("current_price").alias("price"))
+    return C.representatives(rows, ["canonical_name"]).select("canonical_name", "size", F.round("median_price", 2).alias("median_price"))
+
+
+@query()
+def cluster_trees(spark: SparkSession, d: str) -> DataFrame:
+    found = C.cluster_tree(A.listings(spark, d), "canonical_name")
+    return found.select("keyword", F.explode("clusters").alias("c")).select("keyword", "c.name", "c.size", F.size("c.items").alias("shown"))
+
+
+@query("SELECT keyword, word, CAST(n AS BIGINT) AS count FROM (SELECT keyword, word, count(*) AS n FROM (SELECT keyword, unnest(string_split(lower(canonical_name), ' ')) AS word FROM listings) WHERE length(word) >= 2 GROUP BY ALL) WHERE n >= 2")
+def keyword_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.listings(spark, d).select("keyword", T.normal(F.col("canonical_name")).alias("cluster_text"))
+    return C.vocabulary(rows).select("keyword", F.col("token").alias("word"), "count")
