@@ -69,8 +69,8 @@ def samples(docs: DataFrame) -> DataFrame:
     ordinary = seen.select(F.explode(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("token")).select(F.lit(0).alias("label"), "token")
     key = F.sha2(F.col("id").cast("string"), 256)
     drawn = spark.range(DRAWN).select(F.explode(F.array(key, F.upper(F.substring(F.conv(F.substring(key, 1, 14), 16, 36), 1, 10)), F.substring(F.base64(F.unhex(key)), 1, 40))).alias("token")).select(F.lit(1).alias("label"), "token")
-    known = spark.createDataFrame([(k, w) for k, w in enumerate(IDENTIFIER_WORDS)], "k int, w string")
-    pair = known.join(F.broadcast(known.select(F.col("k").alias("k2"), F.col("w").alias("w2"))), F.pmod(F.col("k2") - F.col("k"), F.lit(len(IDENTIFIER_WORDS))).between(1, 12))
+    n = len(IDENTIFIER_WORDS)
+    pair = spark.createDataFrame([(w, IDENTIFIER_WORDS[(k + step) % n]) for k, w in enumerate(IDENTIFIER_WORDS) for step in range(1, 13)], "w string, w2 string")
     styles = F.array(F.concat_ws("_", "w", "w2"), F.concat_ws("-", "w", "w2"), F.concat("w", F.initcap("w2")), F.concat(F.initcap("w"), F.initcap("w2")), F.upper(F.concat_ws("_", "w", "w2")))
     names = pair.select(F.lit(0).alias("label"), F.explode(styles).alias("token"))
     return flagged.unionByName(ordinary).unionByName(drawn).unionByName(names)
