@@ -25,7 +25,7 @@ from pricelore.llm._common import table
 
 MARK = "▁"
 LONGEST = 16
-SLICE_CHARS = 700_000
+SLICE_CHARS = 1_300_000
 SAMPLES = 2
 SCHEMA = "doc_id long, samples array<struct<ids: array<int>, log_inclusion: double, text_ok: boolean>>"
 
@@ -164,7 +164,7 @@ class Lattice:
         order = np.argsort(left, kind="stable")
         rank[order] = np.arange(n)
         by = np.argsort(rank[slot] * (LONGEST + 1) + length)
-        slot, after = slot[by], slot[by] + length[by]
+        slot, after = slot[by].astype(np.int32), (slot[by] + length[by]).astype(np.int32)
         ids, score = np.concatenate([f[2] for f in found])[by].astype(np.int32), np.concatenate([f[3] for f in found])[by]
         degree = np.bincount(slot, minlength=n)
         begin = np.empty(n, np.int64)
@@ -255,11 +255,13 @@ def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int = SAMPLES
             before = prefix[d]["logp"]
             so_far = before + run[a:b] - (run[a - 1] if a else 0.0)
             ahead = np.concatenate([[before], so_far[:-1]]) if b > a else so_far
-            rest = -np.expm1(np.minimum(logp[a:b], 0))
+            place_of = place[who[a:b]]
+            # a value is found for every place whose mass isn't below the first one's by e**-60: a Gumbel variable that much lower never comes up first
+            near = slice(0, int(np.searchsorted(-ahead, 60 - before))) if b > a else slice(0, 0)
+            rest = -np.expm1(np.minimum(logp[a:b][near], 0))
             with np.errstate(divide="ignore"):
-                place_of = place[who[a:b]]
-                left = np.where(rest > 1e-12, ahead + np.log(np.maximum(rest, 1e-300)), -np.inf)
-                bound = below(left, value[d], uniform(np.broadcast_to(keys[d], left.shape), place_of, at[a:b] - first[begin[d] + place_of] if b > a else 0, 1000 + sample))
+                left = np.where(rest > 1e-12, ahead[near] + np.log(np.maximum(rest, 1e-300)), -np.inf)
+                bound = below(left, value[d], uniform(np.broadcast_to(keys[d], left.shape), place_of[near], at[a:b][near] - first[begin[d] + place_of[near]], 1000 + sample)) if len(left) else left
             state[d]["paths"].append({"kept": prefix[d]["tokens"], "place": place_of, "slot": at[a:b], "edge": j[a:b], "ahead": ahead, "bound": np.where(np.isfinite(left), bound, -np.inf), "logp": so_far[-1] if b > a else before, "value": value[d]})
 
     root = {d: -np.log(-np.log(uniform_one(keys[d], 7, 7))) for d in live}
