@@ -67,8 +67,9 @@ def pack_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         choice[where] = s
     hop = (np.arange(n) + np.concatenate([COUNTS, [1, 1]])[choice]).tolist()
     at, starts = 0, []
+    put = starts.append
     while at < n:
-        starts.append(at)
+        put(at)
         at = hop[at]
     starts = np.array(starts)
     chosen = choice[starts].astype(np.int64)
@@ -116,7 +117,6 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
-        self.white = re.compile(r"[\s\x85<]")  # and what may be a special token
         self.runs = re.compile(r"\s\s")
         self.single = re.compile(r"(?<=\S) (?=\S)")
         self.clear()
@@ -129,9 +129,11 @@ class WordEncoder:
         self.used = 0
 
     def learn(self, keys: list[str]) -> None:
-        """Keys without white space go through the tokenizer as one text: there, a word begins at each id whose string begins with a space."""
-        plain = [k for k in keys if not self.white.search(k) and k]
-        keys = plain + [k for k in keys if self.white.search(k) or not k]
+        """Keys without spaces, and without white space at their ends, go through the tokenizer as one text: there, a word begins at each id whose string begins with a space."""
+        plain, rest = [], []
+        for k in keys:
+            (rest if not k or k[0].isspace() or k[-1].isspace() or " " in k or "<" in k else plain).append(k)  # "<" may begin a special token
+        keys = plain + rest
         got = [x.ids for x in self.tokenizer.encode_batch_fast([k[1:] if k[:1] == "\n" else " " + k for k in keys[len(plain) :]], add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         ids = np.fromiter((i for x in got for i in x), dtype=np.uint32, count=int(lengths.sum()))
