@@ -1,8 +1,11 @@
 """Operator 2: licence scan by a trained paragraph classifier. DataFrame functions and Spark ML only.
 
 A paragraph is a line. Its word one- and two-grams are hashed into a sparse vector, and a multinomial logistic regression (elastic net) tells ordinary text, each licence family, and notices of
-unknown licences apart. It is trained from notices that are made by rule from ``FAMILIES`` and ``FRAMES``, from made-up licence names, and from a bounded sample of the corpus' lines (``SAMPLE_LINES``). The chances are
-calibrated by a temperature that is chosen on a held-out fold. A predicted family is confirmed if one of its templates' two-grams are contained in the paragraph to ``CONFIRM`` at least; what is not confirmed or has too little chance is ``unknown``.
+unknown licences apart. It is trained from notices that are made by rule from ``FAMILIES`` and ``FRAMES``, from the paragraphs of the licences' own texts (whole, in windows, and in pieces of a wrapped line's length), from made-up licence names, and from a bounded
+sample of the corpus' lines (``SAMPLE_LINES``) that hold no piece of a licence text. The chances are calibrated by a temperature that is chosen on a held-out fold.
+
+A predicted family is confirmed if one of its names' two-grams are contained in the paragraph to ``CONFIRM`` at least. A paragraph that shares ``CONFIRM`` of its three-word shingles with a paragraph of a licence text, of the smaller of the two, is of that text's family,
+whatever was predicted. What is not confirmed or has too little chance is ``unknown``.
 
 Every line of every text is scored. Edge cases: null and empty texts have no lines; repeated rows give repeated results; an empty table gives no rows.
 """
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelore.llm._common import cut, table
+from pricelore.llm.licence_texts import TEXTS
 
 #: Names of licences by family.
 FAMILIES = {
@@ -35,6 +39,8 @@ NONE, UNKNOWN = "none", "unknown"
 CLASSES = [NONE, UNKNOWN, *FAMILIES]
 SAMPLE_DOCS, SAMPLE_LINES = 1500, 6000
 FEATURES, CONFIRM, LEAST = 1 << 15, 0.5, 0.5
+#: Words of a shingle, shingles that a confirming overlap holds at least, and words of a training piece of a licence text and from one piece to the next.
+SHINGLE, LEAST_SHINGLES, PIECE, PIECE_STEP = 3, 6, 12, 8
 
 
 def words(line: Column) -> Column:
@@ -50,6 +56,19 @@ def grams(line: Column) -> Column:
     return F.element_at(F.transform(F.array(words(line)), both), 1)
 
 
+def shingles(w: Column) -> Column:
+    """The distinct three-word shingles of words ``w``."""
+    n = F.greatest(F.size(w) - (SHINGLE - 1), F.lit(0))
+    pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(F.zip_with(pairs, F.slice(w, SHINGLE, n), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def licence_shingles(spark: SparkSession) -> DataFrame:
+    """(text_family, text_shingles) of the paragraphs of the licences' texts."""
+    made = spark.createDataFrame([(f, t) for f, texts in TEXTS.items() for t in texts], "text_family string, text string")
+    return made.select("text_family", shingles(words(F.col("text"))).alias("text_shingles"))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of the lines with words."""
     return docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), F.posexplode_outer(F.split("text", r"[\r\n]+")).alias("line_no", "line"))
@@ -58,15 +77,24 @@ def lines(docs: DataFrame) -> DataFrame:
 def notices(spark: SparkSession) -> DataFrame:
     """(line, family): the notices made by rule."""
     made = [(frame.format(name), family) for family, names in [*FAMILIES.items(), (UNKNOWN, UNKNOWN_NAMES)] for name in names for frame in FRAMES]
+    made += [(piece, family) for family, texts in TEXTS.items() for text in texts for piece in pieces(text)]
     return spark.createDataFrame(made, "line string, family string")
 
 
+def pieces(text: str) -> list[str]:
+    """A licence paragraph, and what its lines hold when it is wrapped."""
+    w = text.split()
+    return list(dict.fromkeys([text, *(" ".join(w[k : k + PIECE]) for k in range(0, max(len(w) - PIECE + PIECE_STEP, 1), PIECE_STEP))]))
+
+
 def fit(docs: DataFrame) -> tuple[LogisticRegressionModel, float]:
     """The classifier and the temperature."""
     spark = docs.sparkSession
     chosen = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
     notice = r"(?i)licen[sc]e|copyright|spdx"
-    plain = lines(docs.join(F.broadcast(chosen), "doc_id")).where(~F.col("line").rlike(notice)).select("line").orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES).select(F.substring("line", 1, 600).alias("line"), F.lit(NONE).alias("family"))
+    plain = lines(docs.join(F.broadcast(chosen), "doc_id")).where(~F.col("line").rlike(notice)).select("line").orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES)
+    known = F.broadcast(licence_shingles(spark).agg(F.array_distinct(F.flatten(F.collect_list("text_shingles"))).alias("known")))
+    plain = plain.crossJoin(known).where(F.size(F.array_intersect(shingles(words(F.col("line"))), "known")) < LEAST_SHINGLES).select(F.substring("line", 1, 600).alias("line"), F.lit(NONE).alias("family"))
     label = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("family")).cast("double") - 1
     data = notices(spark).unionByName(plain).select("line", label.alias("label"), grams(F.col("line")).alias("grams"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("held"))
     data = cut(HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="features", binary=True).transform(data).select("label", "features", "held"))
@@ -96,13 +124,26 @@ def scan(docs: DataFrame, model: LogisticRegressionModel, temperature: float) ->
     ready = lines(docs).select("doc_id", "line_no", "line", grams(F.coalesce("line", F.lit(""))).alias("grams"))
     hashed = HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="features", binary=True).transform(ready).drop("grams")
     judged = model.transform(hashed.select("doc_id", "line_no", "line", "features")).where("prediction > 0 AND line <> ''").select("doc_id", "line_no", "line", "prediction", vector_to_array("rawPrediction").alias("raw"))
-    hits = judged.select("doc_id", "line_no", F.array_distinct(grams(F.col("line"))).alias("grams"), F.element_at(F.array(*map(F.lit, CLASSES)), F.col("prediction").cast("int") + 1).alias("family"), F.element_at(softmax(F.col("raw"), temperature), F.col("prediction").cast("int") + 1).alias("chance"))
+    chances = softmax(F.col("raw"), temperature)
+    hits = judged.select("doc_id", "line_no", F.array_distinct(grams(F.col("line"))).alias("grams"), shingles(words(F.col("line"))).alias("shingles"), F.element_at(F.array(*map(F.lit, CLASSES)), F.col("prediction").cast("int") + 1).alias("family"), chances.alias("chances"))
     templates = spark.createDataFrame([(f, n) for f, names in FAMILIES.items() for n in names], "family string, name string")
     by_family = F.broadcast(templates.select("family", F.array_distinct(grams(F.col("name"))).alias("template")).groupBy("family").agg(F.collect_list("template").alias("templates")))
+    texts = F.broadcast(licence_shingles(spark).agg(F.collect_list(F.struct("text_family", "text_shingles")).alias("texts")))
     within = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t)))
-    sure = (F.col("chance") >= LEAST) & (F.col("contained") >= CONFIRM)
-    out = hits.join(by_family, "family", "left").withColumn("contained", F.coalesce(within, F.lit(0.0)))
-    return out.select("doc_id", "line_no", F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), "chance", "contained")
+
+    def overlap(t: Column) -> Column:
+        shared = F.size(F.array_intersect(t["text_shingles"], F.col("shingles")))
+        score = F.when(shared >= LEAST_SHINGLES, shared / F.least(F.size(t["text_shingles"]), F.size("shingles"))).otherwise(0.0)
+        return F.struct(score.alias("score"), (t["text_family"] == F.col("family")).alias("predicted"), t["text_family"].alias("family"))
+
+    out = hits.join(by_family, "family", "left").crossJoin(texts).select("doc_id", "line_no", "family", "chances", F.coalesce(within, F.lit(0.0)).alias("named"), F.array_max(F.transform("texts", overlap)).alias("text"))
+    by_text = F.col("text.score") >= CONFIRM
+    chance = lambda family: F.element_at("chances", F.array_position(F.array(*map(F.lit, CLASSES)), family).cast("int"))
+    sure = (chance(F.col("family")) >= LEAST) & (F.col("named") >= CONFIRM)
+    return out.select(
+        "doc_id", "line_no", F.when(by_text, F.col("text.family")).when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"),
+        F.when(by_text, chance(F.col("text.family"))).otherwise(chance(F.col("family"))).alias("chance"), F.when(by_text, F.col("text.score")).otherwise(F.col("named")).alias("contained"),
+    )
 
 
 def op2_licence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

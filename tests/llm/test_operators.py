@@ -345,6 +345,23 @@ def test_licences(spark, odd):
     assert got == {(n, 1): "mit", (n + 1, 0): "cc", (n + 2, 0): "gpl", (n + 3, 0): "unknown"}
 
 
+def test_licence_texts_without_names(spark):
+    """Wordings that are in no frame: wrapped and changed parts of licence texts."""
+    from pricelore.llm import licence_scan as m
+
+    rnd = random.Random(5)
+    texts = [" ".join(words(rnd, 40)) for _ in range(60)] + [
+        "Permission is hereby granted, free of charge, to anyone obtaining a copy of this software and its associated documentation files, to deal in the Software without restriction",
+        "Redistribution and use in source and binary forms, with or without any modification, are permitted provided that these conditions are met",
+        "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE",
+        "you may not use these files except in compliance with the License. You may obtain a copy of the License at the address below",
+        "The material may be shared: you must give appropriate credit, provide a link to the license, and indicate if changes were made.",
+    ]
+    frame = docs(spark, texts)
+    got = {r["doc_id"]: r["family"] for r in m.scan(frame, *m.fit(frame)).collect()}
+    assert got == {60: "mit", 61: "bsd", 62: "mit", 63: "apache", 64: "cc"}
+
+
 def test_pipeline_columns(spark, tmp_path):
     import corpus_pipeline
 
