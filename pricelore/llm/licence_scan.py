@@ -1,13 +1,14 @@
 """Operator 2: licence scan by a trained paragraph classifier. DataFrame functions and Spark ML only.
 
-A paragraph is a line. Its word one- and two-grams are hashed into a sparse vector, and a multinomial logistic regression (elastic net) tells ordinary text, each licence family, and notices of
+A paragraph is a line. The word one- and two-grams of its windows are hashed into sparse vectors, and a multinomial logistic regression (elastic net) tells ordinary text, each licence family, and notices of
 unknown licences apart. It is trained from notices that are made by rule from ``FAMILIES`` and ``FRAMES``, from the paragraphs of the licences' own texts (whole, in windows, and in pieces of a wrapped line's length), from made-up licence names, and from a bounded
 sample of the corpus' lines (``SAMPLE_LINES``) that hold no piece of a licence text. The chances are calibrated by a temperature that is chosen on a held-out fold.
 
-A predicted family is confirmed if one of its names' two-grams are contained in the paragraph to ``CONFIRM`` at least. A paragraph that shares ``CONFIRM`` of its three-word shingles with a paragraph of a licence text, of the smaller of the two, is of that text's family,
+A predicted family is confirmed if one of its names' two-grams are contained in the window to ``CONFIRM`` at least. A window that shares ``CONFIRM`` of its three-word shingles with a paragraph of a licence text, of the smaller of the two, is of that text's family,
 whatever was predicted. What is not confirmed or has too little chance is ``unknown``.
 
-Every line of every text is scored. Edge cases: null and empty texts have no lines; repeated rows give repeated results; an empty table gives no rows.
+Every line of every text is scored, in windows of ``WINDOW`` words that overlap by ``OVERLAP`` and cover the whole line; its best window is reported. Training lines are cut into the same windows, and each has a twin with a notice or a piece of a licence text put
+into it. Edge cases: null and empty texts have no lines; repeated rows give repeated results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SAMPLE_DOCS, SAMPLE_LINES = 1500, 6000
 FEATURES, CONFIRM, LEAST = 1 << 15, 0.5, 0.5
 #: Words of a shingle, shingles that a confirming overlap holds at least, and words of a training piece of a licence text and from one piece to the next.
 SHINGLE, LEAST_SHINGLES, PIECE, PIECE_STEP = 3, 6, 12, 8
+#: Words of a window and those that it shares with the next: a wording of up to ``OVERLAP`` words is whole in one of them.
+WINDOW, OVERLAP = 64, 24
 
 
 def words(line: Column) -> Column:
@@ -48,12 +51,26 @@ def words(line: Column) -> Column:
 
 
 def grams(line: Column) -> Column:
+    return word_grams(words(line))
+
+
+def word_grams(w: Column) -> Column:
     """One- and two-grams; the outer transform names the words, so that they are cut out once."""
 
     def both(w: Column) -> Column:
         return F.concat(w, F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
 
-    return F.element_at(F.transform(F.array(words(line)), both), 1)
+    return F.element_at(F.transform(F.array(w), both), 1)
+
+
+def windows(line: Column) -> Column:
+    """The words of a line in overlapping windows that cover all of it."""
+
+    def cut_up(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - OVERLAP, F.lit(1)), F.lit(WINDOW - OVERLAP))
+        return F.transform(starts, lambda k: F.slice(w, k, WINDOW))
+
+    return F.element_at(F.transform(F.array(words(line)), cut_up), 1)
 
 
 def shingles(w: Column) -> Column:
@@ -87,16 +104,29 @@ def pieces(text: str) -> list[str]:
     return list(dict.fromkeys([text, *(" ".join(w[k : k + PIECE]) for k in range(0, max(len(w) - PIECE + PIECE_STEP, 1), PIECE_STEP))]))
 
 
+def embedded(plain: DataFrame, made: DataFrame) -> DataFrame:
+    """(line, family): each window of ``plain`` with a row of ``made`` put into it at a place drawn by its hash, as long as a window at most."""
+    listed = made.agg(F.sort_array(F.collect_list(F.struct("line", "family"))).alias("made"))  # some hundreds of rows, made by rule
+    w, n = F.col("w"), F.col("n")
+    drawn = plain.crossJoin(F.broadcast(listed)).select(words(F.col("line")).alias("w"), F.element_at("made", (F.pmod(F.xxhash64("line"), F.size("made")) + 1).cast("int")).alias("m"), F.xxhash64("line", F.lit(1)).alias("hash"))
+    room = F.greatest(F.lit(WINDOW) - F.size(words(F.col("m.line"))), F.lit(8))
+    placed = drawn.select(F.slice(F.col("w"), 1, room).alias("w"), "m", "hash").select("w", "m", F.pmod("hash", F.size("w") + 1).cast("int").alias("n"))
+    return placed.select(F.concat_ws(" ", F.slice(w, 1, n), F.col("m.line"), F.slice(w, n + 1, WINDOW)).alias("line"), F.col("m.family").alias("family"))
+
+
 def fit(docs: DataFrame) -> tuple[LogisticRegressionModel, float]:
     """The classifier and the temperature."""
     spark = docs.sparkSession
     chosen = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
     notice = r"(?i)licen[sc]e|copyright|spdx"
-    plain = lines(docs.join(F.broadcast(chosen), "doc_id")).where(~F.col("line").rlike(notice)).select("line").orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES)
+    plain = lines(docs.join(F.broadcast(chosen), "doc_id")).where(~F.col("line").rlike(notice)).select(F.explode(windows(F.col("line"))).alias("w")).where(F.size("w") > 0).select(F.array_join("w", " ").alias("line")).orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES)
     known = F.broadcast(licence_shingles(spark).agg(F.array_distinct(F.flatten(F.collect_list("text_shingles"))).alias("known")))
-    plain = plain.crossJoin(known).where(F.size(F.array_intersect(shingles(words(F.col("line"))), "known")) < LEAST_SHINGLES).select(F.substring("line", 1, 600).alias("line"), F.lit(NONE).alias("family"))
+    plain = plain.crossJoin(known).where(F.size(F.array_intersect(shingles(words(F.col("line"))), "known")) < LEAST_SHINGLES).select("line", F.lit(NONE).alias("family"))
+    made = notices(spark)
+    plain = cut(plain)
+    rows = made.unionByName(plain).unionByName(embedded(plain, made))
     label = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("family")).cast("double") - 1
-    data = notices(spark).unionByName(plain).select("line", label.alias("label"), grams(F.col("line")).alias("grams"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("held"))
+    data = rows.select("line", label.alias("label"), grams(F.col("line")).alias("grams"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("held"))
     data = cut(HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="features", binary=True).transform(data).select("label", "features", "held"))
     counts = {r["label"]: r["count"] for r in data.where("NOT held").groupBy("label").count().collect()}
     weight = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, math.sqrt(1000.0 / n))]), F.col("label")) if counts else F.lit(1.0)
@@ -119,13 +149,14 @@ def softmax(raw: Column, temperature: float) -> Column:
 
 
 def scan(docs: DataFrame, model: LogisticRegressionModel, temperature: float) -> DataFrame:
-    """(doc_id, line_no, family, chance, contained) of every line that the classifier takes for a notice."""
+    """(doc_id, line_no, family, chance, contained) of every line with a window that the classifier takes for a notice: of its best window, a named family before ``unknown``."""
     spark = docs.sparkSession
-    ready = lines(docs).select("doc_id", "line_no", "line", grams(F.coalesce("line", F.lit(""))).alias("grams"))
-    hashed = HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="features", binary=True).transform(ready).drop("grams")
-    judged = model.transform(hashed.select("doc_id", "line_no", "line", "features")).where("prediction > 0 AND line <> ''").select("doc_id", "line_no", "line", "prediction", vector_to_array("rawPrediction").alias("raw"))
+    # ``row`` keeps the lines of repeated rows apart; only windows taken for notices are grouped by it
+    each = lines(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "line_no", F.explode(windows(F.coalesce("line", F.lit("")))).alias("w")).where(F.size("w") > 0)
+    hashed = HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="features", binary=True).transform(each.withColumn("grams", word_grams(F.col("w")))).drop("grams")
+    judged = model.transform(hashed).where("prediction > 0").select("row", "doc_id", "line_no", "w", "prediction", vector_to_array("rawPrediction").alias("raw"))
     chances = softmax(F.col("raw"), temperature)
-    hits = judged.select("doc_id", "line_no", F.array_distinct(grams(F.col("line"))).alias("grams"), shingles(words(F.col("line"))).alias("shingles"), F.element_at(F.array(*map(F.lit, CLASSES)), F.col("prediction").cast("int") + 1).alias("family"), chances.alias("chances"))
+    hits = judged.select("row", "doc_id", "line_no", F.array_distinct(word_grams(F.col("w"))).alias("grams"), shingles(F.col("w")).alias("shingles"), F.element_at(F.array(*map(F.lit, CLASSES)), F.col("prediction").cast("int") + 1).alias("family"), chances.alias("chances"))
     templates = spark.createDataFrame([(f, n) for f, names in FAMILIES.items() for n in names], "family string, name string")
     by_family = F.broadcast(templates.select("family", F.array_distinct(grams(F.col("name"))).alias("template")).groupBy("family").agg(F.collect_list("template").alias("templates")))
     texts = F.broadcast(licence_shingles(spark).agg(F.collect_list(F.struct("text_family", "text_shingles")).alias("texts")))
@@ -136,14 +167,16 @@ def scan(docs: DataFrame, model: LogisticRegressionModel, temperature: float) ->
         score = F.when(shared >= LEAST_SHINGLES, shared / F.least(F.size(t["text_shingles"]), F.size("shingles"))).otherwise(0.0)
         return F.struct(score.alias("score"), (t["text_family"] == F.col("family")).alias("predicted"), t["text_family"].alias("family"))
 
-    out = hits.join(by_family, "family", "left").crossJoin(texts).select("doc_id", "line_no", "family", "chances", F.coalesce(within, F.lit(0.0)).alias("named"), F.array_max(F.transform("texts", overlap)).alias("text"))
+    out = hits.join(by_family, "family", "left").crossJoin(texts).select("row", "doc_id", "line_no", "family", "chances", F.coalesce(within, F.lit(0.0)).alias("named"), F.array_max(F.transform("texts", overlap)).alias("text"))
     by_text = F.col("text.score") >= CONFIRM
     chance = lambda family: F.element_at("chances", F.array_position(F.array(*map(F.lit, CLASSES)), family).cast("int"))
     sure = (chance(F.col("family")) >= LEAST) & (F.col("named") >= CONFIRM)
-    return out.select(
-        "doc_id", "line_no", F.when(by_text, F.col("text.family")).when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"),
+    found = out.select(
+        "row", "doc_id", "line_no", F.when(by_text, F.col("text.family")).when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"),
         F.when(by_text, chance(F.col("text.family"))).otherwise(chance(F.col("family"))).alias("chance"), F.when(by_text, F.col("text.score")).otherwise(F.col("named")).alias("contained"),
     )
+    best = F.max(F.struct((F.col("family") != UNKNOWN).alias("confirmed"), "chance", "contained", "family"))
+    return found.groupBy("row", "doc_id", "line_no").agg(best.alias("best")).select("doc_id", "line_no", "best.family", "best.chance", "best.contained")
 
 
 def op2_licence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

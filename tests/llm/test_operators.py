@@ -362,6 +362,30 @@ def test_licence_texts_without_names(spark):
     assert got == {60: "mit", 61: "bsd", 62: "mit", 63: "apache", 64: "cc"}
 
 
+def test_licences_inside_long_lines(spark):
+    from pricelore.llm import licence_scan as m
+
+    rnd = random.Random(6)
+    texts = [" ".join(words(rnd, n)) for n in (40, 300, 900, 3000) for _ in range(20)]
+    n = len(texts)
+    for inside, size, at in (("Released under the MIT License.", 400, 0), ("Licensed under the Apache License, Version 2.0.", 900, 450), ("This work is licensed under CC BY-SA 3.0.", 4000, 3990), ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that", 2000, 1500)):
+        w = words(rnd, size)
+        texts.append(" ".join([*w[:at], inside, *w[at:]]))
+    frame = docs(spark, texts)
+    got = {r["doc_id"]: r["family"] for r in m.scan(frame, *m.fit(frame)).collect()}
+    assert got == {n: "mit", n + 1: "apache", n + 2: "cc", n + 3: "bsd"}
+
+
+@pytest.mark.parametrize("n", [0, 1, 24, 25, 63, 64, 65, 104, 105, 1000])
+def test_windows_cover_the_line(spark, n):
+    from pricelore.llm import licence_scan as m
+
+    w = [f"w{k}" for k in range(n)]
+    got = spark.createDataFrame([(" ".join(w),)], "line string").select(m.windows(F.col("line")).alias("x")).first()["x"]
+    assert [x for x in dict.fromkeys(y for g in got for y in g)] == w
+    assert all(any(w[k : k + m.OVERLAP] == g[i : i + m.OVERLAP] for g in got for i in range(len(g))) for k in range(max(n - m.OVERLAP + 1, 0)))
+
+
 def test_pipeline_columns(spark, tmp_path):
     import corpus_pipeline
 
