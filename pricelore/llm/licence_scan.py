@@ -14,6 +14,7 @@ into it. Edge cases: null and empty texts have no lines; repeated rows give repe
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
@@ -157,8 +158,11 @@ def scan(docs: DataFrame, model: LogisticRegressionModel, temperature: float) ->
     judged = model.transform(hashed).where("prediction > 0").select("row", "doc_id", "line_no", "w", "prediction", vector_to_array("rawPrediction").alias("raw"))
     chances = softmax(F.col("raw"), temperature)
     hits = judged.select("row", "doc_id", "line_no", F.array_distinct(word_grams(F.col("w"))).alias("grams"), shingles(F.col("w")).alias("shingles"), F.element_at(F.array(*map(F.lit, CLASSES)), F.col("prediction").cast("int") + 1).alias("family"), chances.alias("chances"))
-    templates = spark.createDataFrame([(f, n) for f, names in FAMILIES.items() for n in names], "family string, name string")
-    by_family = F.broadcast(templates.select("family", F.array_distinct(grams(F.col("name"))).alias("template")).groupBy("family").agg(F.collect_list("template").alias("templates")))
+    # a name of one word (MIT, also a German word) confirms by its neighbours in the frames only
+    single = [(f, n, re.search(r"(\w+\W+)?\{\}(\W+\w+)?", frame).group().format(n)) for f, names in FAMILIES.items() for n in names if n.isalnum() for frame in FRAMES]
+    templates = spark.createDataFrame([(f, n, n) for f, names in FAMILIES.items() for n in names if not n.isalnum()] + single, "family string, name string, around string")
+    held = F.filter(grams(F.col("around")), lambda g: (F.col("name") != F.col("around")) & g.contains(" "))
+    by_family = F.broadcast(templates.select("family", F.array_distinct(F.when(F.col("name") == F.col("around"), grams(F.col("name"))).otherwise(held)).alias("template")).groupBy("family").agg(F.collect_list("template").alias("templates")))
     texts = F.broadcast(licence_shingles(spark).agg(F.collect_list(F.struct("text_family", "text_shingles")).alias("texts")))
     within = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t)))
 

@@ -367,6 +367,7 @@ def test_licences_inside_long_lines(spark):
 
     rnd = random.Random(6)
     texts = [" ".join(words(rnd, n)) for n in (40, 300, 900, 3000) for _ in range(20)]
+    texts += [" ".join(x for w in words(rnd, 60) for x in (w, rnd.choice(["mit", "der", "und"]))) for _ in range(10)]  # no MIT licence
     n = len(texts)
     for inside, size, at in (("Released under the MIT License.", 400, 0), ("Licensed under the Apache License, Version 2.0.", 900, 450), ("This work is licensed under CC BY-SA 3.0.", 4000, 3990), ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that", 2000, 1500)):
         w = words(rnd, size)
