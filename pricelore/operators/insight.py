@@ -45,9 +45,31 @@ def search(rows: DataFrame, query: str, platforms: tuple[str, ...] = (), sort: s
     return found.orderBy(*order).offset((max(page, 1) - 1) * limit).limit(limit)
 
 
-def field_search(rows: DataFrame, query: str, limit: int = 20, weights: tuple[tuple[str, float], ...] = (("canonical_name", 5.0), ("title", 4.0), ("matched_keywords", 3.0), ("normalized_title", 2.0), ("search_text", 1.0)), k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(document_id, score): BM25 of the best field in which every query term is found, exactly or by few edits (none up to two characters, one up to five, else two)."""
+def asks_for_accessories(query: str) -> bool:
+    asked = "".join(query.lower().split())
+    return any(w in asked for w in V.ACCESSORY_TOKENS)
+
+
+def searchable(rows: DataFrame, query: str, platforms: tuple[str, ...] = ()) -> DataFrame:
+    """Documents without noise and implausible prices, without accessories unless the query asks for them, and of ``platforms`` if there are any. Rows without ``quality_flags`` are all kept."""
+    kept = rows.where(on_platforms(platforms, F.col("platform"))) if platforms else rows
+    if "quality_flags" not in rows.columns:
+        return kept
+    dropped = ("noise_candidate", "invalid_price", *(() if asks_for_accessories(query) else ("accessory_candidate",)))
+    return kept.where(~F.arrays_overlap(F.split(F.coalesce("quality_flags", F.lit("")), ","), F.array(*map(F.lit, dropped))))
+
+
+def field_search(
+    rows: DataFrame, query: str, limit: int = 20, weights: tuple[tuple[str, float], ...] = (("canonical_name", 5.0), ("title", 4.0), ("matched_keywords", 3.0), ("normalized_title", 2.0), ("search_text", 1.0)), k1: float = 1.2, b: float = 0.75,
+    platforms: tuple[str, ...] = (), sort: str = "relevance", page: int = 1,
+) -> DataFrame:
+    """(document_id, score): a page of ``searchable`` documents by relevance, recent or low_price, then by score. The score is BM25 of the best field in which every query term is found, exactly or by few edits (none up to two characters, one up to five, else two).
+
+    The filters come first, so term and field statistics are those of the documents that can be found.
+    """
     spark = rows.sparkSession
+    rows = searchable(rows, query, platforms)
+    order = {"relevance": [], "recent": [F.desc_nulls_last("crawled_on")], "low_price": [F.asc_nulls_last("current_price")]}[sort]
     fields = [(f, w) for f, w in weights if f in rows.columns]
     each = rows.select("document_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), F.split(T.normal(F.col(f), "none"), " ").alias("words")) for f, w in fields))).alias("f")).select("document_id", "f.*")
     terms = spark.createDataFrame([(t,) for t in dict.fromkeys(query.lower().split())], "term string")
@@ -59,7 +81,10 @@ def field_search(rows: DataFrame, query: str, limit: int = 20, weights: tuple[tu
     idf = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     scored = hits.join(idf, ["field", "term"]).join(stats, "field").withColumn("s", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean"))))
     by_field = scored.groupBy("document_id", "field", "weight").agg(F.sum("s").alias("s"), F.count("*").alias("n")).where(F.col("n") == n_terms)
-    return by_field.groupBy("document_id").agg(F.max(F.col("s") * F.col("weight")).alias("score")).orderBy(F.desc("score"), "document_id").limit(limit)
+    found = by_field.groupBy("document_id").agg(F.max(F.col("s") * F.col("weight")).alias("score"))
+    if order:
+        found = found.join(rows.select("document_id", "crawled_on" if sort == "recent" else "current_price"), "document_id")
+    return found.orderBy(*order, F.desc("score"), "document_id").offset((max(page, 1) - 1) * limit).limit(limit).select("document_id", "score")
 
 
 def hydrate(ranked: DataFrame, items: DataFrame) -> DataFrame:
@@ -97,6 +122,7 @@ def documents(items: DataFrame) -> DataFrame:
     return out.select(
         F.col("item_id").cast("string").alias("document_id"), "item_id", filled("title", "canonical_name", "category_name").alias("title"), filled("canonical_name", "title").alias("canonical_name"), "category_name", "current_price", V.state(F.col("status")).alias("status"),
         T.normal(F.col("title"), "none", parted=True).alias("normalized_title"), F.array_join(V.quality_flags(F.col("title"), F.col("current_price")), ",").alias("quality_flags"), F.lower(F.concat_ws(" ", "title", "canonical_name", "category_name")).alias("search_text"), V.index_date(F.date_format("crawled_at", "yyyy-MM-dd")).alias("crawled_on"),
+        *([F.col("platform_name").alias("platform")] if "platform_name" in items.columns else ["platform"] if "platform" in items.columns else []),
     )
 
 
@@ -382,14 +408,16 @@ def product_view(items: DataFrame, history: DataFrame, as_of: Column) -> DataFra
     return items.join(series(history), "item_id", "left").select("item_id", "title", name.alias("category"), V.brand(F.col("title")).alias("brand"), "current_price", V.state(F.col("status")).alias("status"), points.alias("points"), lowest_of(points, F.col("current_price")).alias("lowest_price"), search_text("title", "canonical_name", "category_name").alias("search_text"))
 
 
-def combined_search(items: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Items of the field search in its order, cut to the query's intent and to ``limit``; a blank query gives the newest items."""
+def combined_search(items: DataFrame, query: str, limit: int = 20, platforms: tuple[str, ...] = (), sort: str = "relevance", page: int = 1) -> DataFrame:
+    """A page of the items of the field search in its order, cut to the query's intent and to ``limit``; a blank query gives the newest items."""
+    skipped = (max(page, 1) - 1) * limit
     if not query.strip():
-        return items.orderBy(F.desc("item_id")).limit(limit)
-    ranked = field_search(documents(items), query, widened(limit))
-    placed = ranked.select(F.col("document_id").cast("long").alias("item_id"), F.row_number().over(Window.orderBy(F.desc("score"), "document_id")).alias("place"))  # two hundred rows at most
+        return items.orderBy(F.desc("item_id")).offset(skipped).limit(limit)
+    order = {"relevance": ["place"], "recent": [F.desc_nulls_last(F.to_date("crawled_at")), "place"], "low_price": [F.asc_nulls_last("current_price"), "place"]}[sort]
+    ranked = field_search(documents(items), query, widened(limit) if skipped == 0 else max(widened(limit), 4 * (skipped + limit)), platforms=platforms, sort=sort)
+    placed = ranked.select(F.col("document_id").cast("long").alias("item_id"), F.row_number().over(Window.orderBy(F.desc("score"), "document_id")).alias("place"))  # two hundred rows at most, or four times those up to the page's end
     text = F.lower(F.concat_ws(" ", "title", "canonical_name"))
-    return hydrate(placed, items).where(fits_intent(query, text)).orderBy("place").limit(limit)
+    return hydrate(placed, items).where(fits_intent(query, text)).orderBy(*order).offset(skipped).limit(limit)
 
 
 def newest_of(rows: DataFrame, user: str, time: str, key: str, oldest_first: bool = False, since: Column | None = None) -> DataFrame:
