@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,11 +114,29 @@ def write_back(rows: DataFrame, clustered: DataFrame, columns: list[str]) -> Dat
     return rows.join(new, keys, "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in columns}).select(*rows.columns)
 
 
+#: Ordered rules (words of a pattern, groups of words of a message): the first rule that fits a pattern asks for a word of each group.
+SYNONYM_RULES = (
+    (("알림", "가격알림"), (("알림", "가격알림", "등록", "설정", "종"),)),
+    (("찜", "관심"), (("찜", "하트", "관심", "저장"), ("방법", "어떻게", "확인", "목록"))),
+    (("가격비교", "비교"), (("가격", "비교", "평균", "최저가", "살래말래"),)),
+    (("검색",), (("검색", "찾기", "상품찾기"), ("방법", "어떻게", "사용"))),
+    (("서비스", "하마", "소개"), (("하마", "서비스", "사이트"), ("뭐", "소개", "설명", "기능"))),
+)
+
+
+def synonym_match(message: Column, pattern: Column, rules: tuple = SYNONYM_RULES) -> Column:
+    holds = lambda text, words: reduce(or_, (text.contains(w) for w in words))
+    out = F.lit(False)
+    for of_pattern, groups in reversed(rules):
+        out = F.when(holds(pattern, of_pattern), reduce(and_, (holds(message, g) for g in groups))).otherwise(out)
+    return out
+
+
 def faq_matches(messages: DataFrame, faq: DataFrame) -> DataFrame:
-    """(message_id, faq_id): the longest pattern that holds the message or is held by it. The FAQ is a small table of rules; the planner checks its size."""
+    """(message_id, faq_id): the longest pattern that holds the message, is held by it, or fits it by ``SYNONYM_RULES``. The FAQ is a small table of rules; the planner checks its size."""
     m = messages.select("message_id", T.compact(F.col("message")).alias("m")).where("m <> ''")
     f = faq.select("faq_id", T.compact(F.col("pattern")).alias("p")).where("p <> ''")
-    met = m.join(f, F.col("m").contains(F.col("p")) | F.col("p").contains(F.col("m")))
+    met = m.join(f, F.col("m").contains(F.col("p")) | F.col("p").contains(F.col("m")) | synonym_match(F.col("m"), F.col("p")))
     return met.groupBy("message_id").agg(F.max_by("faq_id", F.struct(F.length("p"), (-F.col("faq_id")).alias("early"))).alias("faq_id"))
 
 

@@ -326,7 +326,7 @@ def cross_platform_verify(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def faq_best_match(spark: SparkSession, d: str) -> DataFrame:
     bench, talks = A.tables(spark, d, "benchmark", "conversations")
-    faq = bench.select(F.col("item_id").alias("faq_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("pattern"))
+    faq = bench.select(F.col("item_id").alias("faq_id"), F.col("text").alias("pattern"))
     return M.faq_matches(talks.select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), F.col("text").alias("message")), faq)
 
 
