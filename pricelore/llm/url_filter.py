@@ -11,6 +11,8 @@ allowed; repeated rows are judged alike; an empty table gives no rows. ``MAX_RUL
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,11 @@ from pricelore.llm._common import cut, table
 
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-SUPPORT, CONFIDENCE, LONGEST = 0.002, 0.8, 3
-#: Pages that a rule needs at least, so that small tables give no rules by chance.
-LEAST_PAGES = 20
+SUPPORT, CONFIDENCE = 0.002, 0.8
+#: At every table size, the lower Wilson bound (95 %, one-sided) of a rule's confidence must be over ``SURE``, so that no rules come by chance.
+Z, SURE = 1.645, 0.5
+#: No rule with fewer blocked pages can pass that: with n of n the bound is n / (n + Z * Z).
+LEAST_PAGES = math.floor(SURE * Z * Z / (1 - SURE)) + 1
 MAX_RULES = 200_000
 BLOCK, ALLOW = "label=block", "label=allow"
 
@@ -63,7 +67,7 @@ def prepared(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
 
 
 def mine(ready: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(rule_id, antecedent, confidence, support) of the rules that lead to ``block``. Tokens that can't reach the support are dropped before, which loses no rule."""
+    """(rule_id, antecedent, confidence, support) of the rules that lead to ``block``. Antecedents are of any length. Tokens that can't reach the support, or the pages that the significance test needs, are dropped before, which loses no rule."""
     n = ready.count()
     support = min(1.0, max(support, LEAST_PAGES / max(n, 1)))
     each = ready.select("page_id", "tokens", "fixed", F.monotonically_increasing_id().alias("row"))
@@ -72,12 +76,25 @@ def mine(ready: DataFrame, support: float = SUPPORT, confidence: float = CONFIDE
     items = F.filter("tokens", lambda x: x.isin(kept)) if kept else F.array().cast("array<string>")
     marked = ready.select(F.concat(items, F.when(F.col("fixed.verdict") == "block", F.array(F.lit(BLOCK))).when(F.col("fixed.verdict") == "allow", F.array(F.lit(ALLOW))).otherwise(F.array())).alias("items")).where(F.size("items") > 0)
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(marked).associationRules
-    rules = found.where(F.array_contains("consequent", BLOCK) & (F.size("antecedent") <= LONGEST)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    rules = found.where(F.array_contains("consequent", BLOCK)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    pages = F.round(F.col("support") * marked.count() / F.col("confidence"))
+    middle, spread = F.col("confidence") + Z * Z / (2 * pages), Z * F.sqrt((F.col("confidence") * (1 - F.col("confidence")) + Z * Z / (4 * pages)) / pages)
+    rules = rules.where((middle - spread) / (1 + Z * Z / pages) > SURE)
     rules = cut(rules.withColumn("rule_id", F.xxhash64("antecedent")))
-    subset = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("t"))
-    general = rules.alias("g").select(F.col("antecedent").alias("g_antecedent"), F.col("confidence").alias("g_confidence"), F.element_at("antecedent", 1).alias("t"))
-    covered = subset.join(general, "t").where((F.size("g_antecedent") < F.size("antecedent")) & (F.size(F.array_except("g_antecedent", "antecedent")) == 0) & (F.col("g_confidence") >= F.col("confidence"))).select("rule_id").distinct()
-    return rules.join(covered, "rule_id", "left_anti").select("rule_id", "antecedent", "confidence", "support")
+    return uncovered(rules)
+
+
+def uncovered(rules: DataFrame) -> DataFrame:
+    """``rules`` without those that a more general one covers with no less confidence. Shorter rules are settled first: what covers a covered rule covers all that it covers, so longer ones are held against the kept ones only."""
+    lengths = sorted(r["n"] for r in rules.select(F.size("antecedent").alias("n")).distinct().collect())
+    columns = ("rule_id", "antecedent", "confidence", "support")
+    kept = rules.where(F.size("antecedent") == lengths[0]).select(*columns) if lengths else rules.select(*columns)
+    for n in lengths[1:]:
+        own = rules.where(F.size("antecedent") == n)
+        general = kept.select(F.col("antecedent").alias("g_antecedent"), F.col("confidence").alias("g_confidence"), F.element_at("antecedent", 1).alias("t"))
+        covered = own.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("t")).join(general, "t").where((F.size(F.array_except("g_antecedent", "antecedent")) == 0) & (F.col("g_confidence") >= F.col("confidence"))).select("rule_id").distinct()
+        kept = cut(kept.unionByName(own.join(covered, "rule_id", "left_anti").select(*columns)))
+    return kept
 
 
 def index(rules: DataFrame, ready: DataFrame) -> DataFrame:

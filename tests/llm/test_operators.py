@@ -333,6 +333,25 @@ def test_mined_rules_reach_unlabelled_pages(spark):
     assert all(judged[k] == ("block", None) for k in range(60, 63)) and all(judged[k] == ("allow", None) for k in range(63, 143))
 
 
+def test_mined_rules_of_four_tokens(spark):
+    """Only the four tokens together lead to block; each three of them are as often on allowed pages."""
+    from pricelore.llm import url_filter as m
+
+    four = ["a", "b", "c", "d"]
+    rows = [(four, "block")] * 30 + [([t for t in four if t != left], "allow") for left in four for _ in range(30)]
+    ready = spark.createDataFrame([(k, t, (v, "r")) for k, (t, v) in enumerate(rows)], "page_id long, tokens array<string>, fixed struct<verdict: string, rule: string>")
+    assert [r["antecedent"] for r in m.mine(ready).collect()] == [four]
+
+
+@pytest.mark.parametrize(("n", "rules"), [(2, []), (3, [["bad"]])])
+def test_mined_rules_are_significant(spark, n, rules):
+    from pricelore.llm import url_filter as m
+
+    rows = [(["bad"], "block")] * n + [(["good"], "allow")] * 50
+    ready = spark.createDataFrame([(k, t, (v, "r")) for k, (t, v) in enumerate(rows)], "page_id long, tokens array<string>, fixed struct<verdict: string, rule: string>")
+    assert [r["antecedent"] for r in m.mine(ready).collect()] == rules
+
+
 def test_licences(spark, odd):
     from pricelore.llm import licence_scan as m
 
