@@ -19,6 +19,8 @@ from pricelore.operators.reports import first_samples
 
 STAGE_DISTANCE, STAGE_COLUMNS, STAGE_TOKENS, STAGE_ITEMS = 0.25, 8, 5, 2
 MOST_NGRAMS = 5000
+#: Texts of a component that one task links by itself; larger ones are linked in rounds over tables, with the same result.
+LOCAL_TEXTS = 200
 
 
 def vocabulary(rows: DataFrame, least_length: int = 2, least_count: int = 2) -> DataFrame:
@@ -111,7 +113,7 @@ def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
     d, size, label = distance.astype(float).copy(), np.ones(len(distance)), np.arange(len(distance))
     np.fill_diagonal(d, np.inf)
     while len(d) > 1:
-        i, j = divmod(int(np.argmin(d)), len(d))
+        i, j = divmod(int(np.argmin(np.round(d, 12))), len(d))
         if not d[i, j] < threshold:
             break
         i, j = min(i, j), max(i, j)
@@ -123,14 +125,44 @@ def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
     return label
 
 
+def linked_in_rounds(vectors: DataFrame, pairs: DataFrame, distance: float, cut=reliable) -> DataFrame:
+    """(node, cluster) of average linkage over vectors (node, gram, weight), as tables. pairs (a, b): those below ``distance``.
+
+    Each round merges all mutual nearest neighbours below the threshold, which average linkage would merge too (it is reducible). A pair's mean similarity is the product of its clusters' summed vectors over their sizes.
+    Pairs at or above the threshold are dropped: merges bring two such pairs no nearer. Ties go to the least names; similarities count to twelve digits.
+    """
+    members = cut(vectors.select("node").distinct().withColumn("cluster", F.col("node")))
+    sums, edges = vectors.select(F.col("node").alias("c"), "gram", "weight"), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    while True:
+        sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
+        both = edges.join(sums.select(F.col("c").alias("a"), "gram", F.col("weight").alias("wa")), "a").join(sums.select(F.col("c").alias("b"), "gram", F.col("weight").alias("wb")), ["b", "gram"])
+        products = both.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s")).join(sizes.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
+        near = cut(products.select("a", "b", F.round(1 - F.col("s") / (F.col("na") * F.col("nb")), 12).alias("d")).where(F.col("d") < distance))
+        if near.isEmpty():
+            return members
+        pair = F.struct("d", "a", "b")
+        best = near.select(F.explode(F.array("a", "b")).alias("c"), pair.alias("p")).groupBy("c").agg(F.min("p").alias("p"))
+        merged = cut(best.groupBy("p").agg(F.count("*").alias("ends")).where("ends = 2").select(F.col("p.b").alias("old"), F.col("p.a").alias("new")))
+
+        def renamed(rows: DataFrame, column: str, merged: DataFrame = merged) -> DataFrame:
+            return rows.join(merged.withColumnRenamed("old", column), column, "left").withColumn(column, F.coalesce("new", column)).drop("new")
+
+        members = cut(renamed(members, "cluster"))
+        sums = cut(renamed(sums, "c").groupBy("c", "gram").agg(F.sum("weight").alias("weight")))
+        ends = renamed(renamed(near.select("a", "b"), "a"), "b")
+        edges = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+
+
 def linked_clusters(texts: DataFrame, group: list[str], low: int, high: int, distance: float, most: int | None = None, cut=reliable) -> DataFrame:
     """(group, text, cluster): average-linkage clusters of the distinct texts of each group, each named by its least text."""
     vectors = cut(ngrams(texts, group, low, high, most))
     key = F.to_json(F.struct(*group, F.lit(0).alias("_")))
     node = lambda c: F.concat(key, F.lit("\t"), F.col(c))
-    pairs = similar_pairs(vectors, group, 1 - distance).select(node("a").alias("a"), node("b").alias("b"))
-    parts = connected_components(pairs, cut).select(F.col("node"), F.col("root"))
-    members = vectors.withColumn("node", F.concat(key, F.lit("\t"), F.col("text"))).join(parts, "node").select("root", "node", "gram", "weight")
+    pairs = cut(similar_pairs(vectors, group, 1 - distance).select(node("a").alias("a"), node("b").alias("b")))
+    parts = cut(connected_components(pairs, cut).select(F.col("node"), F.col("root")))
+    large = cut(parts.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > LOCAL_TEXTS).select("root"))
+    noded = vectors.withColumn("node", node("text"))
+    members = noded.join(parts.join(large, "root", "left_anti"), "node").select("root", "node", "gram", "weight")
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         names = sorted(frame["node"].unique())
@@ -140,7 +172,11 @@ def linked_clusters(texts: DataFrame, group: list[str], low: int, high: int, dis
         label = average_linkage(np.maximum(0, 1 - x @ x.T), distance)
         return pd.DataFrame({"node": names, "cluster": [min(n for n, m in zip(names, label, strict=True) if m == k) for k in label]})
 
-    named = members.groupBy("root").applyInPandas(link, "node string, cluster string").withColumn("cluster", F.element_at(F.split("cluster", "\t"), -1))
+    named = members.groupBy("root").applyInPandas(link, "node string, cluster string")
+    if not large.isEmpty():
+        inside = parts.join(large, "root").select("node")
+        named = named.unionByName(linked_in_rounds(cut(noded.join(inside, "node").select("node", "gram", "weight")), pairs.join(inside.withColumnRenamed("node", "a"), "a"), distance, cut))
+    named = named.withColumn("cluster", F.element_at(F.split("cluster", "\t"), -1))
     return texts.withColumn("node", F.concat(key, F.lit("\t"), F.col("text"))).join(named, "node", "left").select(*group, "text", F.coalesce("cluster", "text").alias("cluster"))
 
 

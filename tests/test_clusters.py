@@ -65,6 +65,19 @@ def test_linked_clusters_equal_the_undivided_ones(spark):
     assert {frozenset(g) for g in groups.values()} == naive(texts, 1, 4, 0.4)
 
 
+def test_rounds_equal_the_undivided_clusters(spark, monkeypatch):
+    rnd = random.Random(9)
+    texts = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(3, 7))) for _ in range(24)})
+    monkeypatch.setattr(C, "LOCAL_TEXTS", 3)
+    monkeypatch.setattr(C, "average_linkage", lambda d, t, own=C.average_linkage: own(d, t) if len(d) <= 3 else 1 / 0)
+    got = C.linked_clusters(spark.createDataFrame([("k", t) for t in texts], "keyword string, text string"), ["keyword"], 1, 4, 0.4).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["cluster"], set()).add(r["text"])
+    assert all(k == min(g) for k, g in groups.items()) and len(groups) < len(texts)
+    assert {frozenset(g) for g in groups.values()} == naive(texts, 1, 4, 0.4)
+
+
 def test_attached_words():
     assert C.split_attached("갤럭시버즈케이스", ["갤럭시", "케이스"]) == ["갤럭시", "버즈", "케이스"]
     assert C.split_attached("버즈", ["갤럭시"]) == ["버즈"]
