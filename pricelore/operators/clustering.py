@@ -236,7 +236,14 @@ def bracket_clusters(contents: DataFrame, threshold: float = 0.35, min_shared: i
     parts = connected_components(edges, cut)
     whole = tokens.join(parts.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     summary = whole.groupBy("root").agg(F.sum("total_count").alias("total"), F.min("content").alias("first"), F.max_by("content", F.struct("total_count", F.size("tokens"), F.length("content"), "content")).alias("representative"))
-    numbered = summary.withColumn("cluster_id", F.format_string("bracket_%03d", F.row_number().over(Window.orderBy(F.desc("total"), "first"))))
+    placed = cut(summary.repartitionByRange(F.desc("total"), F.asc("first")).withColumn("part", F.spark_partition_id()))
+    offsets, before = [], 0
+    for r in placed.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row for each partition
+        offsets.append((r["part"], before))
+        before += r["n"]
+    offset = F.broadcast(placed.sparkSession.createDataFrame(offsets, "part int, before long"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("total"), "first")) + F.col("before")
+    numbered = placed.join(offset, "part").withColumn("cluster_id", F.format_string("bracket_%03d", number)).drop("part", "before")
     return whole.join(numbered, "root").select("content", "cluster_id", "representative", "total_count")
 
 

@@ -130,8 +130,9 @@ def outlier_review(rows: DataFrame, group: str = "keyword") -> DataFrame:
 
 
 def min_prices(rows: DataFrame, group: str) -> DataFrame:
-    """``rows`` with the least positive price of their group."""
-    return rows.withColumn("lowest_price", F.min(F.when(F.col("price") > 0, F.col("price"))).over(Window.partitionBy(group)))
+    """``rows`` with the least positive price of their group, joined from an aggregate; rows without a group are one group."""
+    least = rows.where("price > 0").groupBy(F.col(group).alias("_group")).agg(F.min("price").alias("lowest_price"))
+    return rows.join(least, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def rate(rows: DataFrame, as_of: Column, group: str = "cluster_product_name") -> DataFrame:

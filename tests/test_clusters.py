@@ -87,3 +87,13 @@ def test_bracket_clusters(spark):
     contents = spark.createDataFrame([("새상품 미개봉", 5), ("미개봉", 2), ("직거래", 9)], "content string, total_count long")
     got = {r["content"]: r["cluster_id"] for r in C.bracket_clusters(contents).collect()}
     assert got["새상품 미개봉"] == got["미개봉"] == "bracket_002" and got["직거래"] == "bracket_001"
+
+
+def test_bracket_clusters_are_numbered_over_partitions(spark):
+    contents = spark.createDataFrame([(f"word{k}", k % 40) for k in range(200)], "content string, total_count long")
+    found = C.bracket_clusters(contents)
+    got = {r["content"]: r["cluster_id"] for r in found.collect()}
+    order = sorted(range(200), key=lambda k: (-(k % 40), f"word{k}"))
+    assert got == {f"word{k}": f"bracket_{n:03d}" for n, k in enumerate(order, 1)}
+    keys = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "SinglePartition" in line]
+    assert not keys

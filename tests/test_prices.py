@@ -61,3 +61,12 @@ def test_summary_of_prices(spark):
     frame = spark.createDataFrame([(v, k) for k, v in enumerate([100, 2000, 10_000, 11_000, 12_000, 13_000])], "price long, k int").withColumn("ts", F.timestamp_seconds(F.col("k").cast("long")))
     got = P.summary(frame).first()
     assert (got["lowest"], got["average"]) == (10_000, 11_500)
+
+
+def test_least_prices_come_without_a_window(spark):
+    from pricelore.operators import prices as P
+
+    rows = spark.createDataFrame([("a", 5), ("a", 3), ("a", 0), ("b", 0), (None, 7), (None, 9)], "keyword string, price long")
+    found = P.min_prices(rows, "keyword")
+    assert sorted((r["keyword"] or "", r["price"], r["lowest_price"]) for r in found.collect()) == [("", 7, 7), ("", 9, 7), ("a", 0, 3), ("a", 3, 3), ("a", 5, 3), ("b", 0, None)]
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
