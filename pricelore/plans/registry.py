@@ -469,8 +469,8 @@ def anomaly_counts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def token_stage_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = A.items(spark, d).select(F.col("item_id").alias("row_id"), F.lower("category_name").alias("keyword"), T.cluster_text(F.col("title")).alias("cluster_text"))
-    staged = C.token_stages(C.tokenised(rows), 3)
-    return staged.select("row_id", "keyword", "cluster_text", *(c for c in ("c1", "c2", "c3") if c in staged.columns))
+    staged = C.token_stages(C.tokenised(rows))
+    return staged.select("row_id", "keyword", "cluster_text", *(c for c in (f"c{k}" for k in range(1, C.STAGE_COLUMNS + 1)) if c in staged.columns))
 
 
 @query()

@@ -97,3 +97,12 @@ def test_bracket_clusters_are_numbered_over_partitions(spark):
     assert got == {f"word{k}": f"bracket_{n:03d}" for n, k in enumerate(order, 1)}
     keys = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "SinglePartition" in line]
     assert not keys
+
+
+def test_registered_token_stages_reach_long_titles(spark, tmp_path):
+    from pricelore.plans import registry
+
+    spark.createDataFrame([(1, "red oak anvil stand north", "Brand#1", "T", 1, 900.0)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 10.0, 1.0, "1998-01-01")], "l_partkey long, l_extendedprice double, l_quantity double, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES["token_stage_clusters"](spark, str(tmp_path)).first()
+    assert [got[f"c{k}"] for k in range(1, 6)] == ["red", "oak", "anvil", "stand", "north"]
