@@ -5,9 +5,10 @@ merge ranks, as the model has no unigram scores), normalised over all segmentati
 the greatest perturbed value of the segmentations below it, the popped node is followed along its best children to a leaf, and at each step the siblings left behind become one node, whose value is a Gumbel
 variable truncated at the popped value. Popped values fall, so the leaves are exact draws without replacement. The inclusion score is log(1 - exp(-exp(log-chance - kappa))), kappa being the (k+1)th value.
 
-No piece has a space mark behind another character, so a text falls into independent pieces at its spaces and the lattice is made once for each distinct one. Draws are counters hashed with the row's key, so they don't depend on
+No piece has a space mark behind another character, so a text falls into independent pieces at its spaces and the lattice is made once for each distinct one, which a worker keeps over its slices and tasks (``Strings``). Draws are counters hashed with the row's key, so they don't depend on
 partitions. Edge cases: a null text counts as empty; an empty text has one segmentation without ids; where fewer than k segmentations exist, all come, with score 0; characters outside the vocabulary become bytes; a literal space
-mark is read back as a space, as the library does; rows with equal key and text get equal samples; an empty table gives no rows.
+mark is read back as a space, as the library does; rows with equal key and text get equal samples, null doc_ids among them; ties of perturbed values go to the first place; a very long text is one slice of its own, and a string without spaces has one lattice whatever its length;
+an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from pricelore.llm._common import table
 
 MARK = "▁"
-LONGEST = 16
-SLICE_CHARS = 1_300_000
+#: Characters that are segmented at once, and edges (24 bytes each) that a worker keeps.
+SLICE_CHARS = 500_000
+CACHE_EDGES = 3_500_000
+LAST20 = np.uint64((1 << 20) - 1)
 SAMPLES = 2
 SCHEMA = "doc_id long, samples array<struct<ids: array<int>, log_inclusion: double, text_ok: boolean>>"
 
@@ -83,32 +86,38 @@ class Lattice:
         self.byte_ids, self.byte_weight = np.array([byte[b] for b in range(256)]), -smoothness * np.log(256 * (n + 2))
         self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         assert not any(MARK in p.lstrip(MARK) for p in self.pieces)
+        self.longest = max(len(self.pieces[i]) for i in normal)
         self.by_length = {}
-        for size in range(1, LONGEST + 1):
+        #: By length, a bit for each hash (its last 20 bits) of the first characters of a longer piece.
+        self.longer = {size: np.zeros(1 << 20, bool) for size in range(1, self.longest + 1)}
+        for size in range(1, self.longest + 1):
             own = [i for i in normal if len(self.pieces[i]) == size]
             if own:
                 codes = np.frombuffer("".join(self.pieces[i] for i in own).encode("utf-32-le"), np.uint32).reshape(-1, size)
                 h = np.zeros(len(own), np.uint64)
                 for k in range(size):
+                    if k:
+                        self.longer[k][h & LAST20] = True
                     h = self._more(h, codes[:, k])
                 order = np.argsort(h)
-                there = np.zeros(1 << 16, bool)
-                there[h & np.uint64(0xFFFF)] = True
+                there = np.zeros(1 << 20, bool)
+                there[h & LAST20] = True
                 self.by_length[size] = h[order], np.array(own)[order], there
-        self.runs, self.single = re.compile(r"^ |  "), re.compile(r"(?<=[^ ]) ")
+        self.single = re.compile(r"(?<=[^ ]) ")
+        self.raw_array = pa.array(self.raw, pa.large_binary())
 
-    def with_bytes(self, ids: np.ndarray) -> np.ndarray:
-        """Ids in which each -2 - code point has become its bytes' ids."""
+    def with_bytes(self, ids: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in which each -2 - code point has become its bytes' ids, and the cuts between texts moved along."""
         bare = np.flatnonzero(ids < 0)
         if not len(bare):
-            return ids
+            return ids, cut
         known = {i: self.byte_ids[list(chr(-2 - i).encode("utf-8", "surrogatepass"))] for i in set(ids[bare].tolist())}
         own = [known[i] for i in ids[bare].tolist()]
         size = np.ones(len(ids), np.int64)
         size[bare] = [len(x) for x in own]
         out, at = np.repeat(ids, size), np.cumsum(size) - size
         out[np.repeat(at[bare], size[bare]) + np.concatenate([np.arange(len(x)) for x in own])] = np.concatenate(own)
-        return out
+        return out, np.concatenate([at, [len(out)]])[cut]
 
     @staticmethod
     def _more(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -118,17 +127,17 @@ class Lattice:
 
     def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """How many strings each text has, which these are, and the distinct ones. Each stands for itself with a space mark in front."""
-        found = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        whole = pa.array(texts, pa.large_string())
+        found = pc.split_pattern(whole, " ")
         sizes, flat = np.diff(found.offsets.to_numpy()), found.values
-        sizes[[k for k, t in enumerate(texts) if not t]] = 0
-        odd = [k for k, t in enumerate(texts) if not t or self.runs.search(t)]
+        odd = pc.or_(pc.or_(pc.equal(whole, ""), pc.starts_with(whole, " ")), pc.match_substring(whole, "  ")).to_numpy(zero_copy_only=False).nonzero()[0].tolist()
         at, cuts, chunks = found.offsets.to_numpy(), 0, []
         for k in odd:
             own = self.single.split(texts[k]) if texts[k] else []
             chunks += [flat[cuts : at[k]], pa.array(own, pa.large_string())]
             cuts, sizes[k] = at[k + 1], len(own)
         coded = (pa.concat_arrays([*chunks, flat[cuts:]]) if odd else flat).dictionary_encode()
-        return sizes, coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        return sizes, coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
     def build(self, words: list[str]) -> dict:
         """Slots (a place in a string, or its end) and their edges, those of a slot side by side by length: next slot, id, log-chance, and the chances summed up over all edges."""
@@ -138,39 +147,44 @@ class Lattice:
         n = int((size + 1).sum())
         left = np.repeat(first + size, size + 1) - np.arange(n)  # characters up to the string's end
         inner = left > 0
-        codes = np.zeros(n + LONGEST, np.uint32)
+        codes = np.zeros(n + self.longest, np.uint32)
         codes[:n][inner] = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
-        h, rows, found = np.zeros(n, np.uint64), np.flatnonzero(inner), []
-        bare = inner.copy()
-        for k in range(1, LONGEST + 1):
-            rows = rows[left[rows] >= k]
-            if not len(rows):
-                break
-            h[rows] = self._more(h[rows], codes[rows + k - 1])
+        rows, found = np.flatnonzero(inner).astype(np.int32), []
+        h, bare = np.zeros(len(rows), np.uint64), inner.copy()
+        for k in range(1, self.longest + 1):
+            h = self._more(h, codes[rows + (k - 1)])
+            low = (h & LAST20).astype(np.int32)
             if k in self.by_length:
                 known, ids, there = self.by_length[k]
-                own = rows[there[h[rows] & np.uint64(0xFFFF)]]
-                at = np.minimum(np.searchsorted(known, h[own]), len(known) - 1)
-                hit = known[at] == h[own]
-                found.append((own[hit], k, ids[at[hit]], self.weight[ids[at[hit]]]))
+                maybe = np.flatnonzero(there[low])
+                at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
+                hit = known[at] == h[maybe]
+                own, at = rows[maybe[hit]], ids[at[hit]]
+                found.append((own, k, at, self.weight[at]))
                 if k == 1:
-                    bare[own[hit]] = False
-        bare = np.flatnonzero(bare)
+                    bare[own] = False
+            on = np.flatnonzero(self.longer[k][low])
+            on = on[left[rows[on]] > k]
+            if not len(on):
+                break
+            rows, h = rows[on], h[on]
+        bare = np.flatnonzero(bare).astype(np.int32)
         code = codes[bare].astype(np.int64)
         found.append((bare, 1, -2 - code, self.byte_weight * (1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))))  # bytes
-        slot = np.concatenate([f[0] for f in found])
-        length = np.concatenate([np.full(len(f[0]), f[1], np.int8) for f in found])
-        rank = np.empty(n, np.int64)  # slots in order of their distance to the end
-        order = np.argsort(left, kind="stable")
-        rank[order] = np.arange(n)
-        by = np.argsort(rank[slot] * (LONGEST + 1) + length)
-        slot, after = slot[by].astype(np.int32), (slot[by] + length[by]).astype(np.int32)
-        ids, score = np.concatenate([f[2] for f in found])[by].astype(np.int32), np.concatenate([f[3] for f in found])[by]
-        degree = np.bincount(slot, minlength=n)
-        begin = np.empty(n, np.int64)
+        degree = np.zeros(n, np.int32)
+        for own, *_ in found:
+            degree[own] += 1
+        order = np.argsort(left.astype(np.uint16) if n < 1 << 16 or left.max() < 1 << 16 else left, kind="stable")  # slots by their distance to the end
+        begin = np.empty(n, np.int32)
         begin[order] = np.cumsum(degree[order]) - degree[order]
+        edges = int(degree.sum())
+        after, ids, score, free = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges), begin.copy()
+        for own, k, of, weight in sorted(found, key=lambda f: -f[1]):  # the longest first, as it is mostly the likeliest
+            to = free[own]
+            after[to], ids[to], score[to] = own + k, of, weight
+            free[own] += 1
         total = np.zeros(n)
-        logp = np.empty(len(slot))
+        logp = np.empty(edges)
         bounds = np.cumsum(np.bincount(left))
         for d in range(1, len(bounds)):
             own = order[bounds[d - 1] : bounds[d]]
@@ -182,131 +196,193 @@ class Lattice:
             value = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, degree[own])), at))
             total[own] = value
             logp[a:z] = x - np.repeat(value, degree[own])
-        return {"next": after, "id": ids, "logp": logp, "sum": np.concatenate([[0.0], np.cumsum(np.exp(logp))]), "begin": begin, "degree": degree, "end": ~inner, "first": first}
-
-
-def walk(lat: dict, slot: np.ndarray, key: np.ndarray, place: np.ndarray, sample: np.ndarray | int, step: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From each slot down to its string's end by the edges' chances: (which start, slot, edge) of each step, in order."""
-    who, step = np.arange(len(slot)), np.broadcast_to(np.asarray(step), slot.shape)
-    alive = ~lat["end"][slot]
-    who, at, n, parts = who[alive], slot[alive], step[alive], []
+        return {"next": after, "id": ids, "logp": logp, "begin": begin, "degree": degree, "end": ~inner, "first": first}
+
+
+class Strings:
+    """The lattices of the strings that a worker has met, kept over its slices and tasks.
+
+    Edges of a place lie side by side. An edge holds the place where the next one begins (its first edge, -1 at the string's end), its id and log-chance, and ``upto``: the chances of its place's edges up to it, the last one's without bound.
+    Beyond ``CACHE_EDGES`` only strings that came up three times or more are kept, and none if these fill half of that.
+    """
+
+    def __init__(self, lattice: Lattice):
+        self.lattice = lattice
+        self.next, self.id, self.logp, self.upto = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.used = 0
+        self.first, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _put(self, name: str, values: np.ndarray) -> None:
+        own = getattr(self, name)
+        if self.used + len(values) > len(own):
+            own = np.concatenate([own[: self.used], np.empty(self.used // 4 + len(values), own.dtype)])
+            setattr(self, name, own)
+        own[self.used : self.used + len(values)] = values
+
+    def learn(self, words: list[str]) -> None:
+        lat = self.lattice.build(words)
+        begin, base = lat["begin"], self.used
+        place = np.where(lat["end"], -1, begin + base).astype(np.int32)
+        chance = np.exp(lat["logp"])
+        run = np.cumsum(chance)
+        inner = np.flatnonzero(~lat["end"])
+        inner = inner[np.argsort(begin[inner])]
+        start, degree = begin[inner], lat["degree"][inner]
+        upto = run - np.repeat(run[start] - chance[start], degree)
+        upto[start + degree - 1] = np.inf
+        for name, values in (("next", place[lat["next"]]), ("id", lat["id"]), ("logp", lat["logp"]), ("upto", upto)):
+            self._put(name, values)
+        self.used += len(upto)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.first = np.concatenate([self.first, place[lat["first"]]])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int32)])
+
+    def first_edges(self, words: list[str], index: np.ndarray) -> np.ndarray:
+        """The first edge of each string; ``index`` says which of the distinct ``words`` it is."""
+        if self.used > CACHE_EDGES:
+            often = np.flatnonzero(self.uses >= 3)
+            words_now, edges = list(self.known), self.used
+            kept = [words_now[k] for k in often.tolist()]
+            share = len(often) / max(len(self.known), 1)
+            self.clear()
+            if kept and share * edges < CACHE_EDGES / 2:
+                self.learn(kept)
+        found = list(map(self.known.get, words))
+        if None in found:
+            self.learn([w for w, k in zip(words, found, strict=True) if k is None])
+            found = list(map(self.known.__getitem__, words))
+        found = np.array(found, dtype=np.int64)
+        self.uses[found] += np.bincount(index, minlength=len(words)).astype(np.int32)
+        return self.first[found][index]
+
+    def edges_of(self, edge: int) -> slice:
+        """All edges of the place that begins with ``edge``."""
+        end = edge
+        while not np.isinf(self.upto[end]):
+            end += 1
+        return slice(edge, end + 1)
+
+
+def walk(known: Strings, edge: np.ndarray, key: np.ndarray, place: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From each place (its first edge) down to the string's end by the edges' chances: how many steps each start has, and of each step, in order, the place's first edge and the edge taken."""
     with np.errstate(over="ignore"):
         own = uniform_key(key, place, sample)
-    counts = np.zeros(len(slot), np.int64)
+    counts = np.zeros(len(edge), np.int32)
+    who = np.flatnonzero(edge >= 0).astype(np.int32)
+    at, parts = edge[who], []
+    upto, following = known.upto, known.next
     while len(who):
-        u = uniform(own[who], n)
-        a, d = lat["begin"][at], lat["degree"][at]
-        low = lat["sum"][a]
-        j = np.searchsorted(lat["sum"], low + u * (lat["sum"][a + d] - low), side="right") - 1
-        j = np.clip(j, a, a + d - 1)
-        parts.append((who, at, j))
+        u = uniform(own[who], len(parts))
+        taken = at.copy()
+        more = np.flatnonzero(u >= upto[taken])
+        while len(more):
+            taken[more] += 1
+            more = more[u[more] >= upto[taken[more]]]
+        parts.append((who, at, taken))
         counts[who] += 1
-        at = lat["next"][j]
-        alive = ~lat["end"][at]
-        who, at, n = who[alive], at[alive], n[alive] + 1
-    if not parts:
-        return (np.zeros(0, np.int64),) * 3
+        at = following[taken]
+        alive = np.flatnonzero(at >= 0)
+        who, at = who[alive], at[alive]
     begin = np.cumsum(counts) - counts
-    out = [np.zeros(int(counts.sum()), np.int64) for _ in range(3)]
-    for k, (w, s, j) in enumerate(parts):
+    froms, takens = np.empty(int(counts.sum()), np.int32), np.empty(int(counts.sum()), np.int32)
+    for k, (w, a, j) in enumerate(parts):
         to = begin[w] + k
-        out[0][to], out[1][to], out[2][to] = w, s, j
-    return tuple(out)
+        froms[to], takens[to] = a, j
+    return counts, froms, takens
+
+
+def _runs(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... counts[0] - 1, 0, 1, ..."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float]]]:
+def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int = SAMPLES, known: Strings | None = None) -> list[list[tuple[np.ndarray, float]]]:
     """For each text up to k distinct segmentations (ids, log inclusion score), the most likely by its perturbed value first."""
-    sizes, strings, words = lattice.split(texts)
-    lat = lattice.build(words) if words else None
+    known = known or Strings(lattice)
+    sizes, index, words = lattice.split(texts)
+    first = known.first_edges(words, index) if words else np.zeros(0, np.int32)
     doc_end = np.cumsum(sizes)
+    doc_begin = doc_end - sizes
     keys = keys.astype(np.uint64)
-    live = [d for d in range(len(texts)) if sizes[d]]
-    result: list[list] = [[(np.zeros(0, np.int64), 0.0)] if not sizes[d] else [] for d in range(len(texts))]
-    if not live:
+    result: list[list] = [[(np.zeros(0, np.int64), 0.0)] if not n else [] for n in sizes]
+    live = np.flatnonzero(sizes)
+    if not len(live):
         return result
-    begin = doc_end - sizes
-    first = lat["first"][strings]
-    state = {d: {"paths": [], "taken": {}} for d in live}
-
-    def add(docs: list[int], prefix: dict, start: dict, value: dict, sample: int) -> None:
-        """Walks on from each document's (string, slot, step) and files the new path with the values of what it leaves behind."""
-        places, slots, which = [], [], []
-        for d in docs:
-            string, slot, _ = start[d]
-            own = np.arange(string, doc_end[d])
-            s = first[own].copy()
-            if slot is not None and len(own):
-                s[0] = slot
-            places.append(own - begin[d])
-            slots.append(s)
-            which.append(np.full(len(own), d))
-        place, slot, which = np.concatenate(places), np.concatenate(slots), np.concatenate(which)
-        steps = np.zeros(len(slot), np.int64)
-        head = np.concatenate([[0], np.cumsum([len(p) for p in places])])
-        for d, h in zip(docs, head, strict=False):
-            if h < len(steps) and start[d][0] < doc_end[d]:
-                steps[h] = start[d][2]
-        who, at, j = walk(lat, slot, keys[which], place, sample, steps)
-        logp = lat["logp"][j]
-        cut = np.searchsorted(which[who], docs) if len(who) else np.zeros(len(docs), np.int64)
-        cut = np.append(cut, len(who))
-        run = np.cumsum(logp)
-        for d, a, b in zip(docs, cut[:-1], cut[1:], strict=True):
-            before = prefix[d]["logp"]
-            so_far = before + run[a:b] - (run[a - 1] if a else 0.0)
-            ahead = np.concatenate([[before], so_far[:-1]]) if b > a else so_far
-            place_of = place[who[a:b]]
-            # a value is found for every place whose mass isn't below the first one's by e**-60: a Gumbel variable that much lower never comes up first
-            near = slice(0, int(np.searchsorted(-ahead, 60 - before))) if b > a else slice(0, 0)
-            rest = -np.expm1(np.minimum(logp[a:b][near], 0))
-            with np.errstate(divide="ignore"):
-                left = np.where(rest > 1e-12, ahead[near] + np.log(np.maximum(rest, 1e-300)), -np.inf)
-                bound = below(left, value[d], uniform(np.broadcast_to(keys[d], left.shape), place_of[near], at[a:b][near] - first[begin[d] + place_of[near]], 1000 + sample)) if len(left) else left
-            state[d]["paths"].append({"kept": prefix[d]["tokens"], "place": place_of, "slot": at[a:b], "edge": j[a:b], "ahead": ahead, "bound": np.where(np.isfinite(left), bound, -np.inf), "logp": so_far[-1] if b > a else before, "value": value[d]})
-
-    root = {d: -np.log(-np.log(uniform_one(keys[d], 7, 7))) for d in live}
-    add(live, {d: {"logp": 0.0, "tokens": []} for d in live}, {d: (begin[d], None, 0) for d in live}, root, 0)
-    kappa = dict.fromkeys(live, -np.inf)
+    paths: dict[int, list[dict]] = {d: [] for d in live.tolist()}
+
+    def add(docs: np.ndarray, string: np.ndarray, edge: np.ndarray, before: np.ndarray, kept: list[list], value: np.ndarray, sample: int) -> None:
+        """Walks on from each document's string (from the place that begins with ``edge``, if that isn't -1) and files the new path with the values of what it leaves behind."""
+        n = doc_end[docs] - string
+        which = np.repeat(np.arange(len(docs)), n)
+        own = _runs(n) + string[which]
+        start = first[own]
+        head = (np.cumsum(n) - n)[edge >= 0]
+        start[head] = edge[edge >= 0]
+        place = own - doc_begin[docs][which]
+        counts, froms, taken = walk(known, start, keys[docs][which], place, sample)
+        steps = np.concatenate([[0], np.cumsum(counts)])
+        cut = steps[np.concatenate([[0], np.cumsum(n)])]
+        run = np.concatenate([[0.0], np.cumsum(known.logp[taken])])
+        logp = before + run[cut[1:]] - run[cut[:-1]]
+        # a value is found for every place whose mass isn't below the first one's by e**-60: a Gumbel variable that much lower never comes up first
+        near = np.minimum(np.searchsorted(-run, 60 - run[cut[:-1]], side="right"), cut[1:]) - cut[:-1]
+        of = np.repeat(np.arange(len(docs)), near)
+        at = cut[:-1][of] + _runs(near)
+        ahead = before[of] + run[at] - run[cut[:-1]][of]
+        word = np.searchsorted(steps, at, side="right") - 1
+        rest = -np.expm1(np.minimum(known.logp[taken[at]], 0))
+        left = np.where(rest > 1e-12, ahead + np.log(np.maximum(rest, 1e-300)), -np.inf)
+        bound = np.where(np.isfinite(left), below(left, value[of], uniform(keys[docs][of], place[word], at - steps[word], 1000 + sample)), -np.inf)
+        ends = np.concatenate([[0], np.cumsum(near)])
+        for x, d in enumerate(docs.tolist()):
+            a, z, b, e = cut[x], cut[x + 1], ends[x], ends[x + 1]
+            paths[d].append({"kept": kept[x], "edge": taken[a:z], "from": froms[a : a + near[x]], "place": place[word[b:e]], "ahead": ahead[b:e], "bound": bound[b:e], "logp": logp[x], "taken": {}})
+
+    root = -np.log(-np.log(uniform(keys[live], 7, 7)))
+    add(live, doc_begin[live], np.full(len(live), -1), np.zeros(len(live)), [[]] * len(live), root, 0)
+    kappa = dict.fromkeys(paths, -np.inf)
     for sample in range(1, k + 1):
-        todo, prefix, start, value = [], {}, {}, {}
-        for d in live:
-            s = state[d]
-            if len(s["paths"]) < sample:
+        todo: list[tuple] = []
+        for d, own in paths.items():
+            if len(own) < sample:
                 continue
-            tops = [(p["bound"].max() if len(p["bound"]) else -np.inf) for p in s["paths"]]
+            tops = [p["bound"].max() if len(p["bound"]) else -np.inf for p in own]
             which = int(np.argmax(tops))
             if not np.isfinite(tops[which]):
                 continue
             if sample == k:
                 kappa[d] = tops[which]
                 continue
-            p = s["paths"][which]
+            p = own[which]
             t = int(np.argmax(p["bound"]))
-            taken = s["taken"].setdefault((which, t), {int(p["edge"][t])})
-            slot, place = int(p["slot"][t]), int(p["place"][t])
-            a = int(lat["begin"][slot])
-            chance = np.exp(lat["logp"][a : a + int(lat["degree"][slot])])
-            chance[[j - a for j in taken]] = 0
+            taken = p["taken"].setdefault(t, {int(p["edge"][t])})
+            place, at = int(p["place"][t]), known.edges_of(int(p["from"][t]))
+            chance = np.exp(known.logp[at])
+            chance[[j - at.start for j in taken]] = 0
             total = chance.sum()
             u = uniform_one(keys[d], place, t, 2000 + sample)
             j = int(min(np.searchsorted(np.cumsum(chance), u * total, side="right"), np.flatnonzero(chance)[-1]))
             after = total - chance[j]
-            j += a
+            j += at.start
             taken.add(j)
-            new = below(p["ahead"][t] + np.log(after), tops[which], uniform_one(keys[d], place, t, 3000 + sample)) if after > 1e-12 else -np.inf
-            value[d] = tops[which]
-            p["bound"][t] = new
-            prefix[d] = {"logp": p["ahead"][t] + lat["logp"][j], "tokens": [*p["kept"], p["edge"][:t], np.array([j])]}
-            nxt = int(lat["next"][j])
-            start[d] = (begin[d] + place + 1, None, 0) if lat["end"][nxt] else (begin[d] + place, nxt, t + 1)
-            todo.append(d)
+            p["bound"][t] = below(p["ahead"][t] + np.log(after), tops[which], uniform_one(keys[d], place, t, 3000 + sample)) if after > 1e-12 else -np.inf
+            onward = int(known.next[j])
+            todo.append((d, doc_begin[d] + place + (onward < 0), onward, p["ahead"][t] + known.logp[j], [*p["kept"], p["edge"][:t], np.array([j], np.int32)], tops[which]))
         if todo:
-            add(todo, prefix, start, value, sample)
-    for d in live:
-        for p in state[d]["paths"][:k]:
-            ids = lattice.with_bytes(lat["id"][np.concatenate([*p["kept"], p["edge"]])].astype(np.int64))
-            gap = p["logp"] - kappa[d]
-            result[d].append((ids, 0.0 if np.isinf(kappa[d]) else float(np.log(-np.expm1(-np.exp(gap)))) if gap > -30 else float(gap)))
+            d, string, edge, before, kept, value = zip(*todo, strict=True)
+            add(np.array(d), np.array(string), np.array(edge), np.array(before), list(kept), np.array(value), sample)
+    flat = [(d, p) for d, own in paths.items() for p in own[:k]]
+    chunks = [x for _, p in flat for x in (*p["kept"], p["edge"])]
+    ids = known.id[np.concatenate(chunks)].astype(np.int64)
+    cut = np.concatenate([[0], np.cumsum([sum(map(len, p["kept"])) + len(p["edge"]) for _, p in flat])])
+    ids, cut = lattice.with_bytes(ids, cut)
+    for (d, p), a, z in zip(flat, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        gap = p["logp"] - kappa[d]
+        result[d].append((ids[a:z], 0.0 if np.isinf(kappa[d]) else float(np.log(-np.expm1(-np.exp(gap)))) if gap > -30 else float(gap)))
     return result
 
 
@@ -314,21 +390,41 @@ def decode(lattice: Lattice, ids: np.ndarray) -> str:
     return b"".join(map(lattice.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
+def decoded_alike(lattice: Lattice, ids: np.ndarray, cut: np.ndarray, texts: list[str]) -> list[bool]:
+    """Whether each run of ids is decoded to its text: all pieces' bytes side by side, compared text by text."""
+    found = lattice.raw_array.take(pa.array(ids))
+    raw, at = memoryview(found.buffers()[2] or b"").cast("B"), found.buffers()[1]
+    at = np.frombuffer(at, np.int64)[: len(ids) + 1][cut].tolist()
+    return [raw[a + 1 : z] == t.replace(MARK, " ").encode() for a, z, t in zip(at[:-1], at[1:], texts, strict=True)]
+
+
+#: A worker's models and strings.
+_KNOWN: dict[str, Strings] = {}
+
+
+def known_strings(model_path: str) -> Strings:
+    if model_path not in _KNOWN:
+        _KNOWN[model_path] = Strings(Lattice(model_path))
+    return _KNOWN[model_path]
+
+
 def sample(docs: DataFrame, model_path: str, k: int = SAMPLES) -> DataFrame:
     """(doc_id, samples): up to k segmentations of each whole text, with whether their decoding gives the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model_path)
+        known = known_strings(model_path)
+        lattice = known.lattice
         for batch in batches:
             keys, texts = batch.column(1).to_numpy(zero_copy_only=False), [t or "" for t in batch.column(2).to_pylist()]
             begin = chars = 0
             for n, t in enumerate(texts):
                 chars += len(t)
                 if chars >= SLICE_CHARS or n + 1 == len(texts):
-                    got = top_k(lattice, texts[begin : n + 1], keys[begin : n + 1], k)
+                    got = top_k(lattice, texts[begin : n + 1], keys[begin : n + 1], k, known)
                     flat = [x for own in got for x in own]
-                    ok = [decode(lattice, ids) == t.replace(MARK, " ") for own, t in zip(got, texts[begin : n + 1], strict=True) for ids, _ in own]
-                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in flat])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(x[0] for x in flat)]), pa.int32()))
+                    all_ids, cut = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in flat)]), np.concatenate([[0], np.cumsum([len(x[0]) for x in flat])]).astype(np.int64)
+                    ok = decoded_alike(lattice, all_ids, cut, [t for own, t in zip(got, texts[begin : n + 1], strict=True) for _ in own])
+                    ids = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(all_ids, pa.int32()))
                     structs = pa.StructArray.from_arrays([ids, pa.array([x[1] for x in flat], pa.float64()), pa.array(ok, pa.bool_())], names=["ids", "log_inclusion", "text_ok"])
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(own) for own in got])]), pa.int32()), structs)
                     yield pa.RecordBatch.from_arrays([batch.column(0)[begin : n + 1], lists], names=["doc_id", "samples"])
