@@ -6,7 +6,7 @@ them. A word holds a selector in its top 4 bits and 60 // width ids of ``width``
 so that any block is decoded alone and all blocks of a row at once.
 
 Edge cases: a null text counts as empty and gives only the end id; rows with equal or null ``doc_id`` keep a place each (null first, then by text);
-an empty table gives an empty store; other columns are ignored.
+an empty table gives an empty store; other columns are ignored. A very long text is a slice of its own; a worker then holds that text's words and ids. Repeated rows are repeated in the store.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,9 @@ ESCAPE = 15
 #: Characters that are encoded at once, and words that the cache of a Python worker holds; it lives as long as the worker, over its tasks.
 SLICE_CHARS = 2_000_000
 CACHE_WORDS = 1_200_000
+#: Words that go through the tokenizer as one text.
+RUN = 300
+WHITE = frozenset(c for c in map(chr, range(0x110000)) if c.isspace())
 
 SCHEMA = "part int, row int, first_id long, doc_ids array<long>, lengths array<int>, starts array<long>, n_ids long, word_offsets array<int>, words binary, escapes binary"
 
@@ -41,46 +45,66 @@ SCHEMA = "part int, row int, first_id long, doc_ids array<long>, lengths array<i
 NARROWEST = np.searchsorted(WIDTHS, np.frexp(np.maximum(np.arange(1 << 16), 1))[1]).astype(np.int8)
 
 
-def pack_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words and the escapes of one block. Each word takes as many ids as fit; the last is filled up with zeros."""
+def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all blocks, the escapes, and where each block's words begin. Each word takes as many ids as fit; the last of a block is filled up with zeros.
+
+    All blocks are walked side by side: a row for each, with the place of the word that each begins at present.
+    """
     ids = np.asarray(ids, dtype=np.uint64)
     n = len(ids)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    need = np.zeros(n + int(COUNTS[0]), dtype=np.int8)
-    if ids.max() < 1 << 16:
-        need[:n] = NARROWEST[ids]
-    else:
-        need[:n] = np.searchsorted(np.uint64(1) << WIDTHS.astype(np.uint64), ids, side="right")
-    choice = np.full(n, ESCAPE, dtype=np.int8)
-    # what fits with one count fits with each smaller one, so only the places that fitted last are looked at again
-    last, where = len(WIDTHS) - 1, np.flatnonzero(need[:n] < len(WIDTHS))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    blocks, size = -(-n // block), min(block, n)
+    width = size + int(COUNTS[0])  # zeros behind each block
+    values = np.zeros((blocks, width), np.uint64)
+    full = n // size
+    values[:full, :size] = ids[: full * size].reshape(full, size)
+    values[full:, : n - full * size] = ids[full * size :]
+    values = values.ravel()
+    ends = np.full(blocks, size)
+    ends[-1] = n - (blocks - 1) * size
+    ends += np.arange(blocks) * width
+    need = NARROWEST[values] if ids.max() < 1 << 16 else np.searchsorted(np.uint64(1) << WIDTHS.astype(np.uint64), values, side="right").astype(np.int8)
+    choice = np.full(len(values), ESCAPE, dtype=np.int8)
     top, reach = need, 1
-    for s in range(last, -1, -1):
+    for s in range(len(WIDTHS) - 1, -1, -1):  # what fits with one count fits with each smaller one, so the last that fits stands
         while reach < COUNTS[s]:
             step = min(reach, int(COUNTS[s]) - reach)
-            top = np.concatenate([np.maximum(top[:-step], top[step:]), top[len(top) - step :]])
-            reach += step
-        where = where[top[where] <= s]
-        if not len(where):
-            break
-        choice[where] = s
-    hop = (np.arange(n) + np.concatenate([COUNTS, [1, 1]])[choice]).tolist()
-    at, starts = 0, []
-    put = starts.append
-    while at < n:
-        put(at)
-        at = hop[at]
-    starts = np.array(starts)
-    chosen = choice[starts].astype(np.int64)
+            wider = top.copy()
+            np.maximum(top[:-step], top[step:], out=wider[:-step])
+            top, reach = wider, reach + step
+        np.copyto(choice, np.int8(s), where=top <= s)
+    hop = np.arange(len(values)) + np.concatenate([COUNTS, [1, 1]])[choice]
+    for row in range(blocks):
+        stop = ends[row]
+        hop[stop : (row + 1) * width] = stop
+        np.minimum(hop[max(stop - int(COUNTS[0]), 0) : stop], stop, out=hop[max(stop - int(COUNTS[0]), 0) : stop])
+    places = [np.arange(blocks) * width]
+    while (places[-1] < ends).any():
+        run = np.empty((256, blocks), np.int64)
+        np.take(hop, places[-1], out=run[0])
+        for k in range(1, 256):
+            np.take(hop, run[k - 1], out=run[k])
+        places += list(run)
+    starts = np.array(places).T
+    begun = starts < ends[:, None]
+    offsets = np.concatenate([[0], np.cumsum(begun.sum(axis=1))])[:-1]
+    starts = starts[begun]
+    chosen = choice[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    values = np.concatenate([ids, np.zeros(int(COUNTS[0]), dtype=np.uint64)])
-    for s in np.unique(chosen):
+    for s in np.flatnonzero(np.bincount(chosen)):
         if s != ESCAPE:
             rows, w = np.flatnonzero(chosen == s), np.uint64(WIDTHS[s])
+            own, at = words[rows], starts[rows]
             for k in range(int(COUNTS[s])):
-                words[rows] |= values[starts[rows] + k] << (np.uint64(k) * w)
-    return words, ids[starts[chosen == ESCAPE]]
+                own |= values[at + k] << (np.uint64(k) * w)
+            words[rows] = own
+    return words, values[starts[chosen == ESCAPE]], offsets
+
+
+def pack_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words and the escapes of one block."""
+    return pack(ids, max(len(ids), 1))[:2]
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray, offsets: np.ndarray, n_ids: int, block: int = BLOCK) -> np.ndarray:
@@ -117,7 +141,6 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
-        self.runs = re.compile(r"\s\s")
         self.single = re.compile(r"(?<=\S) (?=\S)")
         self.clear()
 
@@ -129,19 +152,25 @@ class WordEncoder:
         self.used = 0
 
     def learn(self, keys: list[str]) -> None:
-        """Keys without spaces, and without white space at their ends, go through the tokenizer as one text: there, a word begins at each id whose string begins with a space."""
-        plain, rest = [], []
-        for k in keys:
-            (rest if not k or k[0].isspace() or k[-1].isspace() or " " in k or "<" in k else plain).append(k)  # "<" may begin a special token
-        keys = plain + rest
-        got = [x.ids for x in self.tokenizer.encode_batch_fast([k[1:] if k[:1] == "\n" else " " + k for k in keys[len(plain) :]], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        ids = np.fromiter((i for x in got for i in x), dtype=np.uint32, count=int(lengths.sum()))
-        if plain:
-            joined = np.array(self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False).ids, dtype=np.uint32)
+        """Keys without spaces, and without white space at their ends, go through the tokenizer many at once: there, a word begins at each id whose string begins with a space. The others, and words of a run where that count differs, go alone."""
+        outer = WHITE
+        alone = [not k or k[0] in outer or k[-1] in outer or " " in k or "<" in k for k in keys]  # "<" may begin a special token
+        plain, rest = [k for k, x in zip(keys, alone, strict=True) if not x], [k for k, x in zip(keys, alone, strict=True) if x]
+        known, lengths, ids = [], [], []
+        runs = [plain[k : k + RUN] for k in range(0, len(plain), RUN)]
+        for run, got in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(run) for run in runs], add_special_tokens=False), strict=True):
+            joined = np.array(got.ids, dtype=np.uint32)
             first = np.flatnonzero(self.spaced[joined])
-            assert len(first) == len(plain)
-            lengths, ids = np.concatenate([np.diff(first, append=len(joined)), lengths]), np.concatenate([joined, ids])
+            if len(first) == len(run):
+                known += run
+                lengths.append(np.diff(first, append=len(joined)))
+                ids.append(joined)
+            else:
+                rest += run
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([k[1:] if k[:1] == "\n" else " " + k for k in rest], add_special_tokens=False)]
+        keys = known + rest
+        lengths = np.concatenate([*lengths, np.fromiter(map(len, got), dtype=np.int64, count=len(got))])
+        ids = np.concatenate([*ids, np.array([i for x in got for i in x], dtype=np.uint32)])
         base, total = len(self.cache), len(ids)
         while base + len(keys) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
@@ -155,8 +184,9 @@ class WordEncoder:
 
     def split(self, texts: list[str]) -> tuple[np.ndarray, pa.DictionaryArray]:
         """How many pieces each text has, and all pieces. The first of a text gets a line break in front: no other piece begins with white space."""
-        odd = [k for k, t in enumerate(texts) if self.runs.search(t)]
-        pieces = pc.split_pattern(pa.array(["\n" + t for t in texts], pa.large_string()), " ")
+        whole = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(whole, r"[\s\pZ\x{85}\x{1c}-\x{1f}\v]{2}").to_numpy(zero_copy_only=False).nonzero()[0].tolist()
+        pieces = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), whole, pa.scalar("\n", pa.large_string())), " ")
         sizes, flat = np.diff(pieces.offsets.to_numpy()), pieces.values
         if odd:  # runs of white space
             own = [self.single.split(texts[k]) for k in odd]
@@ -175,12 +205,13 @@ class WordEncoder:
         if len(self.cache) > CACHE_WORDS:
             self.clear()
         sizes, pieces = self.split(texts)
-        words = pieces.dictionary.to_pylist()
-        known = list(map(self.cache.get, words))
-        if None in known:
-            self.learn([w for w, k in zip(words, known, strict=True) if k is None])
-            known = list(map(self.cache.__getitem__, words))
-        known = np.array(known, dtype=np.int64)
+        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            own = [words[k] for k in new.tolist()]
+            self.learn(own)
+            known[new] = [self.cache[w] for w in own]
         lengths_of, starts_of = self.lengths[known].astype(np.int32), self.starts[known].astype(np.int32)
         index = pieces.indices.to_numpy()
         lengths = lengths_of[index]
@@ -226,13 +257,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 ids = np.insert(ids, ends, end_id)
                 lengths = lengths + 1
                 starts = before + np.cumsum(lengths) - lengths
-                packed = [pack_block(ids[k : k + BLOCK]) for k in range(0, len(ids), BLOCK)]
-                offsets = np.concatenate([[0], np.cumsum([len(w) for w, _ in packed])])[:-1]
+                words, escapes, offsets = pack(ids)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part], pa.int32()), pa.array([row], pa.int32()), pa.array([min((x for x in all_ids[a:b] if x is not None), default=None)], pa.int64()),
                         pa.array([all_ids[a:b]], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([starts], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()),
-                        pa.array([offsets], pa.list_(pa.int32())), pa.array([b"".join(w.astype("<u8").tobytes() for w, _ in packed)], pa.binary()), pa.array([b"".join(e.astype("<u8").tobytes() for _, e in packed)], pa.binary()),
+                        pa.array([offsets], pa.list_(pa.int32())), pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([escapes.astype("<u8").tobytes()], pa.binary()),
                     ],
                     names=["part", "row", "first_id", "doc_ids", "lengths", "starts", "n_ids", "word_offsets", "words", "escapes"],
                 )

@@ -263,6 +263,41 @@ def test_token_store(spark, odd):
         at += len(ids)
 
 
+def test_token_store_of_null_and_repeated_ids(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from pricelore.llm import token_store as m
+    from pricelore.llm._common import shared_dir
+
+    path, rows = f"{shared_dir(spark)}/tokens-odd", [(None, "b"), (None, None), (3, "x y"), (3, "x y"), (3, "a\u00a0b c\u2028d e\nf g"), (-1, "z<|endoftext|>")]
+    m.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, P.path("byte_bpe_50k.json"))
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want, at = [], 0
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, m.read_tokens(spark, path).collect()), key=lambda r: r[1]) == want
+    m.write_tokens(spark.createDataFrame([], "doc_id long, text string"), f"{path}-none", P.path("byte_bpe_50k.json"))
+    assert m.read_tokens(spark, f"{path}-none").count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 7, 60, 64, 1000])
+def test_blocks_are_decoded_alone(block):
+    from pricelore.llm import token_store as m
+
+    for n in (1, 59, 60, 61, 64, 257, 1000):
+        for hi in (2, 300, 50257, 2**62):
+            ids = np.random.default_rng(n).integers(0, hi, n).astype(np.uint64)
+            words, escapes, offsets = m.pack(ids, block)
+            assert (m.unpack(words, escapes, offsets, n, block) == ids).all() and len(offsets) == -(-n // block)
+            for k, (a, z) in enumerate(zip(offsets, [*offsets[1:], len(words)])):
+                if hi <= 2**60:
+                    own = ids[k * block : (k + 1) * block]
+                    assert (m.unpack(words[a:z], escapes[:0], np.array([0]), len(own), block) == own).all()
+
+
 def test_flac_round_trip(spark, odd):
     from pricelore.llm import flac as m
 
