@@ -2,15 +2,17 @@
 
 Words are maximal runs of letters and digits of the lower-cased text, shingles are runs of five words, and two documents are linked if the Jaccard similarity of their shingle sets is 0.8 or more.
 
-1. Documents with equal shingle sets are one class; of each, one signature of ``TREES`` x ``DEPTH`` MinHash values goes on.
-2. In each tree, signatures with an equal prefix meet. The prefix is shortened until a pair at the threshold is met with the target recall in at least one tree; after the verification the recall of the links found is estimated
-   from their similarities (each link counts one over the chance to be met), and while it is below the target, the prefixes are shortened further.
-3. Members of a prefix are tied to its least member (no pairs are made); components of these ties are clusters. A cluster is dealt into blocks of ``BLOCK`` classes, and each pair of blocks is one group of rows, whose pairs are verified exactly
-   in numpy and come out as counts and a spanning forest, one row for each class and block pair.
-4. Components of the verified forest give the class id: the least doc_id. The count of links counts every copy.
+1. Documents with equal shingle sets are one class; of each, one signature goes on: ``TREES`` trees of ``DEPTH`` MinHash values, a byte each, so that a tree's values are one 64-bit number and a prefix is its upper bytes.
+2. The forest: all (tree, value, class) are range-partitioned and sorted, so that each partition holds a stretch of the sorted prefix trie of a tree. The common prefix with the neighbours gives the runs of each depth; a run's members are tied
+   to its least one (its head; no pairs are made). Runs that reach a partition's edge are closed by their heads' least one, of which there are at most two for each depth and partition.
+3. Each class begins with the longest prefixes. The members of a head's runs are a group (heads that share ``STRONG`` trees with a lesser head are one group with it), a group is dealt into blocks of ``BLOCK`` classes, and each pair of blocks is one group
+   of rows, whose pairs are verified exactly in numpy and come out as counts and a spanning forest. A pair that is together in several groups counts in the first.
+4. From the similarities of a class's links its recall is estimated: each link stands for one over its chance to be met at that depth, and one link at the threshold is added for those that nothing is known of. A class whose estimate is
+   under the target is open, and the prefixes of open classes are shortened by one value; the others stop. So classes with many near copies stop early, and those without any go down to the depth that the threshold itself asks for.
+5. Components of the verified forest give the class id: the least doc_id. The count of links counts every copy.
 
 Documents of fewer than five words are linked if their words are the same (empty and null texts among themselves). Edge cases: rows with a null doc_id take part, and get the class id null if all of their class are such; repeated rows are copies;
-an empty table gives no rows; extra columns are ignored.
+ties of a class's representative go to the least doc_id; a very long text is a slice of its own; an empty table gives no rows; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,18 +31,22 @@ from pricelore.operators.graph import connected_components
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 32, 8
-BLOCK = 256
+STRONG, BLOCK = 4, 256
 SLICE_CHARS = 500_000
 BROADCAST_ROWS = 1_000_000
-_ODD = np.random.default_rng(5).integers(0, 2**63, size=(2, TREES * DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A class with more than this share of all rows is joined by broadcast; there are at most its inverse of them.
+HOT = 1e-4
+_ODD = np.random.default_rng(5).integers(0, 2**31, size=(2, TREES * DEPTH), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+TIES = "depth int, node binary, head binary, tree int, prefix long"
 
 
 def met(similarity, depth: int):
-    """The chance that a pair of this similarity shares a prefix in some tree."""
+    """The chance that a pair of this similarity shares a prefix in some tree (a little more, as bytes can be equal by chance)."""
     return 1 - (1 - np.asarray(similarity) ** depth) ** TREES
 
 
-def first_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+def last_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The greatest depth at which a pair at the threshold is met with the target recall: no class has to be shortened further."""
     return next((d for d in range(DEPTH, 0, -1) if met(threshold, d) >= recall), 1)
 
 
@@ -73,13 +79,15 @@ def _sets(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """TREES x DEPTH MinHash values (32 bits) of each non-empty set."""
-    out = np.empty((len(sets), TREES * DEPTH), dtype=np.uint32)
+    """TREES numbers of each non-empty set, a byte for each of DEPTH MinHash values, the first one uppermost."""
+    out = np.zeros((len(sets), TREES), dtype=np.uint64)
     if sets:
-        x, at = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
+        x, at = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32), np.cumsum([0, *map(len, sets)])[:-1]
         with np.errstate(over="ignore"):
             for k in range(TREES * DEPTH):
-                out[:, k] = np.minimum.reduceat((x * _ODD[0, k] + _ODD[1, k]) >> np.uint64(32), at)
+                least = np.minimum.reduceat(x * _ODD[0, k] + _ODD[1, k], at)
+                byte = ((least ^ (least >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(24)
+                out[:, k // DEPTH] |= byte.astype(np.uint64) << np.uint64(56 - 8 * (k % DEPTH))
     return out
 
 
@@ -104,40 +112,68 @@ def keyed(docs: DataFrame) -> DataFrame:
                 full = [k for k, (s, _) in enumerate(sets) if len(s)]
                 sig = signatures([sets[k][0] for k in full])
                 raw: list = [None] * (b - a)
-                for k, row in zip(full, sig, strict=True):
-                    raw[k] = row.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["doc_id", "row", "key", "signature"])
+                for k, row in zip(full, sig.view(np.int64), strict=True):
+                    raw[k] = row
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(keys, pa.binary()), pa.array(raw, pa.list_(pa.int64()))], names=["doc_id", "row", "key", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), _row().alias("row"), "text").mapInArrow(run, "doc_id long, row long, key binary, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), _row().alias("row"), "text").mapInArrow(run, "doc_id long, row long, key binary, signature array<long>")
 
 
-def prefixes(classes: DataFrame, depth: int) -> DataFrame:
-    """(node, prefix): one row for each tree, the prefix as a hash of the tree and its first values."""
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many upper bytes are equal."""
+    x, n = a ^ b, np.zeros(len(a), np.int8)
+    for k in range(DEPTH):
+        n += x >> np.uint64(56 - 8 * k) == 0
+    return n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, TREES, DEPTH)
-            with np.errstate(over="ignore"):
-                h = np.broadcast_to(np.arange(TREES, dtype=np.uint64), sig.shape[:2]).copy()
-                for k in range(depth):
-                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), TREES))), pa.array(h.astype(np.int64).ravel())], names=["node", "prefix"])
 
-    return classes.where("signature IS NOT NULL").select(F.col("key").alias("node"), "signature").mapInArrow(run, "node binary, prefix long")
+def stretch(tree: np.ndarray, value: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sorted stretch of the forest, the runs of one depth: where each begins (and the end), and which of them have another member here or reach an edge."""
+    begin = np.concatenate([[True], (common_prefix(value[1:], value[:-1]) < depth) | (tree[1:] != tree[:-1])])
+    at = np.append(np.flatnonzero(begin), len(tree))
+    wanted = np.diff(at) > 1
+    wanted[[0, -1]] = True
+    return at, wanted
 
 
-def ties(classes: DataFrame, depth: int) -> DataFrame:
-    """(a, b): each class tied to the least class with the same prefix, of prefixes that several have."""
-    each = prefixes(classes, depth)
-    heads = each.groupBy("prefix").agg(F.min("node").alias("head"), F.max("node").alias("other")).where("head <> other").select("prefix", "head")
-    return each.join(heads, "prefix").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+def forest(classes: DataFrame, least: int) -> DataFrame:
+    """(depth, node, head, trees): each class tied to the least class of its run, for the depths from DEPTH to ``least``, with the number of trees in which that holds."""
+    each = classes.where("signature IS NOT NULL").select(F.col("key").alias("node"), F.posexplode("signature").alias("tree", "value"))
+    # with the sign bit turned, signed order is the order of the bytes
+    dealt = each.select("tree", F.col("value").bitwiseXOR(F.lit(-(1 << 63))).alias("value"), "node").repartitionByRange("tree", "value", "node").sortWithinPartitions("tree", "value", "node")
 
-
-def _verify(group: list[tuple], threshold: float, depth: int) -> Iterator[tuple]:
-    """(node, links, met, head) of the classes of a block pair that have links; group: (node, block, copies, shingles), i, j first."""
-    i, j, rows = group
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # a partition of the sort
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).combine_chunks()
+        tree, value, nodes = whole["tree"].to_numpy(), (whole["value"].to_numpy() ^ np.int64(-(1 << 63))).view(np.uint64), whole["node"].chunk(0)
+        order = pc.array_sort_indices(nodes).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        for depth in range(DEPTH, least - 1, -1):
+            at, wanted = stretch(tree, value, depth)
+            size = np.diff(at)
+            head = order[np.minimum.reduceat(rank, at[:-1])]
+            edge = np.zeros(len(size), bool)
+            edge[[0, -1]] = True
+            rows, of = np.flatnonzero(np.repeat(wanted, size)), np.repeat(np.flatnonzero(wanted), size[wanted])
+            for k in range(0, len(rows), 50_000):
+                own, r = rows[k : k + 50_000], of[k : k + 50_000]
+                heads = nodes.take(pa.array(head[r], mask=edge[r]))
+                prefix = (value[own] >> np.uint64(64 - 8 * depth)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), depth, np.int32)), nodes.take(pa.array(own)), heads, pa.array(tree[own]), pa.array(prefix)], names=["depth", "node", "head", "tree", "prefix"])
+
+    ties = cut(dealt.mapInArrow(run, TIES))
+    heads = ties.where("head IS NULL").groupBy("depth", "tree", "prefix").agg(F.min("node").alias("least"))  # at most two for each depth and partition
+    ties = ties.join(F.broadcast(heads), ["depth", "tree", "prefix"], "left").select("depth", "node", F.coalesce("head", "least").alias("head"))
+    return cut(ties.where("node <> head").groupBy("depth", "node", "head").agg(F.count("*").alias("trees")))
+
+
+def _verify(rows: list[tuple], group: int, same_block: bool, threshold: float, least: int) -> Iterator[tuple]:
+    """(node, links, chances, head) of the classes of a block pair that have links; rows: (node, block, copies, groups, shingles). ``chances`` has, for each depth from ``least``, the sum over links of one over the chance to be met."""
     n = len(rows)
-    sets = [r[3] for r in rows]
+    sets = [r[4] for r in rows]
     sizes = np.array([len(s) for s in sets], dtype=np.float64)
     block = np.array([r[1] for r in rows])
     if n <= 6:
@@ -163,11 +199,18 @@ def _verify(group: list[tuple], threshold: float, depth: int) -> Iterator[tuple]
     jaccard = shared / np.maximum(sizes[:, None] + sizes - shared, 1)
     linked = shared >= threshold * (sizes[:, None] + sizes - shared) - 1e-9
     np.fill_diagonal(linked, False)
-    if i != j:
+    if not same_block:
         linked &= block[:, None] != block
+    # pairs that an earlier group holds together count there
+    before = {g: k for k, g in enumerate(sorted({g for r in rows for g in r[3] if g < group}))}
+    if before:
+        member = np.zeros((n, len(before)), np.float32)
+        for a, r in enumerate(rows):
+            member[a, [before[g] for g in r[3] if g < group]] = 1
+        linked &= member @ member.T == 0
     copies = np.array([r[2] for r in rows], dtype=np.float64)
     links = linked @ copies
-    chance = np.where(linked, 1 / met(np.where(linked, jaccard, 1.0), depth), 0) @ copies
+    chances = np.stack([np.where(linked, 1 / met(np.where(linked, jaccard, 1.0), d), 0) @ copies for d in range(least, DEPTH + 1)], axis=1)
     root = np.full(n, -1)
     for a in range(n):  # spanning forest
         if root[a] < 0 and links[a]:
@@ -178,15 +221,13 @@ def _verify(group: list[tuple], threshold: float, depth: int) -> Iterator[tuple]
                 front = reach.tolist()
     for a in range(n):
         if links[a]:
-            yield rows[a][0], int(links[a]), float(chance[a]), rows[root[a]][0]
+            yield rows[a][0], int(links[a]), chances[a].tolist(), rows[root[a]][0]
 
 
-def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshold: float, depth: int) -> DataFrame:
-    """(node, links, met, head) for each class and block pair with links."""
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    placed = clusters.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = cut(placed.join(classes.select(F.col("key").alias("node"), "copies", "row"), "node"))
-    chosen = placed.select("row", "node", "root", "blocks", "block", "copies")
+def shingled(docs: DataFrame, classes: DataFrame, ties: DataFrame) -> DataFrame:
+    """(node, copies, shingles) of the classes that are tied at some depth."""
+    tied = cut(ties.select("node").unionByName(ties.select(F.col("head").alias("node"))).distinct())
+    chosen = tied.join(classes.select(F.col("key").alias("node"), "copies", "row"), "node")
     whole = docs.select(_row().alias("row"), "text").join(_small(chosen), "row")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,29 +235,63 @@ def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshold
             texts = batch.column(0).to_pylist()
             for a, b in _slices(texts):
                 raw = [s.tobytes() for s in shingles(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in range(1, 6)), pa.array(raw, pa.binary())], names=["node", "root", "blocks", "block", "copies", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in (1, 2)), pa.array(raw, pa.binary())], names=["node", "copies", "shingles"])
+
+    # repeated rows have the same text
+    return cut(whole.select("text", "node", "copies").mapInArrow(shingle, "node binary, copies long, shingles binary").dropDuplicates(["node"]))
+
+
+def grouped(ties: DataFrame, turn: int) -> DataFrame:
+    """(node, group): the groups of ties of one depth. A head that shares ``STRONG`` trees with a lesser head goes with it, twice over, so that a family of copies is one group mostly; groups are numbered so that those of later turns are greater."""
+    top = ties.where(F.col("trees") >= STRONG).groupBy("node").agg(F.min("head").alias("top"))
+    heads = ties.select("head").distinct()
+    for _ in range(2):
+        heads = heads.withColumn("now", F.col("now") if "now" in heads.columns else F.col("head"))
+        heads = heads.join(top.select(F.col("node").alias("now"), "top"), "now", "left").select("head", F.coalesce("top", "now").alias("now"))
+    named = heads.select("head", (F.lit(turn << 58).bitwiseOR(F.shiftrightunsigned(F.xxhash64("now"), 6))).alias("group"))
+    return cut(ties.select("node", "head").join(named, "head").select("node", "group").unionByName(named.select(F.col("head").alias("node"), "group")).distinct())
 
-    sets = whole.select("text", "node", "root", "blocks", "block", "copies").mapInArrow(shingle, "node binary, root binary, blocks int, block int, copies long, shingles binary")
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "root", "block", "copies", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+def fresh(members: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    """``members`` without the groups that an earlier group holds whole."""
+    if earlier is None:
+        return members
+    both = members.join(earlier.select("node", F.col("group").alias("old")), "node").groupBy("group", "old").agg(F.count("*").alias("n"))
+    most = both.groupBy("group").agg(F.max("n").alias("n"))
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"))
+    return cut(members.join(sizes.join(most, ["group", "n"], "left_anti").select("group"), "group", "left_semi").select("node", "group"))
+
+
+def verified(sets: DataFrame, members: DataFrame, all_members: DataFrame, threshold: float, least: int) -> DataFrame:
+    """(node, links, chances, head) for each class and block pair with links."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("size")).where("size > 1").select("group", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    groups = all_members.groupBy("node").agg(F.collect_set("group").alias("groups"))
+    dealt = sets.join(placed, "node").join(groups, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies", "groups", "shingles")
+    schema = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("chances", pa.list_(pa.float64())), ("head", pa.binary())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key, rows):
-            out = list(_verify((key[1], key[2], rows), threshold, depth)) if len(rows) > 1 else []
-            return pa.RecordBatch.from_pylist([{"node": a, "links": b, "met": c, "head": d} for a, b, c, d in out], schema=pa.schema([("node", pa.binary()), ("links", pa.int64()), ("met", pa.float64()), ("head", pa.binary())]))
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in _verify(rows, key[0], key[1] == key[2], threshold, least)], schema=schema)
 
         key, rows = None, []
         for batch in batches:
-            for node, root, block, copies, raw, i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, i, j) != key:
+            for group, i, j, node, block, copies, groups_, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, i, j) != key:
                     if len(rows) > 1:
                         yield done(key, rows)
-                    key, rows = (root, i, j), []
-                if not rows or rows[-1][0] != node:  # repeated rows have the same text
-                    rows.append((node, block, copies, np.frombuffer(raw, np.uint64)))
+                    key, rows = (group, i, j), []
+                rows.append((node, block, copies, groups_, np.frombuffer(raw, np.uint64)))
         if len(rows) > 1:
             yield done(key, rows)
 
-    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(verify, "node binary, links long, met double, head binary")
+    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node").mapInArrow(verify, "node binary, links long, chances array<double>, head binary")
+
+
+def closed(found: DataFrame, depth: int, least: int, threshold: float, recall: float) -> DataFrame:
+    """(node) of the classes whose recall at this depth is estimated to reach the target: links found, and one at the threshold, over what they stand for."""
+    stats = found.groupBy("node").agg(F.sum("links").alias("n"), F.sum(F.element_at("chances", depth - least + 1)).alias("stand"))
+    return stats.where((F.col("n") + 1) / (F.col("stand") + float(1 / met(threshold, depth))) >= recall).select("node")
 
 
 def _row():
@@ -224,26 +299,43 @@ def _row():
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce("text", F.lit("")))
 
 
+def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(node, links, chances, head, depth): what each depth's turn verified, from the longest prefixes on, until no class is open."""
+    least = last_depth(threshold, recall)
+    ties = forest(classes, least)
+    sets = shingled(docs, classes, ties)
+    found = all_members = None
+    for turn, depth in enumerate(range(DEPTH, least - 1, -1)):
+        own = ties.where(F.col("depth") == depth).select("node", "head", "trees")
+        if found is not None:
+            done = closed(found, depth + 1, least, threshold, recall)
+            still = own.select("head").unionByName(own.select(F.col("node").alias("head"))).distinct().join(done.withColumnRenamed("node", "head"), "head", "left_anti")  # open classes
+            heads = still.unionByName(own.join(still.withColumnRenamed("head", "node"), "node", "left_semi").select("head")).distinct()
+            own = own.join(heads, "head", "left_semi")
+        members = fresh(grouped(own, turn), all_members)
+        all_members = members if all_members is None else cut(all_members.unionByName(members))
+        new = cut(verified(sets, members, all_members, threshold, least).withColumn("depth", F.lit(depth)))
+        found = new if found is None else found.unionByName(new)
+    return found
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links) for every row."""
     rows = docs.select("doc_id", "text")
     known = cut(keyed(rows))
     classes = cut(known.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("signature").alias("signature")))
-    depth = first_depth(threshold, recall)
-    while True:
-        clusters = connected_components(ties(classes, depth), cut)
-        found = cut(verified(rows, classes, clusters, threshold, depth))
-        links, estimate = found.agg(F.sum("links"), F.sum("met")).first()
-        if not links or links >= recall * estimate or depth == 1:
-            break
-        depth -= 1
+    found = links(rows, classes, threshold, recall)
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("head").alias("b")), cut)
     named = groups.join(classes.select(F.col("key").alias("node"), "least"), "node")
     least = named.groupBy("root").agg(F.min("least").alias("class_id"))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     final = classes.select(F.col("key").alias("node"), "least", "copies").join(named.select("node", "root").join(least, "root").select("node", "class_id"), "node", "left").join(counted, "node", "left")
-    final = final.select(F.col("node").alias("key"), F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return known.select("doc_id", "key").join(final, "key").select("doc_id", "class_id", "n_links")
+    final = cut(final.select(F.col("node").alias("key"), F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies"))
+    # a class with very many copies goes by broadcast, so that no task gets them all
+    hot = F.col("copies") > HOT * known.count()
+    often = F.broadcast(final.where(hot))
+    by_key = known.join(often.select("key"), "key", "left_anti").join(final.where(~hot), "key")
+    return by_key.select("doc_id", "class_id", "n_links").unionByName(known.join(often, "key").select("doc_id", "class_id", "n_links"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

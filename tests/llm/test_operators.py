@@ -73,6 +73,79 @@ def test_join_in_blocks(spark, monkeypatch):
     assert {r["class_id"] for r in got} == {0} and {r["n_links"] for r in got} == {29}
 
 
+def test_forest_equals_runs_of_sorted_signatures(spark):
+    """Ties over many small partitions, whose edges cut runs, against runs found in one sorted list."""
+    from pricelore.llm import near_duplicates as m
+
+    rnd = random.Random(8)
+    stems = [bytes(rnd.randrange(256) for _ in range(8)) for _ in range(6)]
+    rows = []
+    for k in range(400):
+        trees = []
+        for _ in range(3):
+            keep = rnd.randint(4, 8)
+            trees.append(int.from_bytes(rnd.choice(stems)[:keep] + bytes(rnd.randrange(3) for _ in range(8 - keep)), "big", signed=True))
+        rows.append((k.to_bytes(16, "big"), trees))
+    classes = spark.createDataFrame(rows, "key binary, signature array<bigint>")
+    want = {}
+    for depth in (6, 7, 8):
+        for tree in range(3):
+            runs = {}
+            for node, trees in rows:
+                runs.setdefault((trees[tree] % 2**64) >> (64 - 8 * depth), []).append(node)
+            for nodes in runs.values():
+                for n in nodes:
+                    if n != min(nodes):
+                        key = depth, n, min(nodes)
+                        want[key] = want.get(key, 0) + 1
+    held = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {(r["depth"], bytes(r["node"]), bytes(r["head"])): r["trees"] for r in m.forest(classes, 6).collect()}
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    assert got == want
+
+
+def test_prefixes_are_shortened_for_open_classes_only(spark):
+    """A family of near copies is done at the full depth; a pair near the threshold is met by shorter prefixes."""
+    from pricelore.llm import near_duplicates as m
+
+    rnd = random.Random(14)
+    base = [f"w{k}" for k in range(300)]
+    family = [" ".join(base[:k] + [f"other{k}"] + base[k + 1 :]) for k in range(3, 297, 6)]
+    pairs = []
+    for p in range(12):
+        one = [f"p{p}x{k}" for k in range(120)]
+        two = list(one)
+        for k in range(6, 114, 18 + p % 3):
+            two[k] = f"q{p}x{k}"
+        pairs += [" ".join(one), " ".join(two)]
+    lonely = [" ".join(words(rnd, 50)) for _ in range(20)]
+    frame = docs(spark, family + pairs + lonely)
+    threshold, recall = 0.55, 0.9
+    least = m.last_depth(threshold, recall)
+    assert least < m.DEPTH - 2
+    sets = m.shingles(family + pairs + lonely)
+    known = m.cut(m.keyed(frame))
+    classes = m.cut(known.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("signature").alias("signature")))
+    found = m.cut(m.links(frame, classes, threshold, recall))
+    ids = {bytes(r["key"]): r["doc_id"] for r in known.collect()}
+    turns = {}
+    for r in found.collect():
+        turns.setdefault(ids[bytes(r["node"])], {}).setdefault(r["depth"], 0)
+        turns[ids[bytes(r["node"])]][r["depth"]] += r["links"]
+    n = len(family)
+    exact = [sum(m_ >= threshold for m_ in (len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for b in range(len(sets)) if b != a)) for a in range(n + len(pairs))]
+    assert [sum(turns.get(a, {}).values()) for a in range(n + len(pairs))] == exact and sum(exact[n:]) == len(pairs)
+    assert all(set(turns[a]) == {m.DEPTH} for a in range(n))  # the family: nothing left for shorter prefixes
+    assert min(d for a in range(n, n + len(pairs)) for d in turns[a]) < m.DEPTH  # pairs: the prefix really fell
+    done = {ids[bytes(r["node"])] for r in m.closed(found.where(F.col("depth") == m.DEPTH), m.DEPTH, least, threshold, recall).collect()}
+    assert done >= set(range(n)) and not done & set(range(n, n + len(pairs)))
+
+
 def test_empty_tables(spark):
     from pricelore.llm import decontaminate, flac, licence_scan, near_duplicates, personal_data, piece_sampling, secret_scan, toxicity, url_filter
 
