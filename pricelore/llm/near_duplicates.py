@@ -8,7 +8,7 @@ Words are maximal runs of letters and digits of the lower-cased text, shingles a
 3. Each class begins with the longest prefixes. The members of a head's runs are a group (heads that share ``STRONG`` trees with a lesser head are one group with it), a group is dealt into blocks of ``BLOCK`` classes, and each pair of blocks is one group
    of rows, whose pairs are verified exactly in numpy and come out as counts and a spanning forest. A pair that is together in several groups counts in the first.
 4. From the similarities of a class's links its recall is estimated: each link stands for one over its chance to be met at that depth, and one link at the threshold is added for those that nothing is known of. A class whose estimate is
-   under the target is open, and the prefixes of open classes are shortened by one value; the others stop. So classes with many near copies stop early, and those without any go down to the depth that the threshold itself asks for.
+   under the target is open, and the prefixes of open classes are shortened by ``STEP`` values; the others stop. So classes with many near copies stop early, and those without any go down to the depth that the threshold itself asks for.
 5. Components of the verified forest give the class id: the least doc_id. The count of links counts every copy.
 
 Documents of fewer than five words are linked if their words are the same (empty and null texts among themselves). Edge cases: rows with a null doc_id take part, and get the class id null if all of their class are such; repeated rows are copies;
@@ -30,7 +30,7 @@ from pricelore.llm._common import cut, table
 from pricelore.operators.graph import connected_components
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9999
-TREES, DEPTH = 32, 8
+TREES, DEPTH, STEP = 32, 8, 2
 STRONG, BLOCK = 4, 256
 SLICE_CHARS = 500_000
 BROADCAST_ROWS = 1_000_000
@@ -50,6 +50,11 @@ def last_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     return next((d for d in range(DEPTH, 0, -1) if met(threshold, d) >= recall), 1)
 
 
+def depths(least: int) -> list[int]:
+    """The depths of the turns, down to ``least``."""
+    return [*range(DEPTH, least, -STEP), least]
+
+
 def shingles(texts: list[str | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; of a text with fewer words, none."""
     return [s for s, _ in _sets(texts)]
@@ -137,7 +142,7 @@ def stretch(tree: np.ndarray, value: np.ndarray, depth: int) -> tuple[np.ndarray
 
 
 def forest(classes: DataFrame, least: int) -> DataFrame:
-    """(depth, node, head, trees): each class tied to the least class of its run, for the depths from DEPTH to ``least``, with the number of trees in which that holds."""
+    """(depth, node, head, trees): each class tied to the least class of its run, for each of the ``depths``, with the number of trees in which that holds."""
     each = classes.where("signature IS NOT NULL").select(F.col("key").alias("node"), F.posexplode("signature").alias("tree", "value"))
     # with the sign bit turned, signed order is the order of the bytes
     dealt = each.select("tree", F.col("value").bitwiseXOR(F.lit(-(1 << 63))).alias("value"), "node").repartitionByRange("tree", "value", "node").sortWithinPartitions("tree", "value", "node")
@@ -151,7 +156,7 @@ def forest(classes: DataFrame, least: int) -> DataFrame:
         order = pc.array_sort_indices(nodes).to_numpy()
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        for depth in range(DEPTH, least - 1, -1):
+        for depth in depths(least):
             at, wanted = stretch(tree, value, depth)
             size = np.diff(at)
             head = order[np.minimum.reduceat(rank, at[:-1])]
@@ -225,9 +230,9 @@ def _verify(rows: list[tuple], group: int, same_block: bool, threshold: float, l
 
 
 def shingled(docs: DataFrame, classes: DataFrame, ties: DataFrame) -> DataFrame:
-    """(node, copies, shingles) of the classes that are tied at some depth."""
-    tied = cut(ties.select("node").unionByName(ties.select(F.col("head").alias("node"))).distinct())
-    chosen = tied.join(classes.select(F.col("key").alias("node"), "copies", "row"), "node")
+    """(node, copies, shingles) of the classes that are tied at some depth. Rows that repeat an id and a text are repeated."""
+    tied = ties.select("node").unionByName(ties.select(F.col("head").alias("node"))).distinct()
+    chosen = cut(tied.join(classes.select(F.col("key").alias("node"), "copies", "row"), "node"))
     whole = docs.select(_row().alias("row"), "text").join(_small(chosen), "row")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +242,7 @@ def shingled(docs: DataFrame, classes: DataFrame, ties: DataFrame) -> DataFrame:
                 raw = [s.tobytes() for s in shingles(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in (1, 2)), pa.array(raw, pa.binary())], names=["node", "copies", "shingles"])
 
-    # repeated rows have the same text
-    return cut(whole.select("text", "node", "copies").mapInArrow(shingle, "node binary, copies long, shingles binary").dropDuplicates(["node"]))
+    return cut(whole.select("text", "node", "copies").mapInArrow(shingle, "node binary, copies long, shingles binary"))
 
 
 def grouped(ties: DataFrame, turn: int) -> DataFrame:
@@ -281,7 +285,8 @@ def verified(sets: DataFrame, members: DataFrame, all_members: DataFrame, thresh
                     if len(rows) > 1:
                         yield done(key, rows)
                     key, rows = (group, i, j), []
-                rows.append((node, block, copies, groups_, np.frombuffer(raw, np.uint64)))
+                if not rows or rows[-1][0] != node:  # repeated rows have the same text
+                    rows.append((node, block, copies, groups_, np.frombuffer(raw, np.uint64)))
         if len(rows) > 1:
             yield done(key, rows)
 
@@ -305,15 +310,16 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, rec
     ties = forest(classes, least)
     sets = shingled(docs, classes, ties)
     found = all_members = None
-    for turn, depth in enumerate(range(DEPTH, least - 1, -1)):
+    turns = depths(least)
+    for turn, depth in enumerate(turns):
         own = ties.where(F.col("depth") == depth).select("node", "head", "trees")
         if found is not None:
-            done = closed(found, depth + 1, least, threshold, recall)
+            done = closed(found, turns[turn - 1], least, threshold, recall)
             still = own.select("head").unionByName(own.select(F.col("node").alias("head"))).distinct().join(done.withColumnRenamed("node", "head"), "head", "left_anti")  # open classes
             heads = still.unionByName(own.join(still.withColumnRenamed("head", "node"), "node", "left_semi").select("head")).distinct()
             own = own.join(heads, "head", "left_semi")
         members = fresh(grouped(own, turn), all_members)
-        all_members = members if all_members is None else cut(all_members.unionByName(members))
+        all_members = members if all_members is None else all_members.unionByName(members)
         new = cut(verified(sets, members, all_members, threshold, least).withColumn("depth", F.lit(depth)))
         found = new if found is None else found.unionByName(new)
     return found
@@ -332,7 +338,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     final = classes.select(F.col("key").alias("node"), "least", "copies").join(named.select("node", "root").join(least, "root").select("node", "class_id"), "node", "left").join(counted, "node", "left")
     final = cut(final.select(F.col("node").alias("key"), F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies"))
     # a class with very many copies goes by broadcast, so that no task gets them all
-    hot = F.col("copies") > HOT * known.count()
+    hot = F.col("copies") > HOT * (classes.agg(F.sum("copies")).first()[0] or 0)
     often = F.broadcast(final.where(hot))
     by_key = known.join(often.select("key"), "key", "left_anti").join(final.where(~hot), "key")
     return by_key.select("doc_id", "class_id", "n_links").unionByName(known.join(often, "key").select("doc_id", "class_id", "n_links"))
