@@ -4,7 +4,8 @@ Base kinds are plain patterns. The method adds the kind ``markov``: a run of 16
 identifiers passes ``MEAN`` nats a step and ``TOTAL`` nats, and that touches no base span. Both models come from labelled samples: the strings that the base patterns find in a bounded
 sample of documents (``SAMPLE_DOCS``) and strings drawn from hashes (``DRAWN`` of each alphabet) are random; the sample's other tokens and names put together from ``IDENTIFIER_WORDS`` are ordinary.
 
-Edge cases: a null text counts as empty and has no spans; repeated rows give equal results; all work on a text is linear in its length; an empty table gives no rows.
+Edge cases: a null text counts as empty and has no spans; repeated rows and null doc_ids give results like any other row; spans that begin at one place are in order of their kind; the places of a very long text's matches are summed up by chunks, so that the work
+grows with their number; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLE_DOCS, DRAWN = 4000, 1500
+#: Matches that are put together at once, and the longest training token; longer ones (long runs of one alphabet, such as embedded images) would outweigh all others in the counts.
+CHUNK, LONGEST_TOKEN = 256, 400
 MEAN, TOTAL, PRIOR = 2.4, 36.0, 4.0
 
 #: Words of ordinary identifiers; pairs of them are joined by rule in the usual styles.
@@ -38,19 +41,54 @@ def place(c: Column) -> Column:
     return F.call_function("locate", c, F.lit(ALPHABET))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, whatever lambdas refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def chunked(items: Column) -> Column:
+    """An array in arrays of ``CHUNK``, in order; each element is fetched by its place, so that this is linear."""
+
+    def cut_up(x: Column) -> Column:
+        n = F.size(x)
+        numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda k: F.transform(F.sequence(k * CHUNK + 1, F.least((k + 1) * CHUNK, n)), lambda i: F.element_at(x, i)))
+
+    return bound(items, cut_up)
+
+
 def matches(text: Column, pattern: str, rank: int, value: int = 0) -> Column:
-    """The leftmost, non-overlapping matches with their places, in code points. What stands between matches comes from ``split``, so starts are sums of lengths."""
+    """The leftmost, non-overlapping matches with their places, in code points. What stands between matches comes from ``split``, so starts are sums of lengths: those of whole chunks first, then on within each, so that no long array is copied for each match."""
     between = F.split(text, pattern, -1)
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(value)).alias("value"), between.alias("gap"))
+    found = F.filter(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(value)).alias("value"), between.alias("gap")), lambda x: x["whole"].isNotNull())
     none = F.array().cast(SPANS)
+    length = lambda x: F.length(x["gap"]) + F.length(x["whole"])
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["whole"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end_"), x["value"].alias("value")))).cast(SPANS).alias("out"))
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end_"), x["value"].alias("value"))
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+
+    def within(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    def walk(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + length(x)))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return bound(starts, lambda at: F.flatten(F.transform(chunks, lambda c, k: within(c, F.element_at(at, k + 1)))))
+
+    return F.when(text.rlike(pattern), bound(chunked(found), walk)).otherwise(none)
+
+
+def touches(spans: Column):
+    """A function that says whether a span overlaps one of ``spans``, which are sorted: by the chunks' extent, then within those that reach it."""
+    held = F.transform(chunked(spans), lambda c: F.struct(F.array_min(F.transform(c, lambda s: s["start"])).alias("low"), F.array_max(F.transform(c, lambda s: s["end_"])).alias("high"), c.alias("items")))
+
+    def use(extents: Column, s: Column) -> Column:
+        return F.exists(extents, lambda e: (e["low"] < s["end_"]) & (s["start"] < e["high"]) & F.exists(e["items"], lambda b: (b["start"] < s["end_"]) & (s["start"] < b["end_"])))
 
-    walk = F.aggregate(F.filter(found, lambda x: x["whole"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), walk).otherwise(none)
+    return held, use
 
 
 def base_spans(text: Column) -> Column:
@@ -78,7 +116,7 @@ def samples(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> list[float]:
     """Log-likelihood ratios by the places of two neighbouring characters in the alphabet; at most SIZE * SIZE counts reach the driver."""
-    pairs = samples(docs).where(F.length("token").between(2, 400)).select("label", F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substring(token, i, 2))")).alias("pair"))
+    pairs = samples(docs).where(F.length("token").between(2, LONGEST_TOKEN)).select("label", F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substring(token, i, 2))")).alias("pair"))
     rows = pairs.groupBy("label", "pair").count().select("label", place(F.substring("pair", 1, 1)).alias("a"), place(F.substring("pair", 2, 1)).alias("b"), "count").collect()
     count = {(r["label"], r["a"], r["b"]): r["count"] for r in rows}
     before: dict = {}
@@ -118,7 +156,8 @@ def scan(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
         score = ratio(s["value"], table_)
         return score >= F.greatest(F.lit(TOTAL), MEAN * (length - 1))
 
-    free = F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end_"]) & (s["start"] < b["end_"])) & odd(s))
+    extents, inside = touches(F.array_sort("base"))
+    free = bound(extents, lambda e: F.filter("tokens", lambda s: odd(s) & ~inside(e, s)))
     return found.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", free)).alias("spans"))
 
 

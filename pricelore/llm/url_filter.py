@@ -1,12 +1,12 @@
 """Operator 10: URL filter by fixed rules and by association rules.
 
-Fixed rules (host, path) label the pages that they fit. All pages are transactions of URL tokens (labels of the host, registered domain, top-level domain, path steps, scheme, suffix, query names) plus
-the label's token where there is one. Spark's FP-growth mines the combinations; a combination that leads to ``block`` with enough confidence and support becomes a rule, and rules that a more
-general one covers with no less confidence are pruned. Pages without a label count against a rule, so that a rule speaks only where the labels do. A rule is filed in an inverted index under its rarest
-token; a page looks up its own tokens and checks the rules that it meets.
+Fixed rules (host, path) label the pages that they fit. The labelled pages are the transactions: URL tokens (labels of the host, registered domain, top-level domain, path steps, scheme, query names, fragment) plus the label's token. Spark's FP-growth mines the
+combinations; one that leads to ``block`` becomes a rule if its confidence and support among labelled pages suffice, if its confidence is significant, and if it is more frequent among blocked pages than among all pages, labelled or not, by ``LIFT`` at least: what is
+as common everywhere (a scheme, say) tells nothing. Rules that a more general one covers with no less confidence are pruned. A rule is filed in an inverted index under its rarest token; a page looks up its own tokens and checks the rules that it meets.
 
-The longest fixed rule that fits decides; else the method: block if a mined rule matches, allow if none does. Edge cases: a null url or one without ``://`` has an empty host and path, no tokens, and is
-allowed; repeated rows are judged alike; an empty table gives no rows. ``MAX_RULES`` bounds what is broadcast; beyond it the index is joined by a shuffle.
+The longest fixed rule that fits decides; else the method: block if a mined rule matches, allow if none does. Edge cases: a null url or one without ``://`` has an empty host and path, and is allowed unless a mined rule matches; repeated rows and null page_ids are judged like
+any other row; ties of fixed rules go to the longer host, and of mined rules to the first by their tokens; a very long url has as many tokens as steps, of which only frequent ones are looked up; an empty table gives no rows; columns other than page_id and url are ignored.
+``MAX_RULES`` bounds what is broadcast; beyond it the index is joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pricelore.llm._common import cut, table
 
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-SUPPORT, CONFIDENCE = 0.002, 0.8
+SUPPORT, CONFIDENCE, LIFT = 0.002, 0.8, 1.5
 #: At every table size, the lower Wilson bound (95 %, one-sided) of a rule's confidence must be over ``SURE``, so that no rules come by chance.
 Z, SURE = 1.645, 0.5
 #: No rule with fewer blocked pages can pass that: with n of n the bound is n / (n + Z * Z).
@@ -66,22 +66,26 @@ def prepared(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     return known.select("page_id", "host", "path", fitting(F.col("host"), F.col("path"), rules).alias("fixed"), F.coalesce(tokens(F.col("host"), F.col("path"), F.col("url")), F.array()).alias("tokens"))
 
 
-def mine(ready: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(rule_id, antecedent, confidence, support) of the rules that lead to ``block``. Antecedents are of any length. Tokens that can't reach the support, or the pages that the significance test needs, are dropped before, which loses no rule."""
-    n = ready.count()
-    support = min(1.0, max(support, LEAST_PAGES / max(n, 1)))
-    each = ready.select("page_id", "tokens", "fixed", F.monotonically_increasing_id().alias("row"))
-    frequent = each.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= max(1.0, support * n)).select("token")  # at most 1 / support * tokens a page
+def mine(ready: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
+    """(rule_id, antecedent, confidence, support) of the rules that lead to ``block``: support and confidence among the labelled pages. Antecedents are of any length. Tokens that can't reach the support, or the pages that the significance test needs, are dropped before,
+    which loses no rule."""
+    labelled = ready.where(F.col("fixed").isNotNull())
+    n, blocked = labelled.agg(F.count("*"), F.count_if(F.col("fixed.verdict") == "block")).first()
+    least = min(1.0, max(support, LEAST_PAGES / max(n, 1)))
+    frequent = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= max(1.0, least * n)).select("token")  # at most 1 / support * tokens a page
     kept = [r["token"] for r in frequent.orderBy("token").collect()]
     items = F.filter("tokens", lambda x: x.isin(kept)) if kept else F.array().cast("array<string>")
-    marked = ready.select(F.concat(items, F.when(F.col("fixed.verdict") == "block", F.array(F.lit(BLOCK))).when(F.col("fixed.verdict") == "allow", F.array(F.lit(ALLOW))).otherwise(F.array())).alias("items")).where(F.size("items") > 0)
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(marked).associationRules
+    marked = labelled.select(F.concat(items, F.array(F.when(F.col("fixed.verdict") == "block", BLOCK).otherwise(ALLOW))).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(marked).associationRules
     rules = found.where(F.array_contains("consequent", BLOCK)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    pages = F.round(F.col("support") * marked.count() / F.col("confidence"))
+    pages = F.round(F.col("support") * n / F.col("confidence"))
     middle, spread = F.col("confidence") + Z * Z / (2 * pages), Z * F.sqrt((F.col("confidence") * (1 - F.col("confidence")) + Z * Z / (4 * pages)) / pages)
-    rules = rules.where((middle - spread) / (1 + Z * Z / pages) > SURE)
-    rules = cut(rules.withColumn("rule_id", F.xxhash64("antecedent")))
-    return uncovered(rules)
+    rules = cut(rules.where((middle - spread) / (1 + Z * Z / pages) > SURE).withColumn("rule_id", F.xxhash64("antecedent")))
+    everywhere = ready.select(items.alias("tokens")).groupBy("tokens").agg(F.count("*").alias("n"))
+    total = ready.count()
+    met = everywhere.select("tokens", "n", F.explode("tokens").alias("token")).join(index(rules, everywhere), "token").where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("rule_id").agg(F.sum("n").alias("n"))
+    share = F.col("support") * n / max(blocked, 1)
+    return uncovered(cut(rules.join(met, "rule_id").where(share >= lift * F.col("n") / max(total, 1)).select("rule_id", "antecedent", "confidence", "support")))
 
 
 def uncovered(rules: DataFrame) -> DataFrame:
@@ -97,10 +101,10 @@ def uncovered(rules: DataFrame) -> DataFrame:
     return kept
 
 
-def index(rules: DataFrame, ready: DataFrame) -> DataFrame:
-    """(token, antecedent, rule_id): each rule under its rarest token."""
+def index(rules: DataFrame, sets: DataFrame) -> DataFrame:
+    """(token, antecedent, rule_id): each rule under the token that the fewest of ``sets`` hold."""
     used = rules.select("rule_id", F.explode("antecedent").alias("token"))
-    counts = ready.select(F.explode("tokens").alias("token")).join(F.broadcast(used.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    counts = sets.select(F.explode("tokens").alias("token")).join(used.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     return used.join(counts, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token")).join(rules, "rule_id").select("token", "antecedent", "rule_id")
 
 

@@ -206,6 +206,23 @@ def test_secrets_base_equals_patterns(spark, odd):
         assert all(s in got[k]["spans"] for s in got[k]["base"])
 
 
+def test_secrets_of_texts_with_very_many(spark):
+    """Places over several chunks, and overlaps with base spans at chunk edges."""
+    from pricelore.llm import secret_scan as m
+
+    rnd, letters = random.Random(3), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    parts = [rnd.choice([f"token={drawn(24)}", drawn(24), "é plain", "AKIA" + "ABCDEFGHIJKLMNOPQRST", "deadbeef" * 4]) for _ in range(m.CHUNK * 3 + 7)]
+    text = " ".join(parts)
+    weights = m.fit(docs(spark, [" ".join(words(rnd, 200)) for _ in range(30)]))
+    got = m.scan(docs(spark, [text]), weights).first()
+    base = [(x.start(), 0, x.end()) for x in re.finditer(r"token=[A-Za-z0-9+/_.=-]+", text)] + [(x.start(), 1, x.end()) for x in re.finditer("AKIA[A-Z0-9]{12,}", text)] + [(x.start(), 2, x.end()) for x in re.finditer("[0-9a-f]{32,}", text)]
+    assert [(s["start"], s["rank"], s["end_"]) for s in got["base"]] == sorted(base)
+    added = [(s["start"], s["end_"]) for s in got["spans"] if s["rank"] == 3]
+    alone = [(x.start(), x.end()) for x in re.finditer(r"(?<!\S)[A-Za-z0-9]{24}(?!\S)", text) if not x[0].startswith("AKIA")]
+    assert set(added) <= set(alone) and len(added) >= 0.9 * len(alone) and not any(a < z2 and a2 < z for a, z in added for a2, _, z2 in base)
+
+
 def test_random_strings_stand_out(spark):
     from pricelore.llm import secret_scan as m
 
@@ -451,6 +468,38 @@ def test_mined_rules_of_four_tokens(spark):
     assert [r["antecedent"] for r in m.mine(ready).collect()] == [four]
 
 
+def test_mined_rules_equal_brute_force(spark):
+    """All token sets of small transactions, counted one by one."""
+    from itertools import combinations
+
+    from pricelore.llm import url_filter as m
+
+    rnd = random.Random(21)
+    rows = []
+    for k in range(400):
+        t = sorted({rnd.choice("abcdefg") for _ in range(rnd.randint(0, 5))})
+        bad = ("a" in t and "b" in t) or "c" in t and "d" not in t and rnd.random() < 0.95
+        rows.append((k, t, rnd.random() < 0.6 and ("block" if bad else "allow") or None))
+    labelled = [(t, v) for _, t, v in rows if v]
+    n, blocked = len(labelled), sum(v == "block" for _, v in labelled)
+    rules = {}
+    for size in range(1, 8):
+        for a in combinations("abcdefg", size):
+            held = [v for t, v in labelled if set(a) <= set(t)]
+            hits = held.count("block")
+            if not hits or hits / n < max(m.SUPPORT, m.LEAST_PAGES / n) or hits / len(held) < m.CONFIDENCE:
+                continue
+            c, p = hits / len(held), len(held)
+            low = (c + m.Z**2 / (2 * p) - m.Z * np.sqrt((c * (1 - c) + m.Z**2 / (4 * p)) / p)) / (1 + m.Z**2 / p)
+            everywhere = sum(set(a) <= set(t) for _, t, _ in rows) / len(rows)
+            if low > m.SURE and hits / blocked >= m.LIFT * everywhere:
+                rules[a] = c
+    want = {a: c for a, c in rules.items() if not any(set(g) < set(a) and d >= c for g, d in rules.items())}
+    ready = spark.createDataFrame([(k, t, (v, "r") if v else None) for k, t, v in rows], "page_id long, tokens array<string>, fixed struct<verdict: string, rule: string>")
+    got = {tuple(r["antecedent"]): r["confidence"] for r in m.mine(ready).collect()}
+    assert got.keys() == want.keys() and len(want) >= 2 and all(abs(got[a] - want[a]) < 1e-9 for a in want)
+
+
 @pytest.mark.parametrize(("n", "rules"), [(2, []), (3, [["bad"]])])
 def test_mined_rules_are_significant(spark, n, rules):
     from pricelore.llm import url_filter as m
