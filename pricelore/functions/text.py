@@ -120,6 +120,26 @@ def cluster_text(title: Column) -> Column:
     return tidy(apply(tidy(apply(text, ((f"(?:{BOUNDARY})", " $0 "),))), (UNITS[0],)))
 
 
+#: Accessory words by rank, variants of a model, brand words of accessories.
+ACCESSORIES, VARIANTS, ACCESSORY_BRANDS = ("케이스", "필름"), ("프로", "플러스", "맥스", "미니", "fe", "엣지", "울트라", "프로맥스"), ("티파이", "케이스티파이", "casetify")
+#: Names and variants of phone models that are put together again.
+IPHONE, IPHONE_VARIANT = "아이폰", r"\d{1,2}(?:프로맥스|프로|플러스|맥스|미니|fe)"
+FRAGMENT = r"^(?:갤럭시)?[sa]\d$|^[sa]$"
+
+
+def is_fragment(token: Column) -> Column:
+    """Whether a token is a piece of a model's name that says nothing alone."""
+    return token.rlike(FRAGMENT) & ~token.rlike(f"^(?:{MODEL})$")
+
+
+def merge_iphone(tokens: Column) -> Column:
+    """Tokens in which the brand and the variant behind it are one: ``아이폰`` ``16프로`` and ``아이폰`` ``16`` ``프로``. Tokens hold no white space, so the joined list is rewritten from the left, whole tokens only."""
+    text = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
+    text = F.regexp_replace(text, rf" {IPHONE}  ({IPHONE_VARIANT}) ", f" {IPHONE}$1 ")
+    text = F.regexp_replace(text, rf" {IPHONE}  (\d{{1,2}})  ({'|'.join(VARIANTS)}) ", f" {IPHONE}$1$2 ")
+    return F.filter(F.split(text, " "), lambda t: t != "")
+
+
 def kept_tokens(text: Column) -> Column:
     """The tokens of a cleaned name that count for clusters."""
     return F.filter(F.split(text, " "), lambda t: (t != "") & ~t.isin(*EXCLUDED) & ~t.rlike("^[0-9]+$"))
@@ -136,9 +156,6 @@ def storage_token(tokens: Column) -> Column:
     return F.get(F.filter(tokens, lambda t: t.rlike(f"^{STORAGE}$")), F.lit(0))
 
 
-#: Accessory words by rank, variants of a model, brand words of accessories.
-ACCESSORIES, VARIANTS, ACCESSORY_BRANDS = ("케이스", "필름"), ("프로", "플러스", "맥스", "미니", "fe", "엣지", "울트라", "프로맥스"), ("티파이", "케이스티파이", "casetify")
-
 
 def accessory_words(tokens: Column, text: Column) -> Column:
     return F.filter(F.array(*map(F.lit, ACCESSORIES)), lambda a: text.contains(a) | F.array_contains(tokens, a))
@@ -177,24 +194,56 @@ def product_name(keyword: Column, tokens: Column, text: Column) -> Column:
 
 def base_name(name: Column) -> Column:
     """A cluster's name without capacities at its end; one token stays."""
-    return tidy(F.regexp_replace(blank(name), rf"(?i)(?<=\S)(?:\s+{STORAGE})+$", ""))
+    return tidy(F.regexp_replace(tidy(blank(name)), rf"(?iU)(?<=\S)(?:\s+{CAPACITY})+$", ""))
+
+
+#: Words of accessory clusters, capacities at the end of a cluster's name, and names that make listings alike, in the order in which they are looked for.
+ACCESSORY_CLUSTER_WORDS = ("케이스", "필름", "강화유리", "유리", "충전기", "충전", "케이블", "젠더", "거치대", "파우치", "그립", "스트랩", "보호", "홀더", "스티커")
+CAPACITY = r"\d+(?:gb|tb|기가|테라)"
+ALIKE = (
+    r"아이폰\s*\d+\s*(?:프로맥스|프로|max|plus|플러스|미니|mini|에어|air)?",
+    r"iphone\s*\d+\s*(?:promax|pro|max|plus|mini|air)?",
+    r"갤럭시\s*s\s*\d+\s*(?:울트라|플러스|plus)?",
+    r"galaxy\s*s\s*\d+\s*(?:ultra|plus)?",
+    r"(?<![a-z0-9])s\s*\d{2}\s*(?:울트라|플러스|plus)?",
+    r"z\s*플립\s*\d+",
+    r"z\s*폴드\s*\d+",
+    r"(?<!\d)\d{2,4}\s*(?:gb|기가|g)(?!\d)",
+    r"(?<!\d)(?:128|256|512|1024)\s*(?!\d)",
+    r"(?<!\d)1\s*(?:tb|테라)(?!\d)",
+)
 
 
 def is_accessory_name(name: Column) -> Column:
-    return blank(name).rlike("(?:케이스|필름)")
+    return blank(name).rlike("|".join(ACCESSORY_CLUSTER_WORDS))
+
+
+def solid(text: Column) -> Column:
+    """Lower-cased, without any white space."""
+    return F.regexp_replace(F.lower(blank(text)), r"(?U)\s+", "")
 
 
-def similarity_tokens(text: Column) -> Column:
-    """The first three distinct model or storage names, by pattern."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    return F.slice(F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(lower, F.lit(p), F.lit(0)) for p in (*MODELS[:9], STORAGE))))), 1, 3)
+def similarity_tokens(*texts: Column) -> Column:
+    """The first three distinct names by which listings are alike, in the order of ``ALIKE``."""
+    lower = F.lower(F.trim(F.concat_ws(" ", *map(blank, texts))))
+    found = F.flatten(F.array(*(F.regexp_extract_all(lower, F.lit(f"(?U){p}"), F.lit(0)) for p in ALIKE)))
+    return F.slice(F.array_distinct(F.filter(F.transform(found, solid), lambda t: t != "")), 1, 3)
 
 
-#: Names and patterns of signs in titles that often mean trouble.
+#: Names and patterns of signs in titles that can matter for the model.
 SIGN_PATTERNS = {
-    "parenthesis": r"[()]", "bracket": r"[\[\]]", "slash": "/", "plus": r"[+＋]", "hash": "#", "star": r"[*★☆]", "exclamation": "!+", "tilde": "[~～]", "colon": "[:：]",
-}
+    "plus_symbol_or_word": r"(?i)(\+|＋|\bplus\b)",
+    "slash_multiple_models": r"/",
+    "hyphen_model_token": r"(?i)[0-9a-z가-힣]\s*[-–—]\s*[0-9a-z가-힣]",
+    "parentheses_detail": r"[\(\)\[\]\{\}]",
+    "inch_symbol": r"\d+(?:\.\d+)?\s*(?:\"|”|″|인치)",
+    "storage_unit": r"(?i)\d+\s*(?:gb|g|tb)",
+    "roman_generation": r"(?i)\b(?:i|ii|iii|iv|v)\b",
+    "ampersand_bundle": r"&",
+    "remaining_special_chars": r"[^0-9a-zA-Z가-힣\s]",
+}
 
 
 def sign_patterns(text: Column) -> Column:
-    return F.filter(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in SIGN_PATTERNS.items())), lambda x: x.isNotNull())
+    own = F.coalesce(text, F.lit(""))
+    return F.filter(F.array(*(F.when(own.rlike(f"(?U){p}"), F.lit(n)) for n, p in SIGN_PATTERNS.items())), lambda x: x.isNotNull())

@@ -25,7 +25,7 @@ LOCAL_TEXTS = 200
 
 def vocabulary(rows: DataFrame, least_length: int = 2, least_count: int = 2) -> DataFrame:
     """(keyword, token, count) of the tokens by which attached words are taken apart."""
-    tokens = rows.select("keyword", F.explode(T.kept_tokens(F.col("cluster_text"))).alias("token")).where(F.length("token") >= least_length)
+    tokens = rows.select("keyword", F.explode(T.kept_tokens(F.col("cluster_text"))).alias("token")).where((F.length("token") >= least_length) & ~T.is_fragment(F.col("token")))
     return tokens.groupBy("keyword", "token").agg(F.count("*").alias("count")).where(F.col("count") >= least_count)
 
 
@@ -65,15 +65,15 @@ def tokenised(rows: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            fixed = f["piece"].str.fullmatch(f"(?:{T.BOUNDARY})")
+            fixed = f["piece"].str.fullmatch(f"(?:{T.BOUNDARY}|{T.IPHONE_VARIANT}|케이스티파이)")
             f["parts"] = [[p] if keep or w is None else split_attached(p, list(w)) for p, w, keep in zip(f["piece"], f["words"], fixed, strict=True)]
             yield f[["keyword", "token", "k", "parts"]]
 
     parts = pieces.join(words, ["keyword", "piece"], "left").select("keyword", "token", "k", "piece", "words").mapInPandas(cut, "keyword string, token string, k int, parts array<string>")
     whole = parts.groupBy("keyword", "token").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "parts"))), lambda x: x["parts"])).alias("parts"))
     back = places.join(whole, ["keyword", "token"]).groupBy("row_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "parts"))), lambda x: x["parts"])).alias("tokens"))
-    fragment = lambda t: t.rlike("^(?:갤럭시)?[sa][0-9]$") | t.isin("s", "a")
-    tokens = F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: ~t.isin(*T.EXCLUDED) & ~t.rlike("^[0-9]+$") & (~fragment(t) | t.rlike(f"^(?:{T.MODEL})$")))
+    kept = F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: ~t.isin(*T.EXCLUDED) & ~t.rlike("^[0-9]+$") & ~T.is_fragment(t))
+    tokens = T.merge_iphone(kept)
     return rows.join(back, "row_id", "left").withColumn("tokens", tokens)
 
 
@@ -270,14 +270,20 @@ def named(rows: DataFrame) -> DataFrame:
 
 
 def merged_keywords(rows: DataFrame) -> DataFrame:
-    """One row of each (platform, pid): that of the longest keyword; matched_keywords in order of appearance, canonical_name with the most tokens, then the longest. rows: seq, platform, pid, keyword, canonical_name, name, price."""
-    words = rows.groupBy("platform", "pid", "keyword").agg(F.min("seq").alias("seq"))
-    lists = words.groupBy("platform", "pid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "keyword"))), lambda x: x["keyword"]), ",").alias("matched_keywords"))
-    best = rows.groupBy("platform", "pid").agg(
-        F.max_by("canonical_name", F.struct(F.size(F.split("canonical_name", " ")), F.length("canonical_name"), (-F.col("seq")).alias("s"))).alias("canonical_name"),
-        F.max_by(F.struct("keyword", "name", "price", "seq"), F.struct(F.length("keyword"), (-F.col("seq")).alias("s"))).alias("kept"),
+    """One row of each (platform, pid): that of the longest keyword in its normal form, the first of equals. matched_keywords are the distinct keywords in order of appearance, canonical_name is the one of them with the most words and numbers, then the longest. rows: seq,
+    platform, pid, keyword, name, price."""
+    normal = T.normal(F.col("keyword"))
+    words = F.size(F.regexp_extract_all(normal, F.lit("[a-z]+[0-9]+|[가-힣]+|[a-z]+|[0-9]+"), F.lit(0)))
+    each = rows.withColumns({"_k": T.blank(F.col("keyword")), "_length": F.length(normal), "_words": words})
+    best = each.groupBy("platform", "pid").agg(
+        F.collect_set(F.when(F.col("_k") != "", F.struct("_k", "_words", "_length"))).alias("known"),
+        F.collect_list(F.when(F.col("_k") != "", F.struct("seq", "_k"))).alias("seen"),
+        F.max_by(F.struct("keyword", "name", "price", "seq"), F.struct("_length", (-F.col("seq")).alias("s"))).alias("kept"),
     )
-    return best.join(lists, ["platform", "pid"]).select("platform", "pid", "canonical_name", "matched_keywords", "kept.keyword", "kept.name", "kept.price")
+    order = F.array_distinct(F.transform(F.array_sort("seen"), lambda x: x["_k"]))
+    ranked = F.transform("known", lambda x: F.struct(x["_words"].alias("w"), x["_length"].alias("n"), (-F.array_position(order, x["_k"])).alias("early"), x["_k"].alias("k")))
+    canonical = F.coalesce(F.array_max(ranked)["k"], F.lit(""))
+    return best.select("platform", "pid", canonical.alias("canonical_name"), F.array_join(order, ", ").alias("matched_keywords"), "kept.keyword", "kept.name", "kept.price")
 
 
 def single_fields(title: Column, keyword: Column) -> Column:

@@ -2,15 +2,51 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelore.functions import text as T
 from pricelore.functions import values as V
 
-#: Brands and words of phone bodies, and the accessory words of a query.
-PHONE_BRANDS = {"아이폰": ("아이폰", "iphone"), "갤럭시": ("갤럭시", "galaxy")}
-LEVELS = ("LOW", "MID", "HIGH", "EXTREME")
+#: Brands and words of phone bodies, words of their accessories, and words of listings that are like no product: accessories and wishes.
+PHONE_BRANDS = (("아이폰", "iphone"), ("갤럭시", "galaxy"))
+PHONE_ACCESSORIES = ("케이스", "젤리케이스", "범퍼케이스", "충전기", "충전케이블", "케이블", "보호필름", "필름", "강화유리", "맥세이프", "magsafe", "거치대", "파우치", "스트랩", "어댑터", "액정필름", "카메라필름", "커버", "시계줄")
+UNLIKE = ("케이스", "필름", "강화유리", "렌즈필름", "카메라필름", "충전기", "충전케이블", "어댑터", "맥세이프", "거치대", "스트랩", "보호캡", "삽니다", "사봐요", "구매합니다", "구합니다", "매입", "교환", "대리구매")
+#: Ordered steps (share of the lowest price, points) and (days, points) of a recommendation.
+PRICE_POINTS, AGE_POINTS = ((1.0, 30), (1.05, 20), (1.10, 10)), ((1, 15), (3, 10), (7, 5))
+#: Words of a product type in a listing and words that rule it out; words of use and of performance levels, with their points.
+TYPE_WORDS = {
+    "desktop": (("컴퓨터", "데스크탑", "데스크톱", "본체", "게이밍pc", "pc"), ("그래픽카드", "rtx", "gtx", "gpu", "그래픽 카드만", "노트북")),
+    "laptop": (("노트북", "맥북", "그램", "갤럭시북", "레노버", "thinkpad"), ()),
+    "smartphone": (("아이폰", "갤럭시", "스마트폰", "핸드폰", "휴대폰", "iphone", "galaxy"), ()),
+    "game_console": (("스위치", "닌텐도", "ps5", "ps4", "플스", "xbox", "steamdeck", "스팀덱"), ()),
+}
+GAMING_POINTS = (("rtx", "gtx", "rx ", "게이밍", "그래픽", "gpu"), 40)
+LEVEL_POINTS = {
+    "LOW": (("gtx 1050", "gtx1050", "gtx 1060", "gtx1060", "gtx 1660", "rtx 2060", "rtx 3060", "rtx 4060"), 25),
+    "MID": (("gtx 1660", "rtx 2060", "rtx 3060", "rtx 4060", "rtx 4070"), 30),
+    "HIGH": (("rtx 3060", "rtx 3070", "rtx 3080", "rtx 4060", "rtx 4070", "rtx 4080"), 35),
+    "EXTREME": (("rtx 4080", "rtx4080", "rtx 4090", "rtx4090"), 40),
+}
+#: Reasons of a recommendation.
+REASONS = {
+    "lowest": "현재가가 기록된 최저가 수준이라 가격 메리트가 큰 상품입니다.",
+    "fitting": "검색어와 상품명, 카테고리 조건이 잘 맞는 상품입니다.",
+    "related": "검색 조건과 연관성이 있는 상품입니다.",
+    "wished": "찜 목록에 있는 상품이라 우선 추천했습니다.",
+    "seen": "최근 본 상품과도 연결되는 후보입니다.",
+}
+#: How the search for a type judges a title: words of a whole computer, of its looks, of a card alone, of parts; words of accessories in a query and in a title.
+WHOLE_PC = ("본체", "데스크탑", "완본체", "조립pc", "조립 pc", "게이밍pc", "게이밍 pc", "고사양 컴퓨터", "컴퓨터 풀세트")
+LOOKS_PC = ("pc", "컴퓨터", "본체", "데스크탑", "게이밍")
+PC_PARTS = ("메인보드", "보드", "파워", "램", "ram", "ssd", "hdd", "케이블", "어댑터", "케이스", "키보드", "마우스", "모니터", "책상", "테이블", "노트북", "맥미니", "mac mini", "맥북")
+LAPTOP_TITLES = ("노트북", "맥북", "gram", "그램", "thinkpad", "레노버")
+PHONE_TITLES = ("아이폰", "iphone", "갤럭시", "galaxy", "핸드폰", "스마트폰")
+ASKED_ACCESSORIES = ("케이스", "충전기", "충전", "케이블", "보호필름", "필름", "강화유리", "맥세이프", "magsafe", "거치대", "파우치", "스트랩", "어댑터", "액세서리")
+TITLE_ACCESSORIES = ("케이스", "젤리케이스", "범퍼케이스", "충전기", "충전 케이블", "케이블", "보호필름", "필름", "강화유리", "맥세이프", "magsafe", "거치대", "파우치", "스트랩", "어댑터", "액정필름", "카메라필름")
+QUERY_TOKEN = r"[a-z]+[0-9]+|[가-힣]+|[a-z]+|[0-9]+"
 
 
 def search_text(*columns: str) -> Column:
@@ -27,13 +63,14 @@ def on_platforms(platforms: tuple[str, ...], column: Column) -> Column:
 
 
 def relevance(rows: DataFrame, query: str, shuffle: bool = True) -> DataFrame:
-    """``rows`` (text, price, key) with ``relevance``: matched share of the query's tokens, the whole query, nearness to the mean price, and a stable shuffle."""
-    tokens = [t for t in query.lower().split() if t]
+    """``rows`` (text, price, key) with ``relevance``: the share of the query's tokens that the text holds, the whole query, nearness to the mean price, and a shuffle that the query and the key always give."""
+    whole = "".join(query.lower().split())
+    tokens = re.findall(QUERY_TOKEN, whole)
     mean = rows.where("price > 0").agg(F.avg("price")).first()[0] or 0.0
     share = sum((F.when(F.col("text").contains(t), 1).otherwise(0) for t in tokens), F.lit(0)) / max(len(tokens), 1)
-    near = F.greatest(F.lit(0.0), 1 - F.abs(F.col("price") - mean) / max(mean, 1.0))
-    whole = F.when(matches(query, F.col("text")), 0.35).otherwise(0.0)
-    return rows.withColumn("relevance", 8 * share + whole + 2 * near + (V.stable_share(F.col("key")) if shuffle else F.lit(0.0)))
+    near = F.greatest(F.lit(0.0), 1 - F.abs(F.coalesce("price", F.lit(0)) - mean) / max(mean, 1.0))
+    bonus = F.when(F.col("text").contains(whole), 0.35).otherwise(0.0) if whole else F.lit(0.0)
+    return rows.withColumn("relevance", 8 * share + bonus + 2 * near + (V.stable_share(F.concat_ws(":", F.lit(whole), F.col("key"))) if shuffle else F.lit(0.0)))
 
 
 def search(rows: DataFrame, query: str, platforms: tuple[str, ...] = (), sort: str = "low_price", page: int = 1, limit: int = 20) -> DataFrame:
@@ -63,17 +100,18 @@ def field_search(
     rows: DataFrame, query: str, limit: int = 20, weights: tuple[tuple[str, float], ...] = (("canonical_name", 5.0), ("title", 4.0), ("matched_keywords", 3.0), ("normalized_title", 2.0), ("search_text", 1.0)), k1: float = 1.2, b: float = 0.75,
     platforms: tuple[str, ...] = (), sort: str = "relevance", page: int = 1,
 ) -> DataFrame:
-    """(document_id, score): a page of ``searchable`` documents by relevance, recent or low_price, then by score. The score is BM25 of the best field in which every query term is found, exactly or by few edits (none up to two characters, one up to five, else two).
+    """(document_id, score): a page of ``searchable`` documents by relevance, recent or low_price, then by score. The score is BM25 of the best field in which every query term is found, exactly or by few edits (none up to two characters, one up to five, else two); words of texts and queries are cut alike.
 
     The filters come first, so term and field statistics are those of the documents that can be found.
     """
     spark = rows.sparkSession
     rows = searchable(rows, query, platforms)
     order = {"relevance": [], "recent": [F.desc_nulls_last("crawled_on")], "low_price": [F.asc_nulls_last("current_price")]}[sort]
-    fields = [(f, w) for f, w in weights if f in rows.columns]
-    each = rows.select("document_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), F.split(T.normal(F.col(f), "none"), " ").alias("words")) for f, w in fields))).alias("f")).select("document_id", "f.*")
-    terms = spark.createDataFrame([(t,) for t in dict.fromkeys(query.lower().split())], "term string")
-    n_terms = terms.count()
+    fields, types = [(f, w) for f, w in weights if f in rows.columns], dict(rows.dtypes)
+    whole = lambda f: F.array_join(f, " ") if types[f].startswith("array") else F.col(f)
+    each = rows.select("document_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), T.least_tokens(whole(f), 1).alias("words")) for f, w in fields))).alias("f")).select("document_id", "f.*").where(F.size("words") > 0)
+    asked = list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
+    terms, n_terms = spark.createDataFrame([(t,) for t in asked], "term string"), len(asked)
     stats = each.groupBy("field").agg(F.avg(F.size("words")).alias("mean"), F.count("*").alias("docs"))
     words = each.select("document_id", "field", "weight", F.size("words").alias("size"), F.explode("words").alias("word"))
     edits = F.when(F.length("term") <= 2, 0).when(F.length("term") <= 5, 1).otherwise(2)
@@ -92,37 +130,57 @@ def hydrate(ranked: DataFrame, items: DataFrame) -> DataFrame:
     return ranked.join(items, "item_id").orderBy("place")
 
 
-def fits_intent(query: str, text: Column) -> Column:
-    """A query for a phone's body keeps its brand and no accessories, unless it asks for them."""
-    asked = query.lower()
-    accessory = lambda c: F.exists(F.array(*map(F.lit, V.ACCESSORY_TOKENS)), lambda w: F.call_function("contains", c, w))
-    brand = next((words for words in PHONE_BRANDS.values() if any(w in asked for w in words)), None)
-    if not brand or any(w in asked for w in V.ACCESSORY_TOKENS):
+def asks_for_phone(query: str) -> bool:
+    """Whether a query is for a phone's body: it names a brand and no accessory."""
+    asked = "".join(query.lower().split())
+    return any(w in asked for words in PHONE_BRANDS for w in words) and not any(w in asked for w in PHONE_ACCESSORIES)
+
+
+def fits_intent(query: str, *texts: Column) -> Column:
+    """A query for a phone's body keeps its brand and no accessories; any other keeps all."""
+    if not asks_for_phone(query):
         return F.lit(True)
-    return F.exists(F.array(*map(F.lit, brand)), lambda w: F.call_function("contains", text, w)) & ~accessory(text)
+    asked, solid = "".join(query.lower().split()), T.solid(F.concat_ws(" ", *texts))
+    brand = next(words for words in PHONE_BRANDS if any(w in asked for w in words))
+    return V.holds_any(solid, brand) & ~V.holds_any(solid, PHONE_ACCESSORIES)
 
 
-def widened(limit: int) -> int:
-    return min(max(limit * 4, limit + 20), 200)
+def widened(query: str, limit: int) -> int:
+    """How many are fetched so that ``limit`` are left after ``fits_intent``."""
+    return min(max(limit * 4, limit + 20), 200) if asks_for_phone(query) else limit
 
 
-def accessory_or_wanted(text: Column) -> Column:
-    return text.rlike("|".join(("케이스", "필름", "커버", "거치대", "충전기", "공박스", "빈박스", *V.NOISE_TOKENS)))
+def accessory_or_wanted(*texts: Column) -> Column:
+    return V.holds_any(T.solid(F.concat_ws(" ", *map(T.blank, texts))), UNLIKE)
 
 
-def similar(rows: DataFrame, tokens: Column, text: Column) -> DataFrame:
-    """Rows that are no accessories and hold all similarity tokens; all candidates if there are no tokens."""
-    return rows.where(~accessory_or_wanted(text) & F.forall(tokens, lambda t: F.call_function("contains", text, t)))
+def similar(rows: DataFrame, tokens: Column, *texts: Column) -> DataFrame:
+    """Rows that are no accessories or wishes and hold all similarity tokens; all candidates if there are no tokens."""
+    solid = T.solid(F.concat_ws(" ", *map(T.blank, texts)))
+    return rows.where(~accessory_or_wanted(*texts) & F.forall(tokens, lambda t: F.call_function("contains", solid, t)))
 
 
 def documents(items: DataFrame) -> DataFrame:
-    """Search documents; items without id, price or title have none."""
-    filled = lambda *c: F.coalesce(*(F.nullif(F.trim(F.col(x)), F.lit("")) for x in c))
-    out = items.where(F.col("item_id").isNotNull() & F.col("current_price").isNotNull() & (T.blank(F.col("title")) != ""))
-    return out.select(
-        F.col("item_id").cast("string").alias("document_id"), "item_id", filled("title", "canonical_name", "category_name").alias("title"), filled("canonical_name", "title").alias("canonical_name"), "category_name", "current_price", V.state(F.col("status")).alias("status"),
-        T.normal(F.col("title"), "none", parted=True).alias("normalized_title"), F.array_join(V.quality_flags(F.col("title"), F.col("current_price")), ",").alias("quality_flags"), F.lower(F.concat_ws(" ", "title", "canonical_name", "category_name")).alias("search_text"), V.index_date(F.date_format("crawled_at", "yyyy-MM-dd")).alias("crawled_on"),
-        *([F.col("platform_name").alias("platform")] if "platform_name" in items.columns else ["platform"] if "platform" in items.columns else []),
+    """Search documents (item_id, title, canonical_name, category_name, current_price, status, crawled_at, and where the table has them platform_name or platform, original_id, matched_keywords, thumbnail_url, item_url).
+
+    Items without id, price, title, or a platform or original id that the table should have, have none. A blank canonical name falls back to the title, a blank category to that, no keywords to that.
+    """
+    text = {c: T.blank(F.col(c)) for c in items.columns if dict(items.dtypes)[c] == "string"}
+    platform = next((text[c] for c in ("platform_name", "platform") if c in text), None)
+    ok = F.col("item_id").isNotNull() & F.col("current_price").isNotNull() & (text["title"] != "")
+    for needed in (platform, text.get("original_id")):
+        ok = ok if needed is None else ok & (needed != "")
+    canonical = F.when(text["canonical_name"] != "", text["canonical_name"]).otherwise(text["title"])
+    category = F.when(text["category_name"] != "", text["category_name"]).otherwise(canonical)
+    words = F.array_distinct(F.filter(F.split(text["matched_keywords"], "[,/|;]"), lambda w: w != "")) if "matched_keywords" in text else F.array().cast("array<string>")
+    words = F.when(F.size(words) > 0, words).otherwise(F.array(canonical))
+    normal, flags = T.normal(text["title"], "none", parted=True), V.quality_flags(text["title"], F.col("current_price"))
+    some = lambda name, column: [] if column is None else [column.alias(name)]
+    return items.where(ok).select(
+        F.col("item_id").cast("string").alias("document_id"), "item_id", *some("platform", platform), *some("pid", text.get("original_id")), *some("item_key", F.concat_ws(":", platform, text["original_id"]) if platform is not None and "original_id" in text else None),
+        text["title"].alias("title"), normal.alias("normalized_title"), canonical.alias("canonical_name"), category.alias("category_name"), words.alias("matched_keywords"), F.concat_ws(" ", text["title"], normal, canonical, category, words).alias("search_text"),
+        "current_price", V.import_state(F.col("status")).alias("status"), *some("image_url", text.get("thumbnail_url")), *some("item_url", text.get("item_url")), V.index_date(F.date_format("crawled_at", "yyyy-MM-dd")).alias("crawled_on"),
+        F.array_contains(flags, "accessory_candidate").alias("is_accessory_candidate"), F.array_join(flags, ",").alias("quality_flags"),
     )
 
 
@@ -152,37 +210,52 @@ def series_summary(points: DataFrame, group: str = "item_id") -> DataFrame:
 
 
 def nearest_point(products: DataFrame, points: DataFrame) -> DataFrame:
-    """(product_id, idx): the point of the product's series with its month and day, else the nearest by 31 * month + day, the first of equals. products: product_id, series_id, day; points: series_id, idx, day."""
+    """(product_id, idx): the point of the product's series with its month and day, else the nearest by 31 * month + day, the first of equals. A product without a day gets the last point, less three for each ``place`` before it.
+
+    products: product_id, series_id, day, and place if there is one; points: series_id, idx, day. A series has 403 different days at most, so its points are one short array and each (series, day) is placed once.
+    """
     number = lambda c: F.month(c) * 31 + F.dayofmonth(c)
-    met = products.select("product_id", "series_id", number("day").alias("p")).join(points.select("series_id", "idx", number("day").alias("q")), "series_id")
-    return met.groupBy("product_id").agg(F.min_by("idx", F.struct(F.abs(F.col("p") - F.col("q")).alias("d"), "idx")).alias("idx"))
+    first = points.groupBy("series_id", number("day").alias("q")).agg(F.min("idx").alias("idx"), F.max("idx").alias("last"))
+    held = first.groupBy("series_id").agg(F.collect_list(F.struct("q", "idx")).alias("points"), F.min("idx").alias("low"), F.max("last").alias("high"))
+    own = products.withColumns({"p": number("day"), "place": F.col("place") if "place" in products.columns else F.lit(0)})
+    near = F.array_min(F.transform(F.filter("points", lambda x: x["q"].isNotNull()), lambda x: F.struct(F.abs(x["q"] - F.col("p")).alias("d"), x["idx"].alias("idx"))))["idx"]
+    placed = own.select("series_id", "p").distinct().join(held, "series_id").select("series_id", F.col("p").alias("known_p"), F.when(F.col("p").isNotNull(), near).alias("near"), "low", "high")
+    met = own.alias("o").join(placed.alias("k"), (F.col("o.series_id") == F.col("k.series_id")) & F.col("p").eqNullSafe(F.col("known_p")))
+    return met.select("product_id", F.coalesce("near", F.least(F.col("high"), F.greatest(F.col("low"), F.col("high") - 3 * F.col("place")))).alias("idx"))
 
 
 def related_clusters(items: DataFrame, history: DataFrame, name: str, limit: int = 6) -> DataFrame:
-    """Clusters that begin like ``name`` without its capacity: itself first, then by count."""
+    """(cluster_product_name, mean_price, item_count, points): clusters that begin like ``name`` without its capacity, itself first, then by count; ``points`` are (day, price) in order."""
     base = items.sparkSession.createDataFrame([(name,)], "n string").select(T.base_name(F.col("n"))).first()[0].lower()
-    own = F.col("cluster_product_name") == name
-    found = items.where(F.lower("cluster_product_name").startswith(base) & (own | ~T.is_accessory_name(F.col("cluster_product_name"))))
-    stats = found.groupBy("cluster_product_name").agg(F.round(F.avg("current_price")).cast("long").alias("mean_price"), F.count("*").alias("item_count"))
-    points = daily_points(found.select("item_id", "cluster_product_name").join(history, "item_id"), ["cluster_product_name"]).groupBy("cluster_product_name").agg(F.count("*").alias("days"))
-    return stats.join(points, "cluster_product_name", "left").orderBy(F.desc(F.col("cluster_product_name") == name), F.desc("item_count"), "cluster_product_name").limit(limit)
-
-
-def similar_group_series(target: dict, items: DataFrame, history: DataFrame, most: int = 300) -> DataFrame:
-    """(day, price) of the items like ``target`` (canonical_name, category_name, title): the oldest 300 of its name, or of its category, that hold its tokens, without price outliers."""
-    by = "canonical_name" if target.get("canonical_name") else "category_name"
-    spark = items.sparkSession
-    tokens = spark.createDataFrame([(target.get("title") or "",)], "t string").select(T.similarity_tokens(F.col("t"))).first()[0]
-    own = items.where(F.lower(by) == (target.get(by) or "").lower()).orderBy("item_id").limit(most)
-    text = F.lower(F.concat_ws(" ", "title", "canonical_name"))
-    kept = similar(own, F.array(*map(F.lit, tokens)).cast("array<string>"), text)
-    joined = kept.select("item_id").join(history, "item_id")
-    n, middle = joined.agg(F.count("*"), F.sort_array(F.collect_list("price"))).first() if most <= 300 else (0, [])
-    if n >= 3:
-        median = middle[n // 2]
-        inside = joined.where(F.col("price").between(0.35 * median, 2.5 * median))
-        joined = joined if inside.isEmpty() else inside
-    return daily_points(joined, [])
+    cluster = T.blank(F.col("cluster_product_name"))
+    own = cluster == name.strip()
+    found = items.where(F.col("item_id").isNotNull() & (cluster != "") & F.lower(cluster).startswith(base) & (own | ~T.is_accessory_name(cluster))).withColumn("cluster_product_name", cluster)
+    stats = found.groupBy("cluster_product_name").agg(F.round(F.avg(F.coalesce("current_price", F.lit(0)))).cast("long").alias("mean_price"), F.count("*").alias("item_count"))
+    first = stats.orderBy(F.desc(own), F.desc("item_count"), "cluster_product_name").limit(limit)
+    daily = daily_points(found.join(first.select("cluster_product_name"), "cluster_product_name", "left_semi").select("item_id", "cluster_product_name").join(history, "item_id"), ["cluster_product_name"])
+    points = daily.groupBy("cluster_product_name").agg(F.array_sort(F.collect_list(F.struct("day", "price"))).alias("points"))
+    none = F.array().cast("array<struct<day: string, price: bigint>>")
+    return first.join(points, "cluster_product_name", "left").withColumn("points", F.coalesce("points", none)).orderBy(F.desc(own), F.desc("item_count"), "cluster_product_name")
+
+
+def similar_group_series(target: dict, items: DataFrame, most: int = 300) -> DataFrame:
+    """(day, price): the mean price by day seen of items like ``target`` (canonical_name, category_name, title, matched_keywords): the first 300 seen of its name, or of its category, that are no accessories and hold its tokens, without price outliers.
+
+    An outlier is outside 0.35 to 2.5 times the middle price; if all are, or there are fewer than three, none is.
+    """
+    given = {k: (target.get(k) or "").strip() for k in ("canonical_name", "category_name", "title", "matched_keywords")}
+    by = "canonical_name" if given["canonical_name"] else "category_name"
+    if not given[by]:
+        return items.where(F.lit(False)).select(F.lit("").alias("day"), F.lit(0).cast("long").alias("price"))
+    one = items.sparkSession.createDataFrame([tuple(given.values())], "canonical_name string, category_name string, title string, matched_keywords string")
+    tokens = one.select(T.similarity_tokens(F.col("title"), F.col("canonical_name"), F.col("matched_keywords"))).first()[0]
+    own = items.where((F.col(by) == given[by]) & F.col("current_price").isNotNull()).orderBy("crawled_at", "item_id").limit(most)
+    kept = similar(own, F.array(*map(F.lit, tokens)).cast("array<string>"), F.col("title"), F.col("canonical_name"), F.col("category_name")).where("current_price > 0")
+    listed = kept.agg(F.sort_array(F.collect_list(F.struct(F.col("current_price").alias("price"), F.date_format("crawled_at", "yyyy-MM-dd").alias("day")))).alias("all"))  # ``most`` at most
+    middle = F.get("all", F.floor(F.size("all") / 2).cast("int"))["price"]
+    inside = F.filter("all", lambda x: (x["price"] >= 0.35 * middle) & (x["price"] <= 2.5 * middle))
+    chosen = F.when((F.size("all") < 3) | (F.size(inside) == 0), F.col("all")).otherwise(inside)
+    return listed.select(F.explode(chosen).alias("x")).select("x.*").where("day IS NOT NULL").groupBy("day").agg(F.round(F.avg("price")).cast("long").alias("price"))
 
 
 def price_advice(items: DataFrame) -> DataFrame:
@@ -243,31 +316,102 @@ def not_stored(new: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("user
 
 
 def user_counts(users: DataFrame, wishlists: DataFrame) -> DataFrame:
+    """(user_id, wishlist_count) of every user, the newest first (by created_at where there is one, else by id)."""
     counts = wishlists.groupBy("user_id").agg(F.count("*").alias("wishlist_count"))
-    return users.join(counts, "user_id", "left").select("user_id", F.coalesce("wishlist_count", F.lit(0)).alias("wishlist_count"))
-
-
-def recommendation_score(keyword: str, as_of: Column, gaming: bool = False, level: str | None = None) -> Column:
-    """The whole-number score of a candidate: how its names hold the keyword, its category, its price against its lowest, its age."""
-    word = keyword.lower()
-    has = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))).contains(word)
-    name, title = F.lower(T.blank(F.col("canonical_name"))), F.lower(T.blank(F.col("title")))
-    score = F.when(name == word, 120).when(has("canonical_name"), 100).otherwise(0) + F.when(title == word, 90).when(has("title"), 70).otherwise(0) + F.when(has("matched_keywords"), 60).otherwise(0) + F.when(has("category_name"), 35).otherwise(0)
-    if gaming:
-        score = score + F.when(title.rlike("게이밍|gaming|rtx|gtx"), 40).otherwise(0)
-    if level:
-        score = score + F.when(performance_level(title) == level, 40).when(level_at_least(performance_level(title), level), 25).otherwise(0)
-    ratio = F.col("current_price") / F.col("lowest_price")
-    days = (as_of.cast("double") - F.col("crawled_at").cast("double")) / 86400
-    return (score + price_bonus(ratio) + F.when(days <= 1, 15).when(days <= 7, 10).when(days <= 30, 5).otherwise(0)).cast("int")
-
-
-def price_bonus(ratio: Column) -> Column:
-    return F.when(ratio <= 1.0, 30).when(ratio <= 1.1, 20).when(ratio <= 1.3, 10).otherwise(0)
-
-
-def recommend(items: DataFrame, keyword: str, as_of: Column, low: int | None = None, high: int | None = None, limit: int = 10, most: int = 150) -> DataFrame:
-    """The ten best of at most 150 candidates (by item_id): on sale, priced, within bounds, keyword in a name."""
+    newest = [F.desc_nulls_last("created_at")] if "created_at" in users.columns else []
+    return users.join(counts, "user_id", "left").withColumn("wishlist_count", F.coalesce("wishlist_count", F.lit(0))).orderBy(*newest, F.desc("user_id")).select("user_id", "wishlist_count")
+
+
+def user_search(users: DataFrame, role: str | None = None, status: str | None = None, text: str = "") -> DataFrame:
+    """Users of a role and a status whose name or address holds a text, in any case, the newest first."""
+    ok, word = F.lit(True), text.strip().lower()
+    if role:
+        ok = ok & (F.col("role") == role)
+    if status:
+        ok = ok & (F.col("status") == status)
+    if word:
+        ok = ok & F.lower(F.concat_ws("\n", "name", "email")).contains(word)
+    return users.where(ok).orderBy(F.desc("user_id"))
+
+
+def users_by(users: DataFrame) -> DataFrame:
+    """(role, status, users): counts by both, and by each alone (the other null), and in all, by grouping sets."""
+    return users.groupingSets([["role", "status"], ["role"], ["status"], []], "role", "status").agg(F.grouping_id().alias("level"), F.count("*").alias("users")).drop("level")
+
+
+def type_fits(kind: str | None, *texts: Column) -> Column:
+    """Whether a listing's names are of a product type and of no part of it; any listing is where no type is asked for."""
+    words, without = TYPE_WORDS.get((kind or "").strip().lower(), ((), ()))
+    text = F.concat_ws(" ", *(F.lower(T.blank(t)) for t in texts))
+    ok = V.holds_any(text, words) if words else F.lit(True)
+    return ok & ~V.holds_any(text, without) if without else ok
+
+
+def search_fits(title: Column, keyword: str = "", kind: str | None = None) -> Column:
+    """Whether a title is what a search for a keyword and a product type is after: the phone brand, no accessory unless one is asked for, and the model's number; a whole computer; a laptop; a phone; else a word of the keyword."""
+    text, asked, kind = T.tidy(F.lower(T.blank(title))), " ".join(keyword.lower().split()), (kind or "").strip().lower()
+    plain = F.lit(True) if any(w in asked for w in ASKED_ACCESSORIES) else ~V.holds_any(text, TITLE_ACCESSORIES)
+    number = re.search(r"\d+", asked)
+    for words in PHONE_BRANDS:
+        if any(w in asked for w in words):
+            return (text != "") & V.holds_any(text, words) & plain & (text.contains(number[0]) if number else F.lit(True))
+    if kind == "desktop":
+        ok = V.holds_any(text, LOOKS_PC) & V.holds_any(text, WHOLE_PC) & ~V.holds_any(text, PC_PARTS)
+    elif kind == "laptop":
+        ok = V.holds_any(text, LAPTOP_TITLES)
+    elif kind == "smartphone":
+        ok = plain & V.holds_any(text, PHONE_TITLES)
+    elif len(asked) >= 2:
+        tokens = tuple(t for t in re.split("[^0-9a-zA-Z가-힣]+", asked) if len(t) >= 2)
+        ok = text.contains(asked) | (V.holds_any(text, tokens) if tokens else F.lit(False))
+    else:
+        ok = F.lit(True)
+    return (text != "") & ok
+
+
+def price_points(current: Column, lowest: Column) -> Column:
+    """Points for a price near the lowest one, whose steps are rounded to whole units."""
+    out = F.lit(0)
+    for share, points in reversed(PRICE_POINTS):
+        out = F.when(current <= F.floor(lowest * share + 0.5), points).otherwise(out)
+    return F.when((lowest > 0) & current.isNotNull(), out).otherwise(0)
+
+
+def age_points(seen: Column, as_of: Column) -> Column:
+    """Points for a listing seen within so many days."""
+    out = F.lit(0)
+    for days, points in reversed(AGE_POINTS):
+        out = F.when(seen > as_of - F.expr(f"INTERVAL {days} DAYS"), points).otherwise(out)
+    return F.when(seen.isNotNull(), out).otherwise(0)
+
+
+def reason(current: Column, lowest: Column, score: Column, use_case: str | None = None, game: str | None = None) -> Column:
+    """Why a listing is recommended."""
+    if use_case == "gaming":
+        return F.lit(f"{game} 플레이 후보로 볼 만합니다. 옵션 타협 여부와 부품 구성을 함께 확인해 주세요." if game else "게이밍 용도로 볼 만한 상품입니다. CPU, GPU, RAM 구성을 함께 확인해 주세요.")
+    low = (lowest > 0) & (current <= F.floor(lowest * PRICE_POINTS[1][0] + 0.5))
+    return F.when(low, REASONS["lowest"]).when(score >= 100, REASONS["fitting"]).otherwise(REASONS["related"])
+
+
+def recommendation_score(keyword: str, as_of: Column, kind: str | None = None, use_case: str | None = None, level: str | None = None) -> Column:
+    """The whole-number score of a candidate: how its names hold the keyword, its use and performance level, its price against its lowest, its age; -100 for another product type."""
+    word = keyword.strip().lower()
+    names = {c: F.lower(T.blank(F.col(c))) for c in ("title", "canonical_name", "matched_keywords", "category_name")}
+    score = F.lit(0)
+    if word:
+        score = F.when(names["canonical_name"] == word, 120).when(names["canonical_name"].contains(word), 100).otherwise(0) + F.when(names["title"] == word, 90).when(names["title"].contains(word), 70).otherwise(0)
+        score = score + F.when(names["matched_keywords"].contains(word), 60).otherwise(0) + F.when(names["category_name"].contains(word), 35).otherwise(0)
+    if (use_case or "").strip().lower() == "gaming":
+        score = score + F.when(V.holds_any(names["title"], GAMING_POINTS[0]), GAMING_POINTS[1]).otherwise(0)
+    if (level or "").strip().upper() in LEVEL_POINTS:
+        words, points = LEVEL_POINTS[level.strip().upper()]
+        score = score + F.when(V.holds_any(names["title"], words), points).otherwise(0)
+    whole = score + price_points(F.col("current_price"), F.col("lowest_price")) + age_points(F.col("crawled_at"), as_of)
+    return F.when(type_fits(kind, *names.values()), whole).otherwise(-100).cast("int")
+
+
+def recommend(items: DataFrame, keyword: str, as_of: Column, low: int | None = None, high: int | None = None, limit: int = 10, most: int = 150, kind: str | None = None, use_case: str | None = None, level: str | None = None) -> DataFrame:
+    """The ten best, with ``score`` and ``reason``, of at most 150 candidates (by item_id): on sale, priced, within bounds, keyword in a name."""
     word = keyword.lower()
     held = [F.lower(F.coalesce(F.col(c), F.lit(""))).contains(word) for c in ("canonical_name", "title", "matched_keywords", "category_name")]
     ok = (F.col("status") == V.ON_SALE) & (F.col("current_price") > 0) & (held[0] | held[1] | held[2] | held[3])
@@ -276,21 +420,25 @@ def recommend(items: DataFrame, keyword: str, as_of: Column, low: int | None = N
     if high is not None:
         ok = ok & (F.col("current_price") <= high)
     candidates = items.where(ok).orderBy("item_id").limit(most)
-    return candidates.withColumn("score", recommendation_score(keyword, as_of)).where("score > 0").orderBy(F.desc("score"), "current_price", "item_id").limit(limit)
+    scored = candidates.withColumn("score", recommendation_score(keyword, as_of, kind, use_case, level)).where("score > 0")
+    return scored.withColumn("reason", reason(F.col("current_price"), F.col("lowest_price"), F.col("score"), use_case)).orderBy(F.desc("score"), "current_price", "item_id").limit(limit)
 
 
 def recommend_personal(items: DataFrame, wishlists: DataFrame, views: DataFrame, as_of: Column, newest: int = 30, limit: int = 10) -> DataFrame:
-    """(user_id, item_id, score, reason, place): the best of the newest items by price and age, with bonuses for what a user wished for (30) or saw among the last 20 (15)."""
-    ratio, days = F.col("current_price") / F.col("lowest_price"), (as_of.cast("double") - F.col("crawled_at").cast("double")) / 86400
-    pool = items.where(F.col("status") == V.ON_SALE).orderBy(F.desc("item_id")).limit(newest).withColumn("base", price_bonus(ratio) + F.when(days <= 1, 15).when(days <= 7, 10).when(days <= 30, 5).otherwise(0)).orderBy(F.desc("base"), "item_id").limit(limit).select("item_id", "current_price", "base")
+    """(user_id, item_id, current_price, score, reason, place): the best of the newest items by price and age, with bonuses for what a user wished for (30) or saw among the last 20 (15); the cheapest first, unpriced ones last."""
+    points = price_points(F.col("current_price"), F.col("lowest_price")) + age_points(F.col("crawled_at"), as_of)
+    pool = items.where(F.col("status") == V.ON_SALE).orderBy(F.desc("item_id")).limit(newest).withColumn("base", points).orderBy(F.desc("base"), F.desc("item_id")).limit(limit)
+    pool = pool.select("item_id", "current_price", "base", reason(F.col("current_price"), F.col("lowest_price"), F.col("base")).alias("why"))
+    made = [F.struct(F.lit(r["item_id"]).cast("long").alias("item_id"), F.lit(r["current_price"]).cast("long").alias("current_price"), F.lit(r["base"]).alias("base"), F.lit(r["why"]).alias("why")) for r in pool.collect()]  # ``limit`` at most
     wished = wishlists.select("user_id", "item_id").distinct().withColumn("wished", F.lit(30))
     seen = latest_distinct(views, "item_id", 20).select("user_id", "item_id").withColumn("seen", F.lit(15))
     users = wished.select("user_id").unionByName(seen.select("user_id")).distinct()
-    offers = users.withColumn("offers", F.lit(1)).join(F.broadcast(pool.withColumn("offers", F.lit(1))), "offers").drop("offers")  # ten items for each user
+    offered = F.array(*made) if made else F.array().cast("array<struct<item_id: bigint, current_price: bigint, base: int, why: string>>")
+    offers = users.select("user_id", F.explode(offered).alias("o")).select("user_id", "o.*")
     scored = offers.join(wished, ["user_id", "item_id"], "left").join(seen, ["user_id", "item_id"], "left").withColumn("score", F.col("base") + F.coalesce("wished", F.lit(0)) + F.coalesce("seen", F.lit(0)))
-    reason = F.when(F.col("wished").isNotNull(), "wishlist").when(F.col("seen").isNotNull(), "recent").otherwise("price")
-    order = Window.partitionBy("user_id").orderBy((F.col("current_price") <= 0).cast("int"), "current_price", F.desc("score"), "item_id")
-    return scored.select("user_id", "item_id", "current_price", "score", reason.alias("reason"), F.row_number().over(order).alias("place"))
+    told = F.concat_ws(" ", "why", F.when(F.col("wished").isNotNull(), REASONS["wished"]), F.when(F.col("seen").isNotNull(), REASONS["seen"]))
+    order = Window.partitionBy("user_id").orderBy((F.coalesce("current_price", F.lit(0)) <= 0).cast("int"), "current_price", F.desc("score"), "item_id")
+    return scored.select("user_id", "item_id", "current_price", "score", told.alias("reason"), F.row_number().over(order).alias("place"))
 
 
 def personal_comparison(user_items: DataFrame, n: int = 5) -> DataFrame:
@@ -302,14 +450,27 @@ def personal_comparison(user_items: DataFrame, n: int = 5) -> DataFrame:
 
 
 def picker_quota(own: DataFrame, recommended: DataFrame) -> DataFrame:
-    """(section, product_id, kind, place): a section's own products, then two recommended ones (one if it has six or more) that hold all its tokens and that no earlier section uses.
+    """(user_id, section, product_id, kind, place): a section's own products, then two recommended ones (one if it has six or more), in the order in which they are recommended, that hold all its tokens. Sections choose one after the other; each takes what no
+    earlier one took. The section of other products (no tokens) gets none.
 
-    own: section, section_no, tokens, product_id, place; recommended: product_id, text, place."""
-    sections = own.groupBy("section", "section_no").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
-    fits = sections.join(recommended, F.forall("tokens", lambda t: F.call_function("contains", F.col("text"), t))).join(own.select("product_id"), "product_id", "left_anti")
-    once = fits.groupBy("product_id").agg(F.min_by(F.struct("section", "section_no", "n", "place"), "section_no").alias("f")).select("product_id", "f.*")
-    ranked = once.withColumn("nth", F.row_number().over(Window.partitionBy("section").orderBy("place", "product_id"))).where(F.col("nth") <= F.when(F.col("n") >= 6, 1).otherwise(2))
-    return own.select("section", "product_id", F.lit("own").alias("kind"), "place").unionByName(ranked.select("section", "product_id", F.lit("recommended").alias("kind"), F.col("nth").alias("place")))
+    own: user_id, section, section_no, tokens, product_id, place; recommended: user_id, product_id, text, place. A user's sections and recommendations are a screen's lists.
+    """
+    sections = own.groupBy("user_id", "section", "section_no").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
+    fresh = recommended.join(own.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
+    fits = sections.where(F.size("tokens") > 0).join(fresh, "user_id").where(F.forall("tokens", lambda t: F.call_function("contains", F.lower("text"), F.lower(t))))
+    listed = fits.groupBy("user_id", "section", "section_no", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "product_id"))), lambda x: x["product_id"]).alias("ids"))
+    kind = dict(own.dtypes)["product_id"]
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("used"), F.array().cast(f"array<struct<section: string, ids: array<{kind}>>>").alias("out"))
+
+    def choose(state: Column, x: Column) -> Column:
+        left = F.filter(x["ids"], lambda i: ~F.array_contains(state["used"], i))
+        got = F.slice(left, 1, F.when(x["n"] >= 6, 1).otherwise(2))
+        return F.struct(F.concat(state["used"], got).alias("used"), F.concat(state["out"], F.array(F.struct(x["section"].alias("section"), got.alias("ids")))).alias("out"))
+
+    turn = F.array_sort(F.collect_list(F.struct("section_no", "section", "n", "ids")))
+    chosen = listed.groupBy("user_id").agg(turn.alias("turns")).select("user_id", F.explode(F.aggregate("turns", start, choose, lambda s: s["out"])).alias("x"))
+    more = chosen.select("user_id", "x.section", F.posexplode("x.ids").alias("at", "product_id"))
+    return own.select("user_id", "section", "product_id", F.lit("own").alias("kind"), "place").unionByName(more.select("user_id", "section", "product_id", F.lit("recommended").alias("kind"), (F.col("at") + 1).alias("place")))
 
 
 def longest_series(candidates: DataFrame, group: str) -> DataFrame:
@@ -335,49 +496,6 @@ def price_places(rows: DataFrame, group: str) -> DataFrame:
     return rows.withColumn("price_place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("price"), "place")))
 
 
-def performance_level(text: Column) -> Column:
-    """LOW to EXTREME from graphics card and memory."""
-    return F.when(text.rlike("rtx ?(4080|4090|5080|5090)|64 ?gb"), "EXTREME").when(text.rlike("rtx ?(3070|3080|4070|5070)|32 ?gb"), "HIGH").when(text.rlike("gtx ?16|rtx ?(20|3050|3060|4060)|16 ?gb"), "MID").otherwise("LOW")
-
-
-def level_at_least(level: Column, asked: str | Column) -> Column:
-    order = F.array(*map(F.lit, LEVELS))
-    return F.array_position(order, level) >= F.array_position(order, F.lit(asked) if isinstance(asked, str) else asked)
-
-
-#: Ordered rules (intent, pattern) of messages.
-INTENTS = (("PRICE_ADVICE", "비싼|싼|적정|시세|얼마|price|worth"), ("RECOMMEND", "추천|골라|recommend|suggest"), ("COMPARE", "비교|차이|compare|versus"), ("ALERT", "알림|알려|alert|notify"), ("SEARCH", "찾아|검색|search|find"))
-PRODUCT_TYPES = (("SMARTPHONE", "폰|갤럭시|아이폰|phone"), ("LAPTOP", "노트북|맥북|laptop"), ("DESKTOP", "데스크탑|컴퓨터|본체|desktop|pc"), ("CONSOLE", "플스|스위치|닌텐도|console"))
-GAMES = (("배틀그라운드", "배그|배틀그라운드|pubg", "HIGH"), ("리그오브레전드", "롤|리그오브레전드|lol", "LOW"), ("사이버펑크", "사이버펑크|cyberpunk", "EXTREME"), ("오버워치", "오버워치|overwatch", "MID"))
-TEMPLATES = (("SHIPPING", ("배송", "택배", "shipping"), ("언제", "얼마", "기간", "when")), ("REFUND", ("환불", "반품", "refund"), ("어떻게", "가능", "how")), ("ACCOUNT", ("계정", "비밀번호", "account"), ("찾기", "변경", "reset")))
-STOP_WORDS = ("추천", "추천해줘", "알려줘", "찾아줘", "비교해줘", "이하", "이상", "the", "a", "is", "of", "to", "and", "in")
-
-
-def message_tags(messages: DataFrame) -> DataFrame:
-    """(message_id, intent, keyword, product_type, min_price, max_price, game, level, template): tags of each message by ordered rules."""
-    text = F.lower(F.coalesce("message", F.lit("")))
-    amount = lambda tail: F.transform(F.regexp_extract_all(text, F.lit(rf"([0-9]+)\s*만\s*원?\s*{tail}"), F.lit(1)), lambda x: x.cast("long") * 10000)
-    words = F.filter(F.split(T.normal(F.col("message"), "none"), " "), lambda w: (w != "") & ~w.isin(*STOP_WORDS) & ~w.rlike("^[0-9]+만?원?$"))
-    game = V.by_rules(F.col("message"), tuple((n, p) for n, p, _ in GAMES), "")
-    level = V.by_rules(F.col("message"), tuple((lv, p) for _, p, lv in GAMES), "")
-    holds = lambda ws: F.exists(F.array(*map(F.lit, ws)), lambda w: F.call_function("contains", text, w))
-    template = F.lit("OUT_OF_SCOPE")
-    for name, first, second in reversed(TEMPLATES):
-        template = F.when(holds(first) & holds(second), name).otherwise(template)
-    return messages.select(
-        "message_id", V.by_rules(F.col("message"), INTENTS, "GENERAL").alias("intent"), F.array_join(F.slice(words, 1, 2), " ").alias("keyword"), V.by_rules(F.col("message"), PRODUCT_TYPES, "NONE").alias("product_type"),
-        F.array_max(amount("이상")).alias("min_price"), F.array_min(amount("이하")).alias("max_price"), F.nullif(game, F.lit("")).alias("game"), F.nullif(level, F.lit("")).alias("level"), template.alias("template"),
-    )
-
-
-def product_type_fits(kind: str, text: Column, model: str | None = None) -> Column:
-    """Whether a listing is of the product type, no part of one, and of the model number asked for."""
-    pattern = dict(PRODUCT_TYPES).get(kind)
-    ok = text.rlike(pattern) if pattern else F.lit(True)
-    parts = "케이스|필름|충전기|배터리|메모리|ssd|쿨러|파워"
-    return ok & ~text.rlike(parts) & (text.contains(model.lower()) if model else F.lit(True))
-
-
 def price_stats_daily(rows: DataFrame) -> DataFrame:
     """(canonical_name, platform_name, stat_date, counts and prices): a row for each platform and one (platform null) for all, by grouping sets."""
     day = rows.withColumn("stat_date", F.to_date("ts")).withColumnRenamed("platform", "platform_name")
@@ -400,24 +518,54 @@ def seeded_sample(rows: DataFrame, n: int, seed: int, key: Column) -> DataFrame:
 
 
 def product_view(items: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
-    """Products for display: category from the canonical name or the category, inferred where both are blank; points from the history, else the lowest and the current price, else an estimate."""
-    pair = F.array(F.struct(F.date_sub(F.to_date(as_of), 1).alias("recorded_at"), F.col("lowest_price").alias("price")), F.struct(F.to_date(as_of).alias("recorded_at"), F.col("current_price").alias("price")))
-    estimate = F.transform(V.estimated_series(F.col("current_price"), F.to_date(as_of)), lambda p: F.struct(p["day"].alias("recorded_at"), p["price"].alias("price")))
-    name = F.coalesce(F.nullif(T.blank(F.col("canonical_name")), F.lit("")), F.nullif(T.blank(F.col("category_name")), F.lit("")), V.category(F.col("title")))
-    points = F.coalesce("points", F.when(F.col("lowest_price").isNotNull(), pair), estimate)
-    return items.join(series(history), "item_id", "left").select("item_id", "title", name.alias("category"), V.brand(F.col("title")).alias("brand"), "current_price", V.state(F.col("status")).alias("status"), points.alias("points"), lowest_of(points, F.col("current_price")).alias("lowest_price"), search_text("title", "canonical_name", "category_name").alias("search_text"))
+    """Products of the search service: the canonical name, else the category, is their heading; their points are (label, date, price) of the history, else the current price."""
+    text = {c: T.blank(F.col(c)) if c in items.columns else F.lit("") for c in ("title", "canonical_name", "category_name", "matched_keywords")}
+    price = F.coalesce("current_price", F.lit(0)).cast("long")
+    known = F.transform("points", lambda p: F.struct(V.day_label(p["recorded_at"]).alias("label"), V.iso_day(p["recorded_at"]).alias("date"), p["price"].cast("long").alias("price")))
+    alone = F.array(F.struct(F.lit("현재").alias("label"), F.lit(None).cast("string").alias("date"), price.alias("price")))
+    heading = F.when(text["canonical_name"] != "", text["canonical_name"]).otherwise(text["category_name"])
+    points = F.coalesce(known, alone)
+    return items.join(series(history), "item_id", "left").select(
+        "item_id", text["title"].alias("title"), heading.alias("category"), price.alias("current_price"), V.import_state(F.col("status")).alias("status"), points.alias("points"), lowest_of(points, price).alias("lowest_price"),
+        F.concat_ws(" ", *text.values()).alias("search_text"),
+    )
+
+
+def service_view(items: DataFrame, as_of: Column) -> DataFrame:
+    """Products of the product service: platform, category and brand told from the texts where they aren't given, a description, three images, the lowest and the current price or an estimated series."""
+    has = lambda c: F.col(c) if c in items.columns else F.lit(None).cast("string")
+    platform, kind = V.platform(has("platform_name"), has("item_url")), V.category(has("category_name"), has("title"), has("canonical_name"))
+    return items.select(
+        "item_id", platform.alias("platform"), F.coalesce(has("original_id"), F.lit("")).alias("pid"), F.coalesce(has("title"), F.lit("")).alias("title"), kind.alias("category"),
+        V.brand(kind, has("title"), has("canonical_name"), has("matched_keywords")).alias("brand"), F.coalesce("current_price", F.lit(0)).alias("price"), V.state(has("status")).alias("status"),
+        V.description(has("description"), has("title"), platform).alias("description"), V.images(has("thumbnail_url"), 3).alias("images"), V.service_series(F.col("current_price"), F.col("lowest_price"), F.to_date(as_of)).alias("points"),
+    )
+
+
+def simple_search(items: DataFrame, query: str = "", platforms: tuple[str, ...] = (), sort: str = "low_price", page: int = 1, limit: int = 20) -> DataFrame:
+    """A page of the on-sale items whose title holds the query, of ``platforms`` if there are any: the cheapest first, or the newest; any other order is the table's, here by id. Pages and sizes below one count as one."""
+    ok = (F.col("status") == V.ON_SALE) & F.lower("title").contains(query.strip().lower())
+    if platforms:
+        ok = ok & F.col("platform_name").isin(*(p.strip() for p in platforms))
+    order = {"low_price": [F.coalesce("current_price", F.lit(0)), "item_id"], "recent": [F.desc("item_id")]}.get(sort, ["item_id"])
+    page, limit = max(page, 1), max(limit, 1)
+    return items.where(ok).orderBy(*order).offset((page - 1) * limit).limit(limit)
 
 
 def combined_search(items: DataFrame, query: str, limit: int = 20, platforms: tuple[str, ...] = (), sort: str = "relevance", page: int = 1) -> DataFrame:
-    """A page of the items of the field search in its order, cut to the query's intent and to ``limit``; a blank query gives the newest items."""
-    skipped = (max(page, 1) - 1) * limit
+    """A page of the field search's items in its order, cut to the query's intent and to ``limit``. A blank query goes to ``search`` over the items' names (by low_price, recent or relevance)."""
     if not query.strip():
-        return items.orderBy(F.desc("item_id")).offset(skipped).limit(limit)
-    order = {"relevance": ["place"], "recent": [F.desc_nulls_last(F.to_date("crawled_at")), "place"], "low_price": [F.asc_nulls_last("current_price"), "place"]}[sort]
-    ranked = field_search(documents(items), query, widened(limit) if skipped == 0 else max(widened(limit), 4 * (skipped + limit)), platforms=platforms, sort=sort)
-    placed = ranked.select(F.col("document_id").cast("long").alias("item_id"), F.row_number().over(Window.orderBy(F.desc("score"), "document_id")).alias("place"))  # two hundred rows at most, or four times those up to the page's end
-    text = F.lower(F.concat_ws(" ", "title", "canonical_name"))
-    return hydrate(placed, items).where(fits_intent(query, text)).orderBy(*order).offset(skipped).limit(limit)
+        platform = next((c for c in ("platform_name", "platform") if c in items.columns), None)
+        rows = items.select("*", F.col("title").alias("name"), F.lit("").alias("keyword"), F.col("current_price").alias("price"), F.col("crawled_at").alias("ts"), F.col("item_id").cast("string").alias("pid"), *([F.col(platform).alias("_platform")] if platform else [F.lit("").alias("_platform")]))
+        rows = rows.drop("platform").withColumnRenamed("_platform", "platform")
+        found = search(rows, "", platforms, sort, page, limit)
+        return found.withColumn("place", F.lit(None).cast("int"))
+    size = widened(query, limit)
+    ranked = field_search(documents(items), query, size, platforms=platforms, sort=sort, page=page)
+    order = {"relevance": [], "recent": [F.desc_nulls_last("day")], "low_price": [F.asc_nulls_last("price")]}[sort]
+    known = items.select(F.col("item_id").cast("string").alias("document_id"), F.date_format("crawled_at", "yyyy-MM-dd").alias("day"), F.col("current_price").alias("price"))
+    placed = ranked.join(known, "document_id").select(F.col("document_id").cast("long").alias("item_id"), F.row_number().over(Window.orderBy(*order, F.desc("score"), "document_id")).alias("place"))  # a page of two hundred rows at most
+    return hydrate(placed, items).where(fits_intent(query, F.col("title"), F.col("canonical_name"), F.col("category_name"))).orderBy("place").limit(limit)
 
 
 def newest_of(rows: DataFrame, user: str, time: str, key: str, oldest_first: bool = False, since: Column | None = None) -> DataFrame:

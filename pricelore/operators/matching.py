@@ -9,44 +9,80 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelore.functions import text as T
+from pricelore.operators.messages import question
 from pricelore.sources.listings import last_by_key
 
 
 def title_matches(profiles: DataFrame, entries: DataFrame, limit: int = 5, min_shared: int = 1) -> DataFrame:
-    """(profile_id, entry_id, shared, similarity, place): the best entries of each profile.
+    """(profile_id, entry_id, shared, similarity, verified, place): the best entries of each profile.
 
-    profiles: profile_id, tokens, platform; entries: entry_id, tokens, platform, verified, cluster_id. Only pairs that share a token meet (the inverted index is an equi-join on tokens).
+    profiles: profile_id, tokens, platform; entries: entry_id, tokens, platform, verified, cluster_id. Only pairs that share a token meet (the inverted index is an equi-join on tokens), and profiles with the same tokens meet entries once.
     """
-    p = profiles.select("profile_id", F.array_distinct("tokens").alias("p_tokens"), F.col("platform").alias("p_platform"))
+    sets = profiles.select(F.array_sort(F.array_distinct("tokens")).alias("p_tokens"), F.col("platform").alias("p_platform"), "profile_id")
+    p = sets.select("p_tokens", "p_platform").distinct().withColumn("p_set", F.xxhash64("p_tokens", "p_platform"))
     e = entries.select("entry_id", F.array_distinct("tokens").alias("e_tokens"), F.col("platform").alias("e_platform"), "verified", "cluster_id")
-    shared = p.select("profile_id", F.explode("p_tokens").alias("token")).join(e.select("entry_id", F.explode("e_tokens").alias("token")), "token").groupBy("profile_id", "entry_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
-    sized = shared.join(p.select("profile_id", F.size("p_tokens").alias("p_size"), "p_platform"), "profile_id").join(e.select("entry_id", F.size("e_tokens").alias("e_size"), "e_platform", "verified", "cluster_id"), "entry_id")
+    shared = p.select("p_set", F.explode("p_tokens").alias("token")).join(e.select("entry_id", F.explode("e_tokens").alias("token")), "token").groupBy("p_set", "entry_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    sized = shared.join(p.select("p_set", F.size("p_tokens").alias("p_size"), "p_platform"), "p_set").join(e.select("entry_id", F.size("e_tokens").alias("e_size"), "e_platform", "verified", "cluster_id"), "entry_id")
     base = F.col("shared") / (F.col("p_size") + F.col("e_size") - F.col("shared"))
     bonus = F.when(F.col("p_platform") == F.col("e_platform"), 0.05).otherwise(0.0) + F.when(F.col("verified"), 0.05).otherwise(0.0)
     scored = sized.withColumn("similarity", F.least(F.lit(1.0), base + bonus))
-    order = Window.partitionBy("profile_id").orderBy(F.desc("verified"), F.desc("similarity"), F.desc("shared"), F.col("cluster_id").isNull(), "entry_id")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("profile_id", "entry_id", "shared", "similarity", "verified", "place")
+    order = Window.partitionBy("p_set").orderBy(F.desc("verified"), F.desc("similarity"), F.desc("shared"), F.col("cluster_id").isNull(), "entry_id")
+    best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("p_set", "entry_id", "shared", "similarity", "verified", "place")
+    return sets.select("profile_id", F.xxhash64("p_tokens", "p_platform").alias("p_set")).join(best, "p_set").select("profile_id", "entry_id", "shared", "similarity", "verified", "place")
 
 
-def category_votes(matches: DataFrame) -> DataFrame:
-    """(profile_id, category, score, confidence) from matches (profile_id, category, similarity, verified, same_keyword, place)."""
+#: The category of what has none, and the confidence of a category that only the search keyword tells.
+NO_CATEGORY, BY_KEYWORD = "미분류", 0.55
+
+
+def category_votes(matches: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """(profile_id, category, score, confidence, method) from matches (profile_id, category, similarity, verified, place).
+
+    Candidates count from 0.35 and three quarters of the best on, whatever their category; those with one vote with their squared similarity, more if verified or if it is the profile's source keyword, and the category met first wins a tie. With ``profiles``
+    (profile_id, source_keyword) every profile has a row: its keyword with 0.55 where no vote is cast, no category where it has none.
+    """
+    known = matches if profiles is None else matches.join(profiles.select("profile_id", "source_keyword"), "profile_id")
+    source = T.blank(F.col("source_keyword")) if profiles is not None else F.lit("")
     best = F.max("similarity").over(Window.partitionBy("profile_id"))
-    kept = matches.where("category IS NOT NULL AND category <> ''").withColumn("best", best).where(F.col("similarity") >= F.greatest(F.lit(0.35), 0.75 * F.col("best")))
-    weight = F.col("similarity") ** 2 + F.when(F.col("verified"), 0.1).otherwise(0.0) + F.when(F.col("same_keyword"), 0.25).otherwise(0.0)
-    first = F.row_number().over(Window.partitionBy("profile_id", "category").orderBy("place"))
-    votes = kept.withColumn("weight", weight).withColumn("nth", first).groupBy("profile_id", "category").agg(F.sum("weight").alias("score"), F.max(F.when(F.col("nth") <= 3, F.col("similarity"))).alias("top"))
-    chosen = votes.groupBy("profile_id").agg(F.max_by(F.struct("category", "score", "top"), F.struct("score", "category")).alias("v"))
-    return chosen.select("profile_id", "v.category", "v.score", F.round(F.least(F.lit(0.99), F.col("v.top") + F.least(F.lit(0.25), F.col("v.score") / 10)), 4).alias("confidence"))
+    kept = known.withColumn("best", best).where((F.col("similarity") >= F.greatest(F.lit(0.35), 0.75 * F.col("best"))) & (T.blank(F.col("category")) != ""))
+    weight = F.col("similarity") ** 2 + F.when(F.col("verified"), 0.1).otherwise(0.0) + F.when((source != "") & (F.col("category") == source), 0.25).otherwise(0.0)
+    nth = F.row_number().over(Window.partitionBy("profile_id", "category").orderBy("place"))
+    evidence = kept.withColumn("weight", weight).withColumn("nth", nth)
+    votes = evidence.groupBy("profile_id", "category").agg(F.sum("weight").alias("score"), F.max(F.when(F.col("nth") <= 3, F.col("similarity"))).alias("top"), F.max(F.when(F.col("nth") <= 3, F.col("verified"))).alias("sure"), F.min("place").alias("first"))
+    chosen = votes.groupBy("profile_id").agg(F.max_by(F.struct("category", "score", "top", "sure"), F.struct(F.round("score", 12), (-F.col("first")).alias("early"))).alias("v"))
+    out = chosen.select("profile_id", "v.category", "v.score", F.round(F.least(F.lit(0.99), F.col("v.top") + F.least(F.lit(0.25), F.col("v.score") / 10)), 4).alias("confidence"), F.when(F.col("v.sure"), "verified_correlation").otherwise("title_correlation").alias("method"))
+    if profiles is None:
+        return out
+    whole = profiles.select("profile_id", source.alias("source")).join(out, "profile_id", "left")
+    told = F.col("source") != ""
+    return whole.select(
+        "profile_id", F.coalesce("category", F.when(told, F.col("source")).otherwise(NO_CATEGORY)).alias("category"), "score",
+        F.coalesce("confidence", F.when(told, BY_KEYWORD).otherwise(0.0)).alias("confidence"), F.coalesce("method", F.when(told, "source_keyword").otherwise("unclassified")).alias("method"),
+    )
+
+
+def contained(whole: DataFrame, text: str, parts: DataFrame, part: str, grams: int = 12) -> DataFrame:
+    """The pairs of rows of which ``part`` is in ``text``, by an equi-join: a part's key are its first ``grams`` characters, or all of a shorter one, and a text's keys are its pieces of the lengths that keys have. Empty parts are in nothing."""
+    size = F.least(F.length(part), F.lit(grams))
+    lengths = sorted(r[0] for r in parts.where(F.length(part) > 0).select(size.alias("n")).distinct().collect())  # ``grams`` numbers at most
+    none = F.array().cast("array<string>")
+
+    def cut(n: int) -> Column:
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(none)
+
+    pieces = list(map(cut, lengths))
+    keyed = whole.withColumn("_key", F.explode(F.array_distinct(F.flatten(F.array(*pieces))) if pieces else none))
+    return keyed.join(parts.where(F.length(part) > 0).withColumn("_key", F.substring(F.col(part), F.lit(1), size)), "_key").where(F.col(text).contains(F.col(part))).drop("_key")
 
 
 def dictionary_matches(titles: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(title, matched): a map brand, model, detail, spec, option of the longest alias of each field that the compact title holds, then the earliest.
 
-    dictionary: field_name, canonical_value, alias, row_no; a repeated alias counts as its last row. It is a table of rules, whose size the planner checks before it broadcasts; the work is done once for each distinct title.
+    dictionary: field_name, canonical_value, alias, row_no; a repeated alias counts as its last row. The work is done once for each distinct title.
     """
     entries = last_by_key(dictionary.select(T.compact(F.col("alias")).alias("alias"), "field_name", "canonical_value", "row_no").where("alias <> ''"), ["alias"], ["row_no"])
     distinct = titles.select("title").distinct().withColumn("compact", T.compact(F.col("title")))
-    hits = distinct.join(entries, F.col("compact").contains(F.col("alias")))
+    hits = contained(distinct, "compact", entries, "alias")
     best = hits.groupBy("title", "field_name").agg(F.max_by("canonical_value", F.struct(F.length("alias"), (-F.expr("instr(compact, alias)")).alias("early"), "canonical_value")).alias("value"))
     order = ("brand", "model", "detail", "spec", "option")
     place = F.array_position(F.array(*map(F.lit, order)), F.col("field_name"))
@@ -61,44 +97,60 @@ def category_by_rules(values: DataFrame, rules: DataFrame, floor: float = 0.9) -
 
 
 def signal_tokens(title: Column, excluded: tuple[str, ...] = ()) -> Column:
-    return F.filter(F.array_distinct(T.title_tokens(title)), lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$") & ~t.isin(*(excluded or ("",))))
+    return F.filter(F.array_distinct(T.title_tokens(title)), lambda t: (F.length(t) >= 2) & (~t.rlike("^[0-9]+$") | (F.length(t) >= 3)) & ~t.isin(*(excluded or ("",))))
 
 
-def core_tokens(titles: DataFrame, n: int = 8) -> DataFrame:
+def core_tokens(titles: DataFrame, excluded: tuple[str, ...] = (), n: int = 8) -> DataFrame:
     """The (token, n) that most titles hold; with three or more titles only those in two at least."""
-    total = titles.count()
-    counts = titles.select(F.explode(signal_tokens(F.col("title"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    total = titles.where(F.size(T.title_tokens(F.col("title"))) > 0).count()
+    counts = titles.select(F.explode(signal_tokens(F.col("title"), excluded)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return counts.where(F.col("n") >= (2 if total >= 3 else 1)).orderBy(F.desc("n"), "token").limit(n)
 
 
 def verify_across(rows: DataFrame, baseline: str, excluded: tuple[str, ...] = (), min_confidence: float = 0.35) -> DataFrame:
-    """``rows`` (platform, name, price, category_confidence) with ``keep``: those of other platforms stay if their price, tokens and confidence agree with the baseline platform's; without baseline all stay."""
-    base = rows.where((F.col("platform") == baseline) & (F.col("price") > 0))
-    first = base.agg(F.percentile("price", F.lit(0.5)).alias("median")).first()
-    if first["median"] is None:
+    """``rows`` (platform, keyword, name, price) with ``keep``: those of other platforms stay if their price, tokens and category confidence agree with the baseline platform's; without baseline all stay.
+
+    The confidence is that of ``category_votes`` over the baseline's titles (five of equal ones at most, since five candidates vote), once for each distinct keyword and title.
+    """
+    base = rows.where(F.col("platform") == baseline)
+    first = base.agg(F.percentile(F.when(F.col("price") > 0, F.col("price")), F.lit(0.5)).alias("median"), F.count("*").alias("n")).first()
+    if not first["n"]:
         return rows.withColumn("keep", F.lit(True))
-    core = [r["token"] for r in core_tokens(base.select(F.col("name").alias("title"))).collect()]  # eight at most
-    low, high = int(0.35 * first["median"]), int(2.5 * first["median"])
+    core = [r["token"] for r in core_tokens(base.select(F.col("name").alias("title")), excluded).collect()]  # eight at most
+    tokens_of = lambda df: df.select("*", F.array_sort(F.array_distinct(T.title_tokens(F.col("name")))).alias("tokens"))
+    listed = tokens_of(base.select("name", "keyword")).groupBy("tokens", F.col("keyword").alias("category")).agg(F.count("*").alias("n"))
+    titles = listed.select("tokens").distinct().select(F.xxhash64("tokens").alias("entry_id"), "tokens", F.lit(baseline).alias("platform"), F.lit(True).alias("verified"), F.lit(None).cast("string").alias("cluster_id"))
+    asked = tokens_of(rows.where(F.col("platform") != baseline).select("keyword", "name").distinct())
+    # titles with the same tokens are equally like a profile, so the five best titles hold the five best listings
+    like = title_matches(asked.select(F.xxhash64("tokens").alias("profile_id"), "tokens").distinct().withColumn("platform", F.lit("")), titles)
+    copies = listed.select(F.xxhash64("tokens").alias("entry_id"), "category", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(5)).cast("int"))).alias("copy"))
+    nth = F.row_number().over(Window.partitionBy("profile_id").orderBy("title_place", "category", "copy"))
+    five = like.withColumnRenamed("place", "title_place").join(copies, "entry_id").withColumn("place", nth).where("place <= 5").select(F.col("profile_id").alias("title_id"), "category", "similarity", "verified", "place")
+    profiles = asked.select(F.xxhash64("keyword", "name").alias("profile_id"), F.xxhash64("tokens").alias("title_id"), F.col("keyword").alias("source_keyword"))
+    votes = category_votes(profiles.join(five, "title_id").select("profile_id", "category", "similarity", "verified", "place"), profiles.select("profile_id", "source_keyword")).select("profile_id", F.col("confidence").alias("_confidence"))
     tokens = T.title_tokens(F.col("name"))
-    noise = F.size(F.array_intersect(tokens, F.array(*map(F.lit, excluded)))) if excluded else F.lit(0)
-    shares = F.arrays_overlap(tokens, F.array(*map(F.lit, core))) if core else F.lit(True)
-    good = F.col("price").between(low, high) & shares & (noise < 3) & (F.coalesce("category_confidence", F.lit(0.0)) >= min_confidence)
-    return rows.withColumn("keep", (F.col("platform") == baseline) | F.coalesce(good, F.lit(False)))
+    noise = F.size(F.array_intersect(F.transform(tokens, T.solid), F.array(*map(F.lit, excluded)))) if excluded else F.lit(0)
+    relevant = F.arrays_overlap(tokens, F.array(*map(F.lit, core))) & (noise < 3) if core else F.lit(True)
+    priced = F.lit(True) if first["median"] is None else F.col("price").between(int(0.35 * first["median"]), int(2.5 * first["median"])) & (F.col("price") > 0)
+    judged = rows.withColumn("profile_id", F.xxhash64("keyword", "name")).join(votes, "profile_id", "left").drop("profile_id")
+    good = priced & relevant & (F.coalesce("_confidence", F.lit(0.0)) >= min_confidence)
+    return judged.withColumn("keep", (F.col("platform") == baseline) | F.coalesce(good, F.lit(False))).drop("_confidence")
 
 
 def missing_tokens(tokens: Column, title: Column) -> Column:
-    """The keyword tokens that the title lacks: a token with digits needs a place that isn't inside a longer word or number, others need only be held."""
+    """The keyword tokens that the normal title lacks: a token with digits needs a place that isn't inside a longer word or number, others need only be held."""
     edge = lambda t, cls: F.concat(F.lit(f"(?<![{cls}])"), t, F.lit(f"(?![{cls}])"))
-    text = T.normal(title, "none")
-    holds = lambda t: F.when(t.rlike("^[0-9]+$"), F.call_function("rlike", text, edge(t, "0-9"))).when(t.rlike("[0-9]"), F.call_function("rlike", text, edge(t, "0-9a-z"))).otherwise(F.call_function("contains", text, t))
+    holds = lambda t: F.when(t.rlike("^[0-9]+$"), F.call_function("rlike", title, edge(t, "0-9"))).when(t.rlike("[0-9]"), F.call_function("rlike", title, edge(t, "0-9a-z"))).otherwise(F.call_function("contains", title, t))
     return F.filter(tokens, lambda t: ~holds(t))
 
 
 def accuracy(rows: DataFrame) -> DataFrame:
-    """``rows`` (keyword, name) with missing_tokens and is_match; tokens are made once for each distinct keyword."""
-    keywords = rows.select("keyword").distinct().withColumn("keyword_tokens", T.keyword_tokens(F.col("keyword")))
-    out = rows.join(keywords, "keyword", "left").withColumn("missing_tokens", F.coalesce(missing_tokens(F.col("keyword_tokens"), F.col("name")), F.array().cast("array<string>")))
-    return out.withColumn("is_match", F.size("missing_tokens") == 0).drop("keyword_tokens")
+    """``rows`` (keyword, name) with missing_tokens and is_match, which are found once for each distinct keyword and name."""
+    pairs = rows.select(F.col("keyword").alias("_keyword"), F.col("name").alias("_name")).distinct()
+    pairs = pairs.withColumns({"_tokens": T.keyword_tokens(F.col("_keyword")), "_text": T.normal(F.col("_name"), "none")})
+    judged = pairs.select("_keyword", "_name", F.coalesce(missing_tokens(F.col("_tokens"), F.col("_text")), F.array().cast("array<string>")).alias("missing_tokens"))
+    out = rows.join(judged, F.col("keyword").eqNullSafe(F.col("_keyword")) & F.col("name").eqNullSafe(F.col("_name")), "left").drop("_keyword", "_name")
+    return out.withColumn("is_match", F.size("missing_tokens") == 0)
 
 
 def fill_platform(rows: DataFrame, platforms: DataFrame) -> DataFrame:
@@ -124,19 +176,37 @@ SYNONYM_RULES = (
 )
 
 
-def synonym_match(message: Column, pattern: Column, rules: tuple = SYNONYM_RULES) -> Column:
-    holds = lambda text, words: reduce(or_, (text.contains(w) for w in words))
-    out = F.lit(False)
-    for of_pattern, groups in reversed(rules):
-        out = F.when(holds(pattern, of_pattern), reduce(and_, (holds(message, g) for g in groups))).otherwise(out)
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(or_, (text.contains(w) for w in words))
+
+
+def synonym_rule(pattern: Column, rules: tuple = SYNONYM_RULES) -> Column:
+    """The number of the first rule that fits a pattern, null for none."""
+    out = F.lit(None).cast("int")
+    for k, (of_pattern, _) in reversed(list(enumerate(rules))):
+        out = F.when(_holds(pattern, of_pattern), k).otherwise(out)
     return out
 
 
+def answered_rules(message: Column, rules: tuple = SYNONYM_RULES) -> Column:
+    """The numbers of the rules that a message answers."""
+    fits = [F.when(reduce(and_, (_holds(message, g) for g in groups)), k) for k, (_, groups) in enumerate(rules)]
+    return F.filter(F.array(*fits), lambda k: k.isNotNull())
+
+
 def faq_matches(messages: DataFrame, faq: DataFrame) -> DataFrame:
-    """(message_id, faq_id): the longest pattern that holds the message, is held by it, or fits it by ``SYNONYM_RULES``. The FAQ is a small table of rules; the planner checks its size."""
-    m = messages.select("message_id", T.compact(F.col("message")).alias("m")).where("m <> ''")
-    f = faq.select("faq_id", T.compact(F.col("pattern")).alias("p")).where("p <> ''")
-    met = m.join(f, F.col("m").contains(F.col("p")) | F.col("p").contains(F.col("m")) | synonym_match(F.col("m"), F.col("p")))
+    """(message_id, faq_id): the longest pattern that holds the message, is held by it, or fits it by ``SYNONYM_RULES``.
+
+    Texts meet by equi-joins only (``contained``), and a rule's number joins the patterns that ask for it to the messages that answer it. Of a rule's patterns only the longest can win, so each rule has one.
+    """
+    m = messages.select("message_id", question(F.col("message")).alias("m")).where("m <> ''")
+    f = faq.select("faq_id", question(F.col("pattern")).alias("p")).where("p <> ''")
+
+    rule = synonym_rule(F.col("p"))
+    of_rule = f.withColumn("rule", rule).where("rule IS NOT NULL").groupBy("rule").agg(F.max_by(F.struct("faq_id", "p"), F.struct(F.length("p"), (-F.col("faq_id")).alias("early"))).alias("best"))
+    answered = m.withColumn("rule", F.explode(answered_rules(F.col("m")))).join(of_rule, "rule").select("message_id", F.col("best.faq_id").alias("faq_id"), F.col("best.p").alias("p"))
+    both = lambda df: df.select("message_id", "faq_id", "p")
+    met = both(contained(m, "m", f, "p")).unionByName(both(contained(f, "p", m, "m"))).unionByName(answered)
     return met.groupBy("message_id").agg(F.max_by("faq_id", F.struct(F.length("p"), (-F.col("faq_id")).alias("early"))).alias("faq_id"))
 
 

@@ -60,15 +60,16 @@ def list_bounds(prices: Column, ratio: float = MEDIAN_RATIO) -> Column:
         return low + (high - low) * (at - F.floor(at))
 
     q1, median, q3 = map(quantile, (0.25, 0.5, 0.75))
-    return F.when(n >= 2, F.struct(F.greatest(F.lit(0.0), q1 - 1.5 * (q3 - q1), median * ratio).alias("low"), (q3 + 1.5 * (q3 - q1)).alias("high")))
+    return F.when(n >= 2, F.struct(F.greatest(F.lit(0.0), q1 - 1.5 * (q3 - q1), median * ratio).alias("low"), (q3 + 1.5 * (q3 - q1)).alias("high"), median.alias("median")))
 
 
 def decision(name: Column, price: Column, bounds: Column) -> Column:
     """(reason, stage, detail) of one row: bad price, blacklist, too low, too high; null if it stays."""
     hits = blacklist_hits(name)
     made = lambda r, s, d: F.struct(F.lit(r).alias("reason"), F.lit(s).alias("stage"), d.alias("detail"))
-    detail = V.outlier_detail(price, bounds["low"], bounds["high"], (bounds["low"] + bounds["high"]) / 2)
-    return F.when(price.isNull() | (price <= 0), made(INVALID, "input_validation", F.lit(INVALID))).when(F.size(hits) > 0, made(BLACKLISTED, "name_blacklist", F.array_join(hits, " | "))).when(price < bounds["low"], made(LOW, "price_outlier", detail)).when(price > bounds["high"], made(HIGH, "price_outlier", detail))
+    shown = lambda c: F.format_string("%.0f", F.coalesce(c, F.lit(0)).cast("double"))
+    detail = lambda name, bound: F.concat(F.lit("price="), F.floor(price).cast("string"), F.lit(f", {name}="), shown(bound), F.lit(", median="), shown(bounds["median"]))
+    return F.when(price.isNull() | (price <= 0), made(INVALID, "required_fields", F.when(F.coalesce(price, F.lit(0)) == 0, "").otherwise(price.cast("string")))).when(F.size(hits) > 0, made(BLACKLISTED, "name_blacklist", F.array_join(hits, " | "))).when(price < bounds["low"], made(LOW, "price_outlier", detail("lower_bound", bounds["low"]))).when(price > bounds["high"], made(HIGH, "price_outlier", detail("upper_bound", bounds["high"])))
 
 
 def flag_outliers(rows: DataFrame, group: str, stats: DataFrame | None = None) -> DataFrame:
@@ -86,7 +87,7 @@ def remove_outliers(rows: DataFrame, group: str, stage: str = "price_outlier") -
     keys = ["platform", "pid", "price"]
     clean = rows.join(bad.select(*keys).distinct(), keys, "left_anti")
     reason = F.when(F.col("outlier_type") == "low", LOW).otherwise(HIGH)
-    detail = V.outlier_detail(F.col("price"), F.col("lower_bound"), F.col("upper_bound"), F.col("median_price"))
+    detail = V.outlier_detail(F.col("price"), F.col("lower_bound"), F.col("upper_bound"), F.col("median_price"), F.col(group), F.col("outlier_type"), "keyword" if group == "keyword" else "product_name")
     dropped = bad.withColumn("drop_reason", reason).withColumn("drop_stage", F.lit(stage)).withColumn("drop_detail", detail).select(*rows.columns, "drop_reason", "drop_stage", "drop_detail")
     return clean.select(*rows.columns), dropped
 

@@ -85,7 +85,7 @@ def reference_tokens(rows: DataFrame, least: int = 2, top: int = 3) -> DataFrame
     each = distinct.select("keyword", "name", F.explode(F.array_distinct(T.title_tokens(F.col("name")))).alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("doc_count")).where(F.col("doc_count") >= least)
     out = counts.join(counter(each, ["token"], "keyword", top, "top_keywords"), "token", "left").join(first_samples(each, ["token"], "name", 3, "samples"), "token", "left")
-    return out.withColumn("use", V.token_use(F.col("token"), F.col("doc_count")))
+    return out.withColumn("use", V.token_use(F.col("token")))
 
 
 def duplicate_checks(rows: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ listings AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 items AS (
   SELECT p_partkey AS item_id, any_value(p_name || ' ' || p_brand) AS title, any_value(p_name) AS canonical_name, any_value(p_type) AS category_name, any_value(CAST(round(p_retailprice) AS BIGINT)) AS current_price,
-    CAST(round(min(l_extendedprice / l_quantity)) AS BIGINT) AS lowest_price, max(l_shipdate) AS crawled_at, CASE p_partkey % 3 WHEN 0 THEN '{SOLD}' ELSE '{ON_SALE}' END AS status
+    CAST(round(min(l_extendedprice / l_quantity)) AS BIGINT) AS lowest_price, max(l_shipdate) AS crawled_at, CASE p_partkey % 3 WHEN 0 THEN '{SOLD}' ELSE '{ON_SALE}' END AS status,
+    CASE p_partkey % 5 WHEN 4 THEN '' WHEN 3 THEN '중고나라' ELSE '번개장터' END AS platform_name, 'p' || p_partkey AS original_id, any_value(lower(p_type) || ',' || p_brand || '|' || lower(p_type)) AS matched_keywords,
+    'https://www.' || CASE p_partkey % 2 WHEN 0 THEN 'daangn' ELSE 'example' END || '.com/' || p_partkey AS item_url
   FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey),
 history AS (
   SELECT item_id, CAST(ts AS DATE) AS recorded_at, arg_max(price, (ts, pid)) AS price FROM listings GROUP BY item_id, CAST(ts AS DATE)),
@@ -57,6 +59,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(least, F.col("p_partkey") == F.col("l_partkey")).select(
         F.col("p_partkey").alias("item_id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"), F.col("p_name").alias("canonical_name"), F.col("p_type").alias("category_name"),
         F.round("p_retailprice").cast("long").alias("current_price"), "lowest_price", "crawled_at", F.when(F.col("p_partkey") % 3 == 0, SOLD).otherwise(ON_SALE).alias("status"),
+        F.when(F.col("p_partkey") % 5 == 4, "").when(F.col("p_partkey") % 5 == 3, "중고나라").otherwise("번개장터").alias("platform_name"), F.concat(F.lit("p"), F.col("p_partkey")).alias("original_id"),
+        F.concat(F.lower("p_type"), F.lit(","), F.col("p_brand"), F.lit("|"), F.lower("p_type")).alias("matched_keywords"),
+        F.concat(F.lit("https://www."), F.when(F.col("p_partkey") % 2 == 0, "daangn").otherwise("example"), F.lit(".com/"), F.col("p_partkey")).alias("item_url"),
     )
 
 

@@ -41,7 +41,8 @@ def refine(rows: DataFrame, as_of: Column, stages: int = 0, cut=reliable) -> tup
 def enrich(rows: DataFrame, entries: DataFrame, dictionary: DataFrame, rules: DataFrame, classifier=None) -> DataFrame:
     """P2. ``rows`` (row_id, keyword, platform, name) with matched category, dictionary values and cluster fields."""
     profiles = rows.select(F.col("row_id").alias("profile_id"), T.title_tokens(F.col("name")).alias("tokens"), "platform")
-    votes = M.category_votes(M.title_matches(profiles, entries).join(entries.select("entry_id", "category", F.col("keyword").alias("_k")), "entry_id").join(rows.select(F.col("row_id").alias("profile_id"), "keyword"), "profile_id").withColumn("same_keyword", F.col("_k") == F.col("keyword")))
+    matches = M.title_matches(profiles, entries).join(entries.select("entry_id", "category"), "entry_id")
+    votes = M.category_votes(matches, rows.select(F.col("row_id").alias("profile_id"), F.col("keyword").alias("source_keyword")))
     matched = M.dictionary_matches(rows.select(F.col("name").alias("title")), dictionary)
     values = matched.select("title", F.explode("matched").alias("field", "value")).withColumn("confidence", F.lit(0.9))
     by_rule = M.category_by_rules(values, rules)
@@ -92,22 +93,22 @@ def detail(item_id: int, items: DataFrame, history: DataFrame, as_of: Column) ->
     if target is None:
         return one.withColumn("points", F.array().cast("array<struct<day: string, price: bigint>>"))
     own = I.daily_points(history.where(F.col("item_id") == item_id), [])
-    group = I.similar_group_series(target.asDict(), items, history)
+    group = I.similar_group_series(target.asDict(), items)
     longer = own if own.count() >= group.count() else group
     points = longer.agg(F.array_sort(F.collect_list(F.struct("day", "price"))).alias("points")).first()["points"]
     made = V.estimated_series(F.col("current_price"), F.to_date(as_of))
     estimated = F.transform(made, lambda p: F.struct(p["day"].cast("string").alias("day"), p["price"].alias("price")))
     given = F.array(*(F.struct(F.lit(p["day"]).alias("day"), F.lit(p["price"]).cast("long").alias("price")) for p in points)) if points else estimated
-    return one.withColumn("points", given).withColumn("description", V.description(F.lit(None).cast("string"), F.col("title"), F.col("status")))
+    return one.withColumn("points", given).withColumn("description", V.description(F.col("description") if "description" in items.columns else F.lit(None).cast("string"), F.col("title"), F.col("platform_name") if "platform_name" in items.columns else F.lit("")))
 
 
 def chain(spark: SparkSession, csv: str, out: str, as_of: Column, skip_refine: bool = False) -> None:
     """P8. Refine the listings of ``csv``, write both results, and load them as items."""
     raw = S.read_listings(spark, csv)
-    rows = raw.select("keyword", "platform", "pid", "name", F.col("price_numeric").cast("long").alias("price"), V.state(F.col("status")).alias("status"), V.moment(F.col("date"), as_of).alias("ts"), "link", "image_url")
+    rows = raw.select("keyword", "platform", "pid", "name", F.col("price_numeric").cast("long").alias("price"), V.import_state(F.col("status")).alias("status"), V.moment(F.col("date"), as_of).alias("ts"), "link", "image_url")
     if not skip_refine:
         clean, dropped, statistics = refine(rows, as_of)
         S.write_refined(clean, dropped, out)
         statistics.write.mode("overwrite").parquet(f"{out}/statistics")
-    done = spark.read.parquet(f"{out}/clean").withColumnsRenamed({"price": "price_numeric", "ts": "date"}).withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+    done = spark.read.parquet(f"{out}/clean").withColumnsRenamed({"price": "price_numeric", "ts": "date"}).withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm"))
     S.complete(S.to_record(done, as_of))[0].write.mode("overwrite").parquet(f"{out}/records")

@@ -10,6 +10,7 @@ from pricelore.functions import values as V
 from pricelore.operators import clustering as C
 from pricelore.operators import insight as I
 from pricelore.operators import matching as M
+from pricelore.operators import messages
 from pricelore.operators import prices as P
 from pricelore.operators import reports as R
 from pricelore.plans import adapter as A
@@ -21,6 +22,11 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _priced(spark: SparkSession, d: str) -> DataFrame:
+    """The adapter's items at prices of which some are implausible and some are not."""
+    return A.items(spark, d).withColumn("current_price", F.col("current_price") * (F.col("item_id") % 50) * 10)
+
+
 def as_of():
     return F.lit(A.AS_OF).cast("timestamp")
 
@@ -32,6 +38,24 @@ flagged AS (SELECT l.*, median_price, lower_bound, upper_bound, CASE WHEN price
 clean AS (SELECT l.* FROM listings l WHERE NOT EXISTS (SELECT 1 FROM flagged f WHERE f.outlier_type IS NOT NULL AND f.platform = l.platform AND f.pid = l.pid AND f.price = l.price))"""
 ACCURACY = """
 judged AS (SELECT *, list_filter(regexp_extract_all(keyword, '[a-z]+[0-9]+[a-z]?|[a-z]+|[0-9]+'), lambda t: NOT contains(lower(name), t)) AS missing FROM listings)"""
+#: Search documents of the adapter's items, and the words of their fields.
+DOCS = """
+docs AS (SELECT *, concat_ws(',', CASE WHEN contains(c, 'case') OR contains(c, 'magsafe') THEN 'accessory_candidate' END, CASE WHEN current_price < 1000 OR current_price >= 20000000 THEN 'invalid_price' END) AS quality_flags, title || ' ' || normalized_title || ' ' || canonical_name || ' ' || category_name || ' ' || array_to_string(keywords, ' ') AS search_text FROM (
+  SELECT *, CAST(item_id AS VARCHAR) AS document_id, replace(lower(title), ' ', '') AS c, trim(regexp_replace(lower(title), '[^0-9a-z]+', ' ', 'g')) AS normalized_title, [split_part(matched_keywords, ',', 1), split_part(split_part(matched_keywords, ',', 2), '|', 1)] AS keywords FROM (SELECT * REPLACE (current_price * (item_id % 50) * 10 AS current_price) FROM items) WHERE platform_name <> '')),
+found AS (SELECT * FROM docs WHERE NOT contains(quality_flags, 'accessory') AND NOT contains(quality_flags, 'invalid')),
+fields AS (SELECT document_id, field, weight, list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda w: w <> '') AS words FROM (
+  SELECT document_id, 'c' AS field, 5.0 AS weight, canonical_name AS body FROM found UNION ALL SELECT document_id, 't', 4.0, title FROM found UNION ALL SELECT document_id, 'k', 3.0, array_to_string(keywords, ' ') FROM found
+  UNION ALL SELECT document_id, 'n', 2.0, normalized_title FROM found UNION ALL SELECT document_id, 's', 1.0, search_text FROM found))"""
+
+
+def fuzzy(*terms: str) -> str:
+    """The page of documents of which one field holds all terms, by BM25 and the fields' weights."""
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""ranked AS (SELECT document_id, max(s * weight) AS score FROM (SELECT h.document_id, h.field, h.weight, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS s, count(*) AS n FROM h JOIN idf USING (field, term) JOIN stats USING (field) GROUP BY ALL) WHERE n = {len(terms)} GROUP BY document_id ORDER BY score DESC, document_id LIMIT 20)""", f"""
+h AS (SELECT document_id, field, weight, size, term, count(*) AS tf FROM (SELECT document_id, field, weight, len(words) AS size, unnest(words) AS word FROM fields), (SELECT unnest([{listed}]) AS term) WHERE levenshtein(word, term) <= CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END GROUP BY ALL),
+idf AS (SELECT field, term, count(*) AS df FROM h GROUP BY ALL), stats AS (SELECT field, avg(len(words)) AS mean, count(*) AS docs FROM fields GROUP BY field)"""
+
+
 HISTORY = """
 daily AS (SELECT canonical_name, strftime(recorded_at, '%Y-%m-%d') AS day, CAST(round(avg(h.price)) AS BIGINT) AS price FROM history h JOIN items USING (item_id) GROUP BY ALL)"""
 
@@ -116,12 +140,12 @@ def validated(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT platform, pid, canonical_name, matched_keywords, keyword, price FROM (
-    SELECT platform, pid, arg_max(canonical_name, (len(string_split(canonical_name, ' ')), length(canonical_name), -seq)) AS canonical_name, arg_max(keyword, (length(keyword), -seq)) AS keyword, arg_max(price, (length(keyword), -seq)) AS price FROM s GROUP BY ALL)
-    JOIN (SELECT platform, pid, string_agg(keyword, ',' ORDER BY seq) AS matched_keywords FROM (SELECT platform, pid, keyword, min(seq) AS seq FROM s GROUP BY ALL) GROUP BY ALL) USING (platform, pid)""",
-    "s AS (SELECT *, row_number() OVER (PARTITION BY platform, pid ORDER BY keyword, name, price, ts) AS seq FROM listings)",
+    SELECT platform, pid, arg_max(keyword, (len(regexp_extract_all(keyword, '[a-z]+[0-9]+|[a-z]+|[0-9]+')), length(keyword), -seq)) AS canonical_name, arg_max(keyword, (length(keyword), -seq)) AS keyword, arg_max(price, (length(keyword), -seq)) AS price FROM s GROUP BY ALL)
+    JOIN (SELECT platform, pid, string_agg(keyword, ', ' ORDER BY seq) AS matched_keywords FROM (SELECT platform, pid, keyword, min(seq) AS seq FROM s GROUP BY ALL) GROUP BY ALL) USING (platform, pid)""",
+    "s AS (SELECT *, epoch(ts) * 1000000 + hash_no AS seq FROM (SELECT *, item_id * 10 + length(keyword) AS hash_no FROM listings))",
 )
 def dedupe_listings(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.listings(spark, d).withColumn("seq", F.row_number().over(Window.partitionBy("platform", "pid").orderBy("keyword", "name", "price", "ts")))
+    rows = A.listings(spark, d).withColumn("seq", F.col("ts").cast("double") * 1000000 + F.col("item_id") * 10 + F.length("keyword"))
     return C.merged_keywords(rows).select("platform", "pid", "canonical_name", "matched_keywords", "keyword", "price")
 
 
@@ -161,9 +185,13 @@ def quality_flags(spark: SparkSession, d: str) -> DataFrame:
     return A.items(spark, d).select("item_id", F.array_join(V.quality_flags(F.col("title"), F.col("current_price")), ",").alias("flags"))
 
 
-@query("SELECT CAST(item_id AS VARCHAR) AS document_id, title, canonical_name, category_name, current_price, status, lower(concat_ws(' ', title, canonical_name, category_name)) AS search_text, strftime(crawled_at, '%Y-%m-%d') AS crawled_on FROM items")
+@query(
+    """SELECT document_id, platform_name AS platform, original_id AS pid, platform_name || ':' || original_id AS item_key, title, normalized_title, canonical_name, category_name, array_to_string(keywords, '|') AS keywords, current_price, status, search_text,
+    strftime(crawled_at, '%Y-%m-%d') AS crawled_on, contains(quality_flags, 'accessory') AS is_accessory_candidate, quality_flags FROM docs""",
+    DOCS,
+)
 def search_documents(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.index(A.items(spark, d)).select("document_id", "title", "canonical_name", "category_name", "current_price", "status", "search_text", "crawled_on")
+    return pipelines.index(_priced(spark, d)).select("document_id", "platform", "pid", "item_key", "title", "normalized_title", "canonical_name", "category_name", F.array_join("matched_keywords", "|").alias("keywords"), "current_price", "status", "search_text", "crawled_on", "is_accessory_candidate", "quality_flags")
 
 
 # --- search
@@ -183,12 +211,12 @@ def search_recent(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT platform, pid, round(8 * (CAST(contains(t, 'blue') AS INT) + CAST(contains(t, 'anvil') AS INT)) / 2 + CASE WHEN contains(t, 'blueanvil') THEN 0.35 ELSE 0 END + 2 * greatest(0, 1 - abs(price - m) / greatest(m, 1)), 4) AS relevance FROM (
+    """SELECT platform, pid, round(8 * (CAST(contains(t, '1') AS INT) + CAST(contains(t, 'anvil') AS INT)) / 2 + CASE WHEN contains(t, '1anvil') THEN 0.35 ELSE 0 END + 2 * greatest(0, 1 - abs(price - m) / greatest(m, 1)), 4) AS relevance FROM (
     SELECT *, replace(lower(concat_ws(' ', name, canonical_name, keyword)), ' ', '') AS t, avg(price) OVER () AS m FROM listings)"""
 )
 def search_relevance(spark: SparkSession, d: str) -> DataFrame:
     rows = A.listings(spark, d).withColumn("text", I.search_text("name", "canonical_name", "keyword"))
-    return I.relevance(rows, "blue anvil", shuffle=False).select("platform", "pid", F.round("relevance", 4).alias("relevance"))
+    return I.relevance(rows, "1 Anvil", shuffle=False).select("platform", "pid", F.round("relevance", 4).alias("relevance"))
 
 
 @query(
@@ -205,10 +233,10 @@ def simple_search_summary(spark: SparkSession, d: str) -> DataFrame:
     return P.summary(A.listings(spark, d).where((F.col("status") == V.ON_SALE) & F.lower("name").contains("anvil")), floors=False).select("lowest", "average")
 
 
-@query()
+@query("SELECT document_id, round(score, 6) AS score FROM ranked", DOCS, fuzzy("anvl", "blue")[1], fuzzy("anvl", "blue")[0])
 def search_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    rows = I.documents(A.items(spark, d))
-    return I.field_search(rows, "anvl blue").select("document_id", F.round("score", 6).alias("score"))
+    rows = I.documents(_priced(spark, d))
+    return I.field_search(rows, "Anvl blue").select("document_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT item_id, canonical_name, current_price FROM items WHERE status = '판매중' ORDER BY item_id DESC LIMIT 20")
@@ -270,9 +298,13 @@ def reference_tokens(spark: SparkSession, d: str) -> DataFrame:
     return R.reference_tokens(A.listings(spark, d)).select("token", "doc_count")
 
 
-@query("SELECT pattern, count(*) AS title_count FROM (SELECT unnest(['hash']) AS pattern FROM listings WHERE contains(name, '#')) GROUP BY pattern")
+@query(
+    """SELECT pattern, count(*) AS title_count FROM (SELECT unnest(list_filter([CASE WHEN regexp_matches(name, '(?i)(\\+|\\bplus\\b)') THEN 'plus_symbol_or_word' END, CASE WHEN contains(name, '/') THEN 'slash_multiple_models' END, CASE WHEN regexp_matches(name, '(?i)[0-9a-z] *- *[0-9a-z]') THEN 'hyphen_model_token' END,
+    CASE WHEN regexp_matches(name, '[()\\[\\]{}]') THEN 'parentheses_detail' END, CASE WHEN regexp_matches(name, '[0-9] *"') THEN 'inch_symbol' END, CASE WHEN regexp_matches(name, '(?i)[0-9] *(gb|g|tb)') THEN 'storage_unit' END, CASE WHEN regexp_matches(name, '(?i)\\b(i|ii|iii|iv|v)\\b') THEN 'roman_generation' END,
+    CASE WHEN contains(name, '&') THEN 'ampersand_bundle' END, CASE WHEN regexp_matches(name, '[^0-9a-zA-Z\\s]') THEN 'remaining_special_chars' END], lambda x: x IS NOT NULL)) AS pattern FROM listings) GROUP BY pattern"""
+)
 def sign_summary(spark: SparkSession, d: str) -> DataFrame:
-    return R.sign_summary(A.listings(spark, d)).where("pattern = 'hash'").select("pattern", "title_count")
+    return R.sign_summary(A.listings(spark, d)).select("pattern", "title_count")
 
 
 # --- matching
@@ -298,12 +330,23 @@ def _entries(items: DataFrame) -> DataFrame:
     return by_name.select("entry_id", T.title_tokens(F.col("canonical_name")).alias("tokens"), F.lit("e").alias("platform"), "verified", F.lit("c").alias("cluster_id"), "category", F.lower("category").alias("keyword"), "canonical_name")
 
 
-@query()
+@query(
+    """SELECT t.id AS profile_id, coalesce(category, source) AS category, round(score, 4) AS score, coalesce(confidence, 0.55) AS confidence, coalesce(method, 'source_keyword') AS method FROM t LEFT JOIN (
+    SELECT id, category, score, round(least(0.99, top + least(0.25, score / 10)), 4) AS confidence, CASE WHEN sure THEN 'verified_correlation' ELSE 'title_correlation' END AS method FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 12) DESC, first) AS nth FROM (
+    SELECT id, category, sum(similarity * similarity + CASE WHEN v THEN 0.1 ELSE 0 END + CASE WHEN category = source THEN 0.25 ELSE 0 END) AS score, max(similarity) FILTER (k <= 3) AS top, bool_or(v) FILTER (k <= 3) AS sure, min(place) AS first FROM (
+    SELECT m.*, t.source, row_number() OVER (PARTITION BY m.id, category ORDER BY place) AS k FROM (SELECT *, max(similarity) OVER (PARTITION BY id) AS best FROM m) m JOIN t ON t.id = m.id WHERE similarity >= greatest(0.35, 0.75 * best)) GROUP BY id, category)) WHERE nth = 1) USING (id)""",
+    """t AS (SELECT s.item_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(s.title), '[^a-z0-9]+'), lambda w: w <> '')) AS ts, s.category_name AS source FROM items s),
+    p AS (SELECT id, len(ts) AS n, unnest(ts) AS token FROM t), e AS (SELECT min(item_id) AS id, arg_min(category_name, item_id) AS c, bool_or(status = '판매완료') AS v, len(list_distinct(string_split(canonical_name, ' '))) AS n, unnest(list_distinct(string_split(canonical_name, ' '))) AS token FROM items GROUP BY canonical_name),
+    m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, similarity DESC, shared DESC, entry_id) AS place FROM (
+    SELECT p.id, e.id AS entry_id, any_value(e.v) AS v, any_value(e.c) AS category, count(*) AS shared, least(1.0, count(*) / (any_value(p.n) + any_value(e.n) - count(*)) + CASE WHEN any_value(e.v) THEN 0.05 ELSE 0 END) AS similarity FROM p JOIN e USING (token) GROUP BY p.id, e.id)) WHERE place <= 5)""",
+)
 def category_vote(spark: SparkSession, d: str) -> DataFrame:
     items = A.items(spark, d)
     entries = _entries(items)
-    matches = M.title_matches(_profiles(items), entries).join(entries.select("entry_id", "category"), "entry_id").withColumn("same_keyword", F.lit(False))
-    return M.category_votes(matches).select("profile_id", "category", F.round("score", 4).alias("score"), "confidence")
+    matches = M.title_matches(_profiles(items), entries).join(entries.select("entry_id", "category"), "entry_id")
+    votes = M.category_votes(matches, items.select(F.col("item_id").alias("profile_id"), F.col("category_name").alias("source_keyword")))
+    return votes.select("profile_id", "category", F.round("score", 4).alias("score"), "confidence", "method")
 
 
 @query(
@@ -318,22 +361,40 @@ def dictionary_match(spark: SparkSession, d: str) -> DataFrame:
     return found.select("title", F.try_element_at("matched", F.lit("brand")).alias("brand"), F.try_element_at("matched", F.lit("model")).alias("model"))
 
 
-@query()
+@query(
+    # a row with a keyword has a confidence of 0.55 at least where no title is like it, and 0.35 and more where one is, so only price and tokens decide
+    """SELECT platform, keep, count(*) AS n FROM (SELECT platform, platform = 'ASIA' OR (price > 0 AND price BETWEEN (SELECT CAST(floor(0.35 * m) AS BIGINT) FROM med) AND (SELECT CAST(floor(2.5 * m) AS BIGINT) FROM med) AND list_has_any(tokens, (SELECT list(token) FROM core))) AS keep FROM r) GROUP BY ALL""",
+    """r AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> '')) AS tokens FROM listings), med AS (SELECT quantile_cont(price, 0.5) AS m FROM r WHERE platform = 'ASIA' AND price > 0),
+    core AS (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM r WHERE platform = 'ASIA') WHERE length(token) >= 2 AND (NOT regexp_full_match(token, '[0-9]+') OR length(token) >= 3) GROUP BY token HAVING count(*) >= 2 ORDER BY n DESC, token LIMIT 8)""",
+)
 def cross_platform_verify(spark: SparkSession, d: str) -> DataFrame:
-    return M.verify_across(A.listings(spark, d).withColumn("category_confidence", F.lit(0.9)), "ASIA").groupBy("platform", "keep").agg(F.count("*").alias("n"))
+    return M.verify_across(A.listings(spark, d), "ASIA").groupBy("platform", "keep").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    "SELECT id AS message_id, arg_max(item_id, (length(p), -item_id)) AS faq_id FROM (SELECT conv_id || '-' || turn AS id, regexp_replace(lower(text), '[\\s?.,!~]+', '', 'g') AS m FROM conversations) JOIN (SELECT item_id, regexp_replace(lower(text), '[\\s?.,!~]+', '', 'g') AS p FROM benchmark) ON m <> '' AND p <> '' AND (contains(m, p) OR contains(p, m)) GROUP BY id"
+)
 def faq_best_match(spark: SparkSession, d: str) -> DataFrame:
     bench, talks = A.tables(spark, d, "benchmark", "conversations")
     faq = bench.select(F.col("item_id").alias("faq_id"), F.col("text").alias("pattern"))
     return M.faq_matches(talks.select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), F.col("text").alias("message")), faq)
 
 
-@query()
+@query(
+    """SELECT id AS message_id, CASE WHEN gaming OR (known IS NULL AND keyword <> '') THEN 'PRODUCT_RECOMMEND' ELSE coalesce(known, 'UNKNOWN') END AS intent, keyword,
+    CASE WHEN gaming OR keyword = '컴퓨터' OR regexp_matches(s, 'computer|desktop|pc') THEN 'desktop' WHEN regexp_matches(s, 'laptop|macbook') THEN 'laptop' WHEN regexp_matches(s, 'iphone|galaxy') THEN 'smartphone' WHEN regexp_matches(s, 'switch|ps5|ps4|xbox') THEN 'game_console' END AS product_type,
+    CASE WHEN gaming THEN 'gaming' END AS use_case, game, CASE WHEN gaming THEN coalesce(level, 'MID') ELSE level END AS level FROM (
+    SELECT *, CASE WHEN regexp_matches(s, 'hello|hi') THEN 'GREETING' WHEN contains(s, 'count') THEN 'ITEM_COUNT' WHEN regexp_matches(s, 'personal|custom') THEN 'PERSONAL_RECOMMEND' WHEN regexp_matches(s, 'compare|price') THEN 'PRICE_COMPARE' WHEN contains(s, 'alert') THEN 'PRICE_ALERT_GUIDE' WHEN contains(s, 'search') THEN 'SEARCH_HELP' WHEN regexp_matches(s, 'recommend|find') THEN 'PRODUCT_RECOMMEND' END AS known,
+    CASE WHEN gaming OR contains(s, 'pc') THEN '컴퓨터' WHEN contains(s, 'ps5') THEN 'PS5' WHEN contains(s, 'ps4') THEN 'PS4' ELSE trim(regexp_replace(regexp_replace(trim(coalesce(text, '')), '(?i)recommend|find|compare|price|please', '', 'g'), '\\s+', ' ', 'g')) END AS keyword,
+    CASE WHEN regexp_matches(g, 'leagueoflegends|lol') THEN '롤' WHEN contains(g, 'valorant') THEN '발로란트' WHEN contains(g, 'pubg') THEN '배그' WHEN contains(g, 'apex') THEN '에이펙스 레전드' WHEN contains(g, 'overwatch') THEN '오버워치2' WHEN contains(g, 'lostark') THEN '로스트아크' WHEN contains(g, 'eldenring') THEN '엘든링' WHEN contains(g, 'cyberpunk') THEN '사이버펑크' WHEN contains(g, 'gta') THEN 'GTA5'
+    WHEN contains(g, 'diablo') THEN '디아블로4' WHEN contains(g, 'reddead') THEN '레드 데드 리뎀션2' WHEN regexp_matches(g, 'blackmyth|wukong') THEN '검은 신화: 오공' WHEN contains(g, 'rust') THEN '러스트' WHEN contains(g, 'maplestory') THEN '메이플스토리' WHEN regexp_matches(g, 'fconline|fifa') THEN 'FC온라인' WHEN contains(g, 'starcraft') THEN '스타크래프트' END AS game,
+    CASE WHEN contains(g, '4k') THEN 'EXTREME' WHEN regexp_matches(g, 'qhd|144hz|gta|aaa') THEN 'HIGH' WHEN regexp_matches(g, 'pubg|apex|rust') THEN 'MID' WHEN contains(g, 'lol') THEN 'LOW' END AS level FROM (
+    SELECT *, regexp_matches(s, 'game|gaming|lol|pubg|cyberpunk') AND regexp_matches(s, 'computer|desktop|pc') AS gaming, regexp_replace(s, '[_/-]', '', 'g') AS g FROM (SELECT conv_id || '-' || turn AS id, text, regexp_replace(lower(coalesce(text, '')), '\\s+', '', 'g') AS s FROM conversations)))"""
+)
 def message_tags(spark: SparkSession, d: str) -> DataFrame:
     (talks,) = A.tables(spark, d, "conversations")
-    return I.message_tags(talks.select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), F.col("text").alias("message")))
+    tags = messages.message_tags(talks.select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), F.col("text").alias("message")))
+    return tags.select("message_id", "intent", "keyword", "product_type", "use_case", "game", "level")
 
 
 # --- series, advice, recommendation
@@ -405,16 +466,27 @@ def wishlist_counts(spark: SparkSession, d: str) -> DataFrame:
     return I.user_counts(users.select(F.col("c_custkey").alias("user_id")), A.wishlists(spark, d))
 
 
+POINTS = """CASE WHEN lowest_price > 0 AND current_price <= lowest_price THEN 30 WHEN lowest_price > 0 AND current_price <= floor(lowest_price * 1.05 + 0.5) THEN 20 WHEN lowest_price > 0 AND current_price <= floor(lowest_price * 1.10 + 0.5) THEN 10 ELSE 0 END
+    + CASE WHEN crawled_at > TIMESTAMP '1998-12-31 00:00:00' THEN 15 WHEN crawled_at > TIMESTAMP '1998-12-29 00:00:00' THEN 10 WHEN crawled_at > TIMESTAMP '1998-12-25 00:00:00' THEN 5 ELSE 0 END"""
+
+
 @query(
-    """SELECT item_id, score FROM (SELECT item_id, current_price, CAST(CASE WHEN lower(canonical_name) = 'anvil' THEN 120 WHEN contains(lower(canonical_name), 'anvil') THEN 100 ELSE 0 END + CASE WHEN lower(title) = 'anvil' THEN 90 WHEN contains(lower(title), 'anvil') THEN 70 ELSE 0 END + CASE WHEN contains(lower(category_name), 'anvil') THEN 35 ELSE 0 END
-    + CASE WHEN r <= 1 THEN 30 WHEN r <= 1.1 THEN 20 WHEN r <= 1.3 THEN 10 ELSE 0 END + CASE WHEN g <= 1 THEN 15 WHEN g <= 7 THEN 10 WHEN g <= 30 THEN 5 ELSE 0 END AS INT) AS score FROM (
-    SELECT *, current_price / lowest_price AS r, (epoch(TIMESTAMP '1999-01-01 00:00:00') - epoch(crawled_at)) / 86400 AS g FROM items WHERE status = '판매중' AND current_price > 0 AND (contains(lower(title), 'anvil') OR contains(lower(category_name), 'anvil')) ORDER BY item_id LIMIT 150)) WHERE score > 0 ORDER BY score DESC, current_price, item_id LIMIT 10"""
+    f"""SELECT item_id, score, CASE WHEN lowest_price > 0 AND current_price <= floor(lowest_price * 1.05 + 0.5) THEN '현재가가 기록된 최저가 수준이라 가격 메리트가 큰 상품입니다.' WHEN score >= 100 THEN '검색어와 상품명, 카테고리 조건이 잘 맞는 상품입니다.' ELSE '검색 조건과 연관성이 있는 상품입니다.' END AS reason FROM (
+    SELECT *, CAST(CASE WHEN lower(canonical_name) = 'anvil' THEN 120 WHEN contains(lower(canonical_name), 'anvil') THEN 100 ELSE 0 END + CASE WHEN lower(title) = 'anvil' THEN 90 WHEN contains(lower(title), 'anvil') THEN 70 ELSE 0 END + CASE WHEN contains(lower(category_name), 'anvil') THEN 35 ELSE 0 END + {POINTS} AS INT) AS score FROM (
+    SELECT * FROM items WHERE status = '판매중' AND current_price > 0 AND (contains(lower(title), 'anvil') OR contains(lower(category_name), 'anvil')) ORDER BY item_id LIMIT 150)) WHERE score > 0 ORDER BY score DESC, current_price, item_id LIMIT 10"""
 )
 def recommend_scored(spark: SparkSession, d: str) -> DataFrame:
-    return I.recommend(A.items(spark, d).withColumn("matched_keywords", F.lit("")), "anvil", as_of()).select("item_id", "score")
+    return I.recommend(A.items(spark, d), "anvil", as_of()).select("item_id", "score", "reason")
 
 
-@query()
+@query(
+    f"""SELECT user_id, item_id, current_price, score, reason, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN coalesce(current_price, 0) <= 0 THEN 1 ELSE 0 END, current_price, score DESC, item_id) AS place FROM (
+    SELECT u.user_id, pool.item_id, current_price, CAST(base + CASE WHEN w.item_id IS NULL THEN 0 ELSE 30 END + CASE WHEN v.item_id IS NULL THEN 0 ELSE 15 END AS INT) AS score,
+    CASE WHEN lowest_price > 0 AND current_price <= floor(lowest_price * 1.05 + 0.5) THEN '현재가가 기록된 최저가 수준이라 가격 메리트가 큰 상품입니다.' ELSE '검색 조건과 연관성이 있는 상품입니다.' END || CASE WHEN w.item_id IS NULL THEN '' ELSE ' 찜 목록에 있는 상품이라 우선 추천했습니다.' END || CASE WHEN v.item_id IS NULL THEN '' ELSE ' 최근 본 상품과도 연결되는 후보입니다.' END AS reason
+    FROM (SELECT user_id FROM wishlists UNION SELECT user_id FROM seen) u CROSS JOIN pool LEFT JOIN wishlists w ON w.user_id = u.user_id AND w.item_id = pool.item_id LEFT JOIN seen v ON v.user_id = u.user_id AND v.item_id = pool.item_id)""",
+    f"""pool AS (SELECT * FROM (SELECT *, {POINTS} AS base FROM (SELECT * FROM items WHERE status = '판매중' ORDER BY item_id DESC LIMIT 30)) ORDER BY base DESC, item_id DESC LIMIT 10),
+    seen AS (SELECT user_id, item_id FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, item_id) AS place FROM actions WHERE event_type = 'IMPRESSION' AND item_id IS NOT NULL GROUP BY user_id, item_id) WHERE place <= 20)""",
+)
 def recommend_personal(spark: SparkSession, d: str) -> DataFrame:
     return I.recommend_personal(A.items(spark, d), A.wishlists(spark, d), A.actions(spark, d).where("event_type = 'IMPRESSION'"), as_of())
 
@@ -484,12 +556,21 @@ def near_duplicate_titles(spark: SparkSession, d: str) -> DataFrame:
     return C.near_duplicate_titles(A.items(spark, d).select(F.lower("category_name").alias("keyword"), F.lower("title").alias("text")), 0.9)
 
 
-@query()
+@query(
+    """SELECT content, total_count, 'bracket_' || lpad(CAST(dense_rank() OVER (ORDER BY total DESC, first) AS VARCHAR), 3, '0') AS cluster_id, representative FROM (SELECT content, total_count, sum(total_count) OVER w AS total, min(content) OVER w AS first, first_value(content) OVER (PARTITION BY root ORDER BY total_count DESC, n DESC, length(content) DESC, content DESC) AS representative
+    FROM (SELECT c.content, total_count, len(c.tokens) AS n, (SELECT min(b) FROM reach WHERE a = c.content) AS root FROM contents c) WINDOW w AS (PARTITION BY root))""",
+    """contents AS (SELECT canonical_name AS content, count(*) AS total_count, list_distinct(list_filter(regexp_split_to_array(lower(canonical_name), '[^a-z0-9]+'), lambda t: t <> '')) AS tokens FROM listings GROUP BY canonical_name),
+    edges AS (SELECT x.content AS a, y.content AS b FROM contents x, contents y WHERE len(list_intersect(x.tokens, y.tokens)) / len(list_distinct(list_concat(x.tokens, y.tokens))) >= 0.35)""",
+    "reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)",
+)
 def bracket_clusters(spark: SparkSession, d: str) -> DataFrame:
     contents = A.listings(spark, d).groupBy(F.col("canonical_name").alias("content")).agg(F.count("*").alias("total_count"))
     return C.bracket_clusters(contents, 0.35)
 
 
+ORACLE_SQL["bracket_clusters"] = ORACLE_SQL["bracket_clusters"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query("SELECT keyword, canonical_name, count(*) AS item_count, min(price) AS min_price, quantile_cont(price, 0.5) AS median_price, round(avg(price), 2) AS mean_price, max(price) AS max_price FROM listings GROUP BY ALL")
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     return C.cluster_summary(A.listings(spark, d), ["keyword", "canonical_name"]).drop("sample_name")
@@ -535,14 +616,49 @@ def _replay(spark: SparkSession, frame: DataFrame, build, name: str, mode: str =
     return alerts.replay(spark, frame, build, f"{shared}/{uuid.uuid4().hex}", name, mode)
 
 
-@query("SELECT item_id, title, canonical_name AS category, current_price, status, (SELECT min(price) FROM history h WHERE h.item_id = i.item_id) AS lowest_price FROM items i")
+@query("SELECT item_id, title, canonical_name AS category, current_price, status, n AS points, coalesce(low, current_price) AS lowest_price, first AS first_label, title || ' ' || canonical_name || ' ' || category_name || ' ' || matched_keywords AS search_text FROM items LEFT JOIN (SELECT item_id, min(price) AS low, count(*) AS n, strftime(min(recorded_at), '%m.%d') AS first FROM history GROUP BY item_id) USING (item_id)")
 def product_views(spark: SparkSession, d: str) -> DataFrame:
-    return I.product_view(A.items(spark, d), A.history(A.listings(spark, d)), as_of()).select("item_id", "title", "category", "current_price", "status", "lowest_price")
+    return I.product_view(A.items(spark, d), A.history(A.listings(spark, d)), as_of()).select("item_id", "title", "category", "current_price", "status", F.size("points").cast("long").alias("points"), "lowest_price", F.get("points", F.lit(0))["label"].alias("first_label"), "search_text")
 
 
-@query()
+@query("SELECT row_number() OVER (ORDER BY score DESC, document_id) AS place, CAST(document_id AS BIGINT) AS item_id, title FROM ranked JOIN docs USING (document_id)", DOCS, fuzzy("blue", "anvil")[1], fuzzy("blue", "anvil")[0])
 def combined_search(spark: SparkSession, d: str) -> DataFrame:
-    return I.combined_search(A.items(spark, d), "blue anvil").select("place", "item_id", "title")
+    return I.combined_search(_priced(spark, d), "blue anvil").select("place", "item_id", "title")
+
+
+@query("SELECT item_id, current_price FROM items WHERE status = '판매중' AND contains(lower(title), 'gear') AND platform_name = '중고나라' ORDER BY current_price, item_id LIMIT 20 OFFSET 20")
+def simple_search(spark: SparkSession, d: str) -> DataFrame:
+    return I.simple_search(A.items(spark, d), " Gear", ("중고나라",), page=2).select("item_id", "current_price")
+
+
+@query(
+    """SELECT item_id, CASE WHEN platform_name <> '' THEN platform_name WHEN contains(item_url, 'daangn') THEN '당근마켓' ELSE '중고거래' END AS platform, original_id AS pid, category_name AS category, category_name AS brand, current_price AS price, status,
+    title || ' 상품입니다. ' || CASE WHEN platform_name <> '' THEN platform_name WHEN contains(item_url, 'daangn') THEN '당근마켓' ELSE '중고거래' END || '에서 수집한 실제 중고거래 매물이며, 상세 상태와 거래 조건은 원본 페이지에서 확인해 주세요.' AS description,
+    '최저가:' || lowest_price || ',현재가:' || current_price AS points FROM items"""
+)
+def service_products(spark: SparkSession, d: str) -> DataFrame:
+    points = F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["label"], p["price"])), ",")
+    return I.service_view(A.items(spark, d), as_of()).select("item_id", "platform", "pid", "category", "brand", "price", "status", "description", points.alias("points"))
+
+
+@query(
+    """SELECT canonical_name AS cluster_product_name, CAST(round(avg(current_price)) AS BIGINT) AS mean_price, count(*) AS item_count, any_value(days) AS days, any_value(total) AS total FROM items LEFT JOIN (SELECT canonical_name, count(*) AS days, sum(price) AS total FROM daily GROUP BY ALL) USING (canonical_name)
+    WHERE starts_with(canonical_name, 'blue') GROUP BY canonical_name ORDER BY canonical_name <> 'blue', item_count DESC, canonical_name LIMIT 6""",
+    HISTORY,
+)
+def related_clusters(spark: SparkSession, d: str) -> DataFrame:
+    named = A.items(spark, d).withColumn("cluster_product_name", F.col("canonical_name"))
+    total = F.aggregate("points", F.lit(0).cast("bigint"), lambda a, p: a + p["price"])
+    return I.related_clusters(named, A.history(A.listings(spark, d)), "Blue 128GB").select("cluster_product_name", "mean_price", "item_count", F.size("points").cast("long").alias("days"), total.alias("total"))
+
+
+@query(
+    """SELECT strftime(crawled_at, '%Y-%m-%d') AS day, CAST(round(avg(current_price)) AS BIGINT) AS price FROM f WHERE current_price BETWEEN 0.35 * (SELECT list_sort(list(current_price))[count(*) // 2 + 1] FROM f) AND 2.5 * (SELECT list_sort(list(current_price))[count(*) // 2 + 1] FROM f) GROUP BY ALL""",
+    "f AS (SELECT * FROM items WHERE canonical_name = (SELECT min(canonical_name) FROM items) ORDER BY crawled_at, item_id LIMIT 300)",
+)
+def similar_group_series(spark: SparkSession, d: str) -> DataFrame:
+    items = A.items(spark, d)
+    return I.similar_group_series({"canonical_name": items.agg(F.min("canonical_name")).first()[0], "title": "x"}, items)
 
 
 @query("SELECT item_id, title FROM items WHERE contains(lower(title), 'anvil') AND status = '판매중'")

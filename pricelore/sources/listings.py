@@ -43,7 +43,7 @@ def to_record(rows: DataFrame, as_of: Column) -> DataFrame:
     preview = is_preview(rows.columns)
     value = V.price(has("price_numeric"), "number").cast("long") if preview else V.price(has("price"), "digits")
     name = F.coalesce(F.nullif(X.blank(has("cluster_product_name")), F.lit("")), F.nullif(X.blank(has("canonical_name")), F.lit("")), has("name"))
-    return rows.select(X.blank(has("platform")).alias("platform_name"), X.blank(has("pid")).alias("original_id"), name.alias("canonical_name"), X.blank(has("name")).alias("title"), value.alias("current_price"), V.state(has("status")).alias("status"), has("link").alias("item_url"), V.image_url(has("image_url")).alias("thumbnail_url"), V.moment(has("date"), as_of).alias("crawled_at"), has("cluster_route").alias("cluster_route"))
+    return rows.select(X.blank(has("platform")).alias("platform_name"), X.blank(has("pid")).alias("original_id"), name.alias("canonical_name"), X.blank(has("name")).alias("title"), value.alias("current_price"), V.import_state(has("status")).alias("status"), has("link").alias("item_url"), V.image_url(has("image_url")).alias("thumbnail_url"), V.moment(has("date"), as_of).alias("crawled_at"), has("cluster_route").alias("cluster_route"))
 
 
 def complete(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,19 +108,21 @@ def newest(rows: DataFrame, n: int | None = None) -> DataFrame:
     return ordered.limit(n) if n else ordered
 
 
-#: Fields of a record in a result page.
-PAGE_FIELDS = {"pid": r'"seq":(\d+)', "price": r'"price":(\d+)', "link": r'"url":"([^"]*)"', "name": r'"title":"((?:[^"\\]|\\.)*)"', "status": r'"state":(\d+)', "date": r'"sortDate":"([^"]*)"'}
-ESCAPES = (("\\\\u0026", "&"), ('\\\\"', '"'), ("\\\\/", "/"))
+#: A record of a result page as it stands there, its quotes escaped, and the fields that its groups hold.
+PAGE_RECORD = r'(?s)\{\\"seq\\":(\d+).*?\\"price\\":(\d+).*?\\"url\\":\\"(.*?)\\".*?\\"title\\":\\"(.*?)\\",\\"state\\":(\d+),\\"sortDate\\":\\"(.*?)\\"'
+PAGE_FIELDS = ("pid", "price", "image_url", "name", "status", "date")
+
+
+def unescaped(text: Column) -> Column:
+    """A JSON string's content read as JSON; as it stands where it is none."""
+    return F.coalesce(F.from_json(F.concat(F.lit('{"v":"'), text, F.lit('"}')), "v string")["v"], text)
 
 
 def page_records(pages: DataFrame, column: str = "html") -> DataFrame:
-    """Listing rows of result pages: each field is taken out on its own, then the places are zipped."""
-    found = {k: F.regexp_extract_all(F.col(column), F.lit(p), F.lit(1)) for k, p in PAGE_FIELDS.items()}
-    rows = pages.select("page_id", F.explode(F.arrays_zip(*(c.alias(k) for k, c in found.items()))).alias("r")).select("page_id", "r.*").where("pid IS NOT NULL AND name IS NOT NULL")
-    name = F.col("name")
-    for a, b in ESCAPES:
-        name = F.regexp_replace(name, a, b)
-    return rows.withColumn("name", name).withColumn("price", F.col("price").try_cast("long")).withColumn("status", V.state(F.col("status")))
+    """Listing rows of result pages (page_id, html), record by record: a record that lacks a field has no row and shifts no other."""
+    each = pages.select("page_id", F.explode(F.regexp_extract_all(F.col(column), F.lit(PAGE_RECORD), F.lit(0))).alias("record"))
+    rows = each.select("page_id", *(F.regexp_extract("record", PAGE_RECORD, k + 1).alias(f) for k, f in enumerate(PAGE_FIELDS)))
+    return rows.withColumns({"name": unescaped(F.col("name")), "image_url": unescaped(F.col("image_url")), "price": F.col("price").try_cast("long"), "status": V.code_state(F.col("status"), V.PAGE_CODES)})
 
 
 API = "struct<list: array<struct<pid: string, name: string, price: string, status: string, product_image: string, update_time: long>>>"
@@ -129,7 +131,7 @@ API = "struct<list: array<struct<pid: string, name: string, price: string, statu
 def api_records(payloads: DataFrame, column: str, as_of: Column, days: int = 14, link: str = "https://m.example.com/products/{}") -> DataFrame:
     """Listing rows of JSON payloads, not older than ``days``."""
     rows = payloads.select(F.explode(F.from_json(column, API)["list"]).alias("r")).select("r.*")
-    out = rows.select("pid", "name", V.price(F.col("price")).alias("price"), V.state(F.col("status")).alias("status"), V.image_url(F.col("product_image")).alias("image_url"), F.replace(F.lit(link), F.lit("{}"), F.col("pid")).alias("link"), F.timestamp_seconds("update_time").alias("ts"))
+    out = rows.select("pid", "name", V.price(F.col("price")).alias("price"), V.code_state(F.col("status"), V.API_CODES).alias("status"), V.image_url(F.col("product_image")).alias("image_url"), F.replace(F.lit(link), F.lit("{}"), F.col("pid")).alias("link"), F.timestamp_seconds("update_time").alias("ts"))
     return recent(out, as_of, days)
 
 
@@ -137,36 +139,62 @@ def recent(rows: DataFrame, as_of: Column, days: int = 14, column: str = "ts") -
     return rows.where(F.col(column) >= as_of - F.expr(f"INTERVAL {days} DAYS"))
 
 
-#: Names of description tags in order, and site slogans that say nothing.
-META = ("description", "og:description", "twitter:description")
-SLOGANS = ("취향을 잇는 거래, 번개장터", "중고거래는 중고나라")
+#: Attributes and names of description tags in order, and site slogans that say nothing.
+META = (("name", "description"), ("property", "og:description"), ("name", "twitter:description"))
+SLOGANS = ("직거래부터 택배거래까지 쉽고 안전하게, 취향 기반 중고거래 플랫폼", "취향을 잇는 거래, 번개장터")
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def page_description(html: Column) -> Column:
-    def tag(name: str) -> Column:
-        return F.nullif(X.tidy(F.regexp_extract(html, rf"""(?is)<meta\s+(?:name|property)=["']{name}["']\s+content=["']([^"']*)["']""", 1)), F.lit(""))
+    """The first description of a page's tags that says something; attributes may stand in any order."""
+    tags = F.regexp_extract_all(html, F.lit("""(?is)<meta\\b(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0))
+
+    def content(attribute: str, name: str) -> Column:
+        tag = F.get(F.filter(tags, lambda t: t.rlike(rf"""(?is)\b{attribute}\s*=\s*["']?{name}["'\s/>]""")), F.lit(0))
+        text = F.regexp_extract(tag, r"""(?is)\scontent\s*=\s*("[^"]*"|'[^']*')""", 1)
+        text = F.substring(text, F.lit(2), F.greatest(F.length(text) - 2, F.lit(0)))
+        for a, b in ENTITIES:
+            text = F.replace(text, F.lit(a), F.lit(b))
+        text = X.tidy(text)
+        return F.when(~text.isin("", *SLOGANS), text)
+
+    return F.coalesce(*(content(*m) for m in META), F.lit(""))
 
-    found = F.coalesce(*map(tag, META), F.lit(""))
-    return F.when(found.isin(*SLOGANS), "").otherwise(found)
 
+#: Keys that hold keywords, keys of ranking blocks and of blocks that are passed over, words that are no keywords.
+KEYWORD_KEYS = ("keyword", "keywords", "query", "queries", "searchword", "searchwords", "search_word", "search_words", "word", "words", "term", "terms")
+RANKING = ("popular", "popularsearch", "popularsearches", "popularkeywords", "ranking", "rankings", "rank", "realtime", "realtimekeyword", "trend", "trends")
+PASSED = ("category", "categories", "navigation", "nav", "menu", "gnb", "lnb", "footer")
+NO_KEYWORDS = (
+    "검색", "채팅하기", "로그인", "회원가입", "전체", "메뉴", "홈", "이전", "다음", "더보기", "앱 다운로드", "수입명품", "패션의류", "패션잡화", "뷰티", "출산/유아동", "모바일/태블릿", "가전제품", "노트북/pc",
+    "카메라/캠코더", "가구/인테리어", "리빙/생활", "게임", "반려동물/취미", "도서/음반/문구", "티켓/쿠폰", "스포츠", "레저/여행", "중고차", "오토바이",
+)
 
-#: Keys of ranking blocks, keys of navigation blocks, words that are no keywords.
-RANKING, NAVIGATION, NOISE = ("rank", "popular", "trend", "keyword"), ("nav", "menu", "footer", "banner"), ("더보기", "전체", "인기", "검색어")
+
+def keyword_text(text: Column) -> Column:
+    """A keyword in its plain form: single spaces, no number in front, lower case."""
+    return F.lower(F.regexp_replace(X.tidy(text), r"^\d+\s*", ""))
 
 
 def popular_keywords(pages: DataFrame, existing: DataFrame, n: int = 20, column: str = "html") -> DataFrame:
-    """(keyword, place): the texts of JSON blocks below a ranking key and not below a navigation key, valid and distinct in order; the existing list if fewer than three are found."""
+    """(keyword, place): the texts that JSON blocks hold in lists, or under a keyword's key, below a ranking key and not below one that is passed over; valid and distinct in order. The existing list if fewer than three are found."""
 
-    def walk(node, under: bool) -> Iterator[str]:
+    def walk(node, ranked: bool) -> Iterator[str]:
+        if isinstance(node, list):
+            for v in node:
+                if ranked and isinstance(v, str):
+                    yield v
+                else:
+                    yield from walk(v, ranked)
         if isinstance(node, dict):
             for k, v in node.items():
-                if not any(x in k.lower() for x in NAVIGATION):
-                    yield from walk(v, under or any(x in k.lower() for x in RANKING))
-        elif isinstance(node, list):
-            for v in node:
-                yield from walk(v, under)
-        elif isinstance(node, str) and under:
-            yield node
+                key = "".join(c for c in k.lower() if "a" <= c <= "z")
+                if key in PASSED:
+                    continue
+                below = ranked or key in RANKING
+                if below and key in KEYWORD_KEYS and isinstance(v, str):
+                    yield v
+                yield from walk(v, below)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -183,9 +211,9 @@ def popular_keywords(pages: DataFrame, existing: DataFrame, n: int = 20, column:
                         k += 1
             yield pd.DataFrame(out, columns=["page_id", "k", "word"])
 
-    blocks = F.regexp_extract_all(column, F.lit(r"(?s)<script[^>]*application/(?:ld\+)?json[^>]*>(.*?)</script>"), F.lit(1))
-    words = pages.select("page_id", blocks.alias("blocks")).where(F.size("blocks") > 0).mapInPandas(run, "page_id long, k int, word string").withColumn("word", X.tidy(F.col("word")))
-    valid = words.where(F.length("word").between(2, 40) & ~F.col("word").isin(*NOISE))
+    blocks = F.regexp_extract_all(column, F.lit(r"""(?s)<script[^>]*type=["']?application/json["']?[^>]*>(.*?)</script>"""), F.lit(1))
+    words = pages.select("page_id", blocks.alias("blocks")).where(F.size("blocks") > 0).mapInPandas(run, "page_id long, k int, word string").withColumn("word", keyword_text(F.col("word")))
+    valid = words.where(F.length("word").between(2, 40) & ~F.col("word").isin(*NO_KEYWORDS) & ~F.col("word").rlike(r"(?U)^[\W_]+$"))
     first = valid.groupBy("word").agg(F.min(F.struct("page_id", "k")).alias("at")).orderBy("at", "word").limit(n)
     found = first.select(F.col("word").alias("keyword"), (F.row_number().over(Window.orderBy("at", "word"))).alias("place"))
     return found if found.count() >= 3 else existing.select("keyword", "place")

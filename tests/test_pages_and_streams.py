@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from pricelore.operators import insight as I
 from pricelore.operators import matching as M
 from pricelore.sources import listings as S
 from pricelore.streaming import alerts
@@ -11,11 +10,16 @@ def now():
 
 
 def test_page_records_and_descriptions(spark):
-    html = '{"seq":7,"price":1000,"url":"u","title":"갤럭시 \\u0026 버즈","state":0,"sortDate":"2026-05-01"},{"seq":8,"price":2000,"url":"v","title":"b","state":3,"sortDate":"2026-05-02"}<meta property="og:description" content=" a  b ">'
-    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
-    got = [(r["pid"], r["price"], r["status"]) for r in S.page_records(pages).orderBy("pid").collect()]
-    assert got == [("7", 1000, "판매중"), ("8", 2000, "판매완료")]
-    assert [r[0] for r in pages.orderBy("page_id").select(S.page_description(F.col("html"))).collect()] == ["a b", "", ""]
+    records = [
+        r'{\"seq\":7,\"x\":1,\"price\":1000,\"url\":\"u\\u0026v\",\"title\":\"갤럭시 \\u0026 버즈\",\"state\":0,\"sortDate\":\"2026-05-01\"}'.replace(r"\\u", r"\u"),
+        r'{\"seq\":8,\"price\":2000,\"url\":\"v\",\"title\":\"b \x\",\"state\":3,\"sortDate\":\"2026-05-02\"}',
+        r'{\"seq\":9,\"price\":3000,\"url\":\"w\",\"title\":\"c\",\"state\":5,\"sortDate\":\"2026-05-03\"}',
+    ]
+    html = ",".join(records) + '<meta content=" a  b &amp; c" property="og:description"><meta name="description" content="취향을 잇는 거래, 번개장터">'
+    pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, '{"seq":7,"price":1000,"url":"u","title":"t","state":0,"sortDate":"d"}<meta name=description content=\'x\'>')], "page_id long, html string")
+    got = [tuple(r[c] for c in ("pid", "price", "name", "status", "image_url", "date")) for r in S.page_records(pages).orderBy("pid").collect()]
+    assert got == [("7", 1000, "갤럭시 & 버즈", "판매중", "u&v", "2026-05-01"), ("8", 2000, "b \\x", "거래완료", "v", "2026-05-02"), ("9", 3000, "c", "상태코드:5", "w", "2026-05-03")]
+    assert [r[0] for r in pages.orderBy("page_id").select(S.page_description(F.col("html"))).collect()] == ["a b & c", "", "", "x"]
 
 
 def test_api_records(spark):
@@ -25,10 +29,10 @@ def test_api_records(spark):
 
 
 def test_popular_keywords(spark):
-    html = '<script type="application/json">{"popularRank":[{"word":"갤럭시 버즈"},{"word":"아이폰"},{"word":"맥북"},{"word":"아이폰"}],"navMenu":["전체 보기"],"other":["x y"]}</script>'
+    html = '<script type="application/json">{"Popular-Search":[{"word":"1 갤럭시  버즈"},{"label":"no","term":"아이폰"},"맥북",{"word":"아이폰"}, "검색", "??"],"rank":{"menu":["전체 보기"],"keyword":"LG 그램"},"other":["x y"],"popularRank":["z z"]}</script>'
     existing = spark.createDataFrame([("old", 1)], "keyword string, place int")
     got = S.popular_keywords(spark.createDataFrame([(1, html)], "page_id long, html string"), existing).orderBy("place").collect()
-    assert [r["keyword"] for r in got] == ["갤럭시 버즈", "아이폰", "맥북"]
+    assert [r["keyword"] for r in got] == ["갤럭시 버즈", "아이폰", "맥북", "lg 그램"]
     assert S.popular_keywords(spark.createDataFrame([(1, "x")], "page_id long, html string"), existing).first()["keyword"] == "old"
 
 
@@ -62,9 +66,3 @@ def test_merge_stream_is_idempotent(spark, tmp_path):
     items = spark.read.parquet(f"{tmp_path}/out/items/version=0")
     assert {(r["original_id"], r["current_price"]) for r in items.collect()} == {("1", 6), ("2", 7)}
     assert spark.read.parquet(f"{tmp_path}/out/history/version=0").count() == 3
-
-
-def test_messages(spark):
-    rows = spark.createDataFrame([(1, "50만원 이하 아이폰 추천해줘"), (2, None)], "message_id long, message string")
-    got = {r["message_id"]: r for r in I.message_tags(rows).collect()}
-    assert got[1]["intent"] == "RECOMMEND" and got[1]["max_price"] == 500_000 and got[1]["product_type"] == "SMARTPHONE" and got[2]["intent"] == "GENERAL"
