@@ -506,10 +506,19 @@ def price_stats_daily(rows: DataFrame) -> DataFrame:
 def search_ranking(events: DataFrame, period: str = "7 days") -> DataFrame:
     """(keyword, period_start, search_count, click_count, click_rate, place, trend) with the trend against the period before."""
     counts = events.where("keyword IS NOT NULL").groupBy(F.window("ts", period).alias("w"), "keyword").agg(F.count_if(F.col("event_type") == "SEARCH").alias("search_count"), F.count_if(F.col("event_type") == "IMPRESSION").alias("impression_count"), F.count_if(F.col("event_type") == "CLICK").alias("click_count"))
-    before = F.lag("search_count").over(Window.partitionBy("keyword").orderBy("w.start"))
-    place = F.row_number().over(Window.partitionBy("w.start").orderBy(F.desc("search_count"), "keyword"))
+    return ranked(counts.select("keyword", F.col("w.start").alias("period_start"), "search_count", "impression_count", "click_count"))
+
+
+def ranked(counts: DataFrame) -> DataFrame:
+    """``counts`` of periods and keywords with click_rate, place in the period, and trend against the keyword's period before. A period's keywords are placed by ranges of their counts, so that no task sorts them all."""
+    before = F.lag("search_count").over(Window.partitionBy("keyword").orderBy("period_start"))
     trend = F.when(F.col("before").isNull(), "NEW").when(F.col("search_count") > F.col("before"), "UP").when(F.col("search_count") < F.col("before"), "DOWN").otherwise("SAME")
-    return counts.withColumn("before", before).withColumn("place", place).select("keyword", F.col("w.start").alias("period_start"), "search_count", "impression_count", "click_count", F.when(F.col("impression_count") > 0, F.round(F.col("click_count") / F.col("impression_count"), 4)).alias("click_rate"), "place", trend.alias("trend"))
+    known = counts.withColumn("before", before).withColumn("trend", trend).withColumn("click_rate", F.when(F.col("impression_count") > 0, F.round(F.col("click_count") / F.col("impression_count"), 4))).drop("before")
+    # how many of a period have more searches: from counts of equal counts, which are few
+    equal = known.groupBy("period_start", "search_count").agg(F.count("*").alias("n"))
+    more = F.sum("n").over(Window.partitionBy("period_start").orderBy(F.desc("search_count"))) - F.col("n")
+    within = F.row_number().over(Window.partitionBy("period_start", "search_count").orderBy("keyword"))
+    return known.withColumn("within", within).join(equal.select("period_start", "search_count", more.alias("more")), ["period_start", "search_count"]).withColumn("place", (F.col("more") + F.col("within")).cast("int")).drop("more", "within")
 
 
 def seeded_sample(rows: DataFrame, n: int, seed: int, key: Column) -> DataFrame:

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pricelore.functions import values as V
-from pricelore.operators.insight import reached_alerts
+from pricelore.operators.insight import ranked, reached_alerts
 from pricelore.operators.matching import missing_tokens
 from pricelore.functions import text as T
-from pricelore.sources.listings import history_points, upsert
+from pricelore.sources.listings import history_points, last_by_key, upsert
 
 LATE = "14 days"
 
@@ -33,33 +33,39 @@ def keyword_alerts(listings: DataFrame, alerts: DataFrame, settings: DataFrame,
     parts = lambda name: F.array_distinct(F.concat(T.title_tokens(name), T.keyword_tokens(name)))
     first = active.withColumn("start", F.substring(F.get("tokens", F.lit(0)), 1, 2))
     starts = F.array_distinct(F.flatten(F.transform(parts(F.col("name")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, 2)))))
-    met = listings.withWatermark("ts", late).withColumn("start", F.explode(starts)).join(first, "start").where(F.size(missing_tokens(F.col("tokens"), F.col("name"))) == 0)
+    met = listings.withWatermark("ts", late).withColumn("start", F.explode(starts)).join(first, "start").where(F.size(missing_tokens(F.col("tokens"), T.normal(F.col("name"), "none"))) == 0)
     return met.select("user_id", "keyword", "item_id", "name", "ts").dropDuplicatesWithinWatermark(["user_id", "keyword", "item_id"])
 
 
 def sold_alerts(updates: DataFrame, late: str = LATE, sold: str = V.SOLD) -> DataFrame:
-    """(item_id, ts, status_before): one row whenever an item's state turns to sold. The state kept for an item is its last state and time; it goes when the watermark has passed the time by two weeks."""
+    """(item_id, ts, status_before): one row whenever an item's state turns to sold.
+
+    The state kept for an item are its updates since the watermark and the last one before it, so an update that comes late, within the watermark, is put in its place and raises the alert that it gives rise to; an alert that was sent isn't taken back. An
+    item's state goes when the watermark has passed its last update by two weeks.
+    """
+
+    def turns(rows: list[tuple[int, str]]) -> dict[int, str]:
+        return {at: before for (_, before), (at, status) in zip(rows, rows[1:], strict=False) if status == sold and before != sold}
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last, at = state.get if state.exists else (None, 0)
-        out, rows = [], pd.concat(list(frames)).sort_values(["ts", "status"])
-        for ts, status in zip(rows["ts"], rows["status"], strict=True):
-            ms = int(ts.timestamp() * 1000)
-            if ms < at:
-                continue
-            if status == sold and last is not None and last != sold:
-                out.append((key[0], ts, last))
-            last, at = status, ms
-        state.update((last, at))
-        state.setTimeoutTimestamp(max(at + 14 * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        new = pd.concat(list(frames))
+        rows = sorted([*held, *zip((int(t.value // 1000) for t in new["ts"]), new["status"], strict=True)])
+        told = turns(held)
+        out = [(key[0], pd.Timestamp(at, unit="us"), before) for at, before in turns(rows).items() if at not in told]
+        mark = state.getCurrentWatermarkMs() * 1000
+        passed = sum(at < mark for at, _ in rows)
+        rows = rows[max(passed - 1, 0) :]
+        state.update(([at for at, _ in rows], [status for _, status in rows]))
+        state.setTimeoutTimestamp(max(rows[-1][0] // 1000 + 14 * 86_400_000, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["item_id", "ts", "status_before"])
 
     keyed = updates.select("item_id", "ts", "status").withWatermark("ts", late).groupBy("item_id")
-    return keyed.applyInPandasWithState(step, "item_id long, ts timestamp, status_before string", "status string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.applyInPandasWithState(step, "item_id long, ts timestamp, status_before string", "at array<long>, status array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sold_transitions(updates: DataFrame, sold: str = V.SOLD) -> DataFrame:
@@ -83,39 +89,85 @@ def daily_stats(listings: DataFrame, late: str = LATE) -> DataFrame:
     return both.groupBy(day, "canonical_name", "platform_name").agg(F.count("*").alias("item_count"), F.min("price").alias("min_price"), F.round(F.avg("price"), 2).alias("avg_price"), F.max("price").alias("max_price")).select("canonical_name", "platform_name", F.to_date("w.start").alias("stat_date"), "item_count", "min_price", "avg_price", "max_price")
 
 
+#: After so many versions one is written that holds all.
+WHOLE_EVERY = 50
+
+
 def merge_listings(stream: DataFrame, path: str, checkpoint: str):
-    """Starts a query that merges each micro-batch of records into the item table below ``path`` and appends days to the history. Versions alternate, so a batch that is run again overwrites its own version only."""
+    """Starts a query that takes each micro-batch of records into the item table and the history below ``path``: a version holds what its batch changed, and now and then one holds all (``WHOLE_EVERY``). A batch that is run again overwrites its own version only. Read them by ``items_of`` and ``history_of``."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        items = f"{path}/items/version={number}"
-        target = _latest(spark, f"{path}/items", number, batch.schema)
-        upsert(target, batch, ["platform_name", "original_id"], ["crawled_at"]).write.mode("overwrite").parquet(items)
-        merged = spark.read.parquet(items).withColumn("item_id", F.xxhash64("platform_name", "original_id"))
-        points = history_points(batch, merged)
-        old = _latest(spark, f"{path}/history", number, points.schema)
-        upsert(old, points, ["item_id", "recorded_at"], ["price"]).write.mode("overwrite").parquet(f"{path}/history/version={number}")
+        items = last_by_key(batch, ["platform_name", "original_id"], ["crawled_at"])
+        points = history_points(batch, items.withColumn("item_id", F.xxhash64("platform_name", "original_id")))
+        for name, keys, rows in (("items", ITEM_KEYS, items), ("history", POINT_KEYS, points)):
+            whole = number > 0 and number % WHOLE_EVERY == 0
+            old = _table(batch.sparkSession, f"{path}/{name}", keys, rows.schema, number) if whole else None
+            rows = rows if old is None else upsert(old, rows, keys, [c for c in rows.columns if c not in keys][:1])
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/{'whole' if whole else 'version'}={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _latest(spark: SparkSession, path: str, before: int, schema) -> DataFrame:
-    """The last version below ``before``; empty if there is none."""
-    from pyspark.errors import AnalysisException
+ITEM_KEYS, POINT_KEYS = ["platform_name", "original_id"], ["item_id", "recorded_at"]
+
+
+def items_of(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The items of ``merge_listings``: of each key what the last batch that has it brought."""
+    return _table(spark, f"{path}/items", ITEM_KEYS, schema)
+
+
+def history_of(spark: SparkSession, path: str) -> DataFrame:
+    return _table(spark, f"{path}/history", POINT_KEYS, "item_id long, recorded_at date, price long")
+
+
+def _versions(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """The numbers of the complete versions below ``path``, by kind. A folder that can't be listed is an error; one that isn't there has none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"version": [], "whole": []}
+    for entry in files.listStatus(folder) if files.exists(folder) else []:
+        kind, _, number = entry.getPath().getName().partition("=")
+        if kind in found and files.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
+            found[kind].append(int(number))
+    return found
+
+
+def _table(spark: SparkSession, path: str, keys: list[str], schema, before: int | None = None) -> DataFrame:
+    """The last whole version (below ``before``) and the later ones put together: the later one wins."""
+    found = _versions(spark, path)
+    kept = lambda k: before is None or k < before
+    base = max(filter(kept, found["whole"]), default=-1)
+    parts = [(f"{path}/whole={base}", base)] if base >= 0 else []
+    parts += [(f"{path}/version={k}", k) for k in sorted(found["version"]) if kept(k) and k > base]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    rows = [spark.read.schema(schema).parquet(p).withColumn("_version", F.lit(k)) for p, k in parts]
+    whole = rows[0]
+    for r in rows[1:]:
+        whole = whole.unionByName(r)
+    return last_by_key(whole, keys, ["_version"]).drop("_version")
+
+
+def write_rankings(counts: DataFrame, path: str, checkpoint: str):
+    """Starts a query that ranks each period of ``search_counts`` once it is closed: places by searches, and the trend against the period before, which is looked up among those written. A batch that is run again overwrites its own rows only."""
+    schema = "keyword string, period_start timestamp, search_count long, impression_count long, click_count long, click_rate double, place int, trend string"
+
+    def rank(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kept = [f"{path}/version={k}" for k in _versions(spark, path)["version"] if k < number]
+        old = spark.read.schema(schema).parquet(*kept) if kept else spark.createDataFrame([], schema)
+        both = old.select(*batch.columns, F.lit(False).alias("_new")).unionByName(batch.withColumn("_new", F.lit(True)))
+        ranked(both).where("_new").select(*(c.split()[0] for c in schema.split(", "))).write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    for number in range(before - 1, -1, -1):
-        try:
-            return spark.read.schema(schema).parquet(f"{path}/version={number}")
-        except AnalysisException:
-            continue
-    return spark.createDataFrame([], schema)
+    return counts.writeStream.foreachBatch(rank).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def replay(spark: SparkSession, frame: DataFrame, build, checkpoint: str, name: str, mode: str = "append") -> DataFrame:
-    """Writes ``frame`` to files, runs ``build`` over them as a stream until all is read, and returns what came out. For tests and for the batch comparison."""
+def replay(spark: SparkSession, frame: DataFrame, build, checkpoint: str, name: str, mode: str = "append", one_by_one: bool = False) -> DataFrame:
+    """Writes ``frame`` to files, runs ``build`` over them as a stream until all is read, and returns what came out. For tests and for the batch comparison. ``one_by_one`` makes a micro-batch of each file."""
     source, sink = f"{checkpoint}/{name}/in", f"{checkpoint}/{name}/out"
     frame.write.mode("overwrite").parquet(source)
-    out = build(spark.readStream.schema(frame.schema).parquet(source))
+    reader = spark.readStream.schema(frame.schema)
+    out = build((reader.option("maxFilesPerTrigger", 1) if one_by_one else reader).parquet(source))
     writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", sink).start().awaitTermination()
@@ -124,4 +176,4 @@ def replay(spark: SparkSession, frame: DataFrame, build, checkpoint: str, name:
     return spark.read.schema(out.schema).parquet(sink)
 
 
-__all__ = ["daily_stats", "keyword_alerts", "merge_listings", "price_alerts", "reached_alerts", "replay", "search_counts", "sold_alerts", "sold_transitions"]
+__all__ = ["daily_stats", "history_of", "items_of", "keyword_alerts", "merge_listings", "price_alerts", "reached_alerts", "replay", "search_counts", "sold_alerts", "sold_transitions", "write_rankings"]

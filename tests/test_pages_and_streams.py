@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from pricelore.operators import insight as I
 from pricelore.operators import matching as M
 from pricelore.sources import listings as S
 from pricelore.streaming import alerts
@@ -57,6 +58,58 @@ def test_keyword_alert_stream(spark, tmp_path):
     assert [(r["user_id"], r["item_id"]) for r in got] == [(5, 1)]
 
 
+def test_late_updates_are_put_in_place(spark, tmp_path):
+    """Three micro-batches; the second brings an update that is older than the first's."""
+    data = [[(1, "2026-05-01 00:00:00", "판매중"), (1, "2026-05-05 00:00:00", "판매중"), (2, "2026-05-01 00:00:00", "판매완료")], [(1, "2026-05-03 00:00:00", "판매완료"), (2, "2026-05-04 00:00:00", "예약중")], [(1, "2026-05-06 00:00:00", "판매완료"), (2, "2026-05-05 00:00:00", "판매완료")]]
+    schema = "item_id long, ts string, status string"
+    for k, rows in enumerate(data):
+        spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        alerts.sold_alerts(spark.readStream.schema("item_id long, ts timestamp, status string").parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        assert k < 3
+    whole = spark.createDataFrame([r for rows in data for r in rows], schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = spark.read.schema("item_id long, ts timestamp, status_before string").parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, alerts.sold_transitions(whole).collect())) and got.count() == 3
+
+
+def test_rankings_of_closed_periods(spark, tmp_path):
+    schema = "ts timestamp, keyword string, event_type string"
+    rows = [("2026-01-01", "a"), ("2026-01-01", "b"), ("2026-01-02", "b"), ("2026-01-08", "a"), ("2026-01-09", "a"), ("2026-01-09", "b"), ("2026-03-01", "z"), ("2026-04-01", "z")]
+    for day, word in rows:
+        spark.createDataFrame([(day, word, "SEARCH")], "c string, keyword string, event_type string").select(F.col("c").cast("timestamp").alias("ts"), "keyword", "event_type").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        counts = alerts.search_counts(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        alerts.write_rankings(counts, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out/version=*").collect()
+    assert sorted((str(r["period_start"])[:10], r["place"], r["keyword"], r["search_count"], r["trend"]) for r in got if r["keyword"] != "z") == [("2026-01-01", 1, "b", 2, "NEW"), ("2026-01-01", 2, "a", 1, "NEW"), ("2026-01-08", 1, "a", 2, "UP"), ("2026-01-08", 2, "b", 1, "DOWN")]
+
+
+def test_daily_stats_stream_equals_batch(spark, tmp_path):
+    rows = [("n", "p", 10, "2026-01-01 10:00:00"), ("n", "p", 20, "2026-01-01 11:00:00"), ("n", "q", 5, "2026-01-01 12:00:00"), ("m", "q", 7, "2026-01-02 12:00:00")]
+    frame = spark.createDataFrame(rows, "canonical_name string, platform string, price long, c string").select("canonical_name", "platform", "price", F.col("c").cast("timestamp").alias("ts"))
+    got = alerts.replay(spark, frame, alerts.daily_stats, str(tmp_path), "daily", "complete")
+    columns = ("canonical_name", "platform_name", "stat_date", "item_count", "min_price", "avg_price", "max_price")
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, I.price_stats_daily(frame).select(*columns).collect())) and got.count() == 5
+
+
+def test_price_alerts_come_once(spark, tmp_path):
+    updates = spark.createDataFrame([(1, 90, 90), (1, 90, 90), (2, 90, 80)], "item_id long, current_price long, lowest_price long").withColumn("ts", now())
+    wishes = spark.createDataFrame([(5, 1, 95, "N"), (6, 2, 10, "Y"), (7, 1, 10, "y")], "user_id long, item_id long, target_price long, is_lowest_alert string")
+    got = alerts.replay(spark, updates.repartition(3), lambda s: alerts.price_alerts(s, wishes), str(tmp_path), "price", one_by_one=True).collect()
+    assert sorted((r["user_id"], r["item_id"], r["current_price"]) for r in got) == [(5, 1, 90), (7, 1, 90)]
+
+
+def test_merge_stream_over_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(alerts, "WHOLE_EVERY", 2)
+    schema = "platform_name string, original_id string, current_price long, crawled_at timestamp"
+    batches = [[("p", "1", 5, "2026-05-01"), ("p", "2", 7, "2026-05-01")], [("p", "1", 6, "2026-05-02")], [("p", "1", 4, "2026-05-02"), ("q", "1", 9, "2026-05-03")], [("p", "2", 1, "2026-04-01")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "platform_name string, original_id string, current_price long, c string").select("platform_name", "original_id", "current_price", F.col("c").cast("timestamp").alias("crawled_at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        alerts.merge_listings(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    items = {(r["platform_name"], r["original_id"]): r["current_price"] for r in alerts.items_of(spark, f"{tmp_path}/out", schema).collect()}
+    assert items == {("p", "1"): 4, ("p", "2"): 1, ("q", "1"): 9}
+    assert sorted(r["price"] for r in alerts.history_of(spark, f"{tmp_path}/out").collect()) == [1, 4, 5, 7, 9]
+    assert alerts.items_of(spark, f"{tmp_path}/none", schema).count() == 0
+
+
 def test_merge_stream_is_idempotent(spark, tmp_path):
     schema = "platform_name string, original_id string, current_price long, crawled_at timestamp"
     frame = spark.createDataFrame([("p", "1", 5, "2026-05-01"), ("p", "1", 6, "2026-05-02"), ("p", "2", 7, "2026-05-01")], "platform_name string, original_id string, current_price long, c string").select("platform_name", "original_id", "current_price", F.col("c").cast("timestamp").alias("crawled_at"))
