@@ -5,7 +5,7 @@ merge ranks, as the model has no unigram scores), normalised over all segmentati
 the greatest perturbed value of the segmentations below it, the popped node is followed along its best children to a leaf, and at each step the siblings left behind become one node, whose value is a Gumbel
 variable truncated at the popped value. Popped values fall, so the leaves are exact draws without replacement. The inclusion score is log(1 - exp(-exp(log-chance - kappa))), kappa being the (k+1)th value.
 
-No piece has a space mark behind another character, so a text falls into independent pieces at its spaces and the lattice is made once for each distinct one, which a worker keeps over its slices and tasks (``Strings``). Draws are counters hashed with the row's key, so they don't depend on
+No piece has a space mark behind another character, so a text falls into independent pieces at its spaces and the lattice is made once for each distinct one, which a task keeps over its slices (``Strings``). Draws are counters hashed with the row's key, so they don't depend on
 partitions. Edge cases: a null text counts as empty; an empty text has one segmentation without ids; where fewer than k segmentations exist, all come, with score 0; characters outside the vocabulary become bytes; a literal space
 mark is read back as a space, as the library does; rows with equal key and text get equal samples, null doc_ids among them; ties of perturbed values go to the first place; a very long text is one slice of its own, and a string without spaces has one lattice whatever its length;
 an empty table gives no rows; columns other than doc_id and text are ignored.
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from pricelore.llm._common import table
 
 MARK = "▁"
-#: Characters that are segmented at once, and edges (24 bytes each) that a worker keeps.
-SLICE_CHARS = 500_000
-CACHE_EDGES = 3_500_000
+#: Characters that are segmented at once, and edges (24 bytes each) that a task keeps.
+SLICE_CHARS = 300_000
+CACHE_EDGES = 2_000_000
 LAST20 = np.uint64((1 << 20) - 1)
 SAMPLES = 2
 SCHEMA = "doc_id long, samples array<struct<ids: array<int>, log_inclusion: double, text_ok: boolean>>"
@@ -200,7 +200,7 @@ class Lattice:
 
 
 class Strings:
-    """The lattices of the strings that a worker has met, kept over its slices and tasks.
+    """The lattices of the strings that a task has met, kept over its slices.
 
     Edges of a place lie side by side. An edge holds the place where the next one begins (its first edge, -1 at the string's end), its id and log-chance, and ``upto``: the chances of its place's edges up to it, the last one's without bound.
     Beyond ``CACHE_EDGES`` only strings that came up three times or more are kept, and none if these fill half of that.
@@ -398,22 +398,22 @@ def decoded_alike(lattice: Lattice, ids: np.ndarray, cut: np.ndarray, texts: lis
     return [raw[a + 1 : z] == t.replace(MARK, " ").encode() for a, z, t in zip(at[:-1], at[1:], texts, strict=True)]
 
 
-#: A worker's models and strings.
-_KNOWN: dict[str, Strings] = {}
+#: A worker's models; its strings go with each task, so that an idle worker holds no more than a model.
+_MODELS: dict[str, Lattice] = {}
 
 
-def known_strings(model_path: str) -> Strings:
-    if model_path not in _KNOWN:
-        _KNOWN[model_path] = Strings(Lattice(model_path))
-    return _KNOWN[model_path]
+def model_of(model_path: str) -> Lattice:
+    if model_path not in _MODELS:
+        _MODELS[model_path] = Lattice(model_path)
+    return _MODELS[model_path]
 
 
 def sample(docs: DataFrame, model_path: str, k: int = SAMPLES) -> DataFrame:
     """(doc_id, samples): up to k segmentations of each whole text, with whether their decoding gives the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_strings(model_path)
-        lattice = known.lattice
+        lattice = model_of(model_path)
+        known = Strings(lattice)
         for batch in batches:
             keys, texts = batch.column(1).to_numpy(zero_copy_only=False), [t or "" for t in batch.column(2).to_pylist()]
             begin = chars = 0
