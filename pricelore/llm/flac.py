@@ -5,7 +5,8 @@ CRC-8 on each header, CRC-16 on each frame, the MD5 of the samples and a seek ta
 offsets of every ``SEEK``-th frame. Streams of other encoders (quantised linear predictors, Rice partitions, escapes, wasted bits, stereo, up to 24 bits) go through a frame-by-frame decoder.
 
 The work of a batch is vectorised over all its frames. Edge cases: a null text counts as empty, and an empty one gives a payload of 192 spaces; equal texts give equal streams; a stream that fails
-a checksum raises ``ValueError`` (``decode_stream``), or gives null PCM and the reason (``decode`` with ``strict=False``); a null medium gives null PCM; an empty table gives no rows.
+a checksum raises ``ValueError`` (``decode_stream``), or gives null PCM and the reason (``decode`` with ``strict=False``); a null medium gives null PCM; null and repeated doc_ids are rows
+like any other; a very long text is a slice of its own; an empty table gives no rows; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -54,15 +55,17 @@ def _gather(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray
 
 
 def _number(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frame numbers in the variable-length code of the header: bytes (padded to 4), sizes."""
-    size = 1 + (n >= 0x80) + (n >= 0x800) + (n >= 0x10000)
-    out = np.zeros((len(n), 4), dtype=np.uint8)
-    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])
-    for k in (1, 2, 3, 4):
+    """Frame numbers in the variable-length code of the header: bytes (padded to 7), sizes."""
+    size = 1 + sum((n >= least).astype(np.int64) for least in (0x80, 0x800, 0x10000, 0x200000, 0x4000000, 0x80000000))
+    out = np.zeros((len(n), 7), dtype=np.uint8)
+    for k in range(1, 8):
         rows = size == k
+        if not rows.any():
+            continue
+        lead = 0xFF << 8 - k & 0xFF
         for j in range(k):
             part = n[rows] >> 6 * (k - 1 - j)
-            out[rows, j] = (n[rows] if k == 1 else lead[k] | part) if j == 0 else 0x80 | part & 0x3F
+            out[rows, j] = (n[rows] if k == 1 else lead | part) if j == 0 else 0x80 | part & 0x3F
     return out, size
 
 
@@ -114,7 +117,7 @@ def encode_batch(payloads: list[bytes]) -> list[bytes]:
             bit[one[take] + 1 + j] = (codes[rows] >> np.maximum(k - 1 - j, 0) & 1)[take]
         out = np.packbits(bit)
     out[start], out[start + 1], out[start + 2], out[start + 3] = 0xFF, 0xF8, 0x14, 0x02
-    for j in range(4):
+    for j in range(7):
         rows = number_size > j
         out[start[rows] + 4 + j] = number_bytes[rows, j]
     out[sub - 1] = crc(_gather(out, sub - 1, head - 1), False)
@@ -415,6 +418,17 @@ def decode(media: DataFrame, strict: bool = True) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, pcm binary, blocks array<struct<sample_offset: bigint, byte_offset: bigint>>, feature string, fault string")
 
 
+def pcm_blocks(decoded: DataFrame) -> DataFrame:
+    """(doc_id, block, sample_offset, byte_offset, pcm): a row for each ``SEEK`` frames of what ``decode`` gives, so that a place is read without the rest."""
+    each = decoded.where("pcm IS NOT NULL").select("doc_id", "pcm", F.posexplode("blocks").alias("block", "b"))
+    return each.select("doc_id", "block", "b.sample_offset", "b.byte_offset", F.substring("pcm", F.col("b.sample_offset").cast("int") + 1, F.lit(SEEK * N)).alias("pcm"))
+
+
+def write_blocks(decoded: DataFrame, path: str) -> None:
+    """The blocks as Parquet in ranges of doc_id and offset."""
+    pcm_blocks(decoded).repartitionByRange("doc_id", "sample_offset").sortWithinPartitions("doc_id", "sample_offset").write.parquet(path)
+
+
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = decode(encode(table(spark, sf_dir, "documents")))
     return back.select(

@@ -6,26 +6,28 @@ training folds' labels, turns its output into the chance of label 1.
 
 The fit reads a bounded sample (``MAX_POSITIVE``, ``MAX_UNLABELLED`` documents, chosen by the hash of their id, all if there are fewer); scoring reads every text.
 Edge cases: a null text counts as empty, and empty texts get the score of a text without any known word; without positives in the training folds every score is the
-training labels' rate of 1 (0 without labels); repeated rows are scored alike; an empty table gives no rows.
+training labels' rate of 1 (0 without labels); repeated rows are scored alike, null doc_ids are scored but never learnt from;
+words of equal weight go by their spelling; a very long text is scored from all its words; an empty table gives no rows; columns other than doc_id and text are no input, and ``harmless`` passes them on.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelore.llm._common import table
+from pricelore.llm._common import cut, table
 
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 #: Words that are kept: the most telling ones that at least MIN_DOCS positives hold.
 MAX_WORDS, MIN_DOCS = 4000, 3
 CUT = 0.3
-WORD = r"\w+"
+#: What counts as a word, in the fit (Java) and in the scores (Python) alike.
+WORD = r"[\p{L}\p{M}\p{N}_]+"
 
 
 def fold(doc_id: Column) -> Column:
@@ -89,27 +91,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     positive = seen.where("toxic = 1").orderBy(order).limit(MAX_POSITIVE).select("doc_id", F.lit("p").alias("part"), F.lit(1).alias("toxic"))
     others = docs.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id").orderBy(order).limit(MAX_UNLABELLED).select("doc_id", F.lit("u").alias("part"))
     chosen = positive.unionByName(others.join(F.broadcast(others.select("doc_id").join(seen, "doc_id")), "doc_id", "left"), allowMissingColumns=True)
-    words = (
-        docs.join(F.broadcast(chosen), "doc_id")
-        .select(F.monotonically_increasing_id().alias("row"), "part", "toxic", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))).alias("words"))
-        .persist()
-    )
-    try:
-        rows = words.select("row", "part", "toxic").collect()  # the bounded sample, without its texts
-        n_p, n_u = (sum(r["part"] == part for r in rows) for part in "pu")
-        if not n_u or not n_p:
-            return unknown
-        each = words.select("row", "part", F.explode("words").alias("word"))
-        count = each.groupBy("word").agg(F.count_if(F.col("part") == "p").alias("p"), F.count_if(F.col("part") == "u").alias("u"))
-        gain = F.log((F.col("p") + 0.5) / (n_p + 1)) - F.log((F.col("u") + 0.5) / (n_u + 1))
-        top = count.where(F.col("p") >= MIN_DOCS).withColumn("telling", F.col("p") * F.abs(gain)).where(F.abs(gain) > 0.7).orderBy(F.desc("telling"), "word").limit(MAX_WORDS)
-        known = {r["word"]: k for k, r in enumerate(top.select("word").collect())}
-        if not known:
-            return unknown
-        numbers = words.sparkSession.createDataFrame(list(known.items()), "word string, number int")
-        has = {r["row"]: np.array(sorted(r["numbers"]), dtype=np.int64) for r in each.join(F.broadcast(numbers), "word").groupBy("row").agg(F.collect_list("number").alias("numbers")).collect()}
-    finally:
-        words.unpersist()
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))
+    # written once, so that the rows keep their numbers whatever executor is lost
+    words = cut(docs.join(F.broadcast(chosen), "doc_id").select(F.monotonically_increasing_id().alias("row"), "part", "toxic", found.alias("words")))
+    rows = words.select("row", "part", "toxic").collect()  # the bounded sample, without its texts
+    n_p, n_u = (sum(r["part"] == part for r in rows) for part in "pu")
+    if not n_u or not n_p:
+        return unknown
+    each = words.select("row", "part", F.explode("words").alias("word"))
+    count = each.groupBy("word").agg(F.count_if(F.col("part") == "p").alias("p"), F.count_if(F.col("part") == "u").alias("u"))
+    gain = F.log((F.col("p") + 0.5) / (n_p + 1)) - F.log((F.col("u") + 0.5) / (n_u + 1))
+    top = count.where(F.col("p") >= MIN_DOCS).withColumn("telling", F.col("p") * F.abs(gain)).where(F.abs(gain) > 0.7).orderBy(F.desc("telling"), "word").limit(MAX_WORDS)
+    known = {r["word"]: k for k, r in enumerate(top.select("word").collect())}
+    if not known:
+        return unknown
+    numbers = words.sparkSession.createDataFrame(list(known.items()), "word string, number int")
+    has = {r["row"]: np.array(sorted(r["numbers"]), dtype=np.int64) for r in each.join(F.broadcast(numbers), "word").groupBy("row").agg(F.collect_list("number").alias("numbers")).collect()}
     none = np.zeros(0, dtype=np.int64)
     number = lambda part: [has.get(r["row"], none) for r in rows if r["part"] == part]
     w, b = nnpu(number("p"), number("u"), len(known), prior)
@@ -121,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
 
 def _scorer(model: dict):
-    find, weights, known = re.compile(WORD).findall, model["words"], frozenset(model["words"])
+    find, weights, known = regex.compile(WORD).findall, model["words"], frozenset(model["words"])
 
     def run(texts: list[str | None]) -> np.ndarray:
         z = np.array([model["bias"] + sum(weights[w] for w in sorted(known.intersection(find((t or "").lower())))) for t in texts], dtype=float)

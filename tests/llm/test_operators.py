@@ -283,6 +283,44 @@ def test_toxicity_on_held_out_labels(spark, odd):
     assert {r["score"] < 1e-9 for r in m.score(frame, nothing).collect()} == {True}
 
 
+def test_risk_is_as_low_as_plain_descent_gets():
+    """The non-negative risk by loops over texts, and its minimum by coordinate steps."""
+    from pricelore.llm import toxicity as m
+
+    rnd, n_words, prior = random.Random(31), 4, 0.3
+    draw = lambda bad: np.array(sorted({w for w in range(n_words) if rnd.random() < ((0.7, 0.5, 0.2, 0.5) if bad else (0.1, 0.5, 0.6, 0.4))[w]}), dtype=np.int64)
+    rows_p, rows_u = [draw(True) for _ in range(60)], [draw(rnd.random() < prior) for _ in range(300)]
+
+    def risk(w, b):
+        loss = lambda z: np.log1p(np.exp(-z))
+        mean = lambda rows, sign: sum(loss(sign * (b + sum(w[k] for k in r))) for r in rows) / len(rows)
+        return prior * mean(rows_p, 1) + max(0.0, mean(rows_u, -1) - prior * mean(rows_p, -1))
+
+    w, b = m.nnpu(rows_p, rows_u, n_words, prior, epochs=1500, rate=0.02, l1=0.0)
+    best, at, step = risk(np.zeros(n_words), 0.0), np.zeros(n_words + 1), 1.0
+    while step > 1e-3:
+        moved = False
+        for k in range(n_words + 1):
+            for d in (step, -step):
+                to = at.copy()
+                to[k] += d
+                if (r := risk(to[:-1], to[-1])) < best - 1e-9:
+                    best, at, moved = r, to, True
+        step = step if moved else step / 2
+    assert risk(w, b) <= best + 0.01 and w[0] > 0 > w[2]
+
+
+def test_words_are_the_same_in_fit_and_score(spark):
+    import regex
+
+    from pricelore.llm import toxicity as m
+
+    texts = ["cafe\u0301 na\u00efve", "\u0e01\u0e33 \u0915\u093f", "a_b-c d'e 1\u00bd \u2160", "\U0001f600 x\u200dy"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    got = {r["k"]: r["w"] for r in frame.select("k", F.regexp_extract_all(F.lower("t"), F.lit(m.WORD), F.lit(0)).alias("w")).collect()}
+    assert all(got[k] == regex.findall(m.WORD, t.lower()) for k, t in enumerate(texts))
+
+
 def piece_path():
     return pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
 
@@ -402,6 +440,33 @@ def test_flac_round_trip(spark, odd):
         assert [b["sample_offset"] for b in got[k]["blocks"]] == list(range(0, len(raw), m.SEEK * m.N))
 
 
+def test_flac_blocks_and_faults(spark, odd, tmp_path):
+    from pricelore.llm import flac as m
+
+    media = m.encode(docs(spark, odd))
+    m.write_blocks(m.decode(media), f"{tmp_path}/pcm")
+    rows = spark.read.parquet(f"{tmp_path}/pcm").collect()
+    for k, t in enumerate(odd):
+        own = sorted((r["sample_offset"], r["block"], bytes(r["pcm"])) for r in rows if r["doc_id"] == k)
+        raw = (t or "").encode()
+        assert b"".join(p for *_, p in own) == raw + b" " * ((-len(raw)) % 192 if raw else 192)
+        assert [o for o, *_ in own] == [b * m.SEEK * m.N for _, b, _ in own]
+    broken = spark.createDataFrame([(1, 5, b"nothing"), (2, 5, None)], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: (r["pcm"], r["fault"] is not None) for r in m.decode(broken, strict=False).collect()}
+    assert got == {1: (None, True), 2: (None, False)}
+
+
+def test_flac_frame_numbers():
+    from pricelore.llm import flac as m
+
+    numbers = [0, 0x7F, 0x80, 0x7FF, 0x800, 0xFFFF, 0x10000, 0x10FFFF]
+    got, size = m._number(np.array(numbers))
+    for n, row, k in zip(numbers, got, size):
+        assert 0xD800 <= n < 0xE000 or bytes(row[:k]) == chr(n).encode()
+    got, size = m._number(np.array([0x1FFFFF, 0x200000, 0x3FFFFFF, 0x4000000, 0x7FFFFFFF, 0x80000000]))
+    assert size.tolist() == [4, 5, 5, 6, 6, 7] and [row[0] for row in got] == [0xF7, 0xF8, 0xFB, 0xFC, 0xFD, 0xFE]
+
+
 def test_flac_of_other_encoders():
     from pricelore.llm import flac as m
 
@@ -587,3 +652,58 @@ def test_counts(spark):
     frame = docs(spark, ["a@b.co 1.2.3.4", None])
     got = m.scan(frame).select(F.size("spans").alias("n")).collect()
     assert [r["n"] for r in got] == [2, 0]
+
+
+def test_queries_return_their_columns(spark, tmp_path, odd):
+    """Each contracted query over a small table with every kind of text."""
+    from pricelore.llm import registry
+
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    texts = [*odd, "token=ABCDEFGH12345678 me@x.org, 1.2.3.4, 4111 1111 1111 1111, +49 170 1234567 x", "abc"]
+    frame = docs(spark, texts).select("doc_id", "text", "lang", "source", "n_chars")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k == 1)) for k in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "http://a.com/en/x", ""), (2, None, "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    run = {n.split("_")[0]: {r[0]: r for r in q(spark, str(tmp_path)).collect()} for n, q in registry.QUERIES.items() if n.split("_")[0] in ("op4", "op5", "op6", "op8", "op9", "op10")}
+    sha = lambda s: hashlib.sha256(s.encode() if isinstance(s, str) else s).hexdigest()
+    k = len(odd)
+    four, five, six, eight, nine, ten = (run[n] for n in ("op4", "op5", "op6", "op8", "op9", "op10"))
+    assert all(len(x) == len(texts) for x in (four, five, six, eight, nine))
+    assert (four[k]["n_assign"], four[k]["n_access"], four[k]["n_hex"], four[k]["base_sha256"], four[k]["spans"]) == (1, 0, 0, sha("assign:0:22"), "assign:0:22")
+    want = [(kind, *re.search(p, texts[k]).span()) for kind, p in (("email", r"me@x\.org"), ("ip", r"1\.2\.3\.4"), ("card", "4111 1111 1111 1111"), ("phone", r"\+49 170 1234567"))]
+    assert five[k]["base_sha256"] == sha(",".join(f"{a}:{b}:{c}" for a, b, c in want)) and five[0]["base_sha256"] == sha("")
+    assert (five[k]["n_email"], five[k]["n_ip"], five[k]["n_card"], five[k]["n_phone"]) == (1, 1, 1, 1)
+    assert all(six[d]["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2) and 0 <= six[d]["score"] <= 1 and six[d]["predicted"] == int(six[d]["score"] >= 0.3) for d in six)
+    tokenizer, at = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0
+    for d, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (eight[d]["start"], eight[d]["n_tokens"], eight[d]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+        raw = (t or "").encode()
+        raw += b" " * ((-len(raw)) % 192 if raw else 192)
+        assert (nine[d]["n_bytes"], nine[d]["payload_bytes"], nine[d]["payload_sha256"], nine[d]["tail_crc32"]) == (len((t or "").encode()), len(raw), sha(raw), zlib.crc32(raw[-16:])) and nine[d]["media_bytes"] > 0 and len(nine[d]["media_sha256"]) == 64
+    assert (ten[1]["host"], ten[1]["path"], ten[1]["rule"], ten[1]["verdict"], ten[2]["host"], ten[2]["rule"], ten[2]["verdict"]) == ("a.com", "/en/x", "com/en/", "block", "", None, "allow")
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_clashing_columns_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    frame = docs(spark, ["a b c d e f g h", None, ""]).unionByName(docs(spark, ["other words of some length here"]).withColumn("doc_id", F.lit(None).cast("long")))
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, str(tmp_path))
+        assert rows.columns == frame.columns, name
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in rows.collect()) == [-1, 0, 1]
