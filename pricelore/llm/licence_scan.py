@@ -2,13 +2,15 @@
 
 A paragraph is a line. The word one- and two-grams of its windows are hashed into sparse vectors, and a multinomial logistic regression (elastic net) tells ordinary text, each licence family, and notices of
 unknown licences apart. It is trained from notices that are made by rule from ``FAMILIES`` and ``FRAMES``, from the paragraphs of the licences' own texts (whole, in windows, and in pieces of a wrapped line's length), from made-up licence names, and from a bounded
-sample of the corpus' lines (``SAMPLE_LINES``) that hold no piece of a licence text. The chances are calibrated by a temperature that is chosen on a held-out fold.
+sample of the corpus' lines (``SAMPLE_LINES``) that hold no piece of a licence text. The unknown class learns from names of other licences and made-up ones; the chances are calibrated by a temperature that is chosen on a held-out fold, to which whole licence
+families belong that the fit has never seen.
 
 A predicted family is confirmed if one of its names' two-grams are contained in the window to ``CONFIRM`` at least. A window that shares ``CONFIRM`` of its three-word shingles with a paragraph of a licence text, of the smaller of the two, is of that text's family,
 whatever was predicted. What is not confirmed or has too little chance is ``unknown``.
 
 Every line of every text is scored, in windows of ``WINDOW`` words that overlap by ``OVERLAP`` and cover the whole line; its best window is reported. Training lines are cut into the same windows, and each has a twin with a notice or a piece of a licence text put
-into it. Edge cases: null and empty texts have no lines; repeated rows give repeated results; an empty table gives no rows.
+into it. Edge cases: null and empty texts have no lines; repeated rows and null doc_ids give results like any other; a line's windows of equal worth are told apart by their
+family's name; a very long line has as many windows as it needs; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ FAMILIES = {
     "cc": ["CC BY 4.0", "CC BY-NC 4.0", "CC BY-SA 3.0", "CC BY-NC-SA 4.0", "CC0 1.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution-NonCommercial license"],
 }
 FRAMES = ["Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This file is distributed under the terms of the {}.", "This program is available under {}; see the file LICENSE.", "SPDX-License-Identifier: {}", "You may use this software under the {}.", "The code is covered by the {} license."]
+#: Names of licences of other families. The first ones teach what an unknown licence is; the last ones are held out with their families, for the temperature and the calibration error.
+OTHER_LICENCES = ["Eclipse Public License 2.0", "Artistic License 2.0", "zlib License", "ISC License", "Common Development and Distribution License", "Academic Free License 3.0", "Microsoft Public License"]
+HELD_OUT_LICENCES = ["European Union Public Licence 1.2", "Boost Software License 1.0", "Zope Public License 2.1", "Open Software License 3.0"]
 UNKNOWN_NAMES = ["Acme Shared Source License", "House Terms, version 1", "Sample Public Licence", "Garden Community License 2.1", "proprietary license of the owner", "Internal Use Licence"]
 NONE, UNKNOWN = "none", "unknown"
 CLASSES = [NONE, UNKNOWN, *FAMILIES]
@@ -92,10 +97,12 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), F.posexplode_outer(F.split("text", r"[\r\n]+")).alias("line_no", "line"))
 
 
-def notices(spark: SparkSession) -> DataFrame:
-    """(line, family): the notices made by rule."""
-    made = [(frame.format(name), family) for family, names in [*FAMILIES.items(), (UNKNOWN, UNKNOWN_NAMES)] for name in names for frame in FRAMES]
-    made += [(piece, family) for family, texts in TEXTS.items() for text in texts for piece in pieces(text)]
+def notices(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """(line, family): the notices made by rule; only those of unknown ``names`` if there are any."""
+    families = [*FAMILIES.items(), (UNKNOWN, [*UNKNOWN_NAMES, *OTHER_LICENCES])] if names is None else [(UNKNOWN, names)]
+    made = [(frame.format(name), family) for family, own in families for name in own for frame in FRAMES]
+    if names is None:
+        made += [(piece, family) for family, texts in TEXTS.items() for text in texts for piece in pieces(text)]
     return spark.createDataFrame(made, "line string, family string")
 
 
@@ -115,20 +122,24 @@ def embedded(plain: DataFrame, made: DataFrame) -> DataFrame:
     return placed.select(F.concat_ws(" ", F.slice(w, 1, n), F.col("m.line"), F.slice(w, n + 1, WINDOW)).alias("line"), F.col("m.family").alias("family"))
 
 
-def fit(docs: DataFrame) -> tuple[LogisticRegressionModel, float]:
-    """The classifier and the temperature."""
+def training_rows(docs: DataFrame) -> DataFrame:
+    """(label, features, held): the rows of the fit. Held out are a quarter of the rows by their hash, and the licence families of ``HELD_OUT_LICENCES`` whole."""
     spark = docs.sparkSession
     chosen = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
     notice = r"(?i)licen[sc]e|copyright|spdx"
     plain = lines(docs.join(F.broadcast(chosen), "doc_id")).where(~F.col("line").rlike(notice)).select(F.explode(windows(F.col("line"))).alias("w")).where(F.size("w") > 0).select(F.array_join("w", " ").alias("line")).orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES)
     known = F.broadcast(licence_shingles(spark).agg(F.array_distinct(F.flatten(F.collect_list("text_shingles"))).alias("known")))
-    plain = plain.crossJoin(known).where(F.size(F.array_intersect(shingles(words(F.col("line"))), "known")) < LEAST_SHINGLES).select("line", F.lit(NONE).alias("family"))
+    plain = cut(plain.crossJoin(known).where(F.size(F.array_intersect(shingles(words(F.col("line"))), "known")) < LEAST_SHINGLES).select("line", F.lit(NONE).alias("family")))
     made = notices(spark)
-    plain = cut(plain)
-    rows = made.unionByName(plain).unionByName(embedded(plain, made))
+    rows = made.unionByName(plain).unionByName(embedded(plain, made)).withColumn("held", F.pmod(F.xxhash64("line"), F.lit(4)) == 0)
+    rows = rows.unionByName(notices(spark, HELD_OUT_LICENCES).withColumn("held", F.lit(True)))
     label = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("family")).cast("double") - 1
-    data = rows.select("line", label.alias("label"), grams(F.col("line")).alias("grams"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("held"))
-    data = cut(HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="features", binary=True).transform(data).select("label", "features", "held"))
+    data = rows.select(label.alias("label"), grams(F.col("line")).alias("grams"), "held")
+    return cut(HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="features", binary=True).transform(data).select("label", "features", "held"))
+
+
+def learn(data: DataFrame) -> tuple[LogisticRegressionModel, float]:
+    """The classifier of the rows that aren't held out, and the temperature with the least loss on those that are."""
     counts = {r["label"]: r["count"] for r in data.where("NOT held").groupBy("label").count().collect()}
     weight = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, math.sqrt(1000.0 / n))]), F.col("label")) if counts else F.lit(1.0)
     learner = LogisticRegression(maxIter=40, regParam=2e-4, elasticNetParam=0.3, family="multinomial", weightCol="weight", standardization=False, aggregationDepth=2)
@@ -143,6 +154,19 @@ def fit(docs: DataFrame) -> tuple[LogisticRegressionModel, float]:
     return model, best[1]
 
 
+def fit(docs: DataFrame) -> tuple[LogisticRegressionModel, float]:
+    """The classifier and the temperature."""
+    return learn(training_rows(docs))
+
+
+def calibration_error(data: DataFrame, model: LogisticRegressionModel, temperature: float, bins: int = 10) -> float:
+    """The expected calibration error on the rows held out: how far the chance of the answer is from how often it is right, over bins of the chance."""
+    chances = softmax(F.col("raw"), temperature)
+    judged = model.transform(data.where("held")).select(vector_to_array("rawPrediction").alias("raw"), (F.col("prediction") == F.col("label")).cast("double").alias("right")).select(F.array_max(chances).alias("chance"), "right")
+    by_bin = judged.groupBy(F.least(F.floor(F.col("chance") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("chance") - F.avg("right")).alias("gap"))
+    return by_bin.agg(F.sum(F.col("n") * F.col("gap")) / F.sum("n")).first()[0] or 0.0
+
+
 def softmax(raw: Column, temperature: float) -> Column:
     top = F.array_max(raw)
     powers = F.transform(raw, lambda x: F.exp((x - top) / temperature))

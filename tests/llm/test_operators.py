@@ -586,6 +586,33 @@ def test_licences(spark, odd):
     assert got == {(n, 1): "mit", (n + 1, 0): "cc", (n + 2, 0): "gpl", (n + 3, 0): "unknown"}
 
 
+def test_licence_chances_on_families_never_seen(spark):
+    """Calibration on held-out rows, scores against a plain scorer, and licences of held-out families: unknown, not another family."""
+    from pricelore.llm import licence_scan as m
+
+    rnd = random.Random(8)
+    frame = docs(spark, [" ".join(words(rnd, 60)) for _ in range(120)])
+    data = m.training_rows(frame)
+    model, temperature = m.learn(data)
+    assert m.calibration_error(data, model, temperature) < 0.1
+    held = [f.format(n) for n in m.HELD_OUT_LICENCES for f in m.FRAMES]
+    scanned = {r["doc_id"]: (r["family"], r["chance"]) for r in m.scan(docs(spark, held, 1000), model, temperature).collect()}
+    assert len(scanned) >= 0.9 * len(held) and sum(f == m.UNKNOWN for f, _ in scanned.values()) >= 0.9 * len(scanned)
+    # brute force: the same grams, hashed by Spark one text at a time, weighed in plain loops
+    from pyspark.ml.feature import HashingTF
+
+    weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    hashing = HashingTF(numFeatures=m.FEATURES)
+    for k in range(0, len(held), 7):
+        w = re.findall(r"[^\W_]+", held[k].lower())
+        found = {hashing.indexOf(g) for g in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]}
+        raw = np.array([bias[c] + sum(weights[c][i] for i in found) for c in range(len(m.CLASSES))]) / temperature
+        p = np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum()
+        if 1000 + k in scanned:
+            family, chance = scanned[1000 + k]
+            assert any(abs(chance - x) < 1e-6 for x in p) and p.argmax() > 0
+
+
 def test_licence_texts_without_names(spark):
     """Wordings that are in no frame: wrapped and changed parts of licence texts."""
     from pricelore.llm import licence_scan as m
