@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,3 +51,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_slices(column: pa.Array, chars: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(begin, end, texts) of runs of a batch's texts of about ``chars`` characters; only one run at a time is held as Python strings. A longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(ends):
+        before = ends[begin - 1] if begin else 0
+        end = max(int(np.searchsorted(ends, before + chars, side="right")), begin + 1)
+        yield begin, end, column.slice(begin, end - begin).to_pylist()
+        begin = end

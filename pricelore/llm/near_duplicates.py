@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelore.llm._common import cut, table
+from pricelore.llm._common import cut, table, text_slices
 from pricelore.operators.graph import connected_components
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -96,23 +96,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _slices(texts: list) -> Iterator[tuple[int, int]]:
-    begin = chars = 0
-    for k, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= SLICE_CHARS or k + 1 == len(texts):
-            yield begin, k + 1
-            begin, chars = k + 1, 0
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, row, key, signature): the key is a 128-bit hash of the shingle set, or of the words where there are too few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in _slices(texts):
-                sets = _sets(texts[a:b])
+            for a, b, texts in text_slices(batch.column(2), SLICE_CHARS):
+                sets = _sets(texts)
                 keys = [hashlib.blake2b(s.tobytes() if len(s) else b"words" + w.tobytes(), digest_size=16).digest() for s, w in sets]
                 full = [k for k, (s, _) in enumerate(sets) if len(s)]
                 sig = signatures([sets[k][0] for k in full])
@@ -237,9 +227,8 @@ def shingled(docs: DataFrame, classes: DataFrame, ties: DataFrame) -> DataFrame:
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in _slices(texts):
-                raw = [s.tobytes() for s in shingles(texts[a:b])]
+            for a, b, texts in text_slices(batch.column(0), SLICE_CHARS):
+                raw = [s.tobytes() for s in shingles(texts)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in (1, 2)), pa.array(raw, pa.binary())], names=["node", "copies", "shingles"])
 
     return cut(whole.select("text", "node", "copies").mapInArrow(shingle, "node binary, copies long, shingles binary"))

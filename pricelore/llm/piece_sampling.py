@@ -22,13 +22,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelore.llm._common import table
+from pricelore.llm._common import table, text_slices
 
 MARK = "▁"
 #: Characters that are segmented at once, and edges (24 bytes each) that a task keeps.
-SLICE_CHARS = 300_000
-CACHE_EDGES = 2_000_000
-LAST20 = np.uint64((1 << 20) - 1)
+SLICE_CHARS = 150_000
+CACHE_EDGES = 1_500_000
+#: Bits of a hash by which tables are asked first.
+BITS = 18
+LAST = np.uint64((1 << BITS) - 1)
 SAMPLES = 2
 SCHEMA = "doc_id long, samples array<struct<ids: array<int>, log_inclusion: double, text_ok: boolean>>"
 
@@ -88,8 +90,8 @@ class Lattice:
         assert not any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.longest = max(len(self.pieces[i]) for i in normal)
         self.by_length = {}
-        #: By length, a bit for each hash (its last 20 bits) of the first characters of a longer piece.
-        self.longer = {size: np.zeros(1 << 20, bool) for size in range(1, self.longest + 1)}
+        #: By length, a bit for each hash (its last ``BITS`` bits) of the first characters of a longer piece.
+        self.longer = {size: np.zeros(1 << BITS, bool) for size in range(1, self.longest + 1)}
         for size in range(1, self.longest + 1):
             own = [i for i in normal if len(self.pieces[i]) == size]
             if own:
@@ -97,11 +99,11 @@ class Lattice:
                 h = np.zeros(len(own), np.uint64)
                 for k in range(size):
                     if k:
-                        self.longer[k][h & LAST20] = True
+                        self.longer[k][h & LAST] = True
                     h = self._more(h, codes[:, k])
                 order = np.argsort(h)
-                there = np.zeros(1 << 20, bool)
-                there[h & LAST20] = True
+                there = np.zeros(1 << BITS, bool)
+                there[h & LAST] = True
                 self.by_length[size] = h[order], np.array(own)[order], there
         self.single = re.compile(r"(?<=[^ ]) ")
         self.raw_array = pa.array(self.raw, pa.large_binary())
@@ -153,7 +155,7 @@ class Lattice:
         h, bare = np.zeros(len(rows), np.uint64), inner.copy()
         for k in range(1, self.longest + 1):
             h = self._more(h, codes[rows + (k - 1)])
-            low = (h & LAST20).astype(np.int32)
+            low = (h & LAST).astype(np.int32)
             if k in self.by_length:
                 known, ids, there = self.by_length[k]
                 maybe = np.flatnonzero(there[low])
@@ -208,7 +210,8 @@ class Strings:
 
     def __init__(self, lattice: Lattice):
         self.lattice = lattice
-        self.next, self.id, self.logp, self.upto = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
+        room = CACHE_EDGES + CACHE_EDGES // 4
+        self.next, self.id, self.logp, self.upto = np.empty(room, np.int32), np.empty(room, np.int32), np.empty(room), np.empty(room)
         self.clear()
 
     def clear(self) -> None:
@@ -415,20 +418,17 @@ def sample(docs: DataFrame, model_path: str, k: int = SAMPLES) -> DataFrame:
         lattice = model_of(model_path)
         known = Strings(lattice)
         for batch in batches:
-            keys, texts = batch.column(1).to_numpy(zero_copy_only=False), [t or "" for t in batch.column(2).to_pylist()]
-            begin = chars = 0
-            for n, t in enumerate(texts):
-                chars += len(t)
-                if chars >= SLICE_CHARS or n + 1 == len(texts):
-                    got = top_k(lattice, texts[begin : n + 1], keys[begin : n + 1], k, known)
-                    flat = [x for own in got for x in own]
-                    all_ids, cut = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in flat)]), np.concatenate([[0], np.cumsum([len(x[0]) for x in flat])]).astype(np.int64)
-                    ok = decoded_alike(lattice, all_ids, cut, [t for own, t in zip(got, texts[begin : n + 1], strict=True) for _ in own])
-                    ids = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(all_ids, pa.int32()))
-                    structs = pa.StructArray.from_arrays([ids, pa.array([x[1] for x in flat], pa.float64()), pa.array(ok, pa.bool_())], names=["ids", "log_inclusion", "text_ok"])
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(own) for own in got])]), pa.int32()), structs)
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[begin : n + 1], lists], names=["doc_id", "samples"])
-                    begin, chars = n + 1, 0
+            keys = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b, raw in text_slices(batch.column(2), SLICE_CHARS):
+                texts = [t or "" for t in raw]
+                got = top_k(lattice, texts, keys[a:b], k, known)
+                flat = [x for own in got for x in own]
+                all_ids, cut = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in flat)]), np.concatenate([[0], np.cumsum([len(x[0]) for x in flat])]).astype(np.int64)
+                ok = decoded_alike(lattice, all_ids, cut, [t for own, t in zip(got, texts, strict=True) for _ in own])
+                ids = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(all_ids, pa.int32()))
+                structs = pa.StructArray.from_arrays([ids, pa.array([x[1] for x in flat], pa.float64()), pa.array(ok, pa.bool_())], names=["ids", "log_inclusion", "text_ok"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(own) for own in got])]), pa.int32()), structs)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=["doc_id", "samples"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long")).alias("key"), "text").mapInArrow(run, SCHEMA)
 

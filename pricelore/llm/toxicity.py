@@ -20,12 +20,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelore.llm._common import cut, table
+from pricelore.llm._common import cut, table, text_slices
 
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 #: Words that are kept: the most telling ones that at least MIN_DOCS positives hold.
 MAX_WORDS, MIN_DOCS = 4000, 3
 CUT = 0.3
+SLICE_CHARS = 2_000_000
 #: What counts as a word, in the fit (Java) and in the scores (Python) alike.
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 
@@ -133,7 +134,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
+            for a, b, texts in text_slices(batch.column(1), SLICE_CHARS):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(scorer(texts), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
@@ -144,7 +146,8 @@ def harmless(docs: DataFrame, model: dict, least: float = CUT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
         for batch in batches:
-            yield batch.filter(pa.array(scorer(batch.column("text").to_pylist()) < least))
+            for a, b, texts in text_slices(batch.column("text"), SLICE_CHARS):
+                yield batch.slice(a, b - a).filter(pa.array(scorer(texts) < least))
 
     return docs.mapInArrow(run, docs.schema)
 
