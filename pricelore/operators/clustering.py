@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelore.functions import text as T
-from pricelore.operators.graph import connected_components, reliable
+from pricelore.operators.graph import connected_components
 from pricelore.operators.reports import first_samples
+from pricelore.shared import reliable
 
 STAGE_DISTANCE, STAGE_COLUMNS, STAGE_TOKENS, STAGE_ITEMS = 0.25, 8, 5, 2
 MOST_NGRAMS = 5000

@@ -7,20 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def reliable(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in ``spark.checkpoint.dir``; a folder is made only where one JVM runs all (tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-shared-")
-        context.setCheckpointDir(named)
-    return df.checkpoint()
+from pricelore.shared import reliable
 
 
 def _sum(links: DataFrame) -> tuple:

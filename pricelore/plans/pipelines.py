@@ -12,7 +12,7 @@ from pricelore.operators import insight as I
 from pricelore.operators import matching as M
 from pricelore.operators import prices as P
 from pricelore.operators import reports as R
-from pricelore.operators.graph import reliable
+from pricelore.shared import reliable
 from pricelore.sources import listings as S
 
 

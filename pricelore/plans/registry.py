@@ -15,6 +15,7 @@ from pricelore.operators import prices as P
 from pricelore.operators import reports as R
 from pricelore.plans import adapter as A
 from pricelore.plans import pipelines
+from pricelore.shared import shared_dir
 from pricelore.sources import listings as S
 from pricelore.streaming import alerts
 
@@ -605,15 +606,9 @@ def stream_search_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replay(spark: SparkSession, frame: DataFrame, build, name: str, mode: str = "append") -> DataFrame:
-    import tempfile
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-shared-")
-    return alerts.replay(spark, frame, build, f"{shared}/{uuid.uuid4().hex}", name, mode)
+    return alerts.replay(spark, frame, build, f"{shared_dir(spark)}/{uuid.uuid4().hex}", name, mode)
 
 
 @query("SELECT item_id, title, canonical_name AS category, current_price, status, n AS points, coalesce(low, current_price) AS lowest_price, first AS first_label, title || ' ' || canonical_name || ' ' || category_name || ' ' || matched_keywords AS search_text FROM items LEFT JOIN (SELECT item_id, min(price) AS low, count(*) AS n, strftime(min(recorded_at), '%m.%d') AS first FROM history GROUP BY item_id) USING (item_id)")
