@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,34 +10,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from pricelore.shared import reliable, shared_dir
+
+
+__all__ = ["cut", "partitions", "shared_dir", "stored", "table", "text_slices"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests in one JVM) is one made; elsewhere that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    named = spark.conf.get("pricelore.test.shared.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("pricelore.test.shared.dir", named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+#: ``df`` with its lineage cut by a reliable checkpoint in the shared folder.
+cut = reliable
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
