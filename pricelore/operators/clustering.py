@@ -215,25 +215,54 @@ def representatives(rows: DataFrame, group: list[str]) -> DataFrame:
 
 def near_duplicate_titles(rows: DataFrame, least: float = 0.92, cut=reliable) -> DataFrame:
     """(keyword, root, text): groups of two or more distinct titles of a keyword, joined by pairs of that cosine."""
-    texts = rows.select("keyword", "text").distinct()
-    pairs = cut(similar_pairs(ngrams(texts, ["keyword"], 2, 5, MOST_NGRAMS), ["keyword"], least))
+    return _near_groups(_near_pairs(rows, least, cut), cut)
+
+
+def _near_pairs(rows: DataFrame, least: float, cut) -> DataFrame:
+    return cut(similar_pairs(ngrams(rows.select("keyword", "text").distinct(), ["keyword"], 2, 5, MOST_NGRAMS), ["keyword"], least))
+
+
+def _near_groups(pairs: DataFrame, cut) -> DataFrame:
     node = lambda c: F.concat_ws("\t", "keyword", c)
     parts = connected_components(pairs.select(node("a").alias("a"), node("b").alias("b")), cut)
     return parts.select(F.element_at(F.split("node", "\t"), 1).alias("keyword"), F.element_at(F.split("root", "\t"), -1).alias("root"), F.element_at(F.split("node", "\t"), -1).alias("text"))
 
 
-def pair_statistics(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    inside = pairs.join(groups.select("keyword", "root", F.col("text").alias("a")), ["keyword", "a"])
-    return inside.groupBy("keyword", "root").agg(F.min("similarity").alias("min_similarity"), F.avg("similarity").alias("avg_similarity"), F.max("similarity").alias("max_similarity"))
+def near_duplicate_groups(rows: DataFrame, least: float = 0.92, cut=reliable) -> DataFrame:
+    """(keyword, root, item_count, similarities of its pairs, prices, representative, sample_names): groups of two or more listings (keyword, text, name, price) of a keyword whose texts are the same or joined by pairs of that cosine.
+
+    Listings with one text are as many pairs with a similarity of 1; they are counted, not made. The representative is next to the median price, then the shortest, then the cheapest.
+    """
+    counts = cut(rows.groupBy("keyword", "text").agg(F.count("*").alias("n")))
+    pairs = _near_pairs(counts, least, cut)
+    groups = _near_groups(pairs, cut)
+    same = counts.where("n > 1").select("keyword", F.col("text").alias("root"), "text").join(groups.select("keyword", "text"), ["keyword", "text"], "left_anti").select("keyword", "root", "text")
+    groups = cut(groups.unionByName(same))
+    sized = groups.join(counts, ["keyword", "text"])
+    within = sized.where("n > 1").select("keyword", "root", (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.lit(1.0).alias("similarity"))
+    own = lambda side: sized.select("keyword", "root", F.col("text").alias(side), F.col("n").alias(f"n_{side}"))
+    across = pairs.join(own("a"), ["keyword", "a"]).join(own("b").drop("root"), ["keyword", "b"]).select("keyword", "root", (F.col("n_a") * F.col("n_b")).cast("double").alias("pairs"), "similarity")
+    both = within.unionByName(across).groupBy("keyword", "root")
+    statistics = both.agg(F.round(F.min("similarity"), 4).alias("min_similarity"), F.round(F.sum(F.col("pairs") * F.col("similarity")) / F.sum("pairs"), 4).alias("avg_similarity"), F.round(F.max("similarity"), 4).alias("max_similarity"))
+    listed = rows.join(groups, ["keyword", "text"])
+    medians = listed.groupBy("keyword", "root").agg(F.count("*").alias("item_count"), F.min("price").alias("min_price"), F.percentile("price", F.lit(0.5)).alias("median_price"), F.max("price").alias("max_price"))
+    nearest = F.min_by("name", F.struct(F.abs(F.col("price") - F.col("median_price")), F.length("text"), "price", "name")).alias("representative")
+    chosen = listed.join(medians.select("keyword", "root", "median_price"), ["keyword", "root"]).groupBy("keyword", "root").agg(nearest)
+    out = medians.join(statistics, ["keyword", "root"]).join(chosen, ["keyword", "root"]).join(first_samples(listed, ["keyword", "root"], "name", 6, "sample_names"), ["keyword", "root"])
+    return out.select("keyword", "root", "item_count", "min_similarity", "avg_similarity", "max_similarity", "min_price", "median_price", "max_price", "representative", "sample_names")
 
 
 def bracket_clusters(contents: DataFrame, threshold: float = 0.35, min_shared: int = 1, cut=reliable) -> DataFrame:
     """(content, cluster_id, representative) of contents (content, total_count): Jaccard of their tokens, closed over links, numbered by the clusters' total count, then by their first text."""
     tokens = contents.select("content", "total_count", F.array_distinct(T.least_tokens(F.col("content"), 1)).alias("tokens"))
     each = tokens.select("content", F.explode("tokens").alias("t"))
-    shared = each.select("t", F.col("content").alias("a")).join(each.select("t", F.col("content").alias("b")), "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
-    sized = shared.join(tokens.select(F.col("content").alias("a"), F.size("tokens").alias("na")), "a").join(tokens.select(F.col("content").alias("b"), F.size("tokens").alias("nb")), "b")
-    edges = sized.where(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) >= threshold).select("a", "b")
+    # two texts at the threshold share one of each one's rarest tokens, so only so many of them meet (prefix filter); common tokens mostly don't
+    ranked = each.join(each.groupBy("t").agg(F.count("*").alias("n")), "t").groupBy("content").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("tokens"))
+    first = F.slice("tokens", 1, (F.size("tokens") - F.ceil(threshold * F.size("tokens") - 1e-9) + 1).cast("int"))
+    rare = ranked.select("content", "tokens", F.explode(first).alias("t"))
+    met = rare.select("t", F.col("content").alias("a"), F.col("tokens").alias("ta")).join(rare.select("t", F.col("content").alias("b"), F.col("tokens").alias("tb")), "t").where("a < b")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    edges = met.where((shared >= min_shared) & (shared / (F.size("ta") + F.size("tb") - shared) >= threshold)).select("a", "b").distinct()
     parts = connected_components(edges, cut)
     whole = tokens.join(parts.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     summary = whole.groupBy("root").agg(F.sum("total_count").alias("total"), F.min("content").alias("first"), F.max_by("content", F.struct("total_count", F.size("tokens"), F.length("content"), "content")).alias("representative"))

@@ -88,6 +88,26 @@ def reference_tokens(rows: DataFrame, least: int = 2, top: int = 3) -> DataFrame
     return out.withColumn("use", V.token_use(F.col("token")))
 
 
+def rule_hits(rows: DataFrame, rules: DataFrame, groups: list[str], keywords: int = 8, samples: int = 3) -> DataFrame:
+    """(groups, match_count, source_keywords, samples): how many listings, distinct by platform, pid, keyword and name, hold one of a rule's aliases in their compact texts (name, keyword, and canonical_name and matched_keywords where there are any). For the
+    references of the product dictionary and of the category rules; rules: the ``groups`` columns and alias, a row for each alias."""
+    from pricelore.operators.matching import contained
+
+    more = [c for c in ("canonical_name", "matched_keywords") if c in rows.columns]
+    distinct = rows.dropDuplicates(["platform", "pid", "keyword", "name"]).select("platform", "pid", "keyword", "name", T.compact(F.concat_ws(" ", "name", "keyword", *more)).alias("_text"))
+    aliases = rules.select(*groups, T.compact(F.col("alias")).alias("_alias"))
+    texts = contained(distinct.select("_text").distinct(), "_text", aliases, "_alias").select("_text", *groups).distinct()
+    hits = distinct.join(texts, "_text")
+    counts = hits.groupBy(*groups).agg(F.count("*").alias("match_count"))
+    return counts.join(counter(hits, groups, "keyword", keywords, "source_keywords"), groups, "left").join(first_samples(hits, groups, "name", samples, "samples"), groups, "left")
+
+
+def excluded_tokens(rows: DataFrame, samples: int = 3) -> DataFrame:
+    """(token, reason, match_count, samples) of the words of noise and low signal that titles hold."""
+    reason = F.when(F.col("token").isin(*V.LOW_SIGNAL_WORDS), "accessory_or_low_signal").when(F.col("token").isin(*V.NOISE_WORDS), "bait_or_noise")
+    return reference_tokens(rows, 1).withColumn("reason", reason).where("reason IS NOT NULL").select("token", "reason", F.col("doc_count").alias("match_count"), "samples")
+
+
 def duplicate_checks(rows: DataFrame) -> DataFrame:
     """(check, count): names with several paths in a keyword, names in several keywords, repeated items."""
     paths = rows.groupBy("keyword", "cluster_product_name").agg(F.count_distinct("path").alias("n")).agg(F.count_if(F.col("n") > 1).alias("paths_per_name"))

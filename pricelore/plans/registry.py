@@ -90,9 +90,9 @@ def outlier_rows(spark: SparkSession, d: str) -> DataFrame:
     return P.flag_outliers(A.listings(spark, d), "keyword").where("outlier_type IS NOT NULL").select("keyword", "platform", "pid", "price", "outlier_type", *two("lower_bound"))
 
 
-@query("SELECT keyword, count(*) AS item_count, count(*) FILTER (outlier_type = 'low') AS low_count, count(*) FILTER (outlier_type = 'high') AS high_count, count(outlier_type) AS outlier_count, round(count(outlier_type) / count(*), 4) AS outlier_rate FROM flagged WHERE price > 0 GROUP BY keyword", STATS)
+@query("SELECT keyword, count(*) AS item_count, count(*) FILTER (outlier_type = 'low') AS low_count, count(*) FILTER (outlier_type = 'high') AS high_count, count(outlier_type) AS outlier_count, round(count(outlier_type) / count(*), 4) AS outlier_rate, round(any_value(lower_bound), 2) AS lower_bound, round(any_value(upper_bound), 2) AS upper_bound FROM flagged JOIN (SELECT keyword, upper_bound AS _u FROM bounds) USING (keyword) WHERE price > 0 GROUP BY keyword", STATS)
 def outlier_summary(spark: SparkSession, d: str) -> DataFrame:
-    return P.outlier_summary(A.listings(spark, d)).select("keyword", "item_count", "low_count", "high_count", "outlier_count", F.round("outlier_rate", 4).alias("outlier_rate"))
+    return P.outlier_summary(A.listings(spark, d)).select("keyword", "item_count", "low_count", "high_count", "outlier_count", F.round("outlier_rate", 4).alias("outlier_rate"), *two("lower_bound", "upper_bound"))
 
 
 @query("SELECT count(*) AS item_count, count(DISTINCT keyword) AS keyword_count, count(*) FILTER (outlier_type = 'low') AS low_count, count(*) FILTER (outlier_type = 'high') AS high_count, round(count(outlier_type) / count(*), 4) AS outlier_rate FROM flagged WHERE price > 0", STATS)
@@ -249,12 +249,14 @@ def newest_on_sale(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT platform, count(*) AS row_count, count(DISTINCT pid) AS pid_count, count(DISTINCT keyword) AS keyword_count, count(*) FILTER (len(missing) = 0) AS pass_count, round(count(*) FILTER (len(missing) = 0) / count(*), 4) AS pass_rate, round(avg(price), 2) AS mean_price, quantile_cont(price, 0.5) AS median_price,
-    count(*) FILTER (status = '판매중') AS on_sale_count, count(*) FILTER (status = '예약중') AS reserved_count, count(*) FILTER (status = '판매완료') AS sold_count FROM judged GROUP BY platform""",
+    """SELECT * FROM (SELECT platform, count(*) AS row_count, count(DISTINCT pid) AS pid_count, count(DISTINCT keyword) AS keyword_count, count(*) FILTER (len(missing) = 0) AS pass_count, count(*) FILTER (len(missing) > 0) AS fail_count, round(count(*) FILTER (len(missing) = 0) / count(*), 4) AS pass_rate,
+    count(*) FILTER (contains(name, '[') AND contains(name, ']')) AS bracket_count, round(avg(length(name)), 2) AS mean_title_length, round(avg(price), 2) AS mean_price, quantile_cont(price, 0.5) AS median_price,
+    count(*) FILTER (status = '판매중') AS on_sale_count, count(*) FILTER (status = '예약중') AS reserved_count, count(*) FILTER (status = '판매완료') AS sold_count FROM judged GROUP BY platform)
+    JOIN (SELECT platform, string_agg(keyword || ':' || n, ', ' ORDER BY n DESC, keyword) AS top_keywords FROM (SELECT platform, keyword, count(*) AS n FROM listings GROUP BY ALL) GROUP BY platform) USING (platform)""",
     ACCURACY,
 )
 def platform_summary(spark: SparkSession, d: str) -> DataFrame:
-    return R.platform_summary(M.accuracy(A.listings(spark, d)), ["platform"]).select("platform", "row_count", "pid_count", "keyword_count", "pass_count", "pass_rate", "mean_price", "median_price", "on_sale_count", "reserved_count", "sold_count")
+    return R.platform_summary(M.accuracy(A.listings(spark, d)), ["platform"])
 
 
 @query("SELECT platform, string_agg(keyword || ':' || n, ', ' ORDER BY n DESC, keyword) AS top_keywords FROM (SELECT platform, keyword, count(*) AS n FROM listings GROUP BY ALL) GROUP BY platform")
@@ -267,9 +269,13 @@ def keyword_platform_summary(spark: SparkSession, d: str) -> DataFrame:
     return R.platform_summary(M.accuracy(A.listings(spark, d)), ["keyword", "platform"]).select("keyword", "platform", "row_count", "pass_count", "pass_rate", "mean_price")
 
 
-@query("SELECT platform, token, count(*) AS fail_count FROM (SELECT platform, unnest(list_distinct(missing)) AS token FROM judged) GROUP BY ALL", ACCURACY)
+@query(
+    """SELECT platform, token, fail_count, top_keywords, samples FROM (SELECT platform, token, count(*) AS fail_count, array_to_string(list_sort(list_distinct(list(name)))[1:3], ' | ') AS samples FROM (SELECT platform, name, unnest(list_distinct(missing)) AS token FROM judged) GROUP BY ALL)
+    JOIN (SELECT platform, string_agg(keyword || ':' || n, ', ' ORDER BY n DESC, keyword) AS top_keywords FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY n DESC, keyword) AS k FROM (SELECT platform, keyword, count(*) AS n FROM judged WHERE len(missing) > 0 GROUP BY ALL)) WHERE k <= 5 GROUP BY platform) USING (platform)""",
+    ACCURACY,
+)
 def missing_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return R.missing_token_summary(M.accuracy(A.listings(spark, d))).select("platform", "token", "fail_count")
+    return R.missing_token_summary(M.accuracy(A.listings(spark, d))).select("platform", "token", "fail_count", "top_keywords", "samples")
 
 
 @query("UNPIVOT (SELECT CAST(count(*) AS DOUBLE) AS total_rows, CAST(count(*) FILTER (len(missing) = 0) AS DOUBLE) AS pass_rows, CAST(count(*) FILTER (len(missing) > 0) AS DOUBLE) AS fail_rows, round(count(*) FILTER (len(missing) = 0) / count(*), 4) AS pass_rate FROM judged) ON COLUMNS(*) INTO NAME metric VALUE value", ACCURACY)
@@ -294,9 +300,24 @@ def token_frequency(spark: SparkSession, d: str) -> DataFrame:
     return R.token_frequency(A.listings(spark, d)).select("token", "row_count")
 
 
-@query("SELECT token, count(*) AS doc_count FROM (SELECT DISTINCT platform, pid, keyword, name, unnest(list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> ''))) AS token FROM listings) GROUP BY token HAVING count(*) >= 2")
+@query(
+    """SELECT token, doc_count, top_keywords, samples, CASE WHEN regexp_full_match(token, '[0-9]{2}e?|s[0-9]{2}(plus|ultra|edge)?') THEN 'product_token_dictionary model 후보' ELSE '검토 필요' END AS use FROM (SELECT token, count(*) AS doc_count, array_to_string(list_sort(list_distinct(list(name)))[1:3], ' | ') AS samples FROM t GROUP BY token HAVING count(*) >= 2)
+    JOIN (SELECT token, string_agg(keyword || ':' || n, ', ' ORDER BY n DESC, keyword) AS top_keywords FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY n DESC, keyword) AS k FROM (SELECT token, keyword, count(*) AS n FROM t GROUP BY ALL)) WHERE k <= 3 GROUP BY token) USING (token)""",
+    "t AS (SELECT DISTINCT platform, pid, keyword, name, unnest(list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> ''))) AS token FROM listings)",
+)
 def reference_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return R.reference_tokens(A.listings(spark, d)).select("token", "doc_count")
+    return R.reference_tokens(A.listings(spark, d)).select("token", "doc_count", "top_keywords", "samples", "use")
+
+
+@query(
+    """SELECT field_name, value, match_count, samples FROM (SELECT field_name, value, count(*) AS match_count, array_to_string(list_sort(list_distinct(list(name)))[1:3], ' | ') AS samples FROM (SELECT DISTINCT platform, pid, keyword, name, field_name, value FROM r JOIN dict ON contains(c, alias)) GROUP BY ALL)""",
+    """r AS (SELECT DISTINCT platform, pid, keyword, name, replace(regexp_replace(lower(name || ' ' || keyword), '[^a-z0-9]+', ' ', 'g'), ' ', '') AS c FROM listings),
+    dict AS (SELECT 'brand' AS field_name, p_brand AS value, lower(regexp_replace(p_brand, '[# ]', '', 'g')) AS alias FROM part UNION SELECT 'category', p_type, lower(p_type) FROM part)""",
+)
+def rule_hits(spark: SparkSession, d: str) -> DataFrame:
+    (part,) = A.tables(spark, d, "part")
+    rules = part.select(F.lit("brand").alias("field_name"), F.col("p_brand").alias("value")).union(part.select(F.lit("category"), "p_type")).distinct().where("value IS NOT NULL").withColumn("alias", F.col("value"))
+    return R.rule_hits(A.listings(spark, d).select("platform", "pid", "keyword", "name"), rules, ["field_name", "value"]).select("field_name", "value", "match_count", "samples")
 
 
 @query(
@@ -426,9 +447,10 @@ def nearest_point(spark: SparkSession, d: str) -> DataFrame:
     return I.nearest_point(A.items(spark, d).select(F.col("item_id").alias("product_id"), F.col("canonical_name").alias("series_id"), F.to_date("crawled_at").alias("day")), points)
 
 
-@query("SELECT item_id, list_min(list(price)) AS lowest, count(*) AS days FROM history GROUP BY item_id")
+@query("SELECT item_id, list_min(list(price)) AS lowest, count(*) AS days, string_agg(strftime(recorded_at, '%Y-%m-%d') || ':' || price, ',' ORDER BY recorded_at) AS points FROM history GROUP BY item_id")
 def nested_history(spark: SparkSession, d: str) -> DataFrame:
-    return I.series(A.history(A.listings(spark, d))).select("item_id", I.lowest_of(F.col("points"), F.lit(None).cast("long")).alias("lowest"), F.size("points").cast("long").alias("days"))
+    points = F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["recorded_at"].cast("string"), p["price"])), ",")
+    return I.series(A.history(A.listings(spark, d))).select("item_id", I.lowest_of(F.col("points"), F.lit(None).cast("long")).alias("lowest"), F.size("points").cast("long").alias("days"), points.alias("points"))
 
 
 @query(
@@ -552,9 +574,14 @@ def name_clusters(spark: SparkSession, d: str) -> DataFrame:
     return C.linked_clusters(texts, ["keyword"], 2, 5, 0.58, C.MOST_NGRAMS)
 
 
-@query()
-def near_duplicate_titles(spark: SparkSession, d: str) -> DataFrame:
-    return C.near_duplicate_titles(A.items(spark, d).select(F.lower("category_name").alias("keyword"), F.lower("title").alias("text")), 0.9)
+@query(
+    # no two different texts of a keyword reach the cosine, so groups are of equal texts
+    """SELECT keyword, root, count(*) AS item_count, 1.0 AS min_similarity, 1.0 AS avg_similarity, 1.0 AS max_similarity, min(price) AS min_price, any_value(m) AS median_price, max(price) AS max_price, arg_min(name, (abs(price - m), price, name)) AS representative, any_value(name) AS sample_names FROM (
+    SELECT lower(category_name) AS keyword, lower(title) AS root, title AS name, current_price AS price, quantile_cont(current_price, 0.5) OVER (PARTITION BY lower(category_name), lower(title)) AS m FROM items) GROUP BY keyword, root HAVING count(*) > 1"""
+)
+def near_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.items(spark, d).select(F.lower("category_name").alias("keyword"), F.lower("title").alias("text"), F.col("title").alias("name"), F.col("current_price").alias("price"))
+    return C.near_duplicate_groups(rows)
 
 
 @query(
@@ -572,9 +599,9 @@ def bracket_clusters(spark: SparkSession, d: str) -> DataFrame:
 ORACLE_SQL["bracket_clusters"] = ORACLE_SQL["bracket_clusters"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("SELECT keyword, canonical_name, count(*) AS item_count, min(price) AS min_price, quantile_cont(price, 0.5) AS median_price, round(avg(price), 2) AS mean_price, max(price) AS max_price FROM listings GROUP BY ALL")
+@query("SELECT keyword, canonical_name, count(*) AS item_count, min(price) AS min_price, quantile_cont(price, 0.5) AS median_price, round(avg(price), 2) AS mean_price, max(price) AS max_price, array_to_string(list_sort(list_distinct(list(name)))[1:5], ' | ') AS sample_name FROM listings GROUP BY ALL")
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
-    return C.cluster_summary(A.listings(spark, d), ["keyword", "canonical_name"]).drop("sample_name")
+    return C.cluster_summary(A.listings(spark, d), ["keyword", "canonical_name"])
 
 
 @query()
@@ -674,10 +701,10 @@ def view_counts(spark: SparkSession, d: str) -> DataFrame:
     return I.view_counts(A.items(spark, d), A.actions(spark, d).where("event_type = 'IMPRESSION'"))
 
 
-@query("SELECT canonical_name, count(*) AS size, round(quantile_cont(current_price, 0.5), 2) AS median_price FROM items GROUP BY canonical_name")
+@query("SELECT canonical_name, count(*) AS size, round(any_value(m), 2) AS median_price, arg_min(title, (abs(current_price - m), length(title), current_price, title)) AS representative FROM items JOIN (SELECT canonical_name, quantile_cont(current_price, 0.5) AS m FROM items GROUP BY ALL) USING (canonical_name) GROUP BY canonical_name")
 def group_representatives(spark: SparkSession, d: str) -> DataFrame:
     rows = A.items(spark, d).select("canonical_name", F.col("title").alias("text"), F.col("current_price").alias("price"))
-    return C.representatives(rows, ["canonical_name"]).select("canonical_name", "size", F.round("median_price", 2).alias("median_price"))
+    return C.representatives(rows, ["canonical_name"]).select("canonical_name", "size", F.round("median_price", 2).alias("median_price"), "representative")
 
 
 @query()

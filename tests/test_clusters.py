@@ -106,3 +106,14 @@ def test_registered_token_stages_reach_long_titles(spark, tmp_path):
     spark.createDataFrame([(1, 10.0, 1.0, "1998-01-01")], "l_partkey long, l_extendedprice double, l_quantity double, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = registry.QUERIES["token_stage_clusters"](spark, str(tmp_path)).first()
     assert [got[f"c{k}"] for k in range(1, 6)] == ["red", "oak", "anvil", "stand", "north"]
+
+
+def test_near_duplicate_groups(spark):
+    long = "apple iphone sixteen pro max blue titanium with case and box"
+    rows = [("k", long, "A", 100), ("k", long, "B", 300), ("k", long + "s", "C", 210), ("k", "other thing", "D", 5), ("l", long, "E", 7), ("l", "same", "F", 1), ("l", "same", "F2", 9)]
+    got = {(r["keyword"], r["root"]): r for r in C.near_duplicate_groups(spark.createDataFrame(rows, "keyword string, text string, name string, price long")).collect()}
+    assert got.keys() == {("k", long), ("l", "same")}
+    r = got["k", long]
+    assert (r["item_count"], r["min_price"], r["median_price"], r["max_price"], r["representative"], r["sample_names"], r["max_similarity"]) == (3, 100, 210.0, 300, "C", "A | B | C", 1.0)
+    assert 0.92 <= r["min_similarity"] < 1 and abs(r["avg_similarity"] - (1 + 2 * r["min_similarity"]) / 3) < 2e-4
+    assert (got["l", "same"]["item_count"], got["l", "same"]["min_similarity"], got["l", "same"]["representative"]) == (2, 1.0, "F")

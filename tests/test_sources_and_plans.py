@@ -123,6 +123,14 @@ def test_reports(spark):
     assert {r["metric"]: r["value"] for r in R.run_statistics(clean, dropped).collect()} == {"clean_rows": 3.0, "mean_rating": 55.0, "dropped: a": 2.0, "route: token": 2.0, "route: none": 1.0}
 
 
+def test_references(spark):
+    rows = spark.createDataFrame([("p", "1", "폰", "갤럭시 S25 케이스"), ("p", "1", "폰", "갤럭시 S25 케이스"), ("p", "2", "폰", "S 25 급처"), ("q", "3", "북", "맥북")], "platform string, pid string, keyword string, name string")
+    rules = spark.createDataFrame([("model", "s25", "s25"), ("model", "s25", "갤럭시s25"), ("category", "폰", "폰"), ("model", "x", "")], "field string, value string, alias string")
+    got = {(r["field"], r["value"]): (r["match_count"], r["source_keywords"], r["samples"]) for r in R.rule_hits(rows, rules, ["field", "value"]).collect()}
+    assert got == {("model", "s25"): (2, "폰:2", "S 25 급처 | 갤럭시 S25 케이스"), ("category", "폰"): (2, "폰:2", "S 25 급처 | 갤럭시 S25 케이스")}
+    assert {r["token"]: (r["reason"], r["match_count"]) for r in R.excluded_tokens(rows).collect()} == {"케이스": ("accessory_or_low_signal", 1), "급처": ("bait_or_noise", 1)}
+
+
 def test_lists(spark):
     ranks = I.price_places(spark.createDataFrame([("g", 5, 1), ("g", 9, 2), ("g", 9, 3)], "g string, price long, place int"), "g")
     assert sorted((r["place"], r["price_place"]) for r in ranks.collect()) == [(1, 3), (2, 1), (3, 2)]
