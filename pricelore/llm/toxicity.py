@@ -6,7 +6,7 @@ training folds' labels, turns its output into the chance of label 1.
 
 The fit reads a bounded sample (``MAX_POSITIVE``, ``MAX_UNLABELLED`` documents, chosen by the hash of their id, all if there are fewer); scoring reads every text.
 Edge cases: a null text counts as empty, and empty texts get the score of a text without any known word; without positives in the training folds every score is the
-training labels' rate of 1 (0 without labels); repeated rows are scored alike, null doc_ids are scored but never learnt from;
+training labels' rate of 1 (0 without labels); repeated rows are scored alike, and a repeated doc_id is one document of the sample, with the least of its texts and the highest of its labels; null doc_ids are scored but never learnt from;
 words of equal weight go by their spelling; a very long text is scored from all its words; an empty table gives no rows; columns other than doc_id and text are no input, and ``harmless`` passes them on.
 """
 
@@ -89,12 +89,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     prior = min(max(float(rate[0]), 0.01), 0.9)
     unknown = {"words": {}, "bias": 0.0, "a": 0.0, "b": float(np.log(prior / (1 - prior)))}
     order = F.xxhash64(F.col("doc_id"))
-    positive = seen.where("toxic = 1").orderBy(order).limit(MAX_POSITIVE).select("doc_id", F.lit("p").alias("part"), F.lit(1).alias("toxic"))
-    others = docs.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id").orderBy(order).limit(MAX_UNLABELLED).select("doc_id", F.lit("u").alias("part"))
-    chosen = positive.unionByName(others.join(F.broadcast(others.select("doc_id").join(seen, "doc_id")), "doc_id", "left"), allowMissingColumns=True)
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))
+    positive = seen.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_POSITIVE).select("doc_id", F.lit("p").alias("part"), F.lit(1).alias("toxic"))
+    # each id once: a repeated one has one place in the sample
+    others = cut(docs.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id").distinct().orderBy(order, "doc_id").limit(MAX_UNLABELLED))
+    judged_others = others.join(F.broadcast(seen.join(F.broadcast(others), "doc_id")), "doc_id", "left").select("doc_id", F.lit("u").alias("part"), "toxic")
+    chosen = cut(positive.unionByName(judged_others))
+    text = F.coalesce("text", F.lit(""))
+    sampled = docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min(text).alias("text"))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     # written once, so that the rows keep their numbers whatever executor is lost
-    words = cut(docs.join(F.broadcast(chosen), "doc_id").select(F.monotonically_increasing_id().alias("row"), "part", "toxic", found.alias("words")))
+    words = cut(sampled.join(F.broadcast(chosen), "doc_id").select(F.monotonically_increasing_id().alias("row"), "part", "toxic", found.alias("words")))
     rows = words.select("row", "part", "toxic").collect()  # the bounded sample, without its texts
     n_p, n_u = (sum(r["part"] == part for r in rows) for part in "pu")
     if not n_u or not n_p:

@@ -5,7 +5,8 @@ combinations; one that leads to ``block`` becomes a rule if its confidence and s
 as common everywhere (a scheme, say) tells nothing. Rules that a more general one covers with no less confidence are pruned. A rule is filed in an inverted index under its rarest token; a page looks up its own tokens and checks the rules that it meets.
 
 The longest fixed rule that fits decides; else the method: block if a mined rule matches, allow if none does. Edge cases: a null url or one without ``://`` has an empty host and path, and is allowed unless a mined rule matches; repeated rows and null page_ids are judged like
-any other row; ties of fixed rules go to the longer host, and of mined rules to the first by their tokens; a very long url has as many tokens as steps, of which only frequent ones are looked up; an empty table gives no rows; columns other than page_id and url are ignored.
+any other row; ties of fixed rules go to the longer host, and of mined rules to the first by their tokens; a very long url has as many tokens as steps, and repeated or nested long urls cost no more than the pairs of their frequent tokens (see ``mine``), while urls of one long set of frequent steps, each without
+another step and labelled both ways, are as many combinations as they have, since none of those is covered; an empty table gives no rows; columns other than page_id and url are ignored.
 ``MAX_RULES`` bounds what is broadcast; beyond it the index is joined by a shuffle.
 """
 
@@ -27,6 +28,8 @@ Z, SURE = 1.645, 0.5
 #: No rule with fewer blocked pages can pass that: with n of n the bound is n / (n + Z * Z).
 LEAST_PAGES = math.floor(SURE * Z * Z / (1 - SURE)) + 1
 MAX_RULES = 200_000
+#: Between the two tokens of an item of FP-growth.
+BESIDE = "\x01"
 BLOCK, ALLOW = "label=block", "label=allow"
 
 
@@ -66,26 +69,59 @@ def prepared(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     return known.select("page_id", "host", "path", fitting(F.col("host"), F.col("path"), rules).alias("fixed"), F.coalesce(tokens(F.col("host"), F.col("path"), F.col("url")), F.array()).alias("tokens"))
 
 
+def tested(rules: DataFrame, confidence: float, lift: float, labelled: int, blocked: int, total: int) -> DataFrame:
+    """(antecedent, confidence, support) of the ``rules`` (antecedent, n, labelled, blocked: pages that hold it) that are confident, significant and more frequent among blocked pages than among all."""
+    c, pages = F.col("blocked") / F.col("labelled"), F.col("labelled")
+    middle, spread = c + Z * Z / (2 * pages), Z * F.sqrt((c * (1 - c) + Z * Z / (4 * pages)) / pages)
+    good = (c >= confidence) & ((middle - spread) / (1 + Z * Z / pages) > SURE) & (F.col("blocked") / max(blocked, 1) >= lift * F.col("n") / max(total, 1))
+    return rules.where(good).select("antecedent", c.alias("confidence"), (F.col("blocked") / max(labelled, 1)).alias("support"))
+
+
+def counted(each: DataFrame, keys: tuple[str, ...], least: float) -> DataFrame:
+    """Pages, labelled and blocked ones of each key that the support doesn't rule out; those that the same token sets hold have equal ``mark``."""
+    mark = F.struct(F.count("*").alias("sets"), *(F.sum(F.xxhash64(F.lit(k), "row").cast("decimal(38,0)")).alias(f"h{k}") for k in range(2)))
+    return each.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), mark.alias("mark")).where(F.col("blocked") >= least)
+
+
 def mine(ready: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
-    """(rule_id, antecedent, confidence, support) of the rules that lead to ``block``: support and confidence among the labelled pages. Antecedents are of any length. Tokens that can't reach the support, or the pages that the significance test needs, are dropped before,
-    which loses no rule."""
-    labelled = ready.where(F.col("fixed").isNotNull())
-    n, blocked = labelled.agg(F.count("*"), F.count_if(F.col("fixed.verdict") == "block")).first()
-    least = min(1.0, max(support, LEAST_PAGES / max(n, 1)))
-    frequent = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= max(1.0, least * n)).select("token")  # at most 1 / support * tokens a page
-    kept = [r["token"] for r in frequent.orderBy("token").collect()]
-    items = F.filter("tokens", lambda x: x.isin(kept)) if kept else F.array().cast("array<string>")
-    marked = labelled.select(F.concat(items, F.array(F.when(F.col("fixed.verdict") == "block", BLOCK).otherwise(ALLOW))).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(marked).associationRules
-    rules = found.where(F.array_contains("consequent", BLOCK)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    pages = F.round(F.col("support") * n / F.col("confidence"))
-    middle, spread = F.col("confidence") + Z * Z / (2 * pages), Z * F.sqrt((F.col("confidence") * (1 - F.col("confidence")) + Z * Z / (4 * pages)) / pages)
-    rules = cut(rules.where((middle - spread) / (1 + Z * Z / pages) > SURE).withColumn("rule_id", F.xxhash64("antecedent")))
-    everywhere = ready.select(items.alias("tokens")).groupBy("tokens").agg(F.count("*").alias("n"))
-    total = ready.count()
-    met = everywhere.select("tokens", "n", F.explode("tokens").alias("token")).join(index(rules, everywhere), "token").where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("rule_id").agg(F.sum("n").alias("n"))
-    share = F.col("support") * n / max(blocked, 1)
-    return uncovered(cut(rules.join(met, "rule_id").where(share >= lift * F.col("n") / max(total, 1)).select("rule_id", "antecedent", "confidence", "support")))
+    """(rule_id, antecedent, confidence, support) of the rules that lead to ``block``: support and confidence among the labelled pages. Antecedents are of any length.
+
+    FP-growth lists every subset of what frequent pages share, so what can only give covered rules is taken out before it, at no loss. Tokens that can't reach the support, or the pages that the significance test needs, go. Tokens that the same pages hold, labelled or not, are one
+    token, named by the first. A token that is a rule of confidence 1 by itself covers all others with it. Then each page gives a transaction for each token t: the page's tokens that come after t by number of pages, marked with t, but for those that all of t's pages hold,
+    as they add nothing to t; of those that stand for the same pages beside t the first remains, and one that makes a rule of confidence 1 with t covers all others with the two."""
+    verdict = F.col("fixed.verdict")
+    sets = cut(ready.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count("*").alias("n"), F.count(verdict).alias("labelled"), F.count_if(verdict == "block").alias("blocked")).withColumn("row", F.monotonically_increasing_id()))
+    total, n, blocked = (x or 0 for x in sets.agg(F.sum("n"), F.sum("labelled"), F.sum("blocked")).first())
+    least = max(support * n * (1 - 1e-12), LEAST_PAGES)
+    test = lambda rules: tested(rules, confidence, lift, n, blocked, total)
+    pages = ("row", "n", "labelled", "blocked")
+
+    alike = counted(sets.select(*pages, F.explode("tokens").alias("token")), ("token",), least)
+    tokens = cut(alike.groupBy("n", "mark").agg(F.min("token").alias("token"), F.first("labelled").alias("labelled"), F.first("blocked").alias("blocked")))
+    single = cut(test(tokens.withColumn("antecedent", F.array("token"))))
+    sure = single.where("confidence = 1").select(F.element_at("antecedent", 1).alias("token"))
+    unsure = tokens.join(sure, "token", "left_anti").select("token", F.struct(F.col("n").alias("n"), "token").alias("item"))
+    held = sets.select(*pages, F.explode("tokens").alias("token")).join(unsure, "token").groupBy("row").agg(*(F.first(c).alias(c) for c in pages[1:]), F.array_sort(F.collect_list("item")).alias("items"))
+    beside = held.select(*pages, "items", F.posexplode("items").alias("at", "t")).select(*pages, "t", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))["token"]).alias("x"))
+
+    pairs = counted(beside, ("t", "x"), least).where(F.col("n") < F.col("t.n"))
+    pairs = cut(pairs.groupBy("t", "n", "mark").agg(F.min("x").alias("x"), F.first("labelled").alias("labelled"), F.first("blocked").alias("blocked")))
+    double = cut(test(pairs.withColumn("antecedent", F.array_sort(F.array("t.token", "x")))).where("confidence = 1"))
+    closed = F.array_sort(F.array("t.token", "x"))
+    followed = pairs.join(double.select(F.col("antecedent").alias("sure")), closed == F.col("sure"), "left_anti").select("t", "x")
+    each = beside.where("labelled > 0").join(followed, ["t", "x"]).groupBy("row", "t").agg(F.first("labelled").alias("labelled"), F.first("blocked").alias("blocked"), F.collect_list(F.concat("t.token", F.lit(BESIDE), "x")).alias("items"))
+    marked = cut(each.select(F.concat("items", F.array(F.lit(BLOCK))).alias("items"), F.col("blocked").alias("times")).unionByName(each.select(F.concat("items", F.array(F.lit(ALLOW))).alias("items"), (F.col("labelled") - F.col("blocked")).alias("times"))).where("times > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k")).select("items"))
+    many = marked.count()
+    columns = "antecedent", "confidence", "support"
+    rules = single.unionByName(double)
+    if many:
+        found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / many), minConfidence=confidence).fit(marked).associationRules
+        plain = F.concat(F.array(F.substring_index(F.element_at("antecedent", 1), BESIDE, 1)), F.transform("antecedent", lambda x: F.substring_index(x, BESIDE, -1)))
+        hits = F.round(F.col("support") * many)
+        mined = cut(found.where(F.array_contains("consequent", BLOCK)).select(F.array_sort(plain).alias("antecedent"), hits.alias("blocked"), F.round(hits / F.col("confidence")).alias("labelled")).withColumn("rule_id", F.xxhash64("antecedent")))
+        met = sets.select("tokens", "n", F.explode("tokens").alias("token")).join(index(mined, sets), "token").where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("rule_id").agg(F.sum("n").alias("n"))
+        rules = rules.unionByName(test(mined.join(met, "rule_id")))
+    return uncovered(cut(rules.withColumn("rule_id", F.xxhash64("antecedent")).select("rule_id", *columns)))
 
 
 def uncovered(rules: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -734,3 +735,37 @@ def test_pipeline_keeps_clashing_columns_and_null_ids(spark, tmp_path):
         rows = stage(spark, rows, str(tmp_path))
         assert rows.columns == frame.columns, name
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in rows.collect()) == [-1, 0, 1]
+
+
+def test_long_urls_are_mined_in_bounded_steps(spark):
+    """Five copies of a url of 40 steps, and a chain of 40 nested paths with both labels, among 500 pages: few rules, in seconds."""
+    from pricelore.llm import url_filter as m
+
+    rnd = random.Random(41)
+    long = "/".join(f"deep{k}" for k in range(40))
+    chain = [f"http://{host}/{side}/" + "/".join(f"part{j}" for j in range(k + 1)) for k in range(40) for host, side in (("a.com", "en"), ("b.com", "en"), ("c.net", "de"), ("d.com", "en"))]
+    urls = [f"http://s{rnd.randrange(9)}.com/en/{rnd.randrange(99)}" for _ in range(200)] + [f"http://s{rnd.randrange(9)}.net/de/{rnd.randrange(99)}" for _ in range(300)]
+    urls += [f"http://com/en/{long}"] * 5 + [f"http://net/de/{long}x"] * 5 + chain
+    ready = m.prepared(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).persist()
+    began = time.time()
+    rules = m.mine(ready).collect()
+    assert time.time() - began < 60 and 1 <= len(rules) < 100
+    judged = {r["page_id"]: r["verdict"] for r in m.judge(spark.createDataFrame([*enumerate(urls), (9_999, None)], "page_id long, url string")).collect()}
+    assert len(judged) == len(urls) + 1 and judged[9_999] == "allow" and all(judged[k] == "block" for k in range(500, 505))
+    ready.unpersist()
+
+
+def test_sample_of_repeated_labelled_ids_is_bounded(spark):
+    """1,000 rows of a labelled id, and labels that repeat it, are one document of the sample."""
+    from pricelore.llm import toxicity as m
+
+    texts = [" ".join(["word", "vile" if k % 3 == 0 else "kind", str(k)]) for k in range(120)]
+    ids = [k for k in range(120) if zlib.crc32(str(k).encode()) % 4 != 2]
+    hot = next(k for k in ids if k % 3 == 0)
+    once = docs(spark, texts)
+    often = once.unionByName(once.where(F.col("doc_id") == hot).crossJoin(spark.range(999).select()))
+    labels = [(k, 1, int(k % 3 == 0)) for k in range(120)]
+    schema = "doc_id long, quality int, toxic int"
+    plain = m.fit(once, spark.createDataFrame(labels, schema))
+    again = m.fit(often, spark.createDataFrame(labels + [(hot, 1, 1)] * 1000 + [(None, 1, 1)], schema))
+    assert often.count() == 1119 and plain["words"].keys() == again["words"].keys() and abs(plain["words"]["vile"] - again["words"]["vile"]) < 1e-6
