@@ -5,6 +5,8 @@ from __future__ import annotations
 from pricelore.llm.decontaminate import OP3_SQL, op3_containment_decontamination
 from pricelore.llm.flac import op9_flac_media
 from pricelore.llm.licence_scan import op2_licence_lines
+from pricelore.llm.line_dedup import OP12_SQL, op12_hashed_lines
+from pricelore.llm.middle_fill import OP11_SQL, op11_framed_middle
 from pricelore.llm.near_duplicates import op1_lsh_forest_join
 from pricelore.llm.personal_data import op5_anchor_personal_data
 from pricelore.llm.piece_sampling import op7_gumbel_pieces
@@ -26,6 +28,8 @@ QUERIES = {
         op8_simple8b_tokens,
         op9_flac_media,
         op10_association_urls,
+        op11_framed_middle,
+        op12_hashed_lines,
     )
 }
-ORACLE_SQL = {"op3_containment_decontamination": OP3_SQL}
+ORACLE_SQL = {"op3_containment_decontamination": OP3_SQL, "op11_framed_middle": OP11_SQL, "op12_hashed_lines": OP12_SQL}
