@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pricelore.llm.collocations import OP13_SQL, op13_phrase_tries
 from pricelore.llm.decontaminate import OP3_SQL, op3_containment_decontamination
 from pricelore.llm.flac import op9_flac_media
 from pricelore.llm.licence_scan import op2_licence_lines
@@ -30,6 +31,7 @@ QUERIES = {
         op10_association_urls,
         op11_framed_middle,
         op12_hashed_lines,
+        op13_phrase_tries,
     )
 }
-ORACLE_SQL = {"op3_containment_decontamination": OP3_SQL, "op11_framed_middle": OP11_SQL, "op12_hashed_lines": OP12_SQL}
+ORACLE_SQL = {"op3_containment_decontamination": OP3_SQL, "op11_framed_middle": OP11_SQL, "op12_hashed_lines": OP12_SQL, "op13_phrase_tries": OP13_SQL}
