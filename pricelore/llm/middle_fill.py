@@ -36,16 +36,16 @@ def _kinds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((raw | 32) - np.uint8(97)) < 26, (raw & 0xC0) != 0x80
 
 
-def _framed(raw: np.ndarray, ends: np.ndarray, marked: list[bool], ids: pa.Array, compress) -> pa.RecordBatch:
+def _framed(raw: np.ndarray, ends: np.ndarray, marked: list[bool], ids: pa.Array, compress, frame: int) -> pa.RecordBatch:
     """The store's rows of texts that lie side by side in ``raw``."""
     begins = np.concatenate([[0], ends[:-1]])
     letter, head = _kinds(raw)
     goes_on = np.zeros(len(raw), bool)
     goes_on[1:] = letter[1:] & letter[:-1]
     goes_on[begins[begins < ends]] = False
-    pieces = -(-(ends - begins) // FRAME)
+    pieces = -(-(ends - begins) // frame)
     of = np.repeat(np.arange(len(ends)), pieces)
-    cuts = begins[of] + (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * FRAME
+    cuts = begins[of] + (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * frame
     for _ in range(3):  # a code point has three further bytes at most
         cuts += ~head[cuts]
     to = np.append(cuts[1:], len(raw)) if len(cuts) else cuts
@@ -61,8 +61,8 @@ def _framed(raw: np.ndarray, ends: np.ndarray, marked: list[bool], ids: pa.Array
     return pa.RecordBatch.from_arrays([ids, pa.array(marked, pa.bool_()), *lists], schema=_STORE)
 
 
-def write_frames(docs: DataFrame, path: str) -> None:
-    """Stores (doc_id, text) at ``path``."""
+def write_frames(docs: DataFrame, path: str, frame: int = FRAME) -> None:
+    """Stores (doc_id, text) at ``path`` in frames of ``frame`` bytes, four or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -78,7 +78,7 @@ def write_frames(docs: DataFrame, path: str) -> None:
                 marked = [bool(x) for x in pc.match_substring_regex(texts, "<[PSM]>").to_pylist()]
                 offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + b - a + 1].astype(np.int64)
                 raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-                yield _framed(raw, offsets[1:] - offsets[0], marked, batch.column(0).slice(a, b - a), compress)
+                yield _framed(raw, offsets[1:] - offsets[0], marked, batch.column(0).slice(a, b - a), compress, frame)
                 a = b
 
     docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, STORE).write.option("compression", "none").parquet(path)
