@@ -17,6 +17,8 @@ CODE_PREFIX = "상태코드:"
 ACCESSORY_TOKENS = ("케이스", "case", "필름", "강화유리", "맥세이프", "magsafe", "충전기", "어댑터", "커버", "스트랩", "빈박스", "상자", "트레이")
 NOISE_TOKENS = ("삽니다", "매입", "광고", "문의", "대여", "렌탈", "임대", "빌리", "보증금", "구매합니다", "구합니다", "구해요", "구함", "사요", "사기꾼", "조심")
 LOWEST_PRICE, HIGHEST_PRICE, EXCHANGE, EXCHANGE_LOW, EXCHANGE_HIGH = 1000, 20_000_000, "교환", 100_000, 10_000_000
+#: Fixed value: the share of the median below which a price is no offer.
+FLOOR_RATIO = 0.2
 #: Steps of the price score by the ratio to the group's least price, and the weights of the rating.
 PRICE_STEPS = ((1.0, 100.0), (1.03, 90.0), (1.08, 75.0), (1.15, 55.0), (1.30, 35.0))
 WEIGHTS = {"cluster": 0.40, "price": 0.30, "view": 0.20, "recency": 0.10}

@@ -96,33 +96,64 @@ def searchable(rows: DataFrame, query: str, platforms: tuple[str, ...] = ()) ->
     return kept.where(~F.arrays_overlap(F.split(F.coalesce("quality_flags", F.lit("")), ","), F.array(*map(F.lit, dropped))))
 
 
-def field_search(
-    rows: DataFrame, query: str, limit: int = 20, weights: tuple[tuple[str, float], ...] = (("canonical_name", 5.0), ("title", 4.0), ("matched_keywords", 3.0), ("normalized_title", 2.0), ("search_text", 1.0)), k1: float = 1.2, b: float = 0.75,
-    platforms: tuple[str, ...] = (), sort: str = "relevance", page: int = 1,
-) -> DataFrame:
-    """(document_id, score): a page of ``searchable`` documents by relevance, recent or low_price, then by score. The score is BM25 of the best field in which every query term is found, exactly or by few edits (none up to two characters, one up to five, else two); words of texts and queries are cut alike.
+#: Fields of a search document and their weights.
+FIELDS = (("canonical_name", 5.0), ("title", 4.0), ("matched_keywords", 3.0), ("normalized_title", 2.0), ("search_text", 1.0))
 
-    The filters come first, so term and field statistics are those of the documents that can be found.
+
+def asked_terms(query: str) -> list[str]:
+    return list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
+
+
+def allowed_edits(term: Column) -> Column:
+    """None up to two characters, one up to five, else two."""
+    return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
+
+
+def field_words(rows: DataFrame, weights: tuple[tuple[str, float], ...] = FIELDS, *more: str) -> DataFrame:
+    """(document_id, field, weight, words) of each document's fields that have words, with the columns ``more``."""
+    types = dict(rows.dtypes)
+    whole = lambda f: F.array_join(f, " ") if types[f].startswith("array") else F.col(f)
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), T.least_tokens(whole(f), 1).alias("words")) for f, w in weights if f in types))
+    return rows.select("document_id", *more, F.explode(each).alias("f")).select("document_id", *more, "f.*").where(F.size("words") > 0)
+
+
+def best_fields(hits: DataFrame, stats: DataFrame, n_terms: int, *more: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(document_id, score): BM25 of the best field in which every term is found. hits: document_id, field, weight, size, term, tf, and ``more`` of a document; stats: field, mean, docs."""
+    idf = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    scored = hits.join(idf, ["field", "term"]).join(stats, "field").withColumn("s", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean"))))
+    by_field = scored.groupBy("document_id", *more, "field", "weight").agg(F.sum("s").alias("s"), F.count("*").alias("n")).where(F.col("n") == n_terms)
+    return by_field.groupBy("document_id", *more).agg(F.max(F.col("s") * F.col("weight")).alias("score"))
+
+
+SORTS = {"relevance": [], "recent": [F.desc_nulls_last], "low_price": [F.asc_nulls_last]}
+SORT_COLUMNS = {"recent": "crawled_on", "low_price": "current_price"}
+
+
+def page_of(found: DataFrame, sort: str, page: int, limit: int) -> DataFrame:
+    """A page of found documents (document_id, score, and the column of the sort) by relevance, recent or low_price, then by score."""
+    order = [f(SORT_COLUMNS[sort]) for f in SORTS[sort]]
+    return found.orderBy(*order, F.desc("score"), "document_id").offset((max(page, 1) - 1) * limit).limit(limit).select("document_id", "score")
+
+
+def field_search(rows: DataFrame, query: str, limit: int = 20, weights: tuple[tuple[str, float], ...] = FIELDS, k1: float = 1.2, b: float = 0.75, platforms: tuple[str, ...] = (), sort: str = "relevance", page: int = 1) -> DataFrame:
+    """(document_id, score): a page of ``searchable`` documents by relevance, recent or low_price, then by score. The score is BM25 of the best field in which every query term is found, exactly or by few edits; words of texts and queries are cut alike.
+
+    The filters come first, so term and field statistics are those of the documents that can be found. This reads every document; ``search_index`` keeps an index of them.
     """
     spark = rows.sparkSession
     rows = searchable(rows, query, platforms)
-    order = {"relevance": [], "recent": [F.desc_nulls_last("crawled_on")], "low_price": [F.asc_nulls_last("current_price")]}[sort]
-    fields, types = [(f, w) for f, w in weights if f in rows.columns], dict(rows.dtypes)
-    whole = lambda f: F.array_join(f, " ") if types[f].startswith("array") else F.col(f)
-    each = rows.select("document_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), T.least_tokens(whole(f), 1).alias("words")) for f, w in fields))).alias("f")).select("document_id", "f.*").where(F.size("words") > 0)
-    asked = list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
-    terms, n_terms = spark.createDataFrame([(t,) for t in asked], "term string"), len(asked)
+    each = field_words(rows, weights)
+    asked = asked_terms(query)
+    terms = spark.createDataFrame([(t,) for t in asked], "term string")
     stats = each.groupBy("field").agg(F.avg(F.size("words")).alias("mean"), F.count("*").alias("docs"))
     words = each.select("document_id", "field", "weight", F.size("words").alias("size"), F.explode("words").alias("word"))
-    edits = F.when(F.length("term") <= 2, 0).when(F.length("term") <= 5, 1).otherwise(2)
-    hits = words.join(F.broadcast(terms), F.levenshtein("word", "term") <= edits).groupBy("document_id", "field", "weight", "size", "term").agg(F.count("*").alias("tf"))
-    idf = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
-    scored = hits.join(idf, ["field", "term"]).join(stats, "field").withColumn("s", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean"))))
-    by_field = scored.groupBy("document_id", "field", "weight").agg(F.sum("s").alias("s"), F.count("*").alias("n")).where(F.col("n") == n_terms)
-    found = by_field.groupBy("document_id").agg(F.max(F.col("s") * F.col("weight")).alias("score"))
-    if order:
-        found = found.join(rows.select("document_id", "crawled_on" if sort == "recent" else "current_price"), "document_id")
-    return found.orderBy(*order, F.desc("score"), "document_id").offset((max(page, 1) - 1) * limit).limit(limit).select("document_id", "score")
+    # distinct words meet the few terms; occurrences meet the words that are near one
+    near = words.select("word").distinct().join(F.broadcast(terms), F.levenshtein("word", "term") <= allowed_edits(F.col("term")))
+    hits = words.join(near, "word").groupBy("document_id", "field", "weight", "size", "term").agg(F.count("*").alias("tf"))
+    found = best_fields(hits, stats, len(asked), k1=k1, b=b)
+    if sort in SORT_COLUMNS:
+        found = found.join(rows.select("document_id", SORT_COLUMNS[sort]), "document_id")
+    return page_of(found, sort, page, limit)
 
 
 def hydrate(ranked: DataFrame, items: DataFrame) -> DataFrame:
@@ -225,11 +256,11 @@ def nearest_point(products: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def related_clusters(items: DataFrame, history: DataFrame, name: str, limit: int = 6) -> DataFrame:
-    """(cluster_product_name, mean_price, item_count, points): clusters that begin like ``name`` without its capacity, itself first, then by count; ``points`` are (day, price) in order."""
+    """(cluster_product_name, mean_price, item_count, points): clusters that begin like ``name`` without its capacity, itself first, then by count; ``points`` are (day, price) in order. A blank name has none. ``%`` and ``_`` in a name are plain characters."""
     base = items.sparkSession.createDataFrame([(name,)], "n string").select(T.base_name(F.col("n"))).first()[0].lower()
     cluster = T.blank(F.col("cluster_product_name"))
     own = cluster == name.strip()
-    found = items.where(F.col("item_id").isNotNull() & (cluster != "") & F.lower(cluster).startswith(base) & (own | ~T.is_accessory_name(cluster))).withColumn("cluster_product_name", cluster)
+    found = items.where(F.lit(bool(name.strip())) & F.col("item_id").isNotNull() & (cluster != "") & F.lower(cluster).startswith(base) & (own | ~T.is_accessory_name(cluster))).withColumn("cluster_product_name", cluster)
     stats = found.groupBy("cluster_product_name").agg(F.round(F.avg(F.coalesce("current_price", F.lit(0)))).cast("long").alias("mean_price"), F.count("*").alias("item_count"))
     first = stats.orderBy(F.desc(own), F.desc("item_count"), "cluster_product_name").limit(limit)
     daily = daily_points(found.join(first.select("cluster_product_name"), "cluster_product_name", "left_semi").select("item_id", "cluster_product_name").join(history, "item_id"), ["cluster_product_name"])
@@ -561,8 +592,8 @@ def simple_search(items: DataFrame, query: str = "", platforms: tuple[str, ...]
     return items.where(ok).orderBy(*order).offset((page - 1) * limit).limit(limit)
 
 
-def combined_search(items: DataFrame, query: str, limit: int = 20, platforms: tuple[str, ...] = (), sort: str = "relevance", page: int = 1) -> DataFrame:
-    """A page of the field search's items in its order, cut to the query's intent and to ``limit``. A blank query goes to ``search`` over the items' names (by low_price, recent or relevance)."""
+def combined_search(items: DataFrame, query: str, limit: int = 20, platforms: tuple[str, ...] = (), sort: str = "relevance", page: int = 1, find=None) -> DataFrame:
+    """A page of the field search's items in its order, cut to the query's intent and to ``limit``. ``find`` (query, limit, platforms, sort, page) gives (document_id, score) from a kept index; without it all documents are read. A blank query goes to ``search`` over the items' names (by low_price, recent or relevance)."""
     if not query.strip():
         platform = next((c for c in ("platform_name", "platform") if c in items.columns), None)
         rows = items.select("*", F.col("title").alias("name"), F.lit("").alias("keyword"), F.col("current_price").alias("price"), F.col("crawled_at").alias("ts"), F.col("item_id").cast("string").alias("pid"), *([F.col(platform).alias("_platform")] if platform else [F.lit("").alias("_platform")]))
@@ -570,7 +601,7 @@ def combined_search(items: DataFrame, query: str, limit: int = 20, platforms: tu
         found = search(rows, "", platforms, sort, page, limit)
         return found.withColumn("place", F.lit(None).cast("int"))
     size = widened(query, limit)
-    ranked = field_search(documents(items), query, size, platforms=platforms, sort=sort, page=page)
+    ranked = find(query, size, platforms, sort, page) if find else field_search(documents(items), query, size, platforms=platforms, sort=sort, page=page)
     order = {"relevance": [], "recent": [F.desc_nulls_last("day")], "low_price": [F.asc_nulls_last("price")]}[sort]
     known = items.select(F.col("item_id").cast("string").alias("document_id"), F.date_format("crawled_at", "yyyy-MM-dd").alias("day"), F.col("current_price").alias("price"))
     placed = ranked.join(known, "document_id").select(F.col("document_id").cast("long").alias("item_id"), F.row_number().over(Window.orderBy(*order, F.desc("score"), "document_id")).alias("place"))  # a page of two hundred rows at most

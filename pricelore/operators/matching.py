@@ -31,8 +31,9 @@ def title_matches(profiles: DataFrame, entries: DataFrame, limit: int = 5, min_s
     return sets.select("profile_id", F.xxhash64("p_tokens", "p_platform").alias("p_set")).join(best, "p_set").select("profile_id", "entry_id", "shared", "similarity", "verified", "place")
 
 
-#: The category of what has none, and the confidence of a category that only the search keyword tells.
+#: The category of what has none, the confidence of a category that only the search keyword tells, and the methods' names.
 NO_CATEGORY, BY_KEYWORD = "미분류", 0.55
+BY_VERIFIED, BY_TITLE = "joongna_correlation", "title_correlation"
 
 
 def category_votes(matches: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def category_votes(matches: DataFrame, profiles: DataFrame | None = None) -> Dat
     evidence = kept.withColumn("weight", weight).withColumn("nth", nth)
     votes = evidence.groupBy("profile_id", "category").agg(F.sum("weight").alias("score"), F.max(F.when(F.col("nth") <= 3, F.col("similarity"))).alias("top"), F.max(F.when(F.col("nth") <= 3, F.col("verified"))).alias("sure"), F.min("place").alias("first"))
     chosen = votes.groupBy("profile_id").agg(F.max_by(F.struct("category", "score", "top", "sure"), F.struct(F.round("score", 12), (-F.col("first")).alias("early"))).alias("v"))
-    out = chosen.select("profile_id", "v.category", "v.score", F.round(F.least(F.lit(0.99), F.col("v.top") + F.least(F.lit(0.25), F.col("v.score") / 10)), 4).alias("confidence"), F.when(F.col("v.sure"), "verified_correlation").otherwise("title_correlation").alias("method"))
+    out = chosen.select("profile_id", "v.category", "v.score", F.round(F.least(F.lit(0.99), F.col("v.top") + F.least(F.lit(0.25), F.col("v.score") / 10)), 4).alias("confidence"), F.when(F.col("v.sure"), BY_VERIFIED).otherwise(BY_TITLE).alias("method"))
     if profiles is None:
         return out
     whole = profiles.select("profile_id", source.alias("source")).join(out, "profile_id", "left")
@@ -96,8 +97,13 @@ def category_by_rules(values: DataFrame, rules: DataFrame, floor: float = 0.9) -
     return one.select("title", "category", F.greatest(F.lit(floor), F.col("confidence")).alias("confidence"))
 
 
+def _compact_words(words: tuple[str, ...]) -> Column:
+    """Words in the compact form in which tokens are compared to them."""
+    return F.array(*(T.compact(F.lit(w)) for w in words)).cast("array<string>")
+
+
 def signal_tokens(title: Column, excluded: tuple[str, ...] = ()) -> Column:
-    return F.filter(F.array_distinct(T.title_tokens(title)), lambda t: (F.length(t) >= 2) & (~t.rlike("^[0-9]+$") | (F.length(t) >= 3)) & ~t.isin(*(excluded or ("",))))
+    return F.filter(F.array_distinct(T.title_tokens(title)), lambda t: (F.length(t) >= 2) & (~t.rlike("^[0-9]+$") | (F.length(t) >= 3)) & ~F.array_contains(_compact_words(excluded), T.compact(t)))
 
 
 def core_tokens(titles: DataFrame, excluded: tuple[str, ...] = (), n: int = 8) -> DataFrame:
@@ -129,7 +135,7 @@ def verify_across(rows: DataFrame, baseline: str, excluded: tuple[str, ...] = ()
     profiles = asked.select(F.xxhash64("keyword", "name").alias("profile_id"), F.xxhash64("tokens").alias("title_id"), F.col("keyword").alias("source_keyword"))
     votes = category_votes(profiles.join(five, "title_id").select("profile_id", "category", "similarity", "verified", "place"), profiles.select("profile_id", "source_keyword")).select("profile_id", F.col("confidence").alias("_confidence"))
     tokens = T.title_tokens(F.col("name"))
-    noise = F.size(F.array_intersect(F.transform(tokens, T.solid), F.array(*map(F.lit, excluded)))) if excluded else F.lit(0)
+    noise = F.size(F.array_intersect(F.transform(tokens, T.compact), _compact_words(excluded))) if excluded else F.lit(0)
     relevant = F.arrays_overlap(tokens, F.array(*map(F.lit, core))) & (noise < 3) if core else F.lit(True)
     priced = F.lit(True) if first["median"] is None else F.col("price").between(int(0.35 * first["median"]), int(2.5 * first["median"])) & (F.col("price") > 0)
     judged = rows.withColumn("profile_id", F.xxhash64("keyword", "name")).join(votes, "profile_id", "left").drop("profile_id")
@@ -166,7 +172,7 @@ def write_back(rows: DataFrame, clustered: DataFrame, columns: list[str]) -> Dat
     return rows.join(new, keys, "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in columns}).select(*rows.columns)
 
 
-#: Ordered rules (words of a pattern, groups of words of a message): the first rule that fits a pattern asks for a word of each group.
+#: Ordered rules (words of a pattern, groups of words of a message): the first rule that fits a pattern asks for a word of each group.
 SYNONYM_RULES = (
     (("알림", "가격알림"), (("알림", "가격알림", "등록", "설정", "종"),)),
     (("찜", "관심"), (("찜", "하트", "관심", "저장"), ("방법", "어떻게", "확인", "목록"))),

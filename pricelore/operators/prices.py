@@ -146,16 +146,20 @@ def rate(rows: DataFrame, as_of: Column, group: str = "cluster_product_name") ->
 
 
 def summary(rows: DataFrame, floors: bool = True, upper: bool = True) -> DataFrame:
-    """(lowest, average, latest) of the matching listings after one pass for the median: plausible prices if there are any, and with five or more only those above a fifth of the median."""
-    priced = rows.where("price > 0")
+    """(lowest, average, latest) of the matching listings: plausible prices if there are any, and of five or more only those above a fifth of the median, if there are any. ``latest`` is of all listings, whatever their prices. Two passes, of one row each; the median is the upper one of two, or
+    lies between them."""
+    least, mean = F.min("price"), F.round(F.avg("price")).cast("long")
+    zero = lambda c: F.coalesce(c, F.lit(0))
     if not floors:
-        return priced.agg(F.coalesce(F.min("price"), F.lit(0)).alias("lowest"), F.coalesce(F.round(F.avg("price")).cast("long"), F.lit(0)).alias("average"), F.max("ts").alias("latest"))
+        priced = F.when(F.col("price") > 0, F.col("price"))
+        return rows.agg(zero(F.min(priced)).alias("lowest"), zero(F.round(F.avg(priced)).cast("long")).alias("average"), F.max("ts").alias("latest"))
     plausible = (F.col("price") >= V.LOWEST_PRICE) & (F.col("price") < V.HIGHEST_PRICE)
-    total, good = priced.agg(F.count("*"), F.count_if(plausible)).first()
-    used, n = (priced.where(plausible), good) if good else (priced, total)
+    total, good, latest = rows.agg(F.count_if(F.col("price") > 0), F.count_if(plausible), F.max("ts")).first()
+    used, n = (rows.where(plausible), good) if good else (rows.where("price > 0"), total)
     floor = 0
-    if n >= 5:  # one row reaches the driver; the floor is then a constant of the last pass
+    if n >= 5:
         share = (n // 2 + 1) / n - 1e-12
         middle = F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY price)") if upper else F.percentile("price", F.lit(0.5))
-        floor = max(V.LOWEST_PRICE, round(used.agg(middle).first()[0] * 0.2))
-    return used.where(F.col("price") >= floor).agg(F.coalesce(F.min("price"), F.lit(0)).alias("lowest"), F.coalesce(F.round(F.avg("price")).cast("long"), F.lit(0)).alias("average"), F.max("ts").alias("latest"))
+        floor = max(V.LOWEST_PRICE, round(used.agg(middle).first()[0] * V.FLOOR_RATIO))
+    above = F.when(F.col("price") >= floor, F.col("price"))
+    return used.agg(zero(F.coalesce(F.min(above), least)).alias("lowest"), zero(F.coalesce(F.round(F.avg(above)).cast("long"), mean)).alias("average"), F.lit(latest).cast(rows.schema["ts"].dataType).alias("latest"))

@@ -12,8 +12,10 @@ from pricelore.operators import insight as I
 from pricelore.operators import matching as M
 from pricelore.operators import prices as P
 from pricelore.operators import reports as R
+from pricelore.operators import search_index as X
 from pricelore.shared import reliable
 from pricelore.sources import listings as S
+from pricelore.sources import versions
 
 
 def refine(rows: DataFrame, as_of: Column, stages: int = 0, cut=reliable) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -66,15 +68,37 @@ def collect(sources: list[DataFrame], baseline: str, entries: DataFrame, diction
 
 
 def load(records: DataFrame, items: DataFrame, history: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """P4. (items, history) after complete records are rated and merged by their keys."""
+    """P4. (items, history) after complete records are rated and merged by their keys. Known items keep their item_id, and whatever the records don't bring; new ones get the numbers above the greatest id."""
     good, _ = S.complete(records)
     rated = P.rate(good.withColumns({"cluster_product_name": F.col("canonical_name"), "price": F.col("current_price"), "seen_at": F.col("crawled_at"), "view_count": F.lit(0)}), as_of)
-    batch = rated.withColumn("lowest_price", F.col("group_min_price")).withColumn("item_id", F.xxhash64("platform_name", "original_id")).withColumn("last_seen_at", as_of).select(*items.columns)
-    merged = S.upsert(items, batch, ["platform_name", "original_id"], ["crawled_at", "current_price"])
+    batch = rated.withColumn("lowest_price", F.col("group_min_price")).withColumn("last_seen_at", as_of).drop("item_id")
+    merged = versions.with_ids(versions.merged(items, batch, ITEM_KEYS, ["crawled_at", "current_price"]), "item_id", ITEM_KEYS)
     points = S.history_points(good, merged)
     return merged, S.upsert(history, points, ["item_id", "recorded_at"], ["price"])
 
 
+ITEM_KEYS = ["platform_name", "original_id"]
+#: What ``store`` keeps where nothing is kept yet.
+ITEMS = "item_id long, platform_name string, original_id string, title string, canonical_name string, category_name string, current_price long, lowest_price long, status string, item_url string, thumbnail_url string, matched_keywords string, crawled_at timestamp, rating double, last_seen_at timestamp"
+POINTS = "item_id long, recorded_at date, price long"
+
+
+def store(spark: SparkSession, path: str, records: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """P4 into the tables below ``path``: items and history switch together by one manifest file. Gives both as they are then."""
+    now = versions.current(spark, path)
+    items, history = load(records, versions.read(spark, path, "items", ITEMS, now=now), versions.read(spark, path, "history", POINTS, now=now), as_of)
+    versions.publish(spark, path, {"items": items, "history": history})
+    now = versions.current(spark, path)
+    return versions.read(spark, path, "items", ITEMS, now=now), versions.read(spark, path, "history", POINTS, now=now)
+
+
+def sync(spark: SparkSession, path: str, items: DataFrame, limit: int | None = None, recreate: bool = False) -> int:
+    """P5 and its sink: the items' documents go into the kept index below ``path``; ``recreate`` takes out all documents that aren't among them. Gives the version."""
+    docs = index(items, limit)
+    known = versions.read(spark, path, "documents", X.DOCUMENTS).select("document_id")
+    return X.update(spark, path, docs, known.join(docs.select("document_id"), "document_id", "left_anti") if recreate else None)
+
+
 def index(items: DataFrame, limit: int | None = None) -> DataFrame:
     """P5. Search documents with quality flags, of the newest items if there is a limit."""
     return I.documents(S.newest(items, limit) if limit else items)
@@ -102,8 +126,8 @@ def detail(item_id: int, items: DataFrame, history: DataFrame, as_of: Column) ->
     return one.withColumn("points", given).withColumn("description", V.description(F.col("description") if "description" in items.columns else F.lit(None).cast("string"), F.col("title"), F.col("platform_name") if "platform_name" in items.columns else F.lit("")))
 
 
-def chain(spark: SparkSession, csv: str, out: str, as_of: Column, skip_refine: bool = False) -> None:
-    """P8. Refine the listings of ``csv``, write both results, and load them as items."""
+def chain(spark: SparkSession, csv: str, out: str, as_of: Column, skip_refine: bool = False, skip_load: bool = False) -> None:
+    """P8. Refine the listings of ``csv``, write both results, and load them as items and history into the store below ``out``."""
     raw = S.read_listings(spark, csv)
     rows = raw.select("keyword", "platform", "pid", "name", F.col("price_numeric").cast("long").alias("price"), V.import_state(F.col("status")).alias("status"), V.moment(F.col("date"), as_of).alias("ts"), "link", "image_url")
     if not skip_refine:
@@ -111,4 +135,7 @@ def chain(spark: SparkSession, csv: str, out: str, as_of: Column, skip_refine: b
         S.write_refined(clean, dropped, out)
         statistics.write.mode("overwrite").parquet(f"{out}/statistics")
     done = spark.read.parquet(f"{out}/clean").withColumnsRenamed({"price": "price_numeric", "ts": "date"}).withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm"))
-    S.complete(S.to_record(done, as_of))[0].write.mode("overwrite").parquet(f"{out}/records")
+    records = S.complete(S.to_record(done, as_of))[0]
+    records.write.mode("overwrite").parquet(f"{out}/records")
+    if not skip_load:
+        store(spark, f"{out}/store", spark.read.parquet(f"{out}/records"), as_of)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +15,12 @@ from pricelore.operators import matching as M
 from pricelore.operators import messages
 from pricelore.operators import prices as P
 from pricelore.operators import reports as R
+from pricelore.operators import search_index as X
 from pricelore.plans import adapter as A
 from pricelore.plans import pipelines
 from pricelore.shared import shared_dir
 from pricelore.sources import listings as S
+from pricelore.sources import versions
 from pricelore.streaming import alerts
 
 QUERIES: dict = {}
@@ -201,6 +205,35 @@ def search_documents(spark: SparkSession, d: str) -> DataFrame:
 SEARCH = "found AS (SELECT * FROM listings WHERE contains(replace(lower(concat_ws(' ', name, canonical_name, keyword)), ' ', ''), 'anvil') AND platform IN ('ASIA', 'EUROPE'))"
 
 
+def _loaded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Records of all items, loaded into a store that knows half of them under ids of its own, with columns that records don't bring, and their history."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    items = A.items(spark, d).where("platform_name <> ''")
+    known = items.where("item_id % 2 = 0").withColumn("item_id", F.col("item_id") * 10 + 7)
+    kept = spark.createDataFrame([], pipelines.ITEMS)
+    old = known.withColumns({"current_price": F.lit(1).cast("long"), "matched_keywords": F.concat(F.lit("k"), F.col("item_id")), "crawled_at": F.lit("1990-01-01").cast("timestamp")})
+    old = kept.unionByName(old.select(*(c for c in old.columns if c in kept.columns)), allowMissingColumns=True)
+    versions.publish(spark, path, {"items": old, "history": old.select("item_id", F.to_date("crawled_at").alias("recorded_at"), F.col("current_price").alias("price"))})
+    records = items.select("platform_name", "original_id", "title", "canonical_name", "current_price", "crawled_at", "status", F.lit(None).cast("string").alias("cluster_route"))
+    pipelines.store(spark, path, records, as_of())
+    return pipelines.store(spark, path, records, as_of())  # loading again changes nothing
+
+
+LOADED = """
+loaded AS (SELECT coalesce(old_id, top + row_number() OVER (PARTITION BY old_id IS NULL ORDER BY platform_name, original_id)) AS item_id, platform_name, original_id, current_price, old_keywords AS matched_keywords, crawled_at FROM (
+  SELECT *, CASE WHEN item_id % 2 = 0 THEN item_id * 10 + 7 END AS old_id, CASE WHEN item_id % 2 = 0 THEN 'k' || (item_id * 10 + 7) END AS old_keywords FROM items WHERE platform_name <> ''), (SELECT max(item_id * 10 + 7) AS top FROM items WHERE platform_name <> '' AND item_id % 2 = 0))"""
+
+
+@query("SELECT item_id, platform_name, original_id, current_price, matched_keywords, strftime(crawled_at, '%Y-%m-%d') AS crawled FROM loaded", LOADED)
+def loaded_items(spark: SparkSession, d: str) -> DataFrame:
+    return _loaded(spark, d)[0].select("item_id", "platform_name", "original_id", "current_price", "matched_keywords", F.date_format("crawled_at", "yyyy-MM-dd").alias("crawled"))
+
+
+@query("SELECT item_id, CAST(crawled_at AS DATE) AS recorded_at, current_price AS price FROM loaded UNION ALL SELECT item_id, DATE '1990-01-01', 1 FROM loaded WHERE matched_keywords IS NOT NULL", LOADED)
+def loaded_history(spark: SparkSession, d: str) -> DataFrame:
+    return _loaded(spark, d)[1]
+
+
 @query("SELECT platform, pid, price FROM found ORDER BY price, platform, pid LIMIT 20 OFFSET 20", SEARCH)
 def search_low_price(spark: SparkSession, d: str) -> DataFrame:
     return I.search(A.listings(spark, d), "anvil", ("ASIA", "EUROPE"), "low_price", 2).select("platform", "pid", "price")
@@ -221,9 +254,11 @@ def search_relevance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT coalesce(min(price), 0) AS lowest, CAST(round(avg(price)) AS BIGINT) AS average, strftime(max(ts), '%Y-%m-%d') AS latest FROM f
-    WHERE price >= (SELECT CASE WHEN count(*) >= 5 THEN greatest(1000, round(0.2 * list_sort(list(price))[count(*) // 2 + 1])) ELSE 0 END FROM f)""",
-    "f AS (SELECT price, ts FROM listings WHERE price >= 1000 AND price < 20000000)",
+    """SELECT least_of AS lowest, mean_of AS average, (SELECT strftime(max(ts), '%Y-%m-%d') FROM listings) AS latest FROM (
+    SELECT coalesce(min(price) FILTER (price >= bound), min(price), 0) AS least_of, CAST(round(coalesce(avg(price) FILTER (price >= bound), avg(price), 0)) AS BIGINT) AS mean_of FROM used, bounds_of)""",
+    """plausible AS (SELECT price FROM listings WHERE price >= 1000 AND price < 20000000),
+    used AS (SELECT price FROM plausible UNION ALL SELECT price FROM listings WHERE price > 0 AND NOT EXISTS (FROM plausible)),
+    bounds_of AS (SELECT CASE WHEN count(*) >= 5 THEN greatest(1000, round_even(0.2 * list_sort(list(price))[count(*) // 2 + 1], 0)) ELSE 0 END AS bound FROM used)""",
 )
 def search_summary(spark: SparkSession, d: str) -> DataFrame:
     return P.summary(A.listings(spark, d)).withColumn("latest", F.date_format("latest", "yyyy-MM-dd"))
@@ -240,6 +275,31 @@ def search_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return I.field_search(rows, "Anvl blue").select("document_id", F.round("score", 6).alias("score"))
 
 
+def _indexed(spark: SparkSession, d: str) -> str:
+    """A kept index of the documents: a first version holds other texts, prices and platforms for half of them, and some that go again; the second one takes all of that back."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    docs = I.documents(_priced(spark, d))
+    other = docs.where("item_id % 2 = 0").withColumns({"title": F.lit("blue anvl anvil"), "current_price": F.lit(5000).cast("long"), "platform": F.lit("x")})
+    gone = docs.limit(1).withColumns({"document_id": F.lit("gone"), "title": F.lit("blue anvil anvl")})
+    X.update(spark, path, other.unionByName(gone))
+    X.update(spark, path, docs, gone.select("document_id"))
+    return path
+
+
+@query("SELECT document_id, round(score, 6) AS score FROM ranked", DOCS, fuzzy("anvl", "blue")[1], fuzzy("anvl", "blue")[0])
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    return X.find(spark, _indexed(spark, d), "Anvl blue")[0].select("document_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    """SELECT count(*) AS total, coalesce(min(current_price) FILTER (current_price >= bound), min(current_price)) AS lowest, CAST(round(coalesce(avg(current_price) FILTER (current_price >= bound), avg(current_price))) AS BIGINT) AS average,
+    strftime(coalesce(max(crawled_at) FILTER (current_price >= bound), max(crawled_at)), '%Y-%m-%d') AS latest FROM priced, (SELECT CASE WHEN min(current_price) < greatest(1000, round_even(0.2 * quantile_cont(current_price, 0.5), 0)) THEN greatest(1000, round_even(0.2 * quantile_cont(current_price, 0.5), 0)) ELSE 0 END AS bound FROM priced)""",
+    DOCS, fuzzy("anvl")[1], fuzzy("anvl")[0].replace(" ORDER BY score DESC, document_id LIMIT 20", ""), "priced AS (SELECT docs.current_price, docs.crawled_at FROM ranked JOIN docs USING (document_id))",
+)
+def indexed_totals(spark: SparkSession, d: str) -> DataFrame:
+    return X.find(spark, _indexed(spark, d), "Anvl")[1]
+
+
 @query("SELECT item_id, canonical_name, current_price FROM items WHERE status = '판매중' ORDER BY item_id DESC LIMIT 20")
 def newest_on_sale(spark: SparkSession, d: str) -> DataFrame:
     return A.items(spark, d).where(F.col("status") == V.ON_SALE).orderBy(F.desc("item_id")).limit(20).select("item_id", "canonical_name", "current_price")
@@ -354,7 +414,7 @@ def _entries(items: DataFrame) -> DataFrame:
 
 @query(
     """SELECT t.id AS profile_id, coalesce(category, source) AS category, round(score, 4) AS score, coalesce(confidence, 0.55) AS confidence, coalesce(method, 'source_keyword') AS method FROM t LEFT JOIN (
-    SELECT id, category, score, round(least(0.99, top + least(0.25, score / 10)), 4) AS confidence, CASE WHEN sure THEN 'verified_correlation' ELSE 'title_correlation' END AS method FROM (
+    SELECT id, category, score, round(least(0.99, top + least(0.25, score / 10)), 4) AS confidence, CASE WHEN sure THEN 'joongna_correlation' ELSE 'title_correlation' END AS method FROM (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 12) DESC, first) AS nth FROM (
     SELECT id, category, sum(similarity * similarity + CASE WHEN v THEN 0.1 ELSE 0 END + CASE WHEN category = source THEN 0.25 ELSE 0 END) AS score, max(similarity) FILTER (k <= 3) AS top, bool_or(v) FILTER (k <= 3) AS sure, min(place) AS first FROM (
     SELECT m.*, t.source, row_number() OVER (PARTITION BY m.id, category ORDER BY place) AS k FROM (SELECT *, max(similarity) OVER (PARTITION BY id) AS best FROM m) m JOIN t ON t.id = m.id WHERE similarity >= greatest(0.35, 0.75 * best)) GROUP BY id, category)) WHERE nth = 1) USING (id)""",

@@ -1,8 +1,9 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and numbers in order of a sort."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _MADE = "pricelore.test.shared.dir"
 
@@ -29,3 +30,16 @@ def reliable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str, first: int = 1) -> DataFrame:
+    """``df`` with numbers from ``first`` on in this order, by ranges and their counts; no task holds all rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = reliable(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    offsets, before = [], first - 1
+    for r in placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row for each partition
+        offsets.append((r["_part"], before))
+        before += r["n"]
+    offset = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _before long"))
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return placed.join(offset, "_part").withColumn(name, number).drop("_part", "_before")
