@@ -4,8 +4,8 @@ Texts are lower-cased (A-Z), split at ``[.,;:!?\x0A-\x0D]`` into pieces and thos
 
 1. Words are counted from the blocks' own counts. Those of at least ``LEAST`` get numbers (of one language each, so a phrase of numbers has a language); all others and the ends of pieces are 0.
 2. For two and three words in turn, each task adds up the hashes of the positions whose shorter phrases may all be frequent in a table of ``buckets`` bytes, which saturate at ``LEAST``; the sum over tasks is one bit a bucket. Only phrases in full buckets, of which all shorter phrases are in full
-   buckets too, can be frequent (Apriori). Four and five words need no table. The candidates are the distinct such phrases of the text, so none that is frequent is missed.
-3. Candidates are dealt by their first word to shards, and a task makes each shard's double-array trie: ``base[state] + word`` is the next state if ``check`` there is the state. Tries are broadcast, as many at once as ``BROADCAST_BYTES`` allow. A task advances all positions' states at the same time, level
+   buckets too, can be frequent (Apriori). Four and five words need no table. The candidates are such phrases of the text, told by each task of whose part they are their share, so none that is frequent is missed.
+3. Candidates are put together by their first words in shards, and a task makes each shard's double-array trie: ``base[state] + word`` is the next state if ``check`` there is the state. Tries are broadcast, as many at once as ``BROADCAST_BYTES`` allow. A task advances all positions' states at the same time, level
    by level, and adds up the states reached by ``bincount``; the sums over tasks are exact counts.
 4. Scores, cuts and containment are joins of the frequent phrases, in decimals.
 
@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,9 @@ HASHED, WORDS_A_BUCKET, MIN_BUCKETS, MAX_BUCKETS = (2, 3), 8, 1 << 16, 1 << 28
 BLOCK_WORDS, SLICE_BYTES, POSITIONS = 1 << 20, 4_000_000, 1 << 22
 #: Distinct words that a task keeps numbers of before it begins anew.
 TASK_WORDS = 1_000_000
-SHARD_PHRASES, BROADCAST_BYTES, CHUNK = 1 << 18, 64 << 20, 1 << 14
+#: Pieces of candidates by their first word, and told candidates of a shard (equal ones count for each task that tells them).
+PIECES, SHARD_PHRASES = 128, 1 << 18
+BROADCAST_BYTES, CHUNK = 64 << 20, 1 << 14
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: One byte for each: A-Z in lower case, ends of pieces as a line feed, tabs as a space.
 _FOLD = bytes(10 if c in _BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -203,22 +206,32 @@ def full_buckets(ids: DataFrame, k: int, full: dict[int, np.ndarray], buckets: i
     return bits
 
 
-def candidates(ids: DataFrame, full: dict[int, np.ndarray], buckets: int) -> DataFrame:
-    """(phrase): distinct arrays of two to five numbers that may be frequent. Every beginning of one is one."""
+def candidates(ids: DataFrame, full: dict[int, np.ndarray], buckets: int, least: int, words: int) -> DataFrame:
+    """(piece, k, phrases): the phrases of two to five numbers that may be frequent, side by side, by pieces of their first words. A phrase that is ``least`` in a corpus of ``words`` is its share of that, or more, in one of the parts that tasks work on: others need not be told there. Every beginning of a phrase
+    is told where the phrase is."""
     sent = ids.sparkSession.sparkContext.broadcast(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _positions(batches):
-            state = x.astype(np.int64)  # of the words before the last one: equal for equal words
+            share = least * np.count_nonzero(x) / max(words, 1)
+            state, rows = x.astype(np.int64), []  # of the words before the last one: equal for equal words
             for k, at in _levels(x, sent.value, buckets, LONGEST):
-                pair = (state[at] << 32) | x[at + k - 1]
-                _, first, of = np.unique(pair, return_index=True, return_inverse=True)
+                _, first, of, n = np.unique((state[at] << 32) | x[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
                 state = np.zeros(len(x), np.int64)
                 state[at] = of + 1
-                words = x[(at[first][:, None] + np.arange(k)).ravel()]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * k, pa.int32()), pa.array(words, pa.int32()))], names=["phrase"])
+                own = x[at[first[n >= share]][:, None] + np.arange(k)]
+                piece = _piece(own[:, 0])
+                order = np.argsort(piece, kind="stable")
+                cuts = np.flatnonzero(np.append(True, np.diff(piece[order]) > 0)) if len(order) else order
+                rows += [(int(piece[order[c]]), k, own[part].ravel()) for c, part in zip(cuts, np.split(order, cuts[1:]) if len(order) else [], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["piece", "k", "phrases"])
 
-    return ids.mapInArrow(run, "phrase array<int>").distinct()
+    return ids.mapInArrow(run, "piece int, k int, phrases array<int>")
+
+
+def _piece(first: np.ndarray) -> np.ndarray:
+    h = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) % np.uint64(PIECES)).astype(np.int64)
 
 
 def trie(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,21 +296,32 @@ def trie(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return base[:end], check[:end], state
 
 
-def tries(found: DataFrame, shards: int) -> DataFrame:
-    """One row a shard, made by a task each."""
+def tries(found: DataFrame) -> DataFrame:
+    """One row a shard, made by a task each, of what the tasks told of its pieces."""
+    sizes = found.groupBy("piece").agg(F.sum(F.size("phrases") / F.col("k")).cast("long").alias("n")).orderBy("piece").collect()  # PIECES at most
+    shards, room = {}, 0
+    for r in sizes:
+        room += r["n"]
+        shards[r["piece"]] = (shards[max(shards)] if shards else 0) + (room > SHARD_PHRASES and bool(shards))
+        room = r["n"] if room > SHARD_PHRASES else room
+    dealt = found.join(F.broadcast(found.sparkSession.createDataFrame(list(shards.items()), "piece int, shard int")), "piece")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        lists = t.column("phrase").combine_chunks()
-        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        n = np.diff(offsets)
-        rows = np.zeros((len(n), LONGEST), np.int32)
-        rows[np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(offsets[:-1] - offsets[0], n)] = flat[offsets[0] : offsets[-1]]
-        order = np.lexsort(rows.T[::-1])
-        base, check, state = trie(rows[order])
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "base": pa.array([base.astype("<i4").tobytes()], pa.binary()), "check": pa.array([check.astype("<i4").tobytes()], pa.binary()), "states": pa.array([state], pa.list_(pa.int32())), "phrases": pa.array([lists.take(pa.array(order)).to_pylist()], pa.list_(pa.list_(pa.int32())))})
-
-    shard = F.pmod(F.xxhash64(F.element_at("phrase", 1)), F.lit(shards)).cast("int")
-    return found.groupBy(shard.alias("shard")).applyInArrow(run, TRIES)
+        parts = []
+        for k in range(2, LONGEST + 1):
+            own = t.filter(pc.equal(t["k"], k))["phrases"].combine_chunks().flatten().to_numpy().reshape(-1, k)
+            own = own[np.lexsort(own.T[::-1])]
+            own = own[np.append(True, (own[1:] != own[:-1]).any(axis=1))] if len(own) else own
+            parts.append(np.concatenate([own, np.zeros((len(own), LONGEST - k), own.dtype)], axis=1))
+        rows = np.concatenate(parts).astype(np.int32)
+        rows = rows[np.lexsort(rows.T[::-1])]
+        base, check, state = trie(rows)
+        n = (rows > 0).sum(axis=1)
+        phrases = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(rows[rows > 0], pa.int32()))
+        one = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), phrases)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "base": pa.array([base.astype("<i4").tobytes()], pa.binary()), "check": pa.array([check.astype("<i4").tobytes()], pa.binary()), "states": pa.array([state], pa.list_(pa.int32())), "phrases": one})
+
+    return dealt.select("shard", "k", "phrases").groupBy("shard").applyInArrow(run, TRIES)
 
 
 def advance(ids: np.ndarray, base: np.ndarray, check: np.ndarray) -> np.ndarray:
@@ -323,7 +347,7 @@ def advance(ids: np.ndarray, base: np.ndarray, check: np.ndarray) -> np.ndarray:
 def phrase_counts(ids: DataFrame, found: DataFrame, least: int) -> DataFrame:
     """(phrase, a): exact counts of the candidates that are ``least`` or more."""
     spark = ids.sparkSession
-    known = cut(tries(found, max(1, -(-found.count() // SHARD_PHRASES))))
+    known = cut(tries(found))
     sizes = known.select("shard", (F.length("base") + F.length("check")).alias("bytes")).orderBy("shard").collect()  # a row for each shard
     rounds: list[list[int]] = []
     room = 0
@@ -389,7 +413,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFra
     full: dict[int, np.ndarray] = {}
     for k in HASHED:
         full[k] = full_buckets(ids, k, full, buckets, least)
-    counts = phrase_counts(ids, cut(candidates(ids, full, buckets)), least)
+    counts = phrase_counts(ids, cut(candidates(ids, full, buckets, least, n)), least)
     each = counts.select("phrase", "a", F.posexplode("phrase").alias("at", "id")).join(words.select("id", "lang", "word"), "id")
     spelled = each.groupBy("phrase").agg(F.first("lang").alias("lang"), F.first("a").alias("a"), F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("words"))
     rows = scored(cut(spelled.select("lang", "words", "a")), words, totals)
