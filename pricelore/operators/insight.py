@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricelore.functions import text as T
 from pricelore.functions import values as V
+from pricelore.shared import numbered
 
 #: Brands and words of phone bodies, words of their accessories, and words of listings that are like no product: accessories and wishes.
 PHONE_BRANDS = (("아이폰", "iphone"), ("갤럭시", "galaxy"))
@@ -541,15 +542,17 @@ def search_ranking(events: DataFrame, period: str = "7 days") -> DataFrame:
 
 
 def ranked(counts: DataFrame) -> DataFrame:
-    """``counts`` of periods and keywords with click_rate, place in the period, and trend against the keyword's period before. A period's keywords are placed by ranges of their counts, so that no task sorts them all."""
-    before = F.lag("search_count").over(Window.partitionBy("keyword").orderBy("period_start"))
+    """``counts`` of periods and keywords with click_rate, place in the period, and trend against the keyword's period before."""
+    return placed(counts.withColumn("before", F.lag("search_count").over(Window.partitionBy("keyword").orderBy("period_start"))))
+
+
+def placed(counts: DataFrame) -> DataFrame:
+    """``counts`` with ``before``, the keyword's searches in its period before, as click_rate, place and trend. Places are numbers in one sort by ranges, less those of the periods before, so that neither a period nor the many keywords with equal counts are one task's work."""
     trend = F.when(F.col("before").isNull(), "NEW").when(F.col("search_count") > F.col("before"), "UP").when(F.col("search_count") < F.col("before"), "DOWN").otherwise("SAME")
-    known = counts.withColumn("before", before).withColumn("trend", trend).withColumn("click_rate", F.when(F.col("impression_count") > 0, F.round(F.col("click_count") / F.col("impression_count"), 4))).drop("before")
-    # how many of a period have more searches: from counts of equal counts, which are few
-    equal = known.groupBy("period_start", "search_count").agg(F.count("*").alias("n"))
-    more = F.sum("n").over(Window.partitionBy("period_start").orderBy(F.desc("search_count"))) - F.col("n")
-    within = F.row_number().over(Window.partitionBy("period_start", "search_count").orderBy("keyword"))
-    return known.withColumn("within", within).join(equal.select("period_start", "search_count", more.alias("more")), ["period_start", "search_count"]).withColumn("place", (F.col("more") + F.col("within")).cast("int")).drop("more", "within")
+    known = counts.withColumn("trend", trend).withColumn("click_rate", F.when(F.col("impression_count") > 0, F.round(F.col("click_count") / F.col("impression_count"), 4))).drop("before")
+    sorted_ = numbered(known, [F.asc("period_start"), F.desc("search_count"), F.asc("keyword")], "number")
+    first = sorted_.groupBy("period_start").agg(F.min("number").alias("first"))
+    return sorted_.join(first, "period_start").withColumn("place", (F.col("number") - F.col("first") + 1).cast("int")).drop("number", "first")
 
 
 def seeded_sample(rows: DataFrame, n: int, seed: int, key: Column) -> DataFrame:

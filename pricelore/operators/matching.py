@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from pricelore.functions import text as T
 from pricelore.operators.messages import question
@@ -62,18 +65,52 @@ def category_votes(matches: DataFrame, profiles: DataFrame | None = None) -> Dat
     )
 
 
-def contained(whole: DataFrame, text: str, parts: DataFrame, part: str, grams: int = 12) -> DataFrame:
-    """The pairs of rows of which ``part`` is in ``text``, by an equi-join: a part's key are its first ``grams`` characters, or all of a shorter one, and a text's keys are its pieces of the lengths that keys have. Empty parts are in nothing."""
+#: Characters of the parts that one automaton holds; more of them go by keys.
+AUTOMATON_CHARS = 8_000_000
+
+
+def contained(whole: DataFrame, text: str, parts: DataFrame, part: str, most: int = AUTOMATON_CHARS) -> DataFrame:
+    """The pairs of rows of which ``part`` is in ``text``. Empty parts are in nothing.
+
+    Up to ``most`` characters of distinct parts (counted first) go to the tasks as one Aho-Corasick automaton, which each text passes once, in its place. Beyond that parts and texts meet by keys (``keyed_pairs``).
+    """
+    own = parts.where(F.length(part) > 0)
+    distinct = own.select(F.col(part).alias("part")).distinct()
+    if (distinct.agg(F.sum(F.length("part"))).first()[0] or 0) > most:
+        return keyed_pairs(whole, text, own, part)
+    words = whole.sparkSession.sparkContext.broadcast([r["part"] for r in distinct.collect()])  # ``most`` characters at most
+    schema = T_.StructType([*whole.schema.fields, T_.StructField("_parts", T_.ArrayType(T_.StringType()))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        known = ahocorasick.Automaton()
+        for k, w in enumerate(words.value):
+            known.add_word(w, k)
+        known.make_automaton()
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            held = [[words.value[k] for k in sorted({k for _, k in known.iter(t.as_py())})] if t.is_valid and words.value else [] for t in column]
+            yield batch.append_column("_parts", pa.array(held, pa.list_(pa.string())))
+
+    hits = whole.mapInArrow(scan, schema).withColumn("_part", F.explode("_parts")).drop("_parts")
+    return hits.join(own, F.col("_part") == own[part]).drop("_part")
+
+
+def keyed_pairs(whole: DataFrame, text: str, parts: DataFrame, part: str, grams: int = 12) -> DataFrame:
+    """``contained`` by an equi-join: a part's key are its first ``grams`` characters, or all of a shorter one, and a text's keys are its pieces of the lengths that keys have. Keys carry a text's name only; the texts come to the pairs that share a key."""
     size = F.least(F.length(part), F.lit(grams))
-    lengths = sorted(r[0] for r in parts.where(F.length(part) > 0).select(size.alias("n")).distinct().collect())  # ``grams`` numbers at most
+    lengths = sorted(r[0] for r in parts.select(size.alias("n")).distinct().collect())  # ``grams`` numbers at most
     none = F.array().cast("array<string>")
 
     def cut(n: int) -> Column:
         return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(none)
 
-    pieces = list(map(cut, lengths))
-    keyed = whole.withColumn("_key", F.explode(F.array_distinct(F.flatten(F.array(*pieces))) if pieces else none))
-    return keyed.join(parts.where(F.length(part) > 0).withColumn("_key", F.substring(F.col(part), F.lit(1), size)), "_key").where(F.col(text).contains(F.col(part))).drop("_key")
+    name = F.struct(F.xxhash64(F.lit(1), text).alias("a"), F.xxhash64(F.lit(2), text).alias("b")).alias("_name")
+    keyed = whole.select(text).distinct().select(name, F.explode(F.array_distinct(F.flatten(F.array(*map(cut, lengths))))).alias("_key"))
+    pairs = keyed.join(parts.select(F.col(part).alias("_part"), F.substring(F.col(part), F.lit(1), size).alias("_key")).distinct(), "_key").select("_name", "_part")
+    met = whole.withColumn("_name", name).join(pairs, "_name").where(F.col(text).contains(F.col("_part"))).drop("_name")
+    return met.join(parts, F.col("_part") == parts[part]).drop("_part")
 
 
 def dictionary_matches(titles: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -203,7 +240,7 @@ def answered_rules(message: Column, rules: tuple = SYNONYM_RULES) -> Column:
 def faq_matches(messages: DataFrame, faq: DataFrame) -> DataFrame:
     """(message_id, faq_id): the longest pattern that holds the message, is held by it, or fits it by ``SYNONYM_RULES``.
 
-    Texts meet by equi-joins only (``contained``), and a rule's number joins the patterns that ask for it to the messages that answer it. Of a rule's patterns only the longest can win, so each rule has one.
+    Texts meet by ``contained`` only, and a rule's number joins the patterns that ask for it to the messages that answer it. Of a rule's patterns only the longest can win, so each rule has one.
     """
     m = messages.select("message_id", question(F.col("message")).alias("m")).where("m <> ''")
     f = faq.select("faq_id", question(F.col("pattern")).alias("p")).where("p <> ''")

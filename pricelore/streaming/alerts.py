@@ -8,15 +8,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from pricelore.functions import values as V
-from pricelore.operators.insight import ranked, reached_alerts
+from pricelore.operators.insight import placed, reached_alerts
 from pricelore.operators.matching import missing_tokens
 from pricelore.functions import text as T
-from pricelore.sources.listings import history_points, last_by_key, upsert
+from pricelore.sources.listings import history_points, last_by_key
 
 LATE = "14 days"
 
@@ -27,13 +28,33 @@ def price_alerts(updates: DataFrame, wishlists: DataFrame, late: str = LATE) ->
     return hit.select("user_id", "item_id", "current_price", "ts").dropDuplicatesWithinWatermark(["user_id", "item_id", "current_price"])
 
 
-def keyword_alerts(listings: DataFrame, alerts: DataFrame, settings: DataFrame, late: str = LATE) -> DataFrame:
-    """New listings (item_id, name, ts) whose title holds all tokens of an active alert of a user who wants news of new items. Alerts meet listings through their first token, so no listing meets all alerts."""
-    active = alerts.where("is_active").join(settings.where("new_item_enabled").select("user_id"), "user_id").select("user_id", "keyword", T.keyword_tokens(F.col("keyword")).alias("tokens")).where(F.size("tokens") > 0)
-    parts = lambda name: F.array_distinct(F.concat(T.title_tokens(name), T.keyword_tokens(name)))
-    first = active.withColumn("start", F.substring(F.get("tokens", F.lit(0)), 1, 2))
-    starts = F.array_distinct(F.flatten(F.transform(parts(F.col("name")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, 2)))))
-    met = listings.withWatermark("ts", late).withColumn("start", F.explode(starts)).join(first, "start").where(F.size(missing_tokens(F.col("tokens"), T.normal(F.col("name"), "none"))) == 0)
+def _pieces(text: Column) -> Column:
+    """The distinct characters and pairs of neighbouring characters of a text."""
+    n = F.length(text)
+    run = lambda size: F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(run(1), run(2)))
+
+
+def piece_counts(titles: DataFrame, column: str = "name") -> DataFrame:
+    """(piece, n): in how many titles each character and pair of characters stands. A table to keep, and to make anew now and then."""
+    return titles.select(F.explode(_pieces(T.normal(F.col(column), "none"))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+
+
+def alert_index(alerts: DataFrame, settings: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(piece, user_id, keyword, tokens): active alerts of users who want news of new items, under the rarest piece of their tokens by ``counts`` (``piece_counts``; without them by the alerts themselves). A title that holds all tokens of an alert holds all pieces of them."""
+    active = alerts.where("is_active").join(settings.where("new_item_enabled").select("user_id").distinct(), "user_id").select("user_id", "keyword", T.keyword_tokens(F.col("keyword")).alias("tokens")).where(F.size("tokens") > 0).distinct()
+    of_token = lambda t: F.when(F.length(t) < 2, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))
+    each = active.select("user_id", "keyword", "tokens", F.explode(F.array_distinct(F.flatten(F.transform("tokens", of_token)))).alias("piece"))
+    known = each.groupBy("piece").agg(F.count("*").alias("n")) if counts is None else counts.select("piece", "n")
+    ranked_ = each.join(known, "piece", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return ranked_.groupBy("user_id", "keyword", "tokens").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece")).select("piece", "user_id", "keyword", "tokens")
+
+
+def keyword_alerts(listings: DataFrame, alerts: DataFrame, settings: DataFrame, late: str = LATE, counts: DataFrame | None = None) -> DataFrame:
+    """New listings (item_id, name, ts) whose title holds all tokens of an active alert of a user who wants news of new items, wherever in a word. Alerts meet listings through their rarest piece (``alert_index``), so a common brand brings no listing to all alerts."""
+    held = alert_index(alerts, settings, counts)
+    title = T.normal(F.col("name"), "none")
+    met = listings.withWatermark("ts", late).withColumn("piece", F.explode(_pieces(title))).join(held, "piece").where(F.size(missing_tokens(F.col("tokens"), title)) == 0)
     return met.select("user_id", "keyword", "item_id", "name", "ts").dropDuplicatesWithinWatermark(["user_id", "keyword", "item_id"])
 
 
@@ -89,21 +110,29 @@ def daily_stats(listings: DataFrame, late: str = LATE) -> DataFrame:
     return both.groupBy(day, "canonical_name", "platform_name").agg(F.count("*").alias("item_count"), F.min("price").alias("min_price"), F.round(F.avg("price"), 2).alias("avg_price"), F.max("price").alias("max_price")).select("canonical_name", "platform_name", F.to_date("w.start").alias("stat_date"), "item_count", "min_price", "avg_price", "max_price")
 
 
-#: After so many versions one is written that holds all.
-WHOLE_EVERY = 50
+#: So many runs of one size are merged into one.
+FAN = 8
 
 
 def merge_listings(stream: DataFrame, path: str, checkpoint: str):
-    """Starts a query that takes each micro-batch of records into the item table and the history below ``path``: a version holds what its batch changed, and now and then one holds all (``WHOLE_EVERY``). A batch that is run again overwrites its own version only. Read them by ``items_of`` and ``history_of``."""
+    """Starts a query that takes each micro-batch of records into the item table and the history below ``path``. A batch writes a run of what it changed; each ``FAN`` runs of a size become one, so a row is written again once for each size and a batch costs what its own rows do, whatever the tables hold. Runs
+    that a larger one replaces go when ``FAN`` more batches are done. A batch that is run again overwrites its own runs only. Read the tables by ``items_of`` and ``history_of``."""
 
     def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         items = last_by_key(batch, ["platform_name", "original_id"], ["crawled_at"])
         points = history_points(batch, items.withColumn("item_id", F.xxhash64("platform_name", "original_id")))
         for name, keys, rows in (("items", ITEM_KEYS, items), ("history", POINT_KEYS, points)):
-            whole = number > 0 and number % WHOLE_EVERY == 0
-            old = _table(batch.sparkSession, f"{path}/{name}", keys, rows.schema, number) if whole else None
-            rows = rows if old is None else upsert(old, rows, keys, [c for c in rows.columns if c not in keys][:1])
-            rows.write.mode("overwrite").parquet(f"{path}/{name}/{'whole' if whole else 'version'}={number}")
+            folder = f"{path}/{name}"
+            rows.write.mode("overwrite").parquet(f"{folder}/run={number}-{number}")
+            size = FAN
+            while (number + 1) % size == 0:
+                first = number + 1 - size
+                _latest(spark, folder, [(k, min(k + size // FAN - 1, number)) for k in range(first, number + 1, size // FAN)], keys, rows.schema).write.mode("overwrite").parquet(f"{folder}/run={first}-{number}")
+                size *= FAN
+            known = _runs(spark, folder)
+            now = set(_cover(known))
+            _remove(spark, [f"{folder}/run={a}-{b}" for a, b in known if (a, b) not in now and any(x <= a and b <= y <= number - FAN for x, y in now)])
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -120,46 +149,87 @@ def history_of(spark: SparkSession, path: str) -> DataFrame:
     return _table(spark, f"{path}/history", POINT_KEYS, "item_id long, recorded_at date, price long")
 
 
-def _versions(spark: SparkSession, path: str) -> dict[str, list[int]]:
-    """The numbers of the complete versions below ``path``, by kind. A folder that can't be listed is an error; one that isn't there has none."""
+def _folders(spark: SparkSession, path: str, kind: str) -> list[str]:
+    """What follows ``kind=`` in the names of the complete folders below ``path``. A folder that can't be listed is an error; one that isn't there has none."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found: dict[str, list[int]] = {"version": [], "whole": []}
+    found = []
     for entry in files.listStatus(folder) if files.exists(folder) else []:
-        kind, _, number = entry.getPath().getName().partition("=")
-        if kind in found and files.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
-            found[kind].append(int(number))
+        name, _, rest = entry.getPath().getName().partition("=")
+        if name == kind and files.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
+            found.append(rest)
     return found
 
 
-def _table(spark: SparkSession, path: str, keys: list[str], schema, before: int | None = None) -> DataFrame:
-    """The last whole version (below ``before``) and the later ones put together: the later one wins."""
-    found = _versions(spark, path)
-    kept = lambda k: before is None or k < before
-    base = max(filter(kept, found["whole"]), default=-1)
-    parts = [(f"{path}/whole={base}", base)] if base >= 0 else []
-    parts += [(f"{path}/version={k}", k) for k in sorted(found["version"]) if kept(k) and k > base]
-    if not parts:
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(p)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _runs(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    return sorted(tuple(map(int, r.split("-"))) for r in _folders(spark, path, "run"))
+
+
+def _cover(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The largest runs, one after the other, that hold every batch once."""
+    out, at = [], -1
+    for first, last in sorted(runs, key=lambda r: (r[0], -r[1])):
+        if first > at:
+            out.append((first, last))
+            at = last
+    return out
+
+
+def _latest(spark: SparkSession, path: str, runs: list[tuple[int, int]], keys: list[str], schema) -> DataFrame:
+    """Runs put together: the later one wins."""
+    if not runs:
         return spark.createDataFrame([], schema)
-    rows = [spark.read.schema(schema).parquet(p).withColumn("_version", F.lit(k)) for p, k in parts]
+    rows = [spark.read.schema(schema).parquet(f"{path}/run={a}-{b}").withColumn("_run", F.lit(a)) for a, b in runs]
     whole = rows[0]
     for r in rows[1:]:
         whole = whole.unionByName(r)
-    return last_by_key(whole, keys, ["_version"]).drop("_version")
+    return last_by_key(whole, keys, ["_run"]).drop("_run")
+
+
+def _table(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:
+    return _latest(spark, path, _cover(_runs(spark, path)), keys, schema)
+
+
+COUNTS = "keyword string, period_start timestamp, search_count long, impression_count long, click_count long, before long"
+
+
+class _Before(StatefulProcessor):
+    """Keeps of a keyword the searches of its last closed period."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "search_count long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        own = pd.concat(list(rows)).sort_values("period_start")
+        held = self.last.get() if self.last.exists() else (None,)
+        own["before"] = pd.array([held[0], *own["search_count"].tolist()[:-1]], dtype="Int64")
+        self.last.update((int(own["search_count"].iloc[-1]),))
+        yield own[[c.split()[0] for c in COUNTS.split(", ")]]
+
+    def close(self) -> None:
+        pass
+
+
+def with_before(counts: DataFrame) -> DataFrame:
+    """``search_counts`` as they close, with the keyword's searches in its period before: one number of state for each keyword. The window's aggregate comes first, so a hot keyword is one row here. Needs the RocksDB state store."""
+    return counts.groupBy("keyword").transformWithStateInPandas(_Before(), COUNTS, "Append", "None")
 
 
 def write_rankings(counts: DataFrame, path: str, checkpoint: str):
-    """Starts a query that ranks each period of ``search_counts`` once it is closed: places by searches, and the trend against the period before, which is looked up among those written. A batch that is run again overwrites its own rows only."""
-    schema = "keyword string, period_start timestamp, search_count long, impression_count long, click_count long, click_rate double, place int, trend string"
+    """Starts a query that ranks each period of ``search_counts`` once it is closed: places by searches, and the trend against the keyword's period before, which the state holds: nothing that was written is read again. A batch that is run again overwrites its own rows only."""
+    order = ["keyword", "period_start", "search_count", "impression_count", "click_count", "click_rate", "place", "trend"]
 
     def rank(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        kept = [f"{path}/version={k}" for k in _versions(spark, path)["version"] if k < number]
-        old = spark.read.schema(schema).parquet(*kept) if kept else spark.createDataFrame([], schema)
-        both = old.select(*batch.columns, F.lit(False).alias("_new")).unionByName(batch.withColumn("_new", F.lit(True)))
-        ranked(both).where("_new").select(*(c.split()[0] for c in schema.split(", "))).write.mode("overwrite").parquet(f"{path}/version={number}")
+        placed(batch).select(*order).write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    return counts.writeStream.foreachBatch(rank).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    counts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return with_before(counts).writeStream.foreachBatch(rank).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def replay(spark: SparkSession, frame: DataFrame, build, checkpoint: str, name: str, mode: str = "append", one_by_one: bool = False) -> DataFrame:
@@ -176,4 +246,4 @@ def replay(spark: SparkSession, frame: DataFrame, build, checkpoint: str, name:
     return spark.read.schema(out.schema).parquet(sink)
 
 
-__all__ = ["daily_stats", "history_of", "items_of", "keyword_alerts", "merge_listings", "price_alerts", "reached_alerts", "replay", "search_counts", "sold_alerts", "sold_transitions", "write_rankings"]
+__all__ = ["alert_index", "daily_stats", "history_of", "items_of", "keyword_alerts", "merge_listings", "piece_counts", "price_alerts", "reached_alerts", "replay", "search_counts", "sold_alerts", "sold_transitions", "with_before", "write_rankings"]

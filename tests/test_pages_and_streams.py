@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
+from pricelore.functions import text as T
 from pricelore.operators import insight as I
 from pricelore.operators import matching as M
+from pricelore.operators.matching import missing_tokens
 from pricelore.sources import listings as S
 from pricelore.streaming import alerts
 
@@ -98,16 +100,21 @@ def test_price_alerts_come_once(spark, tmp_path):
 
 
 def test_merge_stream_over_batches(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(alerts, "WHOLE_EVERY", 2)
+    """Runs of one, two and four batches; what a larger run holds goes when it is old enough, and the tables are those of all batches put together."""
+    monkeypatch.setattr(alerts, "FAN", 2)
     schema = "platform_name string, original_id string, current_price long, crawled_at timestamp"
-    batches = [[("p", "1", 5, "2026-05-01"), ("p", "2", 7, "2026-05-01")], [("p", "1", 6, "2026-05-02")], [("p", "1", 4, "2026-05-02"), ("q", "1", 9, "2026-05-03")], [("p", "2", 1, "2026-04-01")]]
-    for rows in batches:
+    batches = [[("p", "1", 5, "2026-05-01"), ("p", "2", 7, "2026-05-01")], [("p", "1", 6, "2026-05-02")], [("p", "1", 4, "2026-05-02"), ("q", "1", 9, "2026-05-03")], [("p", "2", 1, "2026-04-01")], [("q", "2", 3, "2026-05-04")], [("q", "1", 8, "2026-05-05")], [("r", "1", 2, "2026-05-05")]]
+    want: dict = {}
+    for k, rows in enumerate(batches):
         spark.createDataFrame(rows, "platform_name string, original_id string, current_price long, c string").select("platform_name", "original_id", "current_price", F.col("c").cast("timestamp").alias("crawled_at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         alerts.merge_listings(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    items = {(r["platform_name"], r["original_id"]): r["current_price"] for r in alerts.items_of(spark, f"{tmp_path}/out", schema).collect()}
-    assert items == {("p", "1"): 4, ("p", "2"): 1, ("q", "1"): 9}
-    assert sorted(r["price"] for r in alerts.history_of(spark, f"{tmp_path}/out").collect()) == [1, 4, 5, 7, 9]
+        want |= {r[:2]: r[2] for r in rows}
+        if k in (2, 6):
+            assert {(r["platform_name"], r["original_id"]): r["current_price"] for r in alerts.items_of(spark, f"{tmp_path}/out", schema).collect()} == want
+    assert sorted(r["price"] for r in alerts.history_of(spark, f"{tmp_path}/out").collect()) == [1, 2, 3, 4, 5, 7, 8, 9]
     assert alerts.items_of(spark, f"{tmp_path}/none", schema).count() == 0
+    runs = alerts._runs(spark, f"{tmp_path}/out/items")
+    assert alerts._cover(runs) == [(0, 3), (4, 5), (6, 6)] and not {(0, 0), (1, 1), (0, 1), (2, 2), (3, 3), (2, 3)} & set(runs)
 
 
 def test_merge_stream_is_idempotent(spark, tmp_path):
@@ -116,6 +123,29 @@ def test_merge_stream_is_idempotent(spark, tmp_path):
     frame.write.parquet(f"{tmp_path}/in")
     for _ in range(2):
         alerts.merge_listings(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    items = spark.read.parquet(f"{tmp_path}/out/items/version=0")
+    items = spark.read.parquet(f"{tmp_path}/out/items/run=0-0")
     assert {(r["original_id"], r["current_price"]) for r in items.collect()} == {("1", 6), ("2", 7)}
-    assert spark.read.parquet(f"{tmp_path}/out/history/version=0").count() == 3
+    assert spark.read.parquet(f"{tmp_path}/out/history/run=0-0").count() == 3
+
+
+def test_alerts_are_found_inside_words(spark, tmp_path):
+    """Tokens of one character and tokens inside longer words; a common brand is no alert's piece if it has a rarer one."""
+    listings = spark.createDataFrame([(1, "휴대폰 케이스"), (2, "폰 케이스"), (3, "케이스"), (4, "아이폰 16 프로"), (5, "아이폰 160"), (6, "x 아이패드")], "item_id long, name string").withColumn("ts", now())
+    told = spark.createDataFrame([(1, "폰 케이스", True), (2, "아이폰 16", True), (3, "아이폰", True), (4, "x", True), (5, "아이폰", False), (6, "아이폰", True)], "user_id long, keyword string, is_active boolean")
+    settings = spark.createDataFrame([(k, k != 6) for k in range(1, 7)], "user_id long, new_item_enabled boolean")
+    titles = spark.createDataFrame([("아이폰",)] * 50 + [("아이폰 16",)], "name string")
+    counts = alerts.piece_counts(titles)
+    pieces = {(r["user_id"]): r["piece"] for r in alerts.alert_index(told, settings, counts).collect()}
+    assert pieces.keys() == {1, 2, 3, 4} and pieces[2] == "16" and pieces[4] == "x"
+    for more in ({}, {"counts": counts}):
+        got = alerts.replay(spark, listings, lambda s, more=more: alerts.keyword_alerts(s, told, settings, **more), str(tmp_path), f"inside{len(more)}").collect()
+        plain = listings.crossJoin(told.join(settings, "user_id").where("is_active and new_item_enabled")).where(F.size(missing_tokens(T.keyword_tokens(F.col("keyword")), T.normal(F.col("name"), "none"))) == 0).collect()
+        assert {(r["user_id"], r["item_id"]) for r in got} == {(r["user_id"], r["item_id"]) for r in plain} >= {(1, 1), (1, 2), (2, 4), (3, 4), (3, 5), (4, 6)}
+
+
+def test_places_of_many_equal_counts(spark):
+    rows = [("2026-01-01", f"w{k:03}", 1 + (k == 7)) for k in range(300)] + [("2026-01-08", f"w{k:03}", 5 - k) for k in range(3)]
+    frame = spark.createDataFrame(rows, "d string, keyword string, search_count long").select("keyword", F.col("d").cast("timestamp").alias("period_start"), "search_count", F.lit(0).cast("long").alias("impression_count"), F.lit(0).cast("long").alias("click_count"))
+    got = {(str(r["period_start"])[:10], r["place"]): (r["keyword"], r["trend"]) for r in I.ranked(frame).collect()}
+    order = ["w007", *(f"w{k:03}" for k in range(300) if k != 7)]
+    assert [got["2026-01-01", k + 1][0] for k in range(300)] == order and [got["2026-01-08", k][0] for k in (1, 2, 3)] == ["w000", "w001", "w002"] and got["2026-01-08", 1][1] == "UP" and len(got) == 303

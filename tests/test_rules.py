@@ -199,7 +199,8 @@ def test_performance_levels(spark):
 def test_containment_join(spark):
     long = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz"), (2, "xyz"), (3, None), (4, "")], "a long, t string")
     parts = spark.createDataFrame([(1, "xyz"), (2, "mnopqrstuvwxyz"), (3, "abd"), (4, ""), (5, None), (6, "z"), (7, "mnopqrstuvwxzz")], "b long, p string")
-    assert sorted((r["a"], r["b"]) for r in M.contained(long, "t", parts, "p").collect()) == [(1, 1), (1, 2), (1, 6), (2, 1), (2, 6)]
+    for most in (M.AUTOMATON_CHARS, 3):  # by the automaton and by keys
+        assert sorted((r["a"], r["b"]) for r in M.contained(long, "t", parts, "p", most).collect()) == [(1, 1), (1, 2), (1, 6), (2, 1), (2, 6)]
     assert M.contained(long, "t", parts.where("b = 4"), "p").count() == 0
 
 
