@@ -8,10 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from pricelore.shared import reliable, shared_dir
+from pricelore.shared import numbered, reliable, shared_dir
 
 
 __all__ = ["cut", "numbered", "partitions", "shared_dir", "stored", "table", "text_slices", "utf8_slices"]
@@ -58,15 +57,3 @@ def utf8_slices(column: pa.Array, size: int) -> Iterator[tuple[int, int, list[by
         raw = column.slice(begin, end - begin)
         yield begin, end, [x or b"" for x in raw.cast(pa.large_binary() if pa.types.is_large_string(raw.type) else pa.binary()).to_pylist()]
         begin = end
-
-
-def numbered(df: DataFrame, order: list[Column], name: str, first: int = 1) -> DataFrame:
-    """``df`` with numbers from ``first`` on in this order, by ranges and their counts; no task holds all rows."""
-    placed = cut(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()))
-    offsets, before = [], first - 1
-    for r in placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row for each partition
-        offsets.append((r["_part"], before))
-        before += r["n"]
-    offset = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _before long"))
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
-    return placed.join(offset, "_part").withColumn(name, number).drop("_part", "_before")

@@ -4,7 +4,8 @@ An Aho-Corasick automaton finds the anchors in one pass over each whole text: at
 numbers. From each anchor a small parser expands to the left and right, and validates what it finds (domain, octets, Luhn, digit counts, IBAN check digits).
 
 ``KINDS`` are found in the order listed. The first four are the base kinds: leftmost, non-overlapping per kind; a match that fails its test is dropped and the search goes on behind it.
-Edge cases: a null text counts as empty and has no spans; repeated rows give equal results; very long runs of digits or letters are skipped in one step, so the time is linear.
+Edge cases: a null text counts as empty and has no spans; repeated rows and null doc_ids give results like any other row; spans of one kind never overlap, and those of different kinds that begin at one place are in the order of ``KINDS``; very long runs of digits or letters are skipped in one step, so the time is
+linear, and a street's name may be of any length; a very long text is a slice of its own; an empty table gives no rows; columns other than doc_id and text are ignored by ``scan`` and passed on by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelore.llm._common import table
+from pricelore.llm._common import table, text_slices
 
 KINDS = ("email", "ip", "card", "phone", "login", "iban", "account", "address")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -27,8 +28,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"://([^\s/@:?#]+:[^\s/@?#]+)@[A-Za-z0-9.-]+")
 IBAN = re.compile(r"[:\s]{1,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"(?: ?(?:number|no\.?|nr\.?|#))?[ :#]{1,3}([0-9]{6,15})(?![0-9])", re.I)
-STREET = re.compile(r"([0-9]{1,5} (?:[A-Z][a-z]+ ){1,3})$")
 DIGITS = "0123456789"
+SLICE_CHARS = 4_000_000
 CUES = {"IBAN": "iban", "iban": "iban", "account": "account", "Account": "account", " Street": "street", " Avenue": "street", " Road": "street", " Boulevard": "street"}
 
 
@@ -52,6 +53,23 @@ def automaton():
     return a
 
 
+def street_start(text: str, end: int, low: int) -> int | None:
+    """Where the number of a street begins whose name ends before ``end``: a number of one to five digits, then one to three capitalised words, each behind a space. The most words that fit count. Nothing before ``low`` is looked at."""
+    found, at = None, end
+    for _ in range(3):
+        first = at
+        while first > low and "a" <= text[first - 1] <= "z":
+            first -= 1
+        if first == at or first - 2 < low or not "A" <= text[first - 1] <= "Z" or text[first - 2] != " ":
+            break
+        at = first - 2
+        number = at
+        while number > low and at - number < 5 and text[number - 1] in DIGITS:
+            number -= 1
+        found = number if number < at else found
+    return found
+
+
 def find(text: str, anchors) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as listed and then start."""
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -99,8 +117,8 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
         elif anchor == "account":
             if at >= free["account"] and (m := ACCOUNT.match(text, last + 1)):
                 put("account", *m.span(1))
-        elif at >= free["address"] and (m := STREET.search(text[max(free["address"], at - 60) : at + 1])) and not text[last + 1 : last + 2].isalnum():
-            put("address", at + 1 - len(m[1]), last + 1)
+        elif at >= free["address"] and not text[last + 1 : last + 2].isalnum() and (start := street_start(text, at, free["address"])) is not None:
+            put("address", start, last + 1)
     return [(kind, *s) for kind in KINDS for s in spans[kind]]
 
 
@@ -111,8 +129,9 @@ def scan(docs: DataFrame) -> DataFrame:
         anchors = automaton()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end_", pa.int32())]))
         for batch in batches:
-            found = [[{"kind": k, "start": a, "end_": b} for k, a, b in find(t or "", anchors)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
+            for a, b, texts in text_slices(batch.column(1), SLICE_CHARS):
+                found = [[{"kind": k, "start": x, "end_": y} for k, x, y in find(t or "", anchors)] for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, kind)], names=["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: int, end_: int>>")
 
@@ -136,7 +155,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             k = batch.schema.get_field_index("text")
-            yield batch.set_column(k, batch.schema.field(k), pa.array([clean(t) for t in batch.column(k).to_pylist()], batch.schema.field(k).type))
+            for a, b, texts in text_slices(batch.column(k), SLICE_CHARS):
+                yield batch.slice(a, b - a).set_column(k, batch.schema.field(k), pa.array([clean(t) for t in texts], batch.schema.field(k).type))
 
     out = docs.mapInArrow(run, fields)
     return out.withColumn("n_chars", F.length("text").cast(fields["n_chars"].dataType)) if "n_chars" in docs.columns else out

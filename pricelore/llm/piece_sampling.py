@@ -270,6 +270,17 @@ class Strings:
         return slice(edge, end + 1)
 
 
+def others(known: Strings, first: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """The chance of a place's edges but for the one taken, as a sum of theirs: one less the other's chance would be lost in rounding where that is nearly one."""
+    total, edge, live = np.zeros(len(first)), first.astype(np.int64), np.arange(len(first))
+    while len(live):
+        e = edge[live]
+        total[live] += np.where(e == taken[live], 0.0, np.exp(known.logp[e]))
+        live = live[~np.isinf(known.upto[e])]
+        edge[live] += 1
+    return total
+
+
 def walk(known: Strings, edge: np.ndarray, key: np.ndarray, place: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From each place (its first edge) down to the string's end by the edges' chances: how many steps each start has, and of each step, in order, the place's first edge and the edge taken."""
     with np.errstate(over="ignore"):
@@ -338,7 +349,9 @@ def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int = SAMPLES
         ahead = before[of] + run[at] - run[cut[:-1]][of]
         word = np.searchsorted(steps, at, side="right") - 1
         rest = -np.expm1(np.minimum(known.logp[taken[at]], 0))
-        left = np.where(rest > 1e-12, ahead + np.log(np.maximum(rest, 1e-300)), -np.inf)
+        low = np.flatnonzero(rest < 1e-6)
+        rest[low] = others(known, froms[at[low]], taken[at[low]])
+        left = np.where(rest > 0, ahead + np.log(np.maximum(rest, 1e-300)), -np.inf)
         bound = np.where(np.isfinite(left), below(left, value[of], uniform(keys[docs][of], place[word], at - steps[word], 1000 + sample)), -np.inf)
         ends = np.concatenate([[0], np.cumsum(near)])
         for x, d in enumerate(docs.tolist()):
@@ -369,10 +382,11 @@ def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int = SAMPLES
             total = chance.sum()
             u = uniform_one(keys[d], place, t, 2000 + sample)
             j = int(min(np.searchsorted(np.cumsum(chance), u * total, side="right"), np.flatnonzero(chance)[-1]))
-            after = total - chance[j]
+            chance[j] = 0
+            after = chance.sum()
             j += at.start
             taken.add(j)
-            p["bound"][t] = below(p["ahead"][t] + np.log(after), tops[which], uniform_one(keys[d], place, t, 3000 + sample)) if after > 1e-12 else -np.inf
+            p["bound"][t] = below(p["ahead"][t] + np.log(after), tops[which], uniform_one(keys[d], place, t, 3000 + sample)) if after > 0 else -np.inf
             onward = int(known.next[j])
             todo.append((d, doc_begin[d] + place + (onward < 0), onward, p["ahead"][t] + known.logp[j], [*p["kept"], p["edge"][:t], np.array([j], np.int32)], tops[which]))
         if todo:

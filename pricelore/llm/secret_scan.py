@@ -5,7 +5,7 @@ identifiers passes ``MEAN`` nats a step and ``TOTAL`` nats, and that touches no
 sample of documents (``SAMPLE_DOCS``) and strings drawn from hashes (``DRAWN`` of each alphabet) are random; the sample's other tokens and names put together from ``IDENTIFIER_WORDS`` are ordinary.
 
 Edge cases: a null text counts as empty and has no spans; repeated rows and null doc_ids give results like any other row; spans that begin at one place are in order of their kind; the places of a very long text's matches are summed up by chunks, so that the work
-grows with their number; an empty table gives no rows; columns other than doc_id and text are ignored.
+grows with their number, and with its square only by the number of chunks; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLE_DOCS, DRAWN = 4000, 1500
-#: Matches that are put together at once, and the longest training token; longer ones (long runs of one alphabet, such as embedded images) would outweigh all others in the counts.
-CHUNK, LONGEST_TOKEN = 256, 400
+#: Matches that are put together at once, and the pairs that a training token counts for at most: those of a longer one (long runs of one alphabet, such as embedded images) share that weight, so that it doesn't outweigh all others.
+CHUNK, TOKEN_WEIGHT = 256, 400
 MEAN, TOTAL, PRIOR = 2.4, 36.0, 4.0
 
 #: Words of ordinary identifiers; pairs of them are joined by rule in the usual styles.
@@ -116,9 +116,10 @@ def samples(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> list[float]:
     """Log-likelihood ratios by the places of two neighbouring characters in the alphabet; at most SIZE * SIZE counts reach the driver."""
-    pairs = samples(docs).where(F.length("token").between(2, LONGEST_TOKEN)).select("label", F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substring(token, i, 2))")).alias("pair"))
-    rows = pairs.groupBy("label", "pair").count().select("label", place(F.substring("pair", 1, 1)).alias("a"), place(F.substring("pair", 2, 1)).alias("b"), "count").collect()
-    count = {(r["label"], r["a"], r["b"]): r["count"] for r in rows}
+    weight = F.least(F.lit(1.0), TOKEN_WEIGHT / (F.length("token") - 1)).cast("decimal(20,9)")  # its sums don't depend on the order of rows
+    pairs = samples(docs).where(F.length("token") >= 2).select("label", weight.alias("weight"), F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substring(token, i, 2))")).alias("pair"))
+    rows = pairs.groupBy("label", "pair").agg(F.sum("weight").alias("n")).select("label", place(F.substring("pair", 1, 1)).alias("a"), place(F.substring("pair", 2, 1)).alias("b"), "n").collect()
+    count = {(r["label"], r["a"], r["b"]): float(r["n"]) for r in rows}
     before: dict = {}
     single: dict = {}
     for (label, a, b), n in count.items():

@@ -769,3 +769,37 @@ def test_sample_of_repeated_labelled_ids_is_bounded(spark):
     plain = m.fit(once, spark.createDataFrame(labels, schema))
     again = m.fit(often, spark.createDataFrame(labels + [(hot, 1, 1)] * 1000 + [(None, 1, 1)], schema))
     assert often.count() == 1119 and plain["words"].keys() == again["words"].keys() and abs(plain["words"]["vile"] - again["words"]["vile"]) < 1e-6
+
+
+def test_streets_of_any_length_and_edges_of_personal_data(spark):
+    from pricelore.llm import personal_data as m
+
+    name = "Long" + "g" * 300
+    frame = docs(spark, [f"at 12 {name} Old Road now", "123456 A Street", "no 7 Main Street", "7 Main Streets", None]).unionByName(docs(spark, ["at 12 Oak Avenue"]).withColumn("doc_id", F.lit(None).cast("long")))
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end_"]) for s in r["spans"] if s["kind"] == "address"] for r in m.scan(frame).collect()}
+    assert got == {0: [("address", 3, 3 + len(f"12 {name} Old Road"))], 1: [], 2: [("address", 3, 16)], 3: [], 4: [], None: [("address", 3, 16)]}
+    assert m.scan(docs(spark, [])).count() == 0
+
+
+def test_long_tokens_are_learnt_from_with_bounded_weight(spark):
+    """A run of 20,000 characters counts like one of TOKEN_WEIGHT pairs, and isn't dropped."""
+    from pricelore.llm import secret_scan as m
+
+    rnd = random.Random(3)
+    plain = [" ".join(words(rnd, 40)) for _ in range(20)]
+    at = lambda a, b: m.ALPHABET.index(a) * m.SIZE + m.SIZE + m.ALPHABET.index(b) + 1
+    zq = lambda n: m.fit(docs(spark, [*plain, "zq" * n]))[at("z", "q")]
+    none, short, long, longer = zq(0), zq(100), zq(10_000), zq(40_000)
+    assert long < short < none and abs(long - longer) < 0.05
+
+
+def test_chances_of_other_edges_are_sums():
+    """Where one edge has nearly all the chance, what is left isn't lost in rounding."""
+    from pricelore.llm import piece_sampling as m
+
+    class Known:
+        logp = np.log(np.array([1.0, 1e-18, 3e-20, 0.25, 0.75, 1.0]))
+        upto = np.array([1.0, 1.0, np.inf, 0.25, np.inf, np.inf])
+
+    got = m.others(Known, np.array([0, 0, 3, 5]), np.array([0, 1, 4, 5]))
+    assert np.allclose(got, [1e-18 + 3e-20, 1.0, 0.25, 0.0], rtol=1e-9, atol=0)
