@@ -237,8 +237,13 @@ def window_points(points: DataFrame, days: int | None, group: str = "item_id") -
     return points.join(last, group).where(F.to_date("day") >= F.date_sub(F.to_date("last"), days - 1)).drop("last")
 
 
-def series_summary(points: DataFrame, group: str = "item_id") -> DataFrame:
-    return points.groupBy(group).agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.round(F.avg("price")).cast("long").alias("mean_price"), F.min_by("day", F.struct("price", "day")).alias("min_day"), F.min_by("day", F.struct((-F.col("price")).alias("p"), "day")).alias("max_day"), F.max_by("price", "day").alias("latest_price"))
+def series_summary(points: DataFrame, group: str = "item_id", products: DataFrame | None = None) -> DataFrame:
+    """Least, highest and mean price, their first days and the latest price of each series. With ``products`` (group, price), the least and the highest price are those of the products chosen for the chart too; mean, days and latest stay the series' own."""
+    own = points.groupBy(group).agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.round(F.avg("price")).cast("long").alias("mean_price"), F.min_by("day", F.struct("price", "day")).alias("min_day"), F.min_by("day", F.struct((-F.col("price")).alias("p"), "day")).alias("max_day"), F.max_by("price", "day").alias("latest_price"))
+    if products is None:
+        return own
+    chosen = products.groupBy(group).agg(F.min("price").alias("_low"), F.max("price").alias("_high"))
+    return own.join(chosen, group, "left").withColumns({"min_price": F.least("min_price", "_low"), "max_price": F.greatest("max_price", "_high")}).drop("_low", "_high")
 
 
 def nearest_point(products: DataFrame, points: DataFrame) -> DataFrame:
@@ -481,6 +486,21 @@ def personal_comparison(user_items: DataFrame, n: int = 5) -> DataFrame:
     return top.withColumn("gap", F.col("current_price") - F.min("current_price").over(whole)).withColumn("spread", F.max("current_price").over(whole) - F.min("current_price").over(whole))
 
 
+#: The section of a user without products and without a keyword, which takes all recommendations, and how many a section has.
+ANY_SECTION, SECTION_QUOTA = "추천 상품", 2
+
+
+def picker_anchors(own: DataFrame, recommended: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(user_id, section, product_id, kind, place) of users without own products: one section, named by their keyword (anchors: user_id, keyword) or ``ANY_SECTION`` where that is blank, with the first ``SECTION_QUOTA`` recommendations that hold all its tokens; that without a keyword takes any."""
+    name = F.coalesce(F.nullif(F.trim("keyword"), F.lit("")), F.lit(ANY_SECTION))
+    users = anchors.join(own.select("user_id").distinct(), "user_id", "left_anti").select("user_id", name.alias("section")).distinct()
+    tokens = F.filter(F.split(F.lower("section"), "[^0-9a-z가-힣]+"), lambda t: F.length(t) >= 2)
+    fits = (F.col("section") == ANY_SECTION) | ((F.size(tokens) > 0) & F.forall(tokens, lambda t: F.call_function("contains", F.lower("text"), t)))
+    met = users.join(recommended, "user_id").where(fits)
+    nth = F.row_number().over(Window.partitionBy("user_id", "section").orderBy("place", "product_id"))
+    return met.withColumn("nth", nth).where(F.col("nth") <= SECTION_QUOTA).select("user_id", "section", "product_id", F.lit("recommended").alias("kind"), F.col("nth").alias("place"))
+
+
 def picker_quota(own: DataFrame, recommended: DataFrame) -> DataFrame:
     """(user_id, section, product_id, kind, place): a section's own products, then two recommended ones (one if it has six or more), in the order in which they are recommended, that hold all its tokens. Sections choose one after the other; each takes what no
     earlier one took. The section of other products (no tokens) gets none.

@@ -16,24 +16,52 @@ from pricelore.operators.messages import question
 from pricelore.sources.listings import last_by_key
 
 
-def title_matches(profiles: DataFrame, entries: DataFrame, limit: int = 5, min_shared: int = 1) -> DataFrame:
+#: A token of more entries than this is heavy: it is met by kinds of entries, not by each.
+HEAVY = 1000
+
+
+def title_matches(profiles: DataFrame, entries: DataFrame, limit: int = 5, min_shared: int = 1, heavy: int = HEAVY) -> DataFrame:
     """(profile_id, entry_id, shared, similarity, verified, place): the best entries of each profile.
 
-    profiles: profile_id, tokens, platform; entries: entry_id, tokens, platform, verified, cluster_id. Only pairs that share a token meet (the inverted index is an equi-join on tokens), and profiles with the same tokens meet entries once.
+    profiles: profile_id, tokens, platform; entries: entry_id, tokens, platform, verified, cluster_id. Profiles with the same tokens meet entries once. Pairs meet by an equi-join on the tokens that at most ``heavy`` entries hold. Entries that share heavy tokens only are alike if they have the same heavy tokens,
+    size, platform and marks: each such kind stands for its first ``limit`` entries, and profiles meet kinds by their heavy tokens. An entry of a kind that is left out has ``limit`` better ones: those kept, whose similarity is the same or, if they share more with a profile, higher. So the result is that of
+    all pairs, and no token's entries meet its profiles in one task.
     """
     sets = profiles.select(F.array_sort(F.array_distinct("tokens")).alias("p_tokens"), F.col("platform").alias("p_platform"), "profile_id")
-    p = sets.select("p_tokens", "p_platform").distinct().withColumn("p_set", F.xxhash64("p_tokens", "p_platform"))
     e = entries.select("entry_id", F.array_distinct("tokens").alias("e_tokens"), F.col("platform").alias("e_platform"), "verified", "cluster_id")
-    shared = p.select("p_set", F.explode("p_tokens").alias("token")).join(e.select("entry_id", F.explode("e_tokens").alias("token")), "token").groupBy("p_set", "entry_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
-    sized = shared.join(p.select("p_set", F.size("p_tokens").alias("p_size"), "p_platform"), "p_set").join(e.select("entry_id", F.size("e_tokens").alias("e_size"), "e_platform", "verified", "cluster_id"), "entry_id")
-    base = F.col("shared") / (F.col("p_size") + F.col("e_size") - F.col("shared"))
-    bonus = F.when(F.col("p_platform") == F.col("e_platform"), 0.05).otherwise(0.0) + F.when(F.col("verified"), 0.05).otherwise(0.0)
-    scored = sized.withColumn("similarity", F.least(F.lit(1.0), base + bonus))
+    each = e.select("entry_id", F.explode("e_tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > heavy).agg(F.array_sort(F.collect_list("token")).alias("often")).first()["often"]  # the entries' tokens over ``heavy`` at most
+    common = F.array(*map(F.lit, often)).cast("array<string>")
+    split_up = lambda df, c: df.withColumns({"heavy": F.array_sort(F.array_intersect(c, common)), "size": F.size(c)})
+    p = split_up(sets.select("p_tokens", "p_platform").distinct().withColumn("p_set", F.xxhash64("p_tokens", "p_platform")), "p_tokens").withColumnsRenamed({"heavy": "p_heavy", "size": "p_size"})
+    e = split_up(e, "e_tokens").withColumnsRenamed({"heavy": "e_heavy", "size": "e_size"})
+    rare = lambda df, key, c: df.select(key, F.explode(F.array_except(c, common)).alias("token"))
+    met = rare(p, "p_set", "p_tokens").join(rare(e, "entry_id", "e_tokens"), "token").groupBy("p_set", "entry_id").agg(F.count("*").alias("rare"))
+    out = ["p_set", "p_size", "p_platform", "entry_id", "e_size", "e_platform", "verified", "cluster_id", "shared"]
+    pairs = met.join(p.drop("p_tokens"), "p_set").join(e.drop("e_tokens"), "entry_id").withColumn("shared", F.col("rare") + F.size(F.array_intersect("p_heavy", "e_heavy"))).select(*out)
+    if often:
+        kind = ["e_heavy", "e_size", "e_platform", "verified", F.col("cluster_id").isNull().alias("loose")]
+        first = F.slice(F.array_sort(F.collect_list(F.struct("entry_id", "cluster_id"))), 1, limit)
+        placed = F.row_number().over(Window.partitionBy(*kind).orderBy("entry_id"))
+        kinds = e.where(F.size("e_heavy") > 0).withColumn("_nth", placed).where(F.col("_nth") <= limit).groupBy(*kind).agg(first.alias("first"))
+        classes = p.where(F.size("p_heavy") > 0).select("p_heavy", "p_size", "p_platform").distinct()
+        both = classes.withColumn("token", F.explode("p_heavy")).join(kinds.withColumn("token", F.explode("e_heavy")), "token").drop("token").distinct().withColumn("shared", F.size(F.array_intersect("p_heavy", "e_heavy")).cast("long")).where(F.col("shared") >= min_shared)
+        # after ``limit`` different ranks of kinds there are ``limit`` better entries; kinds of one rank stay together, as their entries' ids decide
+        kept = both.withColumn("_nth", F.dense_rank().over(Window.partitionBy("p_heavy", "p_size", "p_platform").orderBy(F.desc("verified"), F.desc(_similarity()), F.desc("shared"), "loose"))).where(F.col("_nth") <= limit).drop("_nth")
+        common_pairs = p.select("p_set", "p_heavy", "p_size", "p_platform").join(kept, ["p_heavy", "p_size", "p_platform"]).withColumn("x", F.explode("first")).select("p_set", "p_size", "p_platform", F.col("x.entry_id").alias("entry_id"), "e_size", "e_platform", "verified", F.col("x.cluster_id").alias("cluster_id"), "shared")
+        pairs = pairs.unionByName(common_pairs.select(*out)).groupBy(*out[:-1]).agg(F.max("shared").alias("shared"))
+    scored = pairs.where(F.col("shared") >= min_shared).withColumn("similarity", _similarity())
     order = Window.partitionBy("p_set").orderBy(F.desc("verified"), F.desc("similarity"), F.desc("shared"), F.col("cluster_id").isNull(), "entry_id")
     best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("p_set", "entry_id", "shared", "similarity", "verified", "place")
     return sets.select("profile_id", F.xxhash64("p_tokens", "p_platform").alias("p_set")).join(best, "p_set").select("profile_id", "entry_id", "shared", "similarity", "verified", "place")
 
 
+def _similarity() -> Column:
+    """Of shared, p_size, e_size, the platforms and the mark of an entry."""
+    base = F.col("shared") / (F.col("p_size") + F.col("e_size") - F.col("shared"))
+    return F.least(F.lit(1.0), base + F.when(F.col("p_platform") == F.col("e_platform"), 0.05).otherwise(0.0) + F.when(F.col("verified"), 0.05).otherwise(0.0))
+
+
 #: The category of what has none, the confidence of a category that only the search keyword tells, and the methods' names.
 NO_CATEGORY, BY_KEYWORD = "미분류", 0.55
 BY_VERIFIED, BY_TITLE = "joongna_correlation", "title_correlation"

@@ -94,6 +94,17 @@ def outlier_rows(spark: SparkSession, d: str) -> DataFrame:
     return P.flag_outliers(A.listings(spark, d), "keyword").where("outlier_type IS NOT NULL").select("keyword", "platform", "pid", "price", "outlier_type", *two("lower_bound"))
 
 
+@query("SELECT keyword, item_count, min_price, max_price, round(average_price, 2) AS average_price, true AS near_q1, true AS near_median, true AS near_q3 FROM stats", STATS)
+def sketch_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Quartiles of daily sketches put together: each within half a percent of its rank among all prices."""
+    rows = A.listings(spark, d)
+    stats = P.sketch_stats(P.daily_sketches(rows, "keyword", F.to_date("ts")), "keyword")
+    below = lambda c: F.count_if(F.col("price") < F.col(c)) / F.count("*")
+    upto = lambda c: F.count_if(F.col("price") <= F.col(c)) / F.count("*")
+    near = lambda c, share: ((below(c) <= share + 0.005) & (upto(c) >= share - 0.005)).alias(f"near_{c.removesuffix('_price')}")
+    return rows.join(stats, "keyword").groupBy("keyword", "item_count", "min_price", "max_price", F.round("average_price", 2).alias("average_price")).agg(near("q1", 0.25), near("median_price", 0.5), near("q3", 0.75))
+
+
 @query("SELECT keyword, count(*) AS item_count, count(*) FILTER (outlier_type = 'low') AS low_count, count(*) FILTER (outlier_type = 'high') AS high_count, count(outlier_type) AS outlier_count, round(count(outlier_type) / count(*), 4) AS outlier_rate, round(any_value(lower_bound), 2) AS lower_bound, round(any_value(upper_bound), 2) AS upper_bound FROM flagged JOIN (SELECT keyword, upper_bound AS _u FROM bounds) USING (keyword) WHERE price > 0 GROUP BY keyword", STATS)
 def outlier_summary(spark: SparkSession, d: str) -> DataFrame:
     return P.outlier_summary(A.listings(spark, d)).select("keyword", "item_count", "low_count", "high_count", "outlier_count", F.round("outlier_rate", 4).alias("outlier_rate"), *two("lower_bound", "upper_bound"))
@@ -498,6 +509,16 @@ def series_summary(spark: SparkSession, d: str) -> DataFrame:
     return I.series_summary(cluster_trend(spark, d), "canonical_name")
 
 
+@query(
+    """SELECT canonical_name, least(min(d.price), any_value(low)) AS min_price, greatest(max(d.price), any_value(high)) AS max_price, CAST(round(avg(d.price)) AS BIGINT) AS mean_price, arg_min(day, (d.price, day)) AS min_day, arg_max(d.price, day) AS latest_price
+    FROM daily d LEFT JOIN (SELECT canonical_name, min(current_price * 3) AS low, max(current_price * 3) AS high FROM items WHERE item_id % 7 = 0 GROUP BY ALL) USING (canonical_name) GROUP BY canonical_name""",
+    HISTORY,
+)
+def chart_summary(spark: SparkSession, d: str) -> DataFrame:
+    chosen = A.items(spark, d).where("item_id % 7 = 0").select("canonical_name", (F.col("current_price") * 3).alias("price"))
+    return I.series_summary(cluster_trend(spark, d), "canonical_name", chosen).select("canonical_name", "min_price", "max_price", "mean_price", "min_day", "latest_price")
+
+
 @query(
     "SELECT i.item_id AS product_id, arg_min(idx, (abs(month(i.crawled_at) * 31 + day(i.crawled_at) - month(CAST(p.day AS DATE)) * 31 - day(CAST(p.day AS DATE))), idx)) AS idx FROM items i JOIN (SELECT *, row_number() OVER (PARTITION BY canonical_name ORDER BY day) AS idx FROM daily) p USING (canonical_name) GROUP BY i.item_id",
     HISTORY,
@@ -584,6 +605,29 @@ def wishes_not_seen(spark: SparkSession, d: str) -> DataFrame:
     return I.not_stored(A.wishlists(spark, d).select("user_id", "item_id"), A.actions(spark, d).select("user_id", "item_id"), ("user_id", "item_id"))
 
 
+@query("SELECT item_id, CASE WHEN platform_name <> '' THEN platform_name WHEN item_id % 7 < 5 THEN (SELECT r_name FROM region WHERE r_regionkey = item_id % 7) ELSE 'unknown' END AS platform_name FROM items")
+def filled_platforms(spark: SparkSession, d: str) -> DataFrame:
+    names = A.tables(spark, d, "region")[0].select(F.col("r_regionkey").cast("long").alias("platform_id"), F.col("r_name").alias("name"))
+    return M.fill_platform(A.items(spark, d).withColumn("platform_id", F.col("item_id") % 7), names).select("item_id", "platform_name")
+
+
+@query("SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(lower(canonical_name), '[^a-z0-9]+'), lambda w: length(w) >= 2 AND w <> 'anvil'))) AS token FROM listings) GROUP BY token ORDER BY n DESC, token LIMIT 8")
+def core_title_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return M.core_tokens(A.listings(spark, d).select(F.col("canonical_name").alias("title")), (" Anvil",))
+
+
+@query("SELECT platform, pid, price, CASE WHEN price % 2 = 0 THEN upper(keyword) ELSE keyword END AS keyword FROM listings")
+def written_back(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.listings(spark, d).select("platform", "pid", "price", "keyword")
+    return M.write_back(rows, rows.where("price % 2 = 0").withColumn("keyword", F.upper("keyword")), ["keyword"])
+
+
+@query("SELECT canonical_name, item_id, row_number() OVER (PARTITION BY canonical_name ORDER BY current_price DESC, item_id) AS price_place FROM items")
+def price_places(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.items(spark, d).select("canonical_name", "item_id", F.col("current_price").alias("price"), F.col("item_id").alias("place"))
+    return I.price_places(rows, "canonical_name").select("canonical_name", "item_id", "price_place")
+
+
 # --- statistics by day, rankings, anomalies
 
 
@@ -692,9 +736,47 @@ def stream_search_counts(spark: SparkSession, d: str) -> DataFrame:
     return _replay(spark, events, lambda s: alerts.search_counts(s), "search", "complete").select("keyword", F.floor(F.col("period_start").cast("long") / 604800).cast("long").alias("week"), "search_count", "impression_count", "click_count")
 
 
-def _replay(spark: SparkSession, frame: DataFrame, build, name: str, mode: str = "append") -> DataFrame:
-    import uuid
+@query(
+    """SELECT keyword, week, search_count, click_count, place, trend FROM (SELECT *, row_number() OVER (PARTITION BY week ORDER BY search_count DESC, keyword) AS place, CASE WHEN b IS NULL THEN 'NEW' WHEN search_count > b THEN 'UP' WHEN search_count < b THEN 'DOWN' ELSE 'SAME' END AS trend FROM (SELECT *, lag(search_count) OVER (PARTITION BY keyword ORDER BY week) AS b FROM w))
+    WHERE (week + 1) * 604800 <= (SELECT epoch(max(ts)) FROM actions) - 86400""",
+    WEEKS,
+)
+def stream_rankings(spark: SparkSession, d: str) -> DataFrame:
+    """Rankings of the weeks that a stream with a day's watermark has closed, from four micro-batches."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    events = A.actions(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "keyword", "event_type")
+    for k in range(4):
+        events.where(F.floor((F.dayofmonth("ts") - 1) / 8) == k).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        alerts.write_rankings(alerts.search_counts(stream, late="1 day"), f"{path}/out", f"{path}/state").awaitTermination()
+    written = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/version=*")
+    return written.select("keyword", F.floor(F.col("period_start").cast("long") / 604800).cast("long").alias("week"), "search_count", "click_count", "place", "trend")
+
+
+@query("SELECT platform AS platform_name, CAST(item_id AS VARCHAR) AS original_id, arg_max(price, (part, ts, pid)) AS current_price FROM (SELECT *, month(ts) % 9 AS part FROM listings) GROUP BY ALL")
+def stream_merged_items(spark: SparkSession, d: str) -> DataFrame:
+    """The item table of nine micro-batches, the first eight of which become one run."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    rows = A.listings(spark, d).withColumn("part", F.month("ts") % 9)
+    records = rows.groupBy("part", F.col("platform").alias("platform_name"), F.col("item_id").cast("string").alias("original_id")).agg(F.max_by("price", F.struct("ts", "pid")).alias("current_price"), F.max("ts").alias("crawled_at"))
+    schema = "platform_name string, original_id string, current_price long, crawled_at timestamp"
+    for k in range(9):
+        records.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{path}/in")
+        alerts.merge_listings(spark.readStream.schema(schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/state").awaitTermination()
+    return alerts.items_of(spark, f"{path}/out", schema).select("platform_name", "original_id", "current_price")
+
+
+@query("SELECT user_id, keyword, item_id FROM wanted JOIN items ON contains(lower(title), first) AND contains(lower(title), second)", "wanted AS (SELECT DISTINCT p_partkey % 40 AS user_id, split_part(p_name, ' ', 2) || ' ' || substr(split_part(p_name, ' ', 1), 2) AS keyword, split_part(p_name, ' ', 2) AS first, substr(split_part(p_name, ' ', 1), 2) AS second FROM part WHERE p_partkey % 40 % 4 <> 0)")
+def stream_keyword_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts for the second word and a part of the first word of names, by their rarest pieces."""
+    words = F.split("p_name", " ")
+    told = A.tables(spark, d, "part")[0].select((F.col("p_partkey") % 40).alias("user_id"), F.concat(words[1], F.lit(" "), F.substring(words[0], 2, 100)).alias("keyword"), F.lit(True).alias("is_active")).distinct()
+    settings = told.select("user_id").distinct().withColumn("new_item_enabled", F.col("user_id") % 4 != 0)
+    items = A.items(spark, d).select("item_id", F.col("title").alias("name"), F.col("crawled_at").alias("ts"))
+    return _replay(spark, items, lambda s: alerts.keyword_alerts(s, told, settings, "3650 days", alerts.piece_counts(items)), "alerts").select("user_id", "keyword", "item_id")
 
+
+def _replay(spark: SparkSession, frame: DataFrame, build, name: str, mode: str = "append") -> DataFrame:
     return alerts.replay(spark, frame, build, f"{shared_dir(spark)}/{uuid.uuid4().hex}", name, mode)
 
 
