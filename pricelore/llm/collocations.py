@@ -9,7 +9,7 @@ Texts are lower-cased (A-Z), split at ``[.,;:!?\x0A-\x0D]`` into pieces and thos
    by level, and adds up the states reached by ``bincount``; the sums over tasks are exact counts.
 4. Scores, cuts and containment are joins of the frequent phrases, in decimals.
 
-The size of what is broadcast: one bit for each bucket (``MAX_BUCKETS`` at most; a fuller table means more candidates, not other results) and tries of ``BROADCAST_BYTES`` at most, in as many passes over the numbers as that takes.
+The size of what is broadcast: one bit for each bucket (``MAX_BUCKETS`` at most; a fuller table means more candidates, not other results), tries of ``BROADCAST_BYTES`` at most, in as many passes over the numbers as that takes, and the frequent words if they are no more than that (else they are joined).
 
 Edge cases: null texts count as empty, a null language is ``und``; words of other white space or control characters are words; repeated rows count each; null doc_ids count like others; ties of score and count go by the phrase's bytes; a very long text is cut at its pieces' ends, a piece is never cut; an empty
 table gives no rows; columns other than text and lang are ignored, whatever their names.
@@ -106,7 +106,21 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def encoded(store: DataFrame, words: DataFrame) -> DataFrame:
-    """(ids): the blocks with the corpus' word numbers (words: lang, word, id)."""
+    """(ids): the blocks with the corpus' word numbers (words: lang, word, id). Up to ``BROADCAST_BYTES`` of words (summed first) go to the tasks as they are; more of them are joined to the blocks' words."""
+    if (words.agg(F.sum(F.octet_length("word") + F.octet_length("lang") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        known: dict[str, dict[str, int]] = {}
+        for lang, word, n in words.select("lang", "word", "id").collect():
+            known.setdefault(lang, {})[word] = n
+        sent = store.sparkSession.sparkContext.broadcast(known)
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    own = sent.value.get(batch.column(0)[k].as_py(), {}).get
+                    number = np.array([0, *(own(w, 0) for w in batch.column(1)[k].as_py())], "<i4")
+                    yield pa.RecordBatch.from_arrays([pa.array([number[np.frombuffer(batch.column(2)[k].as_buffer(), "<i4")].tobytes()], pa.binary())], names=["ids"])
+
+        return store.select("lang", "words", "codes").mapInArrow(look_up, "ids binary")
     each = store.select("block", "lang", F.posexplode("words").alias("at", "word")).join(words.select("lang", "word", "id"), ["lang", "word"])
     own = each.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("id"))
 

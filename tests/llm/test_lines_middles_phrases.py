@@ -174,7 +174,7 @@ def test_phrases_equal_brute_force(spark, odd, monkeypatch, small):
 
     rnd = random.Random(19)
     if small:
-        for name, value in {"BLOCK_WORDS": 300, "SLICE_BYTES": 500, "TASK_WORDS": 40, "SHARD_PHRASES": 10, "BROADCAST_BYTES": 400, "MIN_BUCKETS": m.CHUNK, "MAX_BUCKETS": m.CHUNK}.items():
+        for name, value in {"BLOCK_WORDS": 300, "SLICE_BYTES": 500, "TASK_WORDS": 40, "SHARD_PHRASES": 10, "BROADCAST_BYTES": 2000, "MIN_BUCKETS": m.CHUNK, "MAX_BUCKETS": m.CHUNK}.items():
             monkeypatch.setattr(m, name, value)
     vocabulary = [f"w{k}" for k in range(30)] + ["New", "YORK", "ñandú", "a\x00b", "q", "€"]
     texts = []
