@@ -7,9 +7,9 @@ connected components of pairs below the threshold only: a merge below the thresh
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +18,9 @@ from pricelore.operators.graph import connected_components
 from pricelore.operators.reports import first_samples
 from pricelore.shared import reliable
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 STAGE_DISTANCE, STAGE_COLUMNS, STAGE_TOKENS, STAGE_ITEMS = 0.25, 8, 5, 2
 MOST_NGRAMS = 5000
 #: Texts of a component that one task links by itself; larger ones are linked in rounds over tables, with the same result.
@@ -165,7 +168,9 @@ def linked_clusters(texts: DataFrame, group: list[str], low: int, high: int, dis
     noded = vectors.withColumn("node", node("text"))
     members = noded.join(parts.join(large, "root", "left_anti"), "node").select("root", "node", "gram", "weight")
 
-    def link(frame: pd.DataFrame) -> pd.DataFrame:
+    def link(frame):  # of and to pandas
+        import pandas as pd
+
         names = sorted(frame["node"].unique())
         grams = {g: k for k, g in enumerate(sorted(frame["gram"].unique()))}
         x = np.zeros((len(names), len(grams)))

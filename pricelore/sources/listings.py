@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from pricelore.functions import text as X
 from pricelore.functions import values as V
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 _texts = lambda *names: [T.StructField(n, T.StringType()) for n in names]
 RAW = T.StructType(_texts("keyword", "platform", "pid", "name", "price", "status", "image_url", "link", "date", "matched_keywords", "canonical_name"))
 #: Fixed value: words that switch a configuration row off.
@@ -197,6 +200,8 @@ def popular_keywords(pages: DataFrame, existing: DataFrame, n: int = 20, column:
                 yield from walk(v, below)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for frame in frames:
             out = []
             for page, blocks in zip(frame["page_id"], frame["blocks"], strict=True):

@@ -6,8 +6,8 @@ Watermarks default to 14 days, the age up to which listings are taken in. Tables
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,6 +19,9 @@ from pricelore.operators.matching import missing_tokens
 from pricelore.functions import text as T
 from pricelore.sources.listings import history_points, last_by_key
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 LATE = "14 days"
 
 
@@ -65,6 +68,8 @@ def sold_alerts(updates: DataFrame, late: str = LATE, sold: str = V.SOLD) -> Dat
     item's state goes when the watermark has passed its last update by two weeks.
     """
 
+    import pandas as pd
+
     def turns(rows: list[tuple[int, str]]) -> dict[int, str]:
         return {at: before for (_, before), (at, status) in zip(rows, rows[1:], strict=False) if status == sold and before != sold}
 
@@ -206,6 +211,8 @@ class _Before(StatefulProcessor):
         self.last = handle.getValueState("last", "search_count long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        import pandas as pd
+
         own = pd.concat(list(rows)).sort_values("period_start")
         held = self.last.get() if self.last.exists() else (None,)
         own["before"] = pd.array([held[0], *own["search_count"].tolist()[:-1]], dtype="Int64")
