@@ -17,16 +17,17 @@ from __future__ import annotations
 
 import math
 import re
+from typing import TYPE_CHECKING
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelore.llm._common import cut, table
 from pricelore.llm.licence_texts import TEXTS
 
+if TYPE_CHECKING:
+    from pyspark.ml.classification import LogisticRegressionModel
+
 #: Names of licences by family.
 FAMILIES = {
     "mit": ["MIT License", "MIT Licence", "Expat License", "MIT"],
@@ -124,6 +125,8 @@ def embedded(plain: DataFrame, made: DataFrame) -> DataFrame:
 
 def training_rows(docs: DataFrame) -> DataFrame:
     """(label, features, held): the rows of the fit. Held out are a quarter of the rows by their hash, and the licence families of ``HELD_OUT_LICENCES`` whole."""
+    from pyspark.ml.feature import HashingTF
+
     spark = docs.sparkSession
     chosen = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
     notice = r"(?i)licen[sc]e|copyright|spdx"
@@ -140,6 +143,9 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def learn(data: DataFrame) -> tuple[LogisticRegressionModel, float]:
     """The classifier of the rows that aren't held out, and the temperature with the least loss on those that are."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
     counts = {r["label"]: r["count"] for r in data.where("NOT held").groupBy("label").count().collect()}
     weight = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, math.sqrt(1000.0 / n))]), F.col("label")) if counts else F.lit(1.0)
     learner = LogisticRegression(maxIter=40, regParam=2e-4, elasticNetParam=0.3, family="multinomial", weightCol="weight", standardization=False, aggregationDepth=2)
@@ -161,6 +167,8 @@ def fit(docs: DataFrame) -> tuple[LogisticRegressionModel, float]:
 
 def calibration_error(data: DataFrame, model: LogisticRegressionModel, temperature: float, bins: int = 10) -> float:
     """The expected calibration error on the rows held out: how far the chance of the answer is from how often it is right, over bins of the chance."""
+    from pyspark.ml.functions import vector_to_array
+
     chances = softmax(F.col("raw"), temperature)
     judged = model.transform(data.where("held")).select(vector_to_array("rawPrediction").alias("raw"), (F.col("prediction") == F.col("label")).cast("double").alias("right")).select(F.array_max(chances).alias("chance"), "right")
     by_bin = judged.groupBy(F.least(F.floor(F.col("chance") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("chance") - F.avg("right")).alias("gap"))
@@ -175,6 +183,9 @@ def softmax(raw: Column, temperature: float) -> Column:
 
 def scan(docs: DataFrame, model: LogisticRegressionModel, temperature: float) -> DataFrame:
     """(doc_id, line_no, family, chance, contained) of every line with a window that the classifier takes for a notice: of its best window, a named family before ``unknown``."""
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
     spark = docs.sparkSession
     # ``row`` keeps the lines of repeated rows apart; only windows taken for notices are grouped by it
     each = lines(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "line_no", F.explode(windows(F.coalesce("line", F.lit("")))).alias("w")).where(F.size("w") > 0)
