@@ -349,7 +349,8 @@ def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int = SAMPLES
         ahead = before[of] + run[at] - run[cut[:-1]][of]
         word = np.searchsorted(steps, at, side="right") - 1
         rest = -np.expm1(np.minimum(known.logp[taken[at]], 0))
-        low = np.flatnonzero(rest < 1e-6)
+        low = np.flatnonzero(rest < 1e-9)
+        low = low[~np.isinf(known.upto[froms[at[low]]])]  # places of one edge leave nothing behind
         rest[low] = others(known, froms[at[low]], taken[at[low]])
         left = np.where(rest > 0, ahead + np.log(np.maximum(rest, 1e-300)), -np.inf)
         bound = np.where(np.isfinite(left), below(left, value[of], uniform(keys[docs][of], place[word], at - steps[word], 1000 + sample)), -np.inf)
