@@ -13,6 +13,7 @@ from pyspark.sql import types as T_
 
 from pricelore.functions import text as T
 from pricelore.operators.messages import question
+from pricelore.shared import reliable
 from pricelore.sources.listings import last_by_key
 
 
@@ -27,8 +28,9 @@ def title_matches(profiles: DataFrame, entries: DataFrame, limit: int = 5, min_s
     size, platform and marks: each such kind stands for its first ``limit`` entries, and profiles meet kinds by their heavy tokens. An entry of a kind that is left out has ``limit`` better ones: those kept, whose similarity is the same or, if they share more with a profile, higher. So the result is that of
     all pairs, and no token's entries meet its profiles in one task.
     """
-    sets = profiles.select(F.array_sort(F.array_distinct("tokens")).alias("p_tokens"), F.col("platform").alias("p_platform"), "profile_id")
-    e = entries.select("entry_id", F.array_distinct("tokens").alias("e_tokens"), F.col("platform").alias("e_platform"), "verified", "cluster_id")
+    # written once, as both are used several times and their tokens are costly to make
+    sets = reliable(profiles.select(F.array_sort(F.array_distinct("tokens")).alias("p_tokens"), F.col("platform").alias("p_platform"), "profile_id"))
+    e = reliable(entries.select("entry_id", F.array_distinct("tokens").alias("e_tokens"), F.col("platform").alias("e_platform"), "verified", "cluster_id"))
     each = e.select("entry_id", F.explode("e_tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > heavy).agg(F.array_sort(F.collect_list("token")).alias("often")).first()["often"]  # the entries' tokens over ``heavy`` at most
     common = F.array(*map(F.lit, often)).cast("array<string>")
@@ -65,6 +67,7 @@ def _similarity() -> Column:
 #: The category of what has none, the confidence of a category that only the search keyword tells, and the methods' names.
 NO_CATEGORY, BY_KEYWORD = "미분류", 0.55
 BY_VERIFIED, BY_TITLE = "joongna_correlation", "title_correlation"
+BY_PRODUCT_NAME, BY_KEYWORD_WORDS, BY_MODEL = "product_name_trie", "source_keyword_correlation", "model_stub"
 
 
 def category_votes(matches: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
@@ -93,6 +96,30 @@ def category_votes(matches: DataFrame, profiles: DataFrame | None = None) -> Dat
     )
 
 
+def evidence(matches: DataFrame, votes: DataFrame, profiles: DataFrame, entries: DataFrame, most: int = 3) -> DataFrame:
+    """(profile_id, evidence): the first ``most`` matches (profile_id, entry_id, similarity, category, place) that count for the category of ``votes``, in order, with their shared tokens and what the entries have of matched_keywords, representative_name, cluster_id and tree_path_ids."""
+    best = F.max("similarity").over(Window.partitionBy("profile_id"))
+    strong = matches.withColumn("best", best).where(F.col("similarity") >= F.greatest(F.lit(0.35), 0.75 * F.col("best")))
+    own = strong.join(votes.select("profile_id", F.col("category").alias("voted")), "profile_id").where(F.col("category") == F.col("voted"))
+    nth = F.row_number().over(Window.partitionBy("profile_id").orderBy("place"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in entries.columns else F.lit("")
+    words = F.coalesce("matched_keywords", F.array().cast("array<string>")) if dict(entries.dtypes).get("matched_keywords", "").startswith("array") else T.split_list(text("matched_keywords"))
+    known = entries.select("entry_id", F.col("tokens").alias("e_tokens"), words.alias("words"), *(text(c).alias(c) for c in ("representative_name", "cluster_id", "tree_path_ids")))
+    first = own.withColumn("nth", nth).where(F.col("nth") <= most).join(known, "entry_id").join(profiles.select("profile_id", "tokens"), "profile_id")
+    row = F.struct("nth", F.array_intersect("tokens", "e_tokens").alias("tokens"), "words", "representative_name", "cluster_id", "tree_path_ids")
+    return first.groupBy("profile_id").agg(F.array_sort(F.collect_list(row)).alias("evidence"))
+
+
+def graph_keywords(category: Column, keyword: Column, matched: Column, evidence_: Column) -> Column:
+    """The distinct words by which a row is tied to others: its category and keyword, the evidence's keywords, tokens and names, the dictionary values, and the evidence's names, clusters, paths and tokens."""
+    none = F.array().cast("array<string>")
+    each = lambda f: F.coalesce(F.flatten(F.transform(evidence_, f)), none)
+    order = F.array(*map(F.lit, ("brand", "model", "detail", "spec", "option")))
+    values = F.coalesce(F.filter(F.transform(order, lambda k: F.try_element_at(matched, k)), lambda v: v.isNotNull()), none)
+    whole = F.concat(F.array(category, keyword), each(lambda x: F.concat(x["words"], x["tokens"], F.array(x["representative_name"]))), values, each(lambda x: F.concat(F.array(x["representative_name"], x["cluster_id"], x["tree_path_ids"]), x["tokens"])))
+    return F.array_distinct(F.filter(F.transform(whole, T.blank), lambda w: w != ""))
+
+
 #: Characters of the parts that one automaton holds; more of them go by keys.
 AUTOMATON_CHARS = 8_000_000
 

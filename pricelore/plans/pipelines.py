@@ -41,18 +41,27 @@ def refine(rows: DataFrame, as_of: Column, stages: int = 0, cut=reliable) -> tup
 
 
 def enrich(rows: DataFrame, entries: DataFrame, dictionary: DataFrame, rules: DataFrame, classifier=None) -> DataFrame:
-    """P2. ``rows`` (row_id, keyword, platform, name) with matched category, dictionary values and cluster fields."""
+    """P2. ``rows`` (row_id, keyword, platform, name) with category, its confidence and method, dictionary values, graph keywords and cluster fields.
+
+    The category is that of the dictionary values' rules if they agree on one, else that of the keyword's own words, else the vote of the matched entries, else the classifier's. Entries may have representative_name, tree_path_ids and matched_keywords, which the graph keywords take up.
+    """
     profiles = rows.select(F.col("row_id").alias("profile_id"), T.title_tokens(F.col("name")).alias("tokens"), "platform")
-    matches = M.title_matches(profiles, entries).join(entries.select("entry_id", "category"), "entry_id")
-    votes = M.category_votes(matches, rows.select(F.col("row_id").alias("profile_id"), F.col("keyword").alias("source_keyword")))
+    matches = reliable(M.title_matches(profiles, entries).join(entries.select("entry_id", "category"), "entry_id"))
+    votes = reliable(M.category_votes(matches, rows.select(F.col("row_id").alias("profile_id"), F.col("keyword").alias("source_keyword"))))
     matched = M.dictionary_matches(rows.select(F.col("name").alias("title")), dictionary)
-    values = matched.select("title", F.explode("matched").alias("field", "value")).withColumn("confidence", F.lit(0.9))
-    by_rule = M.category_by_rules(values, rules)
-    out = rows.join(votes.select(F.col("profile_id").alias("row_id"), F.col("category").alias("voted"), F.col("confidence").alias("vote_confidence")), "row_id", "left")
-    out = out.join(matched.withColumnRenamed("title", "name"), "name", "left").join(by_rule.select(F.col("title").alias("name"), F.col("category").alias("ruled"), F.col("confidence").alias("rule_confidence")), "name", "left")
-    out = out.withColumn("category", F.coalesce("ruled", "voted", F.lit("미분류"))).withColumn("category_confidence", F.coalesce("rule_confidence", "vote_confidence", F.lit(0.0)))
+    values = matched.select("title", F.explode("matched").alias("field", "value")).withColumn("confidence", F.lit(0.0))
+    words = rows.select(F.col("keyword").alias("title")).distinct().select("title", F.explode(F.array_distinct(T.title_tokens(F.col("title")))).alias("value"), F.lit(0.0).alias("confidence"))
+    ruled = lambda df, floor, key, prefix: M.category_by_rules(df, rules, floor).select(F.col("title").alias(key), F.col("category").alias(f"{prefix}_category"), F.col("confidence").alias(f"{prefix}_floor"))
+    out = rows.join(votes.select(F.col("profile_id").alias("row_id"), "category", F.col("confidence").alias("category_confidence"), F.col("method").alias("classification_method")), "row_id", "left")
+    out = out.fillna({"category": M.NO_CATEGORY, "category_confidence": 0.0})
+    out = out.withColumn("classification_method", F.when(F.col("category") == M.NO_CATEGORY, M.BY_MODEL).otherwise(F.col("classification_method")))
     out = M.classify_titles(out, classifier) if classifier else out
-    return out.withColumn("f", C.single_fields(F.col("name"), F.col("keyword"))).select("*", "f.*").drop("f", "voted", "vote_confidence", "ruled", "rule_confidence")
+    out = out.join(matched.withColumnRenamed("title", "name"), "name", "left").join(ruled(values, 0.9, "name", "r"), "name", "left").join(ruled(words, 0.75, "keyword", "k"), "keyword", "left")
+    method = F.when(F.col("r_category").isNotNull(), M.BY_PRODUCT_NAME).when(F.col("k_category").isNotNull(), M.BY_KEYWORD_WORDS).otherwise(F.col("classification_method"))
+    out = out.withColumns({"classification_method": method, "category_confidence": F.greatest("category_confidence", F.coalesce("r_floor", "k_floor", F.lit(0.0))), "category": F.coalesce("r_category", "k_category", "category")}).drop("r_category", "r_floor", "k_category", "k_floor")
+    evidence = M.evidence(matches, votes, profiles, entries).withColumnRenamed("profile_id", "row_id")
+    out = out.join(evidence, "row_id", "left").withColumn("graph_keywords", M.graph_keywords(F.col("category"), F.col("keyword"), F.col("matched"), F.col("evidence"))).drop("evidence")
+    return out.withColumn("f", C.single_fields(F.col("name"), F.col("keyword"))).select("*", "f.*").drop("f")
 
 
 def collect(sources: list[DataFrame], baseline: str, entries: DataFrame, dictionary: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -190,3 +190,18 @@ def test_collection(spark):
     got = {(r["platform"], r["pid"]): (r["category"], r["matched"]) for r in kept.collect()}
     assert got.keys() == {*(("A", str(k)) for k in range(5)), ("B", "1")} and got["B", "1"] == ("hardware", {"brand": "Anvil Co"})
     assert {(r["pid"], r["drop_stage"]) for r in dropped.collect()} == {("4", "name_blacklist"), ("5", "input_validation")}
+
+
+def test_enrichment(spark):
+    rows = spark.createDataFrame([(1, "갤럭시", "A", "갤럭시 S25 울트라 새상품"), (2, "맥북", "A", "unknown thing"), (3, "misc", "A", "chair red"), (4, "misc", "A", "nothing")], "row_id long, keyword string, platform string, name string")
+    entries = spark.createDataFrame([(1, ["갤럭시", "s25"], "A", True, "c1", "phone", ["k1", "갤럭시"], "Galaxy S25", "p1/p2"), (2, ["chair", "red"], "B", False, None, "chairs", None, None, None), (3, ["갤럭시"], "B", False, "c3", "other", [], "x", "")], "entry_id long, tokens array<string>, platform string, verified boolean, cluster_id string, category string, matched_keywords array<string>, representative_name string, tree_path_ids string")
+    dictionary = spark.createDataFrame([("model", "Galaxy S25", "갤럭시s25", 1), ("option", "Ultra", "울트라", 2)], "field_name string, canonical_value string, alias string, row_no int")
+    rules = spark.createDataFrame([("스마트폰", "galaxy s25"), ("노트북", "맥북")], "category string, token string")
+    got = {r["row_id"]: r for r in pipelines.enrich(rows, entries, dictionary, rules).collect()}
+    told = {k: (r["category"], round(r["category_confidence"], 4), r["classification_method"]) for k, r in got.items()}
+    assert told[1][0] == "스마트폰" and told[1][1] >= 0.9 and told[1][2] == "product_name_trie"
+    assert told[2] == ("노트북", 0.75, "source_keyword_correlation") and told[3][0] == "chairs" and told[3][2] == "title_correlation" and told[4] == ("misc", 0.55, "source_keyword")
+    assert got[1]["graph_keywords"] == ["스마트폰", "갤럭시", "k1", "s25", "Galaxy S25", "Ultra", "c1", "p1/p2"]
+    assert got[4]["graph_keywords"] == ["misc"] and got[3]["graph_keywords"] == ["chairs", "misc", "chair", "red"]
+    answered = pipelines.enrich(rows.where("row_id = 4").withColumn("keyword", F.lit("")), entries, dictionary, rules, lambda title: F.struct(F.lit("told").alias("category"), F.lit(0.6).alias("confidence"))).first()
+    assert (answered["category"], answered["category_confidence"], answered["classification_method"]) == ("told", 0.6, "model_stub")
