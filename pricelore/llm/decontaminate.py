@@ -6,7 +6,8 @@ are partitioned by size: each size class has its own number of rows and its own
 then verified by the exact containment of shingle sets.
 
 Shingles are runs of five words; words are maximal runs of letters and digits of the lower-cased text. Edge cases: null and empty texts and items of fewer than five words match nothing; repeated
-rows of documents count once per doc_id (their shingles together), rows without doc_id or item_id are left out; extra columns are ignored.
+rows of documents count once per doc_id (their shingles together), rows without doc_id or item_id are left out; a very long text is looked up shingle by shingle like any other; an item
+that several documents hold is found in each, and of several items in a document each has its row, so there are no ties to settle; empty tables give no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
