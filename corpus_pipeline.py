@@ -1,6 +1,9 @@
 """Corpus cleaning: toxicity, near duplicates, benchmark leaks, personal data, tokens.
 
 Each stage works on all documents that the one before kept; its result is written as Parquet in the shared folder and read again. All stages but the last return the columns of ``documents``.
+
+Edge cases: rows with a null doc_id are kept by the filtering stages; null and empty texts are kept as they are but for copies of one another, of which the least doc_id stays; repeated rows are one document after the second stage; a very long text is a text like any other; ties of a class go
+to the least doc_id; further columns of ``documents`` are passed on, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
