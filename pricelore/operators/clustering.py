@@ -307,9 +307,11 @@ def named(rows: DataFrame) -> DataFrame:
 def merged_keywords(rows: DataFrame) -> DataFrame:
     """One row of each (platform, pid): that of the longest keyword in its normal form, the first of equals. matched_keywords are the distinct keywords in order of appearance, canonical_name is the one of them with the most words and numbers, then the longest. rows: seq,
     platform, pid, keyword, name, price."""
-    normal = T.normal(F.col("keyword"))
+    normal = T.normal(F.col("_keyword"))
     words = F.size(F.regexp_extract_all(normal, F.lit("[a-z]+[0-9]+|[가-힣]+|[a-z]+|[0-9]+"), F.lit(0)))
-    each = rows.withColumns({"_k": T.blank(F.col("keyword")), "_length": F.length(normal), "_words": words})
+    # the normal form is made once for each distinct keyword, of which there are few
+    known = rows.select(F.col("keyword").alias("_keyword")).distinct().withColumns({"_k": T.blank(F.col("_keyword")), "_length": F.length(normal), "_words": words})
+    each = rows.join(known, F.col("keyword").eqNullSafe(F.col("_keyword")), "left").drop("_keyword")
     best = each.groupBy("platform", "pid").agg(
         F.collect_set(F.when(F.col("_k") != "", F.struct("_k", "_words", "_length"))).alias("known"),
         F.collect_list(F.when(F.col("_k") != "", F.struct("seq", "_k"))).alias("seen"),

@@ -64,12 +64,20 @@ def read_config(spark: SparkSession, path: str, list_column: str | None = None)
 
 
 def word_list(lines: DataFrame, column: str, fallback: tuple[str, ...], normalise: bool = False) -> DataFrame:
-    """Distinct (word) of a list column without ``#`` comments; the fallback where that is empty."""
-    word = F.regexp_replace(X.normal(F.col(column), "none"), r"(?U)^\W+|\W+$", "") if normalise else X.blank(F.col(column))
-    found = lines.where(~X.blank(F.col(column)).startswith("#")).select(word.alias("word")).where("word <> ''").distinct()
+    """Distinct (word) of a list column without ``#`` comments and repeated headers; the fallback where that is empty. ``normalise`` takes each word of an entry's normal form, without signs at its edges."""
+    kept = lines.where(~X.blank(F.col(column)).startswith("#") & (F.lower(X.blank(F.col(column))) != column.lower()))
+    word = F.explode(F.transform(F.split(X.normal(F.col(column), "none"), " "), lambda w: F.regexp_replace(w, r"(?U)^\W+|\W+$", ""))) if normalise else X.blank(F.col(column))
+    found = kept.select(word.alias("word")).where("word <> ''").distinct()
     return lines.sparkSession.createDataFrame([(w,) for w in fallback], "word string") if found.isEmpty() and fallback else found
 
 
+def name_blacklist(lines: DataFrame, column: str = "keyword") -> tuple[str, ...]:
+    """The words that drop a listing by its name, from a list's rows; the built-in ones where the list is empty. A configuration list is small."""
+    from pricelore.operators.prices import BLACKLIST
+
+    return tuple(r["word"] for r in word_list(lines, column, BLACKLIST).orderBy("word").collect())
+
+
 def write_refined(clean: DataFrame, dropped: DataFrame, path: str) -> None:
     """The clean set in order and the drop log. Ranges are sorted apart, so no task sees all rows."""
     order = [c for c in ("keyword", "cluster_product_name", "price", "platform", "pid") if c in clean.columns]

@@ -235,8 +235,13 @@ def write_rankings(counts: DataFrame, path: str, checkpoint: str):
     def rank(batch: DataFrame, number: int) -> None:
         placed(batch).select(*order).write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    counts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return with_before(counts).writeStream.foreachBatch(rank).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf, key = counts.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    held = conf.get(key, None)
+    conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # a query takes the session's settings when it starts
+        return with_before(counts).writeStream.foreachBatch(rank).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(key, held) if held else conf.unset(key)
 
 
 def replay(spark: SparkSession, frame: DataFrame, build, checkpoint: str, name: str, mode: str = "append", one_by_one: bool = False) -> DataFrame:

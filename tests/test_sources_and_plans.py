@@ -205,3 +205,10 @@ def test_enrichment(spark):
     assert got[4]["graph_keywords"] == ["misc"] and got[3]["graph_keywords"] == ["chairs", "misc", "chair", "red"]
     answered = pipelines.enrich(rows.where("row_id = 4").withColumn("keyword", F.lit("")), entries, dictionary, rules, lambda title: F.struct(F.lit("told").alias("category"), F.lit(0.6).alias("confidence"))).first()
     assert (answered["category"], answered["category_confidence"], answered["classification_method"]) == ("told", 0.6, "model_stub")
+
+
+def test_lists_fall_back(spark):
+    lines = lambda *rows: spark.createDataFrame([(r,) for r in rows], "keyword string")
+    assert S.name_blacklist(lines("keyword", "# none", " ")) == P.BLACKLIST or set(S.name_blacklist(lines("keyword", "# none", " "))) == set(P.BLACKLIST)
+    assert S.name_blacklist(lines("Keyword", " 매입 ", "대여", "매입")) == ("대여", "매입")
+    assert sorted(r["word"] for r in S.word_list(lines("새 상품!", "(Pro)"), "keyword", (), True).collect()) == sorted(["새", "상품", "프로"])
