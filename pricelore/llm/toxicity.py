@@ -110,8 +110,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     known = {r["word"]: k for k, r in enumerate(top.select("word").collect())}
     if not known:
         return unknown
-    numbers = words.sparkSession.createDataFrame(list(known.items()), "word string, number int")
-    has = {r["row"]: np.array(sorted(r["numbers"]), dtype=np.int64) for r in each.join(F.broadcast(numbers), "word").groupBy("row").agg(F.collect_list("number").alias("numbers")).collect()}
+    numbers = words.sparkSession.range(1).select(F.posexplode(F.split(F.lit("\n".join(known)), "\n")).alias("number", "word"))  # a word holds no line feed
+    # as Arrow: Python lists of the sample's words would hold a multiple of their size in the driver
+    held = each.join(F.broadcast(numbers), "word").groupBy("row").agg(F.array_sort(F.collect_list("number")).alias("numbers")).toArrow()
+    lists = held["numbers"].combine_chunks()
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    has = {r: values[a:b] for r, a, b in zip(held["row"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
     none = np.zeros(0, dtype=np.int64)
     number = lambda part: [has.get(r["row"], none) for r in rows if r["part"] == part]
     w, b = nnpu(number("p"), number("u"), len(known), prior)
