@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pricelore.functions import text as T
 from pricelore.operators.graph import connected_components
 from pricelore.operators.reports import first_samples
-from pricelore.shared import reliable
+from pricelore.shared import few, reliable
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -27,10 +27,11 @@ MOST_NGRAMS = 5000
 LOCAL_TEXTS = 200
 
 
-def vocabulary(rows: DataFrame, least_length: int = 2, least_count: int = 2) -> DataFrame:
-    """(keyword, token, count) of the tokens by which attached words are taken apart."""
-    tokens = rows.select("keyword", F.explode(T.kept_tokens(F.col("cluster_text"))).alias("token")).where((F.length("token") >= least_length) & ~T.is_fragment(F.col("token")))
-    return tokens.groupBy("keyword", "token").agg(F.count("*").alias("count")).where(F.col("count") >= least_count)
+def vocabulary(rows: DataFrame, least_length: int = 2, least_count: int = 2, n: str | None = None) -> DataFrame:
+    """(keyword, token, count) of the tokens by which attached words are taken apart. ``n``: a column that says how many rows a row stands for. Texts are cut once for each distinct one."""
+    texts = rows.groupBy("keyword", "cluster_text").agg((F.sum(n) if n else F.count("*")).alias("n"))
+    tokens = texts.select("keyword", "n", F.explode(T.kept_tokens(F.col("cluster_text"))).alias("token")).where((F.length("token") >= least_length) & ~T.is_fragment(F.col("token")))
+    return tokens.groupBy("keyword", "token").agg(F.sum("n").alias("count")).where(F.col("count") >= least_count)
 
 
 def split_attached(token: str, words: list[str]) -> list[str]:
@@ -52,12 +53,12 @@ def split_attached(token: str, words: list[str]) -> list[str]:
 
 
 def tokenised(rows: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """``rows`` (row_id, keyword, cluster_text) with ``tokens``.
+    """``rows`` (keyword, cluster_text) with ``tokens``.
 
-    Each distinct token of a keyword is cut once, against the vocabulary words it holds (met through their first two characters), then the parts go back to their rows by position.
+    Each distinct token of a keyword is cut once, against the vocabulary words it holds (met through their first two characters), then the parts go back to the distinct texts by position, and the texts' tokens to their rows.
     """
     vocab = vocabulary(rows) if vocab is None else vocab
-    places = rows.select("row_id", "keyword", F.posexplode(T.kept_tokens(F.col("cluster_text"))).alias("pos", "token"))
+    places = rows.select("keyword", "cluster_text").distinct().select("keyword", "cluster_text", F.posexplode(T.kept_tokens(F.col("cluster_text"))).alias("pos", "token"))
     distinct = places.select("keyword", "token").distinct()
     model_parts = F.regexp_replace("token", f"({T.BOUNDARY})", " $1 ")
     pieces = distinct.select("keyword", "token", F.posexplode(F.filter(F.split(model_parts, " "), lambda x: x != "")).alias("k", "piece"))
@@ -75,10 +76,10 @@ def tokenised(rows: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
 
     parts = pieces.join(words, ["keyword", "piece"], "left").select("keyword", "token", "k", "piece", "words").mapInPandas(cut, "keyword string, token string, k int, parts array<string>")
     whole = parts.groupBy("keyword", "token").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "parts"))), lambda x: x["parts"])).alias("parts"))
-    back = places.join(whole, ["keyword", "token"]).groupBy("row_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "parts"))), lambda x: x["parts"])).alias("tokens"))
-    kept = F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: ~t.isin(*T.EXCLUDED) & ~t.rlike("^[0-9]+$") & ~T.is_fragment(t))
-    tokens = T.merge_iphone(kept)
-    return rows.join(back, "row_id", "left").withColumn("tokens", tokens)
+    back = places.join(whole, ["keyword", "token"]).groupBy("keyword", "cluster_text").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "parts"))), lambda x: x["parts"])).alias("tokens"))
+    kept = F.filter("tokens", lambda t: ~t.isin(*T.EXCLUDED) & ~t.rlike("^[0-9]+$") & ~T.is_fragment(t))
+    made = few(back.withColumn("tokens", T.merge_iphone(kept)))
+    return rows.join(made, ["keyword", "cluster_text"], "left").select(*rows.columns, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
 
 
 def ngrams(texts: DataFrame, group: list[str], low: int, high: int, most: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelore.functions import text as T
 from pricelore.functions import values as V
+from pricelore.shared import few
 
 #: Reasons and stages of the drop log, default blacklist.
 MISSING, INVALID, BLACKLISTED, LOW, HIGH = "필수값 누락", "유효하지 않은 가격", "상품명 블랙리스트", "가격 이상치(저가)", "가격 이상치(고가)"
@@ -29,14 +30,17 @@ def excluded_at_source(title: Column, phrases: tuple[str, ...], tokens: tuple[st
     return by_phrase | (F.arrays_overlap(T.title_tokens(title), F.array(*map(F.lit, tokens))) if tokens else F.lit(False))
 
 
-def validate(rows: DataFrame, words: tuple[str, ...] = BLACKLIST) -> DataFrame:
-    """``rows`` with drop_reason, drop_stage and drop_detail; null where a row is good."""
-    hits = blacklist_hits(F.col("name"), words)
+def validate(rows: DataFrame, words: tuple[str, ...] = BLACKLIST, by_name: bool = False) -> DataFrame:
+    """``rows`` with drop_reason, drop_stage and drop_detail; null where a row is good. ``by_name`` looks for the words once in each distinct name, in a pass before."""
+    hits = F.col("_hits") if by_name else blacklist_hits(F.col("name"), words)
+    if by_name:
+        held = few(rows.select(F.col("name").alias("_name")).distinct().withColumn("_hits", blacklist_hits(F.col("_name"), words)).where(F.size("_hits") > 0))
+        rows = rows.join(held, F.col("name") == F.col("_name"), "left").drop("_name")
     missing = F.col("keyword").isNull() | F.col("name").isNull() | F.col("price").isNull()
     reason = F.when(missing, MISSING).when(F.col("price") <= 0, INVALID).when(F.size(hits) > 0, BLACKLISTED)
     out = rows.withColumn("drop_reason", reason)
     stage = F.when(F.col("drop_reason").isin(MISSING, INVALID), "input_validation").when(F.col("drop_reason") == BLACKLISTED, "name_blacklist")
-    return out.withColumn("drop_stage", stage).withColumn("drop_detail", F.when(F.col("drop_reason") == BLACKLISTED, F.array_join(hits, " | ")).otherwise(F.col("drop_reason")))
+    return out.withColumn("drop_stage", stage).withColumn("drop_detail", F.when(F.col("drop_reason") == BLACKLISTED, F.array_join(hits, " | ")).otherwise(F.col("drop_reason"))).drop("_hits")
 
 
 def group_stats(rows: DataFrame, group: str, ratio: float = MEDIAN_RATIO, approximate: bool = False) -> DataFrame:
@@ -157,7 +161,7 @@ def min_prices(rows: DataFrame, group: str) -> DataFrame:
 
 def rate(rows: DataFrame, as_of: Column, group: str = "cluster_product_name") -> DataFrame:
     """Ratings of ``rows`` (``group``, cluster_route, price, view_count, seen_at). The least price is joined from an aggregate, so that a hot group is not one task's work."""
-    least = rows.where("price > 0").groupBy(group).agg(F.min("price").alias("group_min_price"))
+    least = few(rows.where("price > 0").groupBy(group).agg(F.min("price").alias("group_min_price")))
     most = rows.agg(F.max("view_count").alias("max_views")).first()["max_views"]
     score, confidence = V.cluster_score(F.col(group), F.col("cluster_route"))
     out = rows.join(least, group, "left").withColumns({"cluster_score": score, "cluster_confidence": confidence, "price_score": V.price_score(F.col("price"), F.col("group_min_price")), "view_score": V.view_score(F.col("view_count"), F.lit(most)), "recency_score": V.recency_score(F.col("seen_at"), as_of)})

@@ -13,7 +13,7 @@ from pricelore.operators import matching as M
 from pricelore.operators import prices as P
 from pricelore.operators import reports as R
 from pricelore.operators import search_index as X
-from pricelore.shared import reliable
+from pricelore.shared import few, reliable
 from pricelore.sources import listings as S
 from pricelore.sources import versions
 
@@ -23,18 +23,20 @@ def refine(rows: DataFrame, as_of: Column, stages: int = 0, cut=reliable) -> tup
 
     ``stages`` above 0 also runs the token-stage clusters and names token-route products by their labels.
     """
-    checked = P.validate(rows)
+    checked = P.validate(rows, by_name=True)
     bad = checked.where("drop_reason IS NOT NULL")
     good = checked.where("drop_reason IS NULL").drop("drop_reason", "drop_stage", "drop_detail")
     clean, low_high = P.remove_outliers(good, "keyword")
-    clean = cut(clean.withColumn("row_id", F.xxhash64("keyword", "platform", "pid", "name", "price")).withColumn("cluster_text", T.cluster_text(F.col("name"))))
-    named = C.named(C.tokenised(clean))
+    clean = cut(clean.withColumn("row_id", F.xxhash64("keyword", "platform", "pid", "name", "price")))
+    # what follows from keyword and name is made once for each distinct pair
+    texts = cut(clean.groupBy("keyword", "name").agg(F.count("*").alias("n")).withColumn("cluster_text", T.cluster_text(F.col("name"))))
+    named = clean.join(few(C.named(cut(C.tokenised(texts, C.vocabulary(texts, n="n")))).drop("n")), ["keyword", "name"])
     if stages:
         staged = C.token_stages(cut(named), stages, cut=cut)
         label = F.array_join(F.array(*(F.col(f"c{k}") for k in range(1, stages + 1) if f"c{k}" in staged.columns)), " ")
         named = staged.withColumn("cluster_product_name", F.when(F.col("cluster_route") == "token", label).otherwise(F.col("cluster_product_name")))
-    named = cut(named)
     kept, by_product = P.remove_outliers(named, "cluster_product_name", "product_name_price_outlier")
+    kept = cut(kept)
     rated = P.rate(kept.withColumn("view_count", F.lit(0)).withColumn("seen_at", F.col("ts")), as_of)
     dropped = bad.unionByName(low_high).unionByName(by_product.select(*bad.columns))
     return rated, dropped, R.run_statistics(rated, dropped)

@@ -32,6 +32,16 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that a join sends to every task at most.
+FEW = 100_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df``, made once, and broadcast by a join if it has ``most`` rows at most (counted first), so that rows of a hot key stay where they are."""
+    made = reliable(df)
+    return F.broadcast(made) if made.count() <= most else made
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str, first: int = 1) -> DataFrame:
     """``df`` with numbers from ``first`` on in this order, by ranges and their counts; no task holds all rows."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -70,3 +70,19 @@ def test_least_prices_come_without_a_window(spark):
     found = P.min_prices(rows, "keyword")
     assert sorted((r["keyword"] or "", r["price"], r["lowest_price"]) for r in found.collect()) == [("", 7, 7), ("", 9, 7), ("a", 0, 3), ("a", 3, 3), ("a", 5, 3), ("b", 0, None)]
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_repeated_listings_get_the_tokens_of_one(spark):
+    from pricelore.operators import clustering as C
+
+    texts = spark.createDataFrame([(1, "k", "red anvil"), (1, "k", "red anvil"), (2, None, "red anvil")], "row_id long, keyword string, cluster_text string")
+    assert sorted((r["row_id"], r["tokens"]) for r in C.tokenised(texts).collect()) == [(1, ["red", "anvil"]), (1, ["red", "anvil"]), (2, [])]
+    counted = spark.createDataFrame([("k", "red anvil", 3), ("k", "blue", 1)], "keyword string, cluster_text string, n long")
+    assert {(r["token"], r["count"]) for r in C.vocabulary(counted, n="n").collect()} == {("red", 3), ("anvil", 3)}
+
+
+def test_names_are_judged_once(spark):
+    frame = rows(spark, [("k", "p", "1", "갤럭시 매입", 5), ("k", "p", "2", "갤럭시", 5), (None, "p", "3", "매입", 5), ("k", "p", "4", None, 5)])
+    told = lambda df: {(r["pid"], r["drop_reason"], r["drop_detail"]) for r in df.collect()}
+    by_name = P.validate(frame, by_name=True)
+    assert told(by_name) == told(P.validate(frame)) and by_name.columns == P.validate(frame).columns
