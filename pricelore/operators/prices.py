@@ -96,9 +96,9 @@ def decision(name: Column, price: Column, bounds: Column) -> Column:
 
 
 def flag_outliers(rows: DataFrame, group: str, stats: DataFrame | None = None) -> DataFrame:
-    """Every row with its group's bounds and outlier_type (low, high or null); rows of blank groups have neither."""
+    """Every row with its group's bounds and outlier_type (low, high or null); rows of blank groups have neither. The bounds of few groups are broadcast, so a group's rows don't meet in one task."""
     stats = group_stats(rows, group) if stats is None else stats
-    bounds = stats.select(F.col(group).alias("_group"), "median_price", "lower_bound", "upper_bound")
+    bounds = few(stats.select(F.col(group).alias("_group"), "median_price", "lower_bound", "upper_bound"))
     kind = F.when(F.col("price") < F.col("lower_bound"), "low").when(F.col("price") > F.col("upper_bound"), "high")
     return rows.join(bounds, T.blank(F.col(group)) == F.col("_group"), "left").drop("_group").withColumn("outlier_type", kind)
 

@@ -81,6 +81,20 @@ def test_repeated_listings_get_the_tokens_of_one(spark):
     assert {(r["token"], r["count"]) for r in C.vocabulary(counted, n="n").collect()} == {("red", 3), ("anvil", 3)}
 
 
+def test_rows_of_a_hot_group_are_not_shuffled_to_their_bounds(spark):
+    frame = rows(spark, [("k", "p", str(i), "n", 1000 + i) for i in range(20)] + [("k", "p", "low", "n", 1)])
+    flagged = P.flag_outliers(frame, "keyword")
+    assert {r["pid"] for r in flagged.where("outlier_type = 'low'").collect()} == {"low"}
+    assert "BroadcastHashJoin" in flagged._jdf.queryExecution().executedPlan().toString()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = P.flag_outliers(frame, "keyword")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan
+
+
 def test_names_are_judged_once(spark):
     frame = rows(spark, [("k", "p", "1", "갤럭시 매입", 5), ("k", "p", "2", "갤럭시", 5), (None, "p", "3", "매입", 5), ("k", "p", "4", None, 5)])
     told = lambda df: {(r["pid"], r["drop_reason"], r["drop_detail"]) for r in df.collect()}
