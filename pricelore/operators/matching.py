@@ -258,7 +258,7 @@ def fill_platform(rows: DataFrame, platforms: DataFrame) -> DataFrame:
 
 
 def write_back(rows: DataFrame, clustered: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` with ``columns`` from ``clustered`` on (platform, pid, price); rows without a partner keep what they have."""
+    """``rows`` with ``columns`` from ``clustered`` on (platform, pid, price), the greatest where it has several for a key; rows without a partner keep what they have."""
     keys = ["platform", "pid", "price"]
     new = last_by_key(clustered.select(*keys, *columns), keys, columns).withColumnsRenamed({c: f"_{c}" for c in columns})
     return rows.join(new, keys, "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in columns}).select(*rows.columns)

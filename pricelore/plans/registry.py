@@ -616,7 +616,7 @@ def core_title_tokens(spark: SparkSession, d: str) -> DataFrame:
     return M.core_tokens(A.listings(spark, d).select(F.col("canonical_name").alias("title")), (" Anvil",))
 
 
-@query("SELECT platform, pid, price, CASE WHEN price % 2 = 0 THEN upper(keyword) ELSE keyword END AS keyword FROM listings")
+@query("SELECT platform, pid, price, CASE WHEN price % 2 = 0 THEN max(upper(keyword)) OVER (PARTITION BY platform, pid, price) ELSE keyword END AS keyword FROM listings")
 def written_back(spark: SparkSession, d: str) -> DataFrame:
     rows = A.listings(spark, d).select("platform", "pid", "price", "keyword")
     return M.write_back(rows, rows.where("price % 2 = 0").withColumn("keyword", F.upper("keyword")), ["keyword"])

@@ -219,3 +219,17 @@ def test_search_words_are_cut_alike(spark):
     items = spark.createDataFrame([(k, t, "", "", p, "판매중", datetime.datetime(2024, 1, 1)) for k, t, p in rows], "item_id long, title string, canonical_name string, category_name string, current_price long, status string, crawled_at timestamp")
     found = lambda q: sorted(int(r["document_id"]) for r in I.field_search(I.documents(items), q).collect())
     assert found("아이폰 pro") == [1] and found("아이폰 프로") == [1, 2] and found("아이폰, PRO!") == [1]
+
+
+def test_written_back_rows_of_one_key_and_their_sql(spark, tmp_path):
+    import __spark_entry__
+    import duckdb
+
+    both = [(1, "a", 10, "red"), (1, "a", 10, "blue"), (1, "a", 11, "green")]
+    rows = spark.createDataFrame([("p", *r[1:]) for r in both], "platform string, pid string, price long, keyword string")
+    changed = rows.where("price % 2 = 0").withColumn("keyword", F.upper("keyword"))
+    got = sorted(tuple(r) for r in M.write_back(rows, changed, ["keyword"]).collect())
+    rule = __spark_entry__.oracle_sql()["written_back"].rsplit("\nSELECT", 1)[1]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE listings AS SELECT * FROM (VALUES ('p', 'a', 10, 'red'), ('p', 'a', 10, 'blue'), ('p', 'a', 11, 'green')) t(platform, pid, price, keyword)")
+    assert got == sorted(con.sql("SELECT" + rule).fetchall()) == [("p", "a", 10, "RED"), ("p", "a", 10, "RED"), ("p", "a", 11, "green")]
