@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from pricelore.functions import text as T
 from pricelore.functions import values as V
+from pricelore.shared import reliable
 
 
-def counter(rows: DataFrame, groups: list[str], key: str, n: int, name: str) -> DataFrame:
-    """(groups, name): ``key:count`` of the n most frequent non-blank keys of each group; ties by key."""
-    counts = rows.where(T.blank(F.col(key)) != "").groupBy(*groups, key).agg(F.count("*").alias("n"))
+def counter(rows: DataFrame, groups: list[str], key: str, n: int, name: str, weight: str | None = None) -> DataFrame:
+    """(groups, name): ``key:count`` of the n most frequent non-blank keys of each group; ties by key. ``weight``: a column that says how many rows a row stands for."""
+    counts = rows.where(T.blank(F.col(key)) != "").groupBy(*groups, key).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     place = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("n"), key)) if groups else F.row_number().over(Window.orderBy(F.desc("n"), key))
     top = counts.withColumn("place", place).where(F.col("place") <= n)
     entry = F.struct("place", F.concat_ws(":", F.col(key), F.col("n").cast("string")).alias("t"))
@@ -94,12 +95,14 @@ def rule_hits(rows: DataFrame, rules: DataFrame, groups: list[str], keywords: in
     from pricelore.operators.matching import contained
 
     more = [c for c in ("canonical_name", "matched_keywords") if c in rows.columns]
-    distinct = rows.dropDuplicates(["platform", "pid", "keyword", "name"]).select("platform", "pid", "keyword", "name", T.compact(F.concat_ws(" ", "name", "keyword", *more)).alias("_text"))
+    # what follows from the texts is made once for each distinct one, which stands for so many listings
+    alike = rows.dropDuplicates(["platform", "pid", "keyword", "name"]).groupBy("keyword", "name", *more).agg(F.count("*").alias("_n"))
+    distinct = reliable(alike.withColumn("_text", T.compact(F.concat_ws(" ", "name", "keyword", *more))))
     aliases = rules.select(*groups, T.compact(F.col("alias")).alias("_alias"))
     texts = contained(distinct.select("_text").distinct(), "_text", aliases, "_alias").select("_text", *groups).distinct()
     hits = distinct.join(texts, "_text")
-    counts = hits.groupBy(*groups).agg(F.count("*").alias("match_count"))
-    return counts.join(counter(hits, groups, "keyword", keywords, "source_keywords"), groups, "left").join(first_samples(hits, groups, "name", samples, "samples"), groups, "left")
+    counts = hits.groupBy(*groups).agg(F.sum("_n").alias("match_count"))
+    return counts.join(counter(hits, groups, "keyword", keywords, "source_keywords", "_n"), groups, "left").join(first_samples(hits, groups, "name", samples, "samples"), groups, "left")
 
 
 def excluded_tokens(rows: DataFrame, samples: int = 3) -> DataFrame:

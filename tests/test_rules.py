@@ -233,3 +233,14 @@ def test_written_back_rows_of_one_key_and_their_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute("CREATE TABLE listings AS SELECT * FROM (VALUES ('p', 'a', 10, 'red'), ('p', 'a', 10, 'blue'), ('p', 'a', 11, 'green')) t(platform, pid, price, keyword)")
     assert got == sorted(con.sql("SELECT" + rule).fetchall()) == [("p", "a", 10, "RED"), ("p", "a", 10, "RED"), ("p", "a", 11, "green")]
+
+
+def test_rule_hits_count_listings_of_one_text(spark):
+    from pricelore.operators import reports as R
+
+    rows = spark.createDataFrame([("p", "1", "k", "red anvil"), ("p", "1", "k", "red anvil"), ("p", "2", "k", "red anvil"), ("q", "1", "l", "red bolt")], "platform string, pid string, keyword string, name string")
+    rules = spark.createDataFrame([("brand", "Red", "red"), ("brand", "Bolt", "bolt")], "field_name string, value string, alias string")
+    found = R.rule_hits(rows, rules, ["field_name", "value"])
+    assert {(r["value"], r["match_count"], r["source_keywords"], r["samples"]) for r in found.collect()} == {("Red", 3, "k:2, l:1", "red anvil | red bolt"), ("Bolt", 1, "l:1", "red bolt")}
+    leaves = R.rule_hits(rows.limit(4), rules, ["field_name", "value"])._jdf.queryExecution().executedPlan().toString()
+    assert "pid" not in leaves  # hits hold texts and their counts, not listings
