@@ -760,8 +760,9 @@ def stream_merged_items(spark: SparkSession, d: str) -> DataFrame:
     rows = A.listings(spark, d).withColumn("part", F.month("ts") % 9)
     records = rows.groupBy("part", F.col("platform").alias("platform_name"), F.col("item_id").cast("string").alias("original_id")).agg(F.max_by("price", F.struct("ts", "pid")).alias("current_price"), F.max("ts").alias("crawled_at"))
     schema = "platform_name string, original_id string, current_price long, crawled_at timestamp"
+    records.write.partitionBy("part").parquet(f"{path}/records")  # made once for all batches
     for k in range(9):
-        records.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{path}/in")
+        spark.read.schema(f"{schema}, part int").parquet(f"{path}/records").where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{path}/in")
         alerts.merge_listings(spark.readStream.schema(schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/state").awaitTermination()
     return alerts.items_of(spark, f"{path}/out", schema).select("platform_name", "original_id", "current_price")
 
