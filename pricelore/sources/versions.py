@@ -49,7 +49,8 @@ def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame], bucket
             continue
         folder = f"{path}/{name}/{uuid.uuid4().hex}"
         order = [c for c in rows.columns if c != "bucket"][:1]
-        rows.repartition("bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(folder)
+        # a bucket of frequent words is cut into parts of the advisory size, so no task sorts all of it
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(folder)
         try:
             full = {r["bucket"] for r in spark.read.parquet(folder).select("bucket").distinct().collect()}  # as many as there are buckets
         except AnalysisException:  # nothing was written

@@ -150,3 +150,23 @@ def test_blank_names_have_no_relatives(spark):
     own = items(spark, [(1, "a", "a", 3000, "A")]).withColumn("cluster_product_name", F.lit("blue"))
     history = spark.createDataFrame([], "item_id long, recorded_at date, price long")
     assert I.related_clusters(own, history, " ").count() == 0 and I.related_clusters(own, history, "blue").count() == 1
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pricelore.sources import versions
+
+    rows = spark.range(200_000).select(F.concat(F.lit("w"), F.col("id")).alias("word"), F.sha2(F.col("id").cast("string"), 256).alias("x"), F.lit(3).alias("bucket"))
+    keys = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    for k in keys:
+        spark.conf.set(k, "1m")
+    try:
+        versions.publish(spark, str(tmp_path), {}, {"words": (rows.repartition(8), [3])})
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    folder = versions.current(spark, str(tmp_path))[("words", 3)]
+    written = spark.read.parquet(folder)
+    assert written.count() == written.select("word").distinct().count() == 200_000
+    assert written.select(F.input_file_name()).distinct().count() > 1
