@@ -18,7 +18,7 @@ from pricelore.operators import reports as R
 from pricelore.operators import search_index as X
 from pricelore.plans import adapter as A
 from pricelore.plans import pipelines
-from pricelore.shared import shared_dir
+from pricelore.shared import reliable, shared_dir
 from pricelore.sources import listings as S
 from pricelore.sources import versions
 from pricelore.streaming import alerts
@@ -774,7 +774,8 @@ def stream_keyword_alerts(spark: SparkSession, d: str) -> DataFrame:
     told = A.tables(spark, d, "part")[0].select((F.col("p_partkey") % 40).alias("user_id"), F.concat(words[1], F.lit(" "), F.substring(words[0], 2, 100)).alias("keyword"), F.lit(True).alias("is_active")).distinct()
     settings = told.select("user_id").distinct().withColumn("new_item_enabled", F.col("user_id") % 4 != 0)
     items = A.items(spark, d).select("item_id", F.col("title").alias("name"), F.col("crawled_at").alias("ts"))
-    return _replay(spark, items, lambda s: alerts.keyword_alerts(s, told, settings, "3650 days", alerts.piece_counts(items)), "alerts").select("user_id", "keyword", "item_id")
+    counts = reliable(alerts.piece_counts(items))  # the table that is kept
+    return _replay(spark, items, lambda s: alerts.keyword_alerts(s, told, settings, "3650 days", counts), "alerts").select("user_id", "keyword", "item_id")
 
 
 def _replay(spark: SparkSession, frame: DataFrame, build, name: str, mode: str = "append") -> DataFrame:

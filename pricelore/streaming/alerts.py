@@ -6,6 +6,7 @@ Watermarks default to 14 days, the age up to which listings are taken in. Tables
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pricelore.functions import values as V
 from pricelore.operators.insight import placed, reached_alerts
 from pricelore.operators.matching import missing_tokens
 from pricelore.functions import text as T
+from pricelore.shared import FEW
 from pricelore.sources.listings import history_points, last_by_key
 
 if TYPE_CHECKING:
@@ -40,7 +42,8 @@ def _pieces(text: Column) -> Column:
 
 def piece_counts(titles: DataFrame, column: str = "name") -> DataFrame:
     """(piece, n): in how many titles each character and pair of characters stands. A table to keep, and to make anew now and then."""
-    return titles.select(F.explode(_pieces(T.normal(F.col(column), "none"))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    texts = titles.groupBy(column).agg(F.count("*").alias("n")).select("n", T.normal(F.col(column), "none").alias("_title"))
+    return texts.select("n", F.explode(_pieces(F.col("_title"))).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def alert_index(alerts: DataFrame, settings: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -56,8 +59,10 @@ def alert_index(alerts: DataFrame, settings: DataFrame, counts: DataFrame | None
 def keyword_alerts(listings: DataFrame, alerts: DataFrame, settings: DataFrame, late: str = LATE, counts: DataFrame | None = None) -> DataFrame:
     """New listings (item_id, name, ts) whose title holds all tokens of an active alert of a user who wants news of new items, wherever in a word. Alerts meet listings through their rarest piece (``alert_index``), so a common brand brings no listing to all alerts."""
     held = alert_index(alerts, settings, counts)
-    title = T.normal(F.col("name"), "none")
-    met = listings.withWatermark("ts", late).withColumn("piece", F.explode(_pieces(title))).join(held, "piece").where(F.size(missing_tokens(F.col("tokens"), title)) == 0)
+    # counted when the stream is made, and read anew by each micro-batch; left to the planner, the listings' pieces may be what is broadcast
+    held = F.broadcast(held) if held.limit(FEW + 1).count() <= FEW else held.hint("merge")
+    titled = listings.withWatermark("ts", late).withColumn("_title", T.normal(F.col("name"), "none"))
+    met = titled.withColumn("piece", F.explode(_pieces(F.col("_title")))).join(held, "piece").where(F.size(missing_tokens(F.col("tokens"), F.col("_title"))) == 0)
     return met.select("user_id", "keyword", "item_id", "name", "ts").dropDuplicatesWithinWatermark(["user_id", "keyword", "item_id"])
 
 
@@ -235,13 +240,20 @@ def write_rankings(counts: DataFrame, path: str, checkpoint: str):
     def rank(batch: DataFrame, number: int) -> None:
         placed(batch).select(*order).write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    conf, key = counts.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    held = conf.get(key, None)
-    conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:  # a query takes the session's settings when it starts
+    with state_on_disk(counts.sparkSession):
         return with_before(counts).writeStream.foreachBatch(rank).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries that start here keep their state in RocksDB, so that it isn't held in the heap; a query takes the session's settings when it starts."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    held = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
     finally:
-        conf.set(key, held) if held else conf.unset(key)
+        spark.conf.set(key, held) if held else spark.conf.unset(key)
 
 
 def replay(spark: SparkSession, frame: DataFrame, build, checkpoint: str, name: str, mode: str = "append", one_by_one: bool = False) -> DataFrame:
@@ -251,11 +263,10 @@ def replay(spark: SparkSession, frame: DataFrame, build, checkpoint: str, name:
     reader = spark.readStream.schema(frame.schema)
     out = build((reader.option("maxFilesPerTrigger", 1) if one_by_one else reader).parquet(source))
     writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}/state").trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", sink).start().awaitTermination()
-    else:
-        writer.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(sink)).start().awaitTermination()
+    with state_on_disk(spark):
+        query = (writer.format("parquet").option("path", sink) if mode == "append" else writer.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(sink))).start()
+    query.awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
 
 
-__all__ = ["alert_index", "daily_stats", "history_of", "items_of", "keyword_alerts", "merge_listings", "piece_counts", "price_alerts", "reached_alerts", "replay", "search_counts", "sold_alerts", "sold_transitions", "with_before", "write_rankings"]
+__all__ = ["alert_index", "daily_stats", "history_of", "items_of", "keyword_alerts", "merge_listings", "piece_counts", "price_alerts", "reached_alerts", "replay", "search_counts", "sold_alerts", "sold_transitions", "state_on_disk", "with_before", "write_rankings"]

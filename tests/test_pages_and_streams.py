@@ -149,3 +149,20 @@ def test_places_of_many_equal_counts(spark):
     got = {(str(r["period_start"])[:10], r["place"]): (r["keyword"], r["trend"]) for r in I.ranked(frame).collect()}
     order = ["w007", *(f"w{k:03}" for k in range(300) if k != 7)]
     assert [got["2026-01-01", k + 1][0] for k in range(300)] == order and [got["2026-01-08", k][0] for k in (1, 2, 3)] == ["w000", "w001", "w002"] and got["2026-01-08", 1][1] == "UP" and len(got) == 303
+
+
+def test_alerts_are_sent_to_the_listings(spark, tmp_path, monkeypatch):
+    told = spark.createDataFrame([(1, "lue anvil", True)], "user_id int, keyword string, is_active boolean")
+    settings = spark.createDataFrame([(1, True)], "user_id int, new_item_enabled boolean")
+    listings = spark.createDataFrame([(n, name, "2026-05-01") for n, name in enumerate(("blue anvil", "red anvil"))], "item_id int, name string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    listings.write.parquet(f"{tmp_path}/listings")
+    stream = spark.readStream.schema(listings.schema).parquet(f"{tmp_path}/listings")
+    for most, strategy in ((1, "broadcast"), (0, "merge")):
+        monkeypatch.setattr(alerts, "FEW", most)
+        assert f"strategy={strategy}" in alerts.keyword_alerts(stream, told, settings)._jdf.queryExecution().analyzed().toString()
+        got = alerts.replay(spark, listings, lambda s: alerts.keyword_alerts(s, told, settings), str(tmp_path), strategy).collect()
+        assert [(r["user_id"], r["item_id"]) for r in got] == [(1, 0)]
+        state = tmp_path / strategy / "state" / "state"
+        assert [*state.rglob("*.zip"), *state.rglob("*.changelog")] and not list(state.rglob("*.delta"))
+    counts = alerts.piece_counts(listings).where("piece IN ('an', 'bl')")
+    assert {r["piece"]: r["n"] for r in counts.collect()} == {"an": 2, "bl": 1}
