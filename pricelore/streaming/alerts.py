@@ -5,7 +5,7 @@ Watermarks default to 14 days, the age up to which listings are taken in. Tables
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from typing import TYPE_CHECKING
 
@@ -66,37 +66,62 @@ def keyword_alerts(listings: DataFrame, alerts: DataFrame, settings: DataFrame,
     return met.select("user_id", "keyword", "item_id", "name", "ts").dropDuplicatesWithinWatermark(["user_id", "keyword", "item_id"])
 
 
-def sold_alerts(updates: DataFrame, late: str = LATE, sold: str = V.SOLD) -> DataFrame:
+#: Items of one hash are one group of ``sold_alerts``: a group costs milliseconds in Spark's exchange with Python whatever is in it, so its number is bounded.
+SOLD_GROUPS = 65_536
+#: So long an item's updates are kept after its last one, in milliseconds.
+SOLD_KEPT = 14 * 86_400_000
+
+
+def sold_alerts(updates: DataFrame, late: str = LATE, sold: str = V.SOLD, groups: int = SOLD_GROUPS) -> DataFrame:
     """(item_id, ts, status_before): one row whenever an item's state turns to sold.
 
     The state kept for an item are its updates since the watermark and the last one before it, so an update that comes late, within the watermark, is put in its place and raises the alert that it gives rise to; an alert that was sent isn't taken back. An
-    item's state goes when the watermark has passed its last update by two weeks.
+    item's state goes when the watermark has passed its last update by two weeks. The items of a hash share a group and its state; ``groups`` must stay the same over a checkpoint's life.
     """
 
+    import numpy as np
     import pandas as pd
 
     def turns(rows: list[tuple[int, str]]) -> dict[int, str]:
         return {at: before for (_, before), (at, status) in zip(rows, rows[1:], strict=False) if status == sold and before != sold}
 
+    def by_item(rows: Iterable[tuple]) -> dict[int | None, list[tuple[int, str]]]:
+        found: dict = {}
+        for item, at, status in rows:
+            found.setdefault(item, []).append((at, status))
+        return found
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        mark = state.getCurrentWatermarkMs()
+        held = by_item(zip(*state.get, strict=True)) if state.exists else {}
+        items = lambda f: f["item_id"].tolist() if key[0] >= 0 else [None] * len(f)
+        read = [] if state.hasTimedOut else [zip(items(f), f["ts"].to_numpy("datetime64[us]").astype("int64").tolist(), f["status"].tolist(), strict=True) for f in frames]
+        new = by_item(row for rows in read for row in rows)
+        out, kept, until = [], [], []
+        for item, rows in (held | new).items():
+            if item in new:
+                before = held.get(item, [])
+                rows = sorted(before + rows)
+                told = turns(before)
+                out += [(item, at, status) for at, status in turns(rows).items() if at not in told]
+                passed = sum(at < mark * 1000 for at, _ in rows)
+                rows = rows[max(passed - 1, 0) :]
+            elif rows[-1][0] // 1000 + SOLD_KEPT < mark:
+                continue
+            kept += [(item, *row) for row in rows]
+            until.append(rows[-1][0] // 1000 + SOLD_KEPT)
+        if kept:
+            state.update(tuple(map(list, zip(*kept, strict=True))))
+            state.setTimeoutTimestamp(max(min(until), mark + 1))
+        else:
             state.remove()
-            return
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        new = pd.concat(list(frames))
-        rows = sorted([*held, *zip((int(t.value // 1000) for t in new["ts"]), new["status"], strict=True)])
-        told = turns(held)
-        out = [(key[0], pd.Timestamp(at, unit="us"), before) for at, before in turns(rows).items() if at not in told]
-        mark = state.getCurrentWatermarkMs() * 1000
-        passed = sum(at < mark for at, _ in rows)
-        rows = rows[max(passed - 1, 0) :]
-        state.update(([at for at, _ in rows], [status for _, status in rows]))
-        state.setTimeoutTimestamp(max(rows[-1][0] // 1000 + 14 * 86_400_000, state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame(out, columns=["item_id", "ts", "status_before"])
+            item, at, before = zip(*out, strict=True)
+            yield pd.DataFrame({"item_id": item, "ts": np.array(at, "datetime64[us]"), "status_before": before})
 
-    keyed = updates.select("item_id", "ts", "status").withWatermark("ts", late).groupBy("item_id")
-    return keyed.applyInPandasWithState(step, "item_id long, ts timestamp, status_before string", "at array<long>, status array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    group = F.when(F.col("item_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("item_id"), F.lit(groups)))
+    keyed = updates.select("item_id", "ts", "status", group.alias("_group")).withWatermark("ts", late).groupBy("_group")
+    return keyed.applyInPandasWithState(step, "item_id long, ts timestamp, status_before string", "item array<long>, at array<long>, status array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sold_transitions(updates: DataFrame, sold: str = V.SOLD) -> DataFrame:

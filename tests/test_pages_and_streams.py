@@ -166,3 +166,19 @@ def test_alerts_are_sent_to_the_listings(spark, tmp_path, monkeypatch):
         assert [*state.rglob("*.zip"), *state.rglob("*.changelog")] and not list(state.rglob("*.delta"))
     counts = alerts.piece_counts(listings).where("piece IN ('an', 'bl')")
     assert {r["piece"]: r["n"] for r in counts.collect()} == {"an": 2, "bl": 1}
+
+
+def test_sold_items_share_groups(spark, tmp_path):
+    """Few groups of many items, and an item without id, give the batch twin's rows; an item that has been still for long doesn't hold up the others of its group."""
+    rows = [(None if n == 6 else n, f"2026-05-0{d} 0{n % 7}:00:00", ("판매중", "판매완료", "예약중")[(n * d) % 3]) for n in range(40) for d in range(1, 8)]
+    frame = spark.createDataFrame(rows, "item_id long, ts string, status string").withColumn("ts", F.to_timestamp("ts"))
+    got = alerts.replay(spark, frame, lambda s: alerts.sold_alerts(s, groups=3), str(tmp_path), "shared")
+    assert sorted(map(str, got.collect())) == sorted(map(str, alerts.sold_transitions(frame).select(*got.columns).collect())) != []
+    path = str(tmp_path / "long")
+    for n, (item, day, status) in enumerate(((1, "2026-01-01", "판매중"), (2, "2026-01-02", "판매중"), (2, "2026-03-10", "예약중"), (1, "2026-03-20", "판매완료"), (2, "2026-03-21", "판매완료"), (2, "2026-04-20", "예약중"), (1, "2026-04-21", "판매중"), (1, "2026-04-22", "판매완료"))):
+        spark.createDataFrame([(item, day, status)], "item_id long, ts string, status string").withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(frame.schema).parquet(f"{path}/in")
+        alerts.sold_alerts(stream, "1 day", groups=1).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.parquet(f"{path}/out").orderBy("ts").collect()
+    # item 1's first update was gone by March
+    assert [(r["item_id"], str(r["ts"])[:10], r["status_before"]) for r in told] == [(2, "2026-03-21", "예약중"), (1, "2026-04-22", "판매중")]
