@@ -141,12 +141,21 @@ def rating(cluster: Column, price_: Column, view: Column, recency: Column) -> Co
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 2)
 
 
-def quality_flags(title: Column, value: Column) -> Column:
+def flag_words(title: Column) -> Column:
+    """What ``quality_flags`` need of a title: whether it holds words of accessories, of noise, and of an exchange."""
     text = compact(title)
     holds = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.call_function("contains", text, w))
-    swap = text.contains(EXCHANGE)
-    bad = (value < LOWEST_PRICE) | (value >= HIGHEST_PRICE) | (swap & ((value < EXCHANGE_LOW) | (value >= EXCHANGE_HIGH)))
-    flags = F.array(F.when(holds(ACCESSORY_TOKENS), F.lit("accessory_candidate")), F.when(holds(NOISE_TOKENS), F.lit("noise_candidate")), F.when(bad, F.lit("invalid_price")))
+    return F.struct(holds(ACCESSORY_TOKENS).alias("accessory"), holds(NOISE_TOKENS).alias("noise"), text.contains(EXCHANGE).alias("swap"))
+
+
+def quality_flags(title: Column, value: Column) -> Column:
+    return flags_of(flag_words(title), value)
+
+
+def flags_of(words: Column, value: Column) -> Column:
+    """``quality_flags`` of a title's ``flag_words`` and its price."""
+    bad = (value < LOWEST_PRICE) | (value >= HIGHEST_PRICE) | (words["swap"] & ((value < EXCHANGE_LOW) | (value >= EXCHANGE_HIGH)))
+    flags = F.array(F.when(words["accessory"], F.lit("accessory_candidate")), F.when(words["noise"], F.lit("noise_candidate")), F.when(bad, F.lit("invalid_price")))
     return F.filter(flags, lambda f: f.isNotNull())
 
 

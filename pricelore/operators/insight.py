@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricelore.functions import text as T
 from pricelore.functions import values as V
-from pricelore.shared import numbered
+from pricelore.shared import numbered, reliable
 
 #: Brands and words of phone bodies, words of their accessories, and words of listings that are like no product: accessories and wishes.
 PHONE_BRANDS = (("아이폰", "iphone"), ("갤럭시", "galaxy"))
@@ -110,6 +110,11 @@ def allowed_edits(term: Column) -> Column:
     return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
 
 
+def edits(term: str) -> int:
+    """``allowed_edits`` of a term of the query."""
+    return 0 if len(term) <= 2 else 1 if len(term) <= 5 else 2
+
+
 def field_words(rows: DataFrame, weights: tuple[tuple[str, float], ...] = FIELDS, *more: str) -> DataFrame:
     """(document_id, field, weight, words) of each document's fields that have words, with the columns ``more``."""
     types = dict(rows.dtypes)
@@ -141,16 +146,15 @@ def field_search(rows: DataFrame, query: str, limit: int = 20, weights: tuple[tu
 
     The filters come first, so term and field statistics are those of the documents that can be found. This reads every document; ``search_index`` keeps an index of them.
     """
-    spark = rows.sparkSession
     rows = searchable(rows, query, platforms)
-    each = field_words(rows, weights)
     asked = asked_terms(query)
-    terms = spark.createDataFrame([(t,) for t in asked], "term string")
-    stats = each.groupBy("field").agg(F.avg(F.size("words")).alias("mean"), F.count("*").alias("docs"))
-    words = each.select("document_id", "field", "weight", F.size("words").alias("size"), F.explode("words").alias("word"))
-    # distinct words meet the few terms; occurrences meet the words that are near one
-    near = words.select("word").distinct().join(F.broadcast(terms), F.levenshtein("word", "term") <= allowed_edits(F.col("term")))
-    hits = words.join(near, "word").groupBy("document_id", "field", "weight", "size", "term").agg(F.count("*").alias("tf"))
+    # the documents are read once: of each field its size and how often it holds each of the few terms, exactly or nearly
+    near = lambda t: lambda w: F.levenshtein(w, F.lit(t)) <= F.lit(edits(t))
+    tf = F.array(*(F.size(F.filter("words", near(t))).cast("long") for t in asked)) if asked else F.array().cast("array<bigint>")
+    each = reliable(field_words(rows, weights).select("document_id", "field", "weight", F.size("words").alias("size"), tf.alias("tfs")))
+    stats = each.groupBy("field").agg(F.avg("size").alias("mean"), F.count("*").alias("docs"))
+    terms = F.array(*map(F.lit, asked)).cast("array<string>")
+    hits = each.where(F.exists("tfs", lambda n: n > 0)).select("document_id", "field", "weight", "size", F.explode(F.arrays_zip(terms.alias("term"), F.col("tfs").alias("tf"))).alias("h")).select("document_id", "field", "weight", "size", F.col("h.term").alias("term"), F.col("h.tf").alias("tf")).where("tf > 0")
     found = best_fields(hits, stats, len(asked), k1=k1, b=b)
     if sort in SORT_COLUMNS:
         found = found.join(rows.select("document_id", SORT_COLUMNS[sort]), "document_id")
@@ -206,9 +210,11 @@ def documents(items: DataFrame) -> DataFrame:
     category = F.when(text["category_name"] != "", text["category_name"]).otherwise(canonical)
     words = F.array_distinct(F.filter(F.split(text["matched_keywords"], "[,/|;]"), lambda w: w != "")) if "matched_keywords" in text else F.array().cast("array<string>")
     words = F.when(F.size(words) > 0, words).otherwise(F.array(canonical))
-    normal, flags = T.normal(text["title"], "none", parted=True), V.quality_flags(text["title"], F.col("current_price"))
+    # titles are judged once for each distinct one, after a shuffle: as filters of a scan the flags would be the work of a file's few tasks
+    judged = items.where(ok).select("title").distinct().select("title", T.normal(text["title"], "none", parted=True).alias("_normal"), V.flag_words(text["title"]).alias("_words"))
+    normal, flags = F.col("_normal"), V.flags_of(F.col("_words"), F.col("current_price"))
     some = lambda name, column: [] if column is None else [column.alias(name)]
-    return items.where(ok).select(
+    return items.where(ok).join(judged, "title").select(
         F.col("item_id").cast("string").alias("document_id"), "item_id", *some("platform", platform), *some("pid", text.get("original_id")), *some("item_key", F.concat_ws(":", platform, text["original_id"]) if platform is not None and "original_id" in text else None),
         text["title"].alias("title"), normal.alias("normalized_title"), canonical.alias("canonical_name"), category.alias("category_name"), words.alias("matched_keywords"), F.concat_ws(" ", text["title"], normal, canonical, category, words).alias("search_text"),
         "current_price", V.import_state(F.col("status")).alias("status"), *some("image_url", text.get("thumbnail_url")), *some("item_url", text.get("item_url")), V.index_date(F.date_format("crawled_at", "yyyy-MM-dd")).alias("crawled_on"),

@@ -41,3 +41,11 @@ def test_sort_and_pages(spark):
 def test_combined_search_passes_them_on(spark):
     got = lambda **more: [r["item_id"] for r in I.combined_search(items(spark), "blue anvil", **more).collect()]
     assert sorted(got()) == [1, 5] and got(platforms=("A",)) == [1] and got(sort="low_price", limit=1, page=2) == [1]
+
+
+def test_titles_are_judged_once_and_documents_read_once(spark):
+    """No flag of a title is a filter of the scan, and what is ranked comes from one reading of the documents."""
+    plan = I.searchable(I.documents(items(spark)), "anvil")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [title" in plan and not [line for line in plan.splitlines() if "맥세이프" in line and "current_price" in line]
+    plan = I.field_search(I.documents(items(spark)), "blue anvl")._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan and "regexp" not in plan
