@@ -109,8 +109,10 @@ def mine(ready: DataFrame, support: float = SUPPORT, confidence: float = CONFIDE
     closed = F.array_sort(F.array("t.token", "x"))
     followed = pairs.join(double.select(F.col("antecedent").alias("sure")), closed == F.col("sure"), "left_anti").select("t", "x")
     each = beside.where("labelled > 0").join(followed, ["t", "x"]).groupBy("row", "t").agg(F.first("labelled").alias("labelled"), F.first("blocked").alias("blocked"), F.collect_list(F.concat("t.token", F.lit(BESIDE), "x")).alias("items"))
-    marked = cut(each.select(F.concat("items", F.array(F.lit(BLOCK))).alias("items"), F.col("blocked").alias("times")).unionByName(each.select(F.concat("items", F.array(F.lit(ALLOW))).alias("items"), (F.col("labelled") - F.col("blocked")).alias("times"))).where("times > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k")).select("items"))
-    many = marked.count()
+    # kept once with how often it counts; only FP-growth, which knows no weights, sees the repeats
+    weighed = cut(each.select(F.concat("items", F.array(F.lit(BLOCK))).alias("items"), F.col("blocked").alias("times")).unionByName(each.select(F.concat("items", F.array(F.lit(ALLOW))).alias("items"), (F.col("labelled") - F.col("blocked")).alias("times"))).where("times > 0"))
+    marked = weighed.select("items", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k")).select("items")
+    many = weighed.agg(F.sum("times")).first()[0] or 0
     columns = "antecedent", "confidence", "support"
     rules = single.unionByName(double)
     if many:

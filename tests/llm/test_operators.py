@@ -803,3 +803,20 @@ def test_chances_of_other_edges_are_sums():
 
     got = m.others(Known, np.array([0, 0, 3, 5]), np.array([0, 1, 4, 5]))
     assert np.allclose(got, [1e-18 + 3e-20, 1.0, 0.25, 0.0], rtol=1e-9, atol=0)
+
+
+def test_repeated_urls_are_kept_once(spark, monkeypatch):
+    from pricelore.llm import url_filter
+
+    rows = [f"http://a{n % 3}.com/en/x{n % 2}/y{n % 5}" for n in range(600)] + [f"http://b.net/de/x{n % 2}/y{n % 5}" for n in range(600)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    sizes, cut = [], url_filter.cut
+
+    def counting(df):
+        made = cut(df)
+        sizes.append(made.count())
+        return made
+
+    monkeypatch.setattr(url_filter, "cut", counting)
+    url_filter.mine(url_filter.prepared(pages)).collect()
+    assert max(sizes) < 600
