@@ -820,3 +820,20 @@ def test_repeated_urls_are_kept_once(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "cut", counting)
     url_filter.mine(url_filter.prepared(pages)).collect()
     assert max(sizes) < 600
+
+
+def test_few_rules_are_one_partition_and_many_are_the_same(spark, monkeypatch):
+    from pricelore.llm import url_filter
+
+    rows = [f"http://a{n % 3}.com/en/x{n % 2}/y{n % 5}" for n in range(600)] + [f"http://b.net/de/x{n % 2}/y{n % 5}" for n in range(600)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        few = url_filter.mine(url_filter.prepared(pages))
+        assert few.rdd.getNumPartitions() == 1
+        monkeypatch.setattr(url_filter, "TASK_ROWS", 1)
+        many = url_filter.mine(url_filter.prepared(pages))
+        assert few.count() and sorted(few.collect()) == sorted(many.collect())
+    finally:
+        spark.conf.unset(key)
