@@ -733,7 +733,7 @@ def stream_sold_alerts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT keyword, week, search_count, impression_count, click_count FROM w", WEEKS)
 def stream_search_counts(spark: SparkSession, d: str) -> DataFrame:
     events = A.actions(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "keyword", "event_type")
-    return _replay(spark, events, lambda s: alerts.search_counts(s), "search", "complete").select("keyword", F.floor(F.col("period_start").cast("long") / 604800).cast("long").alias("week"), "search_count", "impression_count", "click_count")
+    return _replay(spark, events, lambda s: alerts.search_counts(s), "search", "complete", "keyword").select("keyword", F.floor(F.col("period_start").cast("long") / 604800).cast("long").alias("week"), "search_count", "impression_count", "click_count")
 
 
 @query(
@@ -745,10 +745,13 @@ def stream_rankings(spark: SparkSession, d: str) -> DataFrame:
     """Rankings of the weeks that a stream with a day's watermark has closed, from four micro-batches."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     events = A.actions(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "keyword", "event_type")
+    events.withColumn("part", F.floor((F.dayofmonth("ts") - 1) / 8).cast("int")).write.partitionBy("part").parquet(f"{path}/events")  # made once for all batches
+    made = spark.read.schema("ts timestamp, keyword string, event_type string, part int").parquet(f"{path}/events")
+    partitions = alerts.state_partitions(made, "keyword")
     for k in range(4):
-        events.where(F.floor((F.dayofmonth("ts") - 1) / 8) == k).write.mode("append").parquet(f"{path}/in")
+        made.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{path}/in")
         stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
-        alerts.write_rankings(alerts.search_counts(stream, late="1 day"), f"{path}/out", f"{path}/state").awaitTermination()
+        alerts.write_rankings(alerts.search_counts(stream, late="1 day"), f"{path}/out", f"{path}/state", partitions).awaitTermination()
     written = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/version=*")
     return written.select("keyword", F.floor(F.col("period_start").cast("long") / 604800).cast("long").alias("week"), "search_count", "click_count", "place", "trend")
 
@@ -778,8 +781,8 @@ def stream_keyword_alerts(spark: SparkSession, d: str) -> DataFrame:
     return _replay(spark, items, lambda s: alerts.keyword_alerts(s, told, settings, "3650 days", counts), "alerts").select("user_id", "keyword", "item_id")
 
 
-def _replay(spark: SparkSession, frame: DataFrame, build, name: str, mode: str = "append") -> DataFrame:
-    return alerts.replay(spark, frame, build, f"{shared_dir(spark)}/{uuid.uuid4().hex}", name, mode)
+def _replay(spark: SparkSession, frame: DataFrame, build, name: str, mode: str = "append", key: str | None = None) -> DataFrame:
+    return alerts.replay(spark, frame, build, f"{shared_dir(spark)}/{uuid.uuid4().hex}", name, mode, key=key)
 
 
 @query("SELECT item_id, title, canonical_name AS category, current_price, status, n AS points, coalesce(low, current_price) AS lowest_price, first AS first_label, title || ' ' || canonical_name || ' ' || category_name || ' ' || matched_keywords AS search_text FROM items LEFT JOIN (SELECT item_id, min(price) AS low, count(*) AS n, strftime(min(recorded_at), '%m.%d') AS first FROM history GROUP BY item_id) USING (item_id)")

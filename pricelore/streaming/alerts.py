@@ -5,6 +5,7 @@ Watermarks default to 14 days, the age up to which listings are taken in. Tables
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from typing import TYPE_CHECKING
@@ -25,6 +26,8 @@ if TYPE_CHECKING:
     import pandas as pd
 
 LATE = "14 days"
+#: Keys that a partition of state holds. Each one costs every micro-batch its opening and its commit, whether it has rows or not, so small states aren't spread over all of a shuffle's partitions.
+STATE_KEYS = 5_000
 
 
 def price_alerts(updates: DataFrame, wishlists: DataFrame, late: str = LATE) -> DataFrame:
@@ -258,40 +261,52 @@ def with_before(counts: DataFrame) -> DataFrame:
     return counts.groupBy("keyword").transformWithStateInPandas(_Before(), COUNTS, "Append", "None")
 
 
-def write_rankings(counts: DataFrame, path: str, checkpoint: str):
-    """Starts a query that ranks each period of ``search_counts`` once it is closed: places by searches, and the trend against the keyword's period before, which the state holds: nothing that was written is read again. A batch that is run again overwrites its own rows only."""
+def state_partitions(events: DataFrame, key: str) -> int:
+    """As many partitions as the state of the distinct values of ``key`` takes. A checkpoint keeps the number that its query began with."""
+    return max(math.ceil(events.agg(F.approx_count_distinct(key)).first()[0] / STATE_KEYS), 1)
+
+
+def write_rankings(counts: DataFrame, path: str, checkpoint: str, partitions: int | None = None):
+    """Starts a query that ranks each period of ``search_counts`` once it is closed: places by searches, and the trend against the keyword's period before, which the state holds: nothing that was written is read again. A batch that is run again overwrites its own rows only.
+    ``partitions``: those of the state (see ``state_partitions``), else those of the session's shuffles."""
     order = ["keyword", "period_start", "search_count", "impression_count", "click_count", "click_rate", "place", "trend"]
 
     def rank(batch: DataFrame, number: int) -> None:
-        placed(batch).select(*order).write.mode("overwrite").parquet(f"{path}/version={number}")
+        batch = batch.persist()  # the sort passes it more than once, and each pass would run the state anew
+        try:
+            placed(batch).select(*order).write.mode("overwrite").parquet(f"{path}/version={number}")
+        finally:
+            batch.unpersist()
 
-    with state_on_disk(counts.sparkSession):
+    with state_on_disk(counts.sparkSession, partitions):
         return with_before(counts).writeStream.foreachBatch(rank).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 @contextmanager
-def state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """Queries that start here keep their state in RocksDB, so that it isn't held in the heap; a query takes the session's settings when it starts."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    held = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def state_on_disk(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Queries that start here keep their state in RocksDB, so that it isn't held in the heap, in ``partitions`` if given; a query takes the session's settings when it starts."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    held = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, held) if held else spark.conf.unset(key)
+        for key, value in held.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
-def replay(spark: SparkSession, frame: DataFrame, build, checkpoint: str, name: str, mode: str = "append", one_by_one: bool = False) -> DataFrame:
-    """Writes ``frame`` to files, runs ``build`` over them as a stream until all is read, and returns what came out. For tests and for the batch comparison. ``one_by_one`` makes a micro-batch of each file."""
+def replay(spark: SparkSession, frame: DataFrame, build, checkpoint: str, name: str, mode: str = "append", one_by_one: bool = False, key: str | None = None) -> DataFrame:
+    """Writes ``frame`` to files, runs ``build`` over them as a stream until all is read, and returns what came out. For tests and for the batch comparison. ``one_by_one`` makes a micro-batch of each file. ``key``: the column whose values the state holds, if they are few beside the rows."""
     source, sink = f"{checkpoint}/{name}/in", f"{checkpoint}/{name}/out"
     frame.write.mode("overwrite").parquet(source)
     reader = spark.readStream.schema(frame.schema)
     out = build((reader.option("maxFilesPerTrigger", 1) if one_by_one else reader).parquet(source))
     writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}/state").trigger(availableNow=True)
-    with state_on_disk(spark):
+    with state_on_disk(spark, state_partitions(spark.read.schema(frame.schema).parquet(source), key) if key else None):
         query = (writer.format("parquet").option("path", sink) if mode == "append" else writer.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(sink))).start()
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
 
 
-__all__ = ["alert_index", "daily_stats", "history_of", "items_of", "keyword_alerts", "merge_listings", "piece_counts", "price_alerts", "reached_alerts", "replay", "search_counts", "sold_alerts", "sold_transitions", "state_on_disk", "with_before", "write_rankings"]
+__all__ = ["alert_index", "daily_stats", "history_of", "items_of", "keyword_alerts", "merge_listings", "piece_counts", "price_alerts", "reached_alerts", "replay", "search_counts", "sold_alerts", "sold_transitions", "state_on_disk", "state_partitions", "with_before", "write_rankings"]

@@ -84,6 +84,21 @@ def test_rankings_of_closed_periods(spark, tmp_path):
     assert sorted((str(r["period_start"])[:10], r["place"], r["keyword"], r["search_count"], r["trend"]) for r in got if r["keyword"] != "z") == [("2026-01-01", 1, "b", 2, "NEW"), ("2026-01-01", 2, "a", 1, "NEW"), ("2026-01-08", 1, "a", 2, "UP"), ("2026-01-08", 2, "b", 1, "DOWN")]
 
 
+def test_state_of_few_keywords_is_few_partitions(spark, tmp_path):
+    """Partitions of state follow the number of keywords, not the session's shuffles, and a batch of rankings passes the state once."""
+    rows = [(day, word, "SEARCH") for day, word in (("2026-01-01", "a"), ("2026-01-01", "b"), ("2026-01-02", "b"), ("2026-03-01", "z"))]
+    frame = spark.createDataFrame(rows, "c string, keyword string, event_type string").select(F.col("c").cast("timestamp").alias("ts"), "keyword", "event_type")
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    parts = lambda folder: {p.name for p in folder.glob("state/*/*") if p.name.isdigit()}
+    got = alerts.replay(spark, frame, alerts.search_counts, str(tmp_path), "search", "complete", key="keyword")
+    assert sorted((r["keyword"], r["search_count"]) for r in got.collect()) == [("a", 1), ("b", 2), ("z", 1)] and parts(tmp_path / "search" / "state") == {"0"}
+    counts = alerts.search_counts(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/search/in"))
+    alerts.write_rankings(counts, f"{tmp_path}/out", f"{tmp_path}/state", alerts.state_partitions(frame, "keyword")).awaitTermination()
+    assert sorted((r["keyword"], r["place"]) for r in spark.read.parquet(f"{tmp_path}/out/version=*").collect()) == [("a", 2), ("b", 1)]
+    assert parts(tmp_path / "state") == {"0"} and spark.conf.get(key) == before
+
+
 def test_daily_stats_stream_equals_batch(spark, tmp_path):
     rows = [("n", "p", 10, "2026-01-01 10:00:00"), ("n", "p", 20, "2026-01-01 11:00:00"), ("n", "q", 5, "2026-01-01 12:00:00"), ("m", "q", 7, "2026-01-02 12:00:00")]
     frame = spark.createDataFrame(rows, "canonical_name string, platform string, price long, c string").select("canonical_name", "platform", "price", F.col("c").cast("timestamp").alias("ts"))
