@@ -187,18 +187,18 @@ def linked_clusters(texts: DataFrame, group: list[str], low: int, high: int, dis
     return texts.withColumn("node", F.concat(key, F.lit("\t"), F.col("text"))).join(named, "node", "left").select(*group, "text", F.coalesce("cluster", "text").alias("cluster"))
 
 
-def token_stages(rows: DataFrame, stages: int = STAGE_COLUMNS, distance: float = STAGE_DISTANCE, cut=reliable) -> DataFrame:
+def token_stages(rows: DataFrame, stages: int = STAGE_COLUMNS, distance: float = STAGE_DISTANCE, cut=reliable, n: str | None = None) -> DataFrame:
     """``rows`` (row_id, keyword, tokens) with c1..cN: at each position, the tokens of rows with one path so far are clustered; a cluster's label is its most frequent token (the longest, then the first of equals).
 
-    Model and storage names keep to themselves, and so does a position with fewer than five distinct tokens or two rows.
+    Model and storage names keep to themselves, and so does a position with fewer than five distinct tokens or two rows. Stages run over the distinct tokens of a keyword, with the rows that have them; ``n``: a column that says how many rows a row stands for.
     """
-    out, path = rows, ["keyword"]
+    out, path = cut(rows.groupBy("keyword", "tokens").agg((F.sum(n) if n else F.count("*")).alias("_n"))), ["keyword"]
     for k in range(1, stages + 1):
         at = out.withColumn("_t", F.get("tokens", F.lit(k - 1))).where("_t IS NOT NULL")
         fixed = F.col("_t").rlike(f"^(?:{T.MODEL}|{T.STORAGE})$")
-        counts = cut(at.groupBy(*path, "_t").agg(F.count("*").alias("n"), F.first(fixed).alias("fixed")))
+        counts = cut(at.groupBy(*path, "_t").agg(F.sum("_n").alias("n"), F.first(fixed).alias("fixed")))
         if counts.isEmpty():
-            return out
+            break
         sizes = counts.where(~F.col("fixed")).groupBy(*path).agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).where((F.col("kinds") >= STAGE_TOKENS) & (F.col("rows") >= STAGE_ITEMS))
         free = counts.where(~F.col("fixed")).join(sizes.select(*path), path).withColumnRenamed("_t", "text")
         clusters = linked_clusters(free.select(*path, "text"), path, 1, 4, distance, cut=cut)
@@ -210,7 +210,8 @@ def token_stages(rows: DataFrame, stages: int = STAGE_COLUMNS, distance: float =
             same = same & (F.col(c) == F.col(f"_p{n}"))
         out = cut(out.join(named, same, "left").select(*out.columns, f"c{k}"))
         path = [*path, f"c{k}"]
-    return out
+    made = few(out.select(F.col("keyword").alias("_k"), F.col("tokens").alias("_t"), *path[1:]))
+    return rows.join(made, F.col("keyword").eqNullSafe(F.col("_k")) & F.col("tokens").eqNullSafe(F.col("_t")), "left").select(*rows.columns, *path[1:])
 
 
 def representatives(rows: DataFrame, group: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from pricelore.operators import reports as R
 from pricelore.operators import search_index as X
 from pricelore.plans import adapter as A
 from pricelore.plans import pipelines
-from pricelore.shared import reliable, shared_dir
+from pricelore.shared import few, reliable, shared_dir
 from pricelore.sources import listings as S
 from pricelore.sources import versions
 from pricelore.streaming import alerts
@@ -667,8 +667,12 @@ def anomaly_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def token_stage_clusters(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.items(spark, d).select(F.col("item_id").alias("row_id"), F.lower("category_name").alias("keyword"), T.cluster_text(F.col("title")).alias("cluster_text"))
-    staged = C.token_stages(C.tokenised(rows))
+    rows = A.items(spark, d).select(F.col("item_id").alias("row_id"), F.lower("category_name").alias("keyword"), "title")
+    # titles are cleaned, cut into tokens and staged once for each distinct keyword and title
+    titles = rows.groupBy(F.col("keyword").alias("_k"), F.col("title").alias("_title")).agg(F.count("*").alias("n"))
+    texts = reliable(titles.select(F.col("_k").alias("keyword"), "_title", "n", T.cluster_text(F.col("_title")).alias("cluster_text")))
+    made = few(C.token_stages(reliable(C.tokenised(texts, C.vocabulary(texts, n="n"))), n="n").withColumnRenamed("keyword", "_k").drop("n", "tokens"))
+    staged = rows.join(made, F.col("keyword").eqNullSafe(F.col("_k")) & F.col("title").eqNullSafe(F.col("_title")), "left")
     return staged.select("row_id", "keyword", "cluster_text", *(c for c in (f"c{k}" for k in range(1, C.STAGE_COLUMNS + 1)) if c in staged.columns))
 
 
