@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pricelore.functions import text as T
 from pricelore.operators.graph import connected_components
 from pricelore.operators.reports import first_samples
-from pricelore.shared import few, reliable
+from pricelore.shared import FEW, few, reliable
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -306,23 +306,37 @@ def named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cluster_route", T.route(F.col("tokens"), F.col("cluster_text"))).withColumn("cluster_product_name", T.product_name(F.col("keyword"), F.col("tokens"), F.col("cluster_text")))
 
 
-def merged_keywords(rows: DataFrame) -> DataFrame:
-    """One row of each (platform, pid): that of the longest keyword in its normal form, the first of equals. matched_keywords are the distinct keywords in order of appearance, canonical_name is the one of them with the most words and numbers, then the longest. rows: seq,
-    platform, pid, keyword, name, price."""
+def keyword_facts(keywords: DataFrame) -> DataFrame:
+    """``keywords`` (_keyword) with _k, the keyword without spaces at its ends, and _words and _length of its normal form."""
     normal = T.normal(F.col("_keyword"))
     words = F.size(F.regexp_extract_all(normal, F.lit("[a-z]+[0-9]+|[가-힣]+|[a-z]+|[0-9]+"), F.lit(0)))
+    return keywords.withColumns({"_k": T.blank(F.col("_keyword")), "_words": words, "_length": F.length(normal)})
+
+
+def merged_keywords(rows: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
+    """One row of each (platform, pid): that of the longest keyword in its normal form, the first of equals. matched_keywords are the distinct keywords in order of appearance, canonical_name is the one of them with the most words and numbers, then the longest. rows: seq,
+    platform, pid, keyword and what else the kept row brings, by which rows of one seq are told apart. ``keywords``: a smaller table that holds every keyword of the rows, so that these aren't read for them; a keyword that it lacks is an error."""
+    key = ["pid", "platform"]  # rows are sorted by the first characters of what comes first, and a pid's tell more
+    rest = [c for c in rows.columns if c not in (*key, "seq", "keyword")]
+    # rows are dealt by key once and stay sorted by key and keyword: each keyword's first row, then the keywords of a key, are found without another shuffle or sort, and memory holds a key's distinct keywords at most
+    first = rows.repartition(*key).groupBy(*key, "keyword").agg(F.min(F.struct("seq", *rest)).alias("_row"))
     # the normal form is made once for each distinct keyword, of which there are few
-    known = rows.select(F.col("keyword").alias("_keyword")).distinct().withColumns({"_k": T.blank(F.col("_keyword")), "_length": F.length(normal), "_words": words})
-    each = rows.join(known, F.col("keyword").eqNullSafe(F.col("_keyword")), "left").drop("_keyword")
-    best = each.groupBy("platform", "pid").agg(
-        F.collect_set(F.when(F.col("_k") != "", F.struct("_k", "_words", "_length"))).alias("known"),
-        F.collect_list(F.when(F.col("_k") != "", F.struct("seq", "_k"))).alias("seen"),
-        F.max_by(F.struct("keyword", "name", "price", "seq"), F.struct("_length", (-F.col("seq")).alias("s"))).alias("kept"),
-    )
-    order = F.array_distinct(F.transform(F.array_sort("seen"), lambda x: x["_k"]))
-    ranked = F.transform("known", lambda x: F.struct(x["_words"].alias("w"), x["_length"].alias("n"), (-F.array_position(order, x["_k"])).alias("early"), x["_k"].alias("k")))
-    canonical = F.coalesce(F.array_max(ranked)["k"], F.lit(""))
-    return best.select("platform", "pid", canonical.alias("canonical_name"), F.array_join(order, ", ").alias("matched_keywords"), "kept.keyword", "kept.name", "kept.price")
+    texts = (rows if keywords is None else keywords).select(F.col("keyword").alias("_keyword")).distinct()
+    known = keyword_facts(texts)
+    known = F.broadcast(known) if texts.count() <= FEW else known
+    each = first.join(known, F.col("keyword").eqNullSafe(F.col("_keyword")), "left").withColumn("_k", F.coalesce("_k", F.raise_error(F.lit("a keyword of the rows is none of the keywords"))))
+    place = Window.partitionBy(*key).orderBy("keyword")
+    one = F.struct("_row.seq", "_k", (-F.col("_words")).alias("w"), (-F.col("_length")).alias("n"), "keyword", "_row")
+    merged = each.select(*key, F.row_number().over(place).alias("_place"), F.collect_list(one).over(place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all")).where("_place = 1")
+    # most keys have one keyword, for which there is nothing to choose
+    only, named = F.col("_all")[0], F.filter("_all", lambda x: x["_k"] != "")
+    choice = lambda alone, chosen: F.when(F.size("_all") == 1, alone).otherwise(chosen)
+    order = F.array_distinct(F.sort_array(F.transform(named, lambda x: F.struct(x["seq"], x["_k"])))["_k"])
+    best = F.array_min(F.transform(named, lambda x: F.struct(x["w"], x["n"], x["seq"], x["_k"])))["_k"]
+    kept = choice(only, F.array_min(F.transform("_all", lambda x: F.struct(x["n"], x["seq"], x.alias("x"))))["x"])
+    return merged.select(
+        "platform", "pid", choice(only["_k"], F.coalesce(best, F.lit(""))).alias("canonical_name"), choice(only["_k"], F.array_join(order, ", ")).alias("matched_keywords"), kept["keyword"].alias("keyword"), *(kept["_row"][c].alias(c) for c in rest)
+    )
 
 
 def single_fields(title: Column, keyword: Column) -> Column:

@@ -162,7 +162,8 @@ def validated(spark: SparkSession, d: str) -> DataFrame:
 )
 def dedupe_listings(spark: SparkSession, d: str) -> DataFrame:
     rows = A.listings(spark, d).withColumn("seq", F.col("ts").cast("double") * 1000000 + F.col("item_id") * 10 + F.length("keyword"))
-    return C.merged_keywords(rows).select("platform", "pid", "canonical_name", "matched_keywords", "keyword", "price")
+    keywords = A.tables(spark, d, "part")[0].select(F.lower("p_type").alias("keyword"))
+    return C.merged_keywords(rows.select("seq", "platform", "pid", "keyword", "price"), keywords).select("platform", "pid", "canonical_name", "matched_keywords", "keyword", "price")
 
 
 @query("SELECT platform, pid, arg_max(price, (b, ts, price)) AS price, strftime(arg_max(ts, (b, ts, price)), '%Y-%m-%d') AS day FROM (SELECT *, CASE WHEN status = '판매중' THEN 1 ELSE 0 END AS b FROM listings) GROUP BY platform, pid")

@@ -105,6 +105,36 @@ def test_dedupe(spark):
     assert got == {"1": ("아이폰 16 pro", "아이폰, 아이폰 16 pro, 가나다라마바사아자차", "가나다라마바사아자차", "w", 8), "2": ("", "", None, "x", 9)}
 
 
+def test_dedupe_of_many_rows_and_odd_keywords(spark, monkeypatch):
+    """Rows of a key are met once, dealt and sorted, whatever the number of keywords; keywords come from a table of their own if one is given."""
+    import random
+    import re
+
+    names = {None: "", "": "", " ": "", "red": "red", " red": "red", "RED": "red", "red bolt": "red bolt", "tan nut 7": "tan nut 7", "anvil": "anvil", "nail 55": "nail 55"}
+    assert each(spark, T.normal, list(names)) == list(names.values())
+    rng = random.Random(5)
+    rows = [(s // 2, rng.choice(["p", "q", None]), rng.choice(["1", "2", "3", None]), rng.choice(list(names)), rng.randrange(90)) for s in range(160)] + [(s, "p", "hot", "red", s) for s in range(500)] + [(1, "p", "bare", None, 4)]
+    found = {}
+    for key in {r[1:3] for r in rows}:
+        own = sorted((r for r in rows if r[1:3] == key), key=lambda r: (r[0], r[4]))
+        seen = list(dict.fromkeys(k for _, k in sorted((r[0], (r[3] or "").strip()) for r in own) if k))
+        words = lambda k: len(re.findall("[a-z]+[0-9]+|[a-z]+|[0-9]+", names[k]))
+        best = max(seen, key=lambda k: (words(k), len(names[k])), default="")
+        kept = min(own, key=lambda r: (-len(names[r[3]]), r[0], r[3] is not None, r[3] or "", r[4]))
+        found[key] = (best, ", ".join(seen), *kept[3:])
+    frame = spark.createDataFrame(rows, "seq long, platform string, pid string, keyword string, price long").repartition(7)
+    keywords = spark.createDataFrame([(k,) for k in (*names, "unused")], "keyword string")
+    for most, known in ((C.FEW, None), (C.FEW, keywords), (0, None)):
+        monkeypatch.setattr(C, "FEW", most)
+        merged = C.merged_keywords(frame, known)
+        assert {(r["platform"], r["pid"]): tuple(r)[2:] for r in merged.collect()} == found
+        if most:
+            plan = C.merged_keywords(frame, known)._jdf.queryExecution().executedPlan().toString()
+            assert "ObjectHashAggregate" not in plan and "SortMergeJoin" not in plan and sum("Exchange hashpartitioning(pid" in line for line in plan.splitlines()) == 1
+    with pytest.raises(Exception, match="none of the keywords"):
+        C.merged_keywords(frame, keywords.where("keyword <> 'anvil'")).collect()
+
+
 def test_intent_filters(spark):
     assert [I.widened("아이폰 16", n) for n in (5, 20, 100)] == [25, 80, 200] and I.widened("아이폰 케이스", 20) == 20 and I.widened("책상", 20) == 20
     fits = lambda q, t: one(spark, I.fits_intent(q, F.lit(t)))
