@@ -3,13 +3,14 @@ r"""Operator 13: phrases of two to five words that belong together, for each lan
 Texts are lower-cased (A-Z), split at ``[.,;:!?\x0A-\x0D]`` into pieces and those at spaces and tabs into words. All text is read once and stored as blocks of word numbers; the rest works on numbers:
 
 1. Words are counted from the blocks' own counts. Those of at least ``LEAST`` get numbers (of one language each, so a phrase of numbers has a language); all others and the ends of pieces are 0.
-2. For two and three words in turn, each task adds up the hashes of the positions whose shorter phrases may all be frequent in a table of ``buckets`` bytes, which saturate at ``LEAST``; the sum over tasks is one bit a bucket. Only phrases in full buckets, of which all shorter phrases are in full
-   buckets too, can be frequent (Apriori). Four and five words need no table. The candidates are such phrases of the text, told by each task of whose part they are their share, so none that is frequent is missed.
-3. Candidates are put together by their first words in shards, and a task makes each shard's double-array trie: ``base[state] + word`` is the next state if ``check`` there is the state. Tries are broadcast, as many at once as ``BROADCAST_BYTES`` allow. A task advances all positions' states at the same time, level
+2. For two and three words in turn, each task sorts the hashes of the positions whose shorter phrases may all be frequent and gives the buckets that it met with their counts; the sum over tasks is one bit a bucket. No task holds the table. Only phrases in full buckets, of which all shorter phrases
+   are in full buckets too, can be frequent (Apriori). Four and five words need no table. Such phrases of the text are told with their counts by each part that holds their share; those whose told counts, with the most that the other parts may hold untold, are ``LEAST`` are the candidates, so none that is
+   frequent is missed.
+3. Candidates are put together by their first two words in shards, and a task makes each shard's double-array trie: ``base[state] + word`` is the next state if ``check`` there is the state. Tries are broadcast, as many at once as ``BROADCAST_BYTES`` allow. A task advances all positions' states at the same time, level
    by level, and adds up the states reached by ``bincount``; the sums over tasks are exact counts.
 4. Scores, cuts and containment are joins of the frequent phrases, in decimals.
 
-The size of what is broadcast: one bit for each bucket (``MAX_BUCKETS`` at most; a fuller table means more candidates, not other results), tries of ``BROADCAST_BYTES`` at most, in as many passes over the numbers as that takes, and the frequent words if they are no more than that (else they are joined).
+The size of what is broadcast: one bit for each bucket, compressed (``MAX_BUCKETS`` at most; a fuller table means more candidates, not other results), tries of ``BROADCAST_BYTES`` at most, in as many passes over the numbers as that takes, and the frequent words if they are no more than that (else they are joined).
 
 Edge cases: null texts count as empty, a null language is ``und``; words of other white space or control characters are words; repeated rows count each; null doc_ids count like others; ties of score and count go by the phrase's bytes; a very long text is cut at its pieces' ends, a piece is never cut; an empty
 table gives no rows; columns other than text and lang are ignored, whatever their names.
@@ -38,8 +39,10 @@ HASHED, WORDS_A_BUCKET, MIN_BUCKETS, MAX_BUCKETS = (2, 3), 8, 1 << 16, 1 << 28
 BLOCK_WORDS, SLICE_BYTES, POSITIONS = 1 << 20, 4_000_000, 1 << 22
 #: Distinct words that a task keeps numbers of before it begins anew.
 TASK_WORDS = 1_000_000
-#: Pieces of candidates by their first word, and told candidates of a shard (equal ones count for each task that tells them).
-PIECES, SHARD_PHRASES = 128, 1 << 18
+#: Pieces of candidates by their first two words: so many, or one for so many words of the corpus; and candidates of a shard.
+PIECES, WORDS_A_PIECE, SHARD_PHRASES = 128, 1 << 21, 1 << 18
+#: Buckets are added up in this many parts at most, so that a place within one fits in two bytes.
+BUCKET_PARTS = 1 << 12
 BROADCAST_BYTES, CHUNK = 64 << 20, 1 << 14
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: One byte for each: A-Z in lower case, ends of pieces as a line feed, tabs as a space.
@@ -137,13 +140,13 @@ def encoded(store: DataFrame, words: DataFrame) -> DataFrame:
     return store.select("block", F.size("words").alias("n"), "codes").join(own, "block").select("at", "id", "n", "codes").mapInArrow(run, "ids binary")
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Word numbers of some blocks side by side, with ``LONGEST`` ends of pieces after each."""
+def _positions(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray]:
+    """Word numbers of some blocks side by side, ``size`` or somewhat more, with ``LONGEST`` ends of pieces after each."""
     held, n = [], 0
     for raw in chain.from_iterable(b.column(0) for b in batches):
         held += [np.frombuffer(raw.as_buffer(), "<i4"), np.zeros(LONGEST, "<i4")]
         n += len(held[-2])
-        if n >= POSITIONS:
+        if n >= size:
             yield np.concatenate(held)
             held, n = [], 0
     if held:
@@ -159,6 +162,19 @@ def _hash(ids: np.ndarray, at: np.ndarray, k: int, buckets: int) -> np.ndarray:
     return (h & np.uint64(buckets - 1)).astype(np.int64)
 
 
+def _packed(full: dict[int, np.ndarray]) -> dict[int, bytes]:
+    """Few buckets are full, so what is broadcast is much less than a bit for each."""
+    import zstandard
+
+    return {k: zstandard.ZstdCompressor(level=1).compress(bits.tobytes()) for k, bits in full.items()}
+
+
+def _unpacked(sent: dict[int, bytes]) -> dict[int, np.ndarray]:
+    import zstandard
+
+    return {k: np.frombuffer(zstandard.ZstdDecompressor().decompress(bits), np.uint8) for k, bits in sent.items()}
+
+
 def _levels(ids: np.ndarray, full: dict[int, np.ndarray], buckets: int, longest: int) -> Iterator[tuple[int, np.ndarray]]:
     """(k, places) from which k words on may be a frequent phrase, by the full buckets that are known (``full``: bits by length)."""
     known = ids > 0
@@ -182,7 +198,7 @@ def _chunks(counts: np.ndarray, shard: int = 0) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary())], names=["shard", "chunk", "counts"])
 
 
-def _added(chunks: DataFrame, kind: str, finish, schema: str) -> DataFrame:
+def _added(chunks: DataFrame, finish, schema: str) -> DataFrame:
     """Sums of the chunks of all tasks; ``finish`` makes the rows of (shard, chunk, sums)."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +207,7 @@ def _added(chunks: DataFrame, kind: str, finish, schema: str) -> DataFrame:
         unpack, total = zstandard.ZstdDecompressor().decompress, np.zeros(CHUNK, np.int64)
         for batch in batches:
             for raw in batch.column(2):
-                part = np.frombuffer(unpack(raw.as_py()), kind)
+                part = np.frombuffer(unpack(raw.as_py()), "<i8")
                 total[: len(part)] += part
         yield finish(key[0].as_py(), key[1].as_py(), total)
 
@@ -199,53 +215,96 @@ def _added(chunks: DataFrame, kind: str, finish, schema: str) -> DataFrame:
 
 
 def full_buckets(ids: DataFrame, k: int, full: dict[int, np.ndarray], buckets: int, least: int) -> np.ndarray:
-    """One bit for each bucket: whether phrases of ``k`` words that fall in it are ``least`` together."""
-    sent = ids.sparkSession.sparkContext.broadcast(full)
+    """One bit for each bucket: whether phrases of ``k`` words that fall in it are ``least`` together. Tasks hold the buckets of the positions that they work on, and in the sum one part of the table."""
+    sent = ids.sparkSession.sparkContext.broadcast(_packed(full))
+    size = max(CHUNK, buckets // BUCKET_PARTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(buckets, np.int32)
-        for x in _positions(batches):
-            for length, at in _levels(x, sent.value, buckets, k):
-                if length == k and len(at):
-                    np.add.at(counts, _hash(x, at, k, buckets), np.int32(1))
-            np.minimum(counts, least, out=counts)
-        yield from _chunks(counts.astype("<u2"))
+        import zstandard
 
-    def finish(shard: int, chunk: int, total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
+        pack = zstandard.ZstdCompressor(level=1).compress
+        known = _unpacked(sent.value)
+        for x in _positions(batches, POSITIONS):
+            *_, (_, at) = _levels(x, known, buckets, k)
+            met = np.sort(_hash(x, at, k, buckets).astype(np.uint32))
+            first = np.flatnonzero(np.append(True, met[1:] != met[:-1])) if len(met) else np.zeros(0, np.int64)
+            n = np.minimum(np.diff(np.append(first, len(met))), least).astype("<u2")
+            met = met[first]
+            step = np.diff(met, prepend=np.uint32(0)).astype("<u2")  # only the first of a part steps from elsewhere
+            cuts = np.searchsorted(met, np.arange(0, buckets + 1, size).astype(np.uint32))
+            own = np.flatnonzero(np.diff(cuts))
+            step[cuts[own]] = met[cuts[own]] % np.uint32(size)
+            packed = [pack(np.concatenate([y[cuts[j] : cuts[j + 1]].view(np.uint8)[b::2] for y in (step, n) for b in (0, 1)]).tobytes()) for j in own.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack, total = zstandard.ZstdDecompressor().decompress, np.zeros(size, np.int64)
+        for batch in batches:
+            for raw in batch.column(1):
+                low, high, n, more = np.frombuffer(unpack(raw.as_py()), np.uint8).reshape(4, -1).astype(np.int64)
+                total[np.cumsum(low + (high << 8))] += n + (more << 8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
     bits = np.zeros(buckets // 8, np.uint8)
-    for r in _added(ids.mapInArrow(count, "shard int, chunk int, counts binary"), "<u2", finish, "chunk int, bits binary").collect():  # buckets / 8 bytes
-        bits[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
+    for r in ids.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, bits binary").collect():  # buckets / 8 bytes
+        bits[r["part"] * size // 8 : (r["part"] + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
+    sent.destroy()
     return bits
 
 
-def candidates(ids: DataFrame, full: dict[int, np.ndarray], buckets: int, least: int, words: int) -> DataFrame:
-    """(piece, k, phrases): the phrases of two to five numbers that may be frequent, side by side, by pieces of their first words. A phrase that is ``least`` in a corpus of ``words`` is its share of that, or more, in one of the parts that tasks work on: others need not be told there. Every beginning of a phrase
-    is told where the phrase is."""
-    sent = ids.sparkSession.sparkContext.broadcast(full)
+def told(ids: DataFrame, full: dict[int, np.ndarray], buckets: int, least: int, words: int) -> DataFrame:
+    """(piece, k, phrases, more, untold): the phrases of two to five numbers that may be frequent, side by side, by pieces of their first two words. A phrase that is ``least`` in a corpus of ``words`` is its share of that, or more, in one of the parts that tasks work on: others need not be told there. ``untold``
+    is the most that a phrase may be in a part that doesn't tell it, and ``more`` by how much each phrase exceeds that. Every beginning of a phrase is told where the phrase is, and a part has a row for each piece and length."""
+    sent = ids.sparkSession.sparkContext.broadcast(_packed(full))
+    pieces = max(PIECES, words // WORDS_A_PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _positions(batches):
-            share = least * np.count_nonzero(x) / max(words, 1)
-            state, rows = x.astype(np.int64), []  # of the words before the last one: equal for equal words
-            for k, at in _levels(x, sent.value, buckets, LONGEST):
-                _, first, of, n = np.unique((state[at] << 32) | x[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-                state = np.zeros(len(x), np.int64)
+        known = _unpacked(sent.value)
+        for x in _positions(batches, POSITIONS):
+            untold = max(-(-least * np.count_nonzero(x) // max(words, 1)) - 1, 0)
+            state = x.copy()  # of the words before the last one: equal for equal words
+            for k, at in _levels(x, known, buckets, LONGEST):
+                _, first, of, n = np.unique((state[at].astype(np.int64) << 32) | x[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
+                state[:] = 0
                 state[at] = of + 1
-                own = x[at[first[n >= share]][:, None] + np.arange(k)]
-                piece = _piece(own[:, 0])
+                del of
+                own, n = x[at[first[n > untold]][:, None] + np.arange(k)], n[n > untold]
+                piece = _piece(own, pieces)
                 order = np.argsort(piece, kind="stable")
-                cuts = np.flatnonzero(np.append(True, np.diff(piece[order]) > 0)) if len(order) else order
-                rows += [(int(piece[order[c]]), k, own[part].ravel()) for c, part in zip(cuts, np.split(order, cuts[1:]) if len(order) else [], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["piece", "k", "phrases"])
+                cuts = np.searchsorted(piece[order], np.arange(pieces + 1))
+                lists = [pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(v, pa.int32())) for c, v in ((cuts * k, own[order].ravel()), (cuts, n[order] - untold))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(pieces), pa.int32()), pa.array(np.full(pieces, k), pa.int32()), *lists, pa.array(np.full(pieces, untold), pa.int64())], names=["piece", "k", "phrases", "more", "untold"])
+
+    return ids.mapInArrow(run, "piece int, k int, phrases array<int>, more array<int>, untold long")
+
+
+def candidates(found: DataFrame, least: int) -> DataFrame:
+    """(piece, k, phrases): those that are told and may be ``least`` in all parts together, each once. A beginning of one is one too."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        rows = []
+        for k in range(2, LONGEST + 1):
+            own = t.filter(pc.equal(t["k"], k))
+            untold = pc.sum(own["untold"]).as_py()
+            phrases, more = own["phrases"].combine_chunks().flatten().to_numpy().reshape(-1, k), own["more"].combine_chunks().flatten().to_numpy()
+            if len(phrases):
+                order = np.lexsort(phrases.T[::-1])
+                phrases = phrases[order]
+                first = np.flatnonzero(np.append(True, (phrases[1:] != phrases[:-1]).any(axis=1)))
+                phrases = phrases[first][np.add.reduceat(more[order].astype(np.int64), first) + untold >= least]
+            if len(phrases):
+                rows.append((key[0].as_py(), k, phrases.ravel()))
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["piece", "k", "phrases"])
 
-    return ids.mapInArrow(run, "piece int, k int, phrases array<int>")
+    return found.groupBy("piece").applyInArrow(run, "piece int, k int, phrases array<int>")
 
 
-def _piece(first: np.ndarray) -> np.ndarray:
-    h = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h >> np.uint64(32)) % np.uint64(PIECES)).astype(np.int64)
+def _piece(phrases: np.ndarray, pieces: int) -> np.ndarray:
+    h = phrases[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29)) ^ phrases[:, 1].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) % np.uint64(pieces)).astype(np.int64)
 
 
 def trie(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,8 +370,8 @@ def trie(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def tries(found: DataFrame) -> DataFrame:
-    """One row a shard, made by a task each, of what the tasks told of its pieces."""
-    sizes = found.groupBy("piece").agg(F.sum(F.size("phrases") / F.col("k")).cast("long").alias("n")).orderBy("piece").collect()  # PIECES at most
+    """One row a shard, made by a task each, of the candidates of its pieces."""
+    sizes = found.groupBy("piece").agg(F.sum(F.size("phrases") / F.col("k")).cast("long").alias("n")).orderBy("piece").collect()  # a row for each piece
     shards, room = {}, 0
     for r in sizes:
         room += r["n"]
@@ -324,8 +383,6 @@ def tries(found: DataFrame) -> DataFrame:
         parts = []
         for k in range(2, LONGEST + 1):
             own = t.filter(pc.equal(t["k"], k))["phrases"].combine_chunks().flatten().to_numpy().reshape(-1, k)
-            own = own[np.lexsort(own.T[::-1])]
-            own = own[np.append(True, (own[1:] != own[:-1]).any(axis=1))] if len(own) else own
             parts.append(np.concatenate([own, np.zeros((len(own), LONGEST - k), own.dtype)], axis=1))
         rows = np.concatenate(parts).astype(np.int32)
         rows = rows[np.lexsort(rows.T[::-1])]
@@ -383,7 +440,7 @@ def phrase_counts(ids: DataFrame, found: DataFrame, least: int) -> DataFrame:
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             held = {s: [np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4"), None] for s, (b, c) in sent.value.items()}
-            for x in _positions(batches):
+            for x in _positions(batches, BLOCK_WORDS):
                 for t in held.values():
                     n = advance(x, t[0], t[1])
                     t[2] = n if t[2] is None else t[2] + n
@@ -391,7 +448,7 @@ def phrase_counts(ids: DataFrame, found: DataFrame, least: int) -> DataFrame:
                 if t[2] is not None:
                     yield from _chunks(t[2].astype("<i8"), s)
 
-        counts = counts.unionByName(cut(_added(ids.mapInArrow(count, "shard int, chunk int, counts binary"), "<i8", finish, "shard int, state int, a long")))
+        counts = counts.unionByName(cut(_added(ids.mapInArrow(count, "shard int, chunk int, counts binary"), finish, "shard int, state int, a long")))
         sent.destroy()
     named = known.select("shard", F.explode(F.arrays_zip("states", "phrases")).alias("x")).select("shard", F.col("x.states").alias("state"), F.col("x.phrases").alias("phrase"))
     return counts.join(named, ["shard", "state"]).select("phrase", "a")
@@ -427,7 +484,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFra
     full: dict[int, np.ndarray] = {}
     for k in HASHED:
         full[k] = full_buckets(ids, k, full, buckets, least)
-    counts = phrase_counts(ids, cut(candidates(ids, full, buckets, least, n)), least)
+    counts = phrase_counts(ids, cut(candidates(told(ids, full, buckets, least, n), least)), least)
     each = counts.select("phrase", "a", F.posexplode("phrase").alias("at", "id")).join(words.select("id", "lang", "word"), "id")
     spelled = each.groupBy("phrase").agg(F.first("lang").alias("lang"), F.first("a").alias("a"), F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("words"))
     rows = scored(cut(spelled.select("lang", "words", "a")), words, totals)

@@ -195,6 +195,59 @@ def test_phrases_equal_brute_force(spark, odd, monkeypatch, small):
         assert m.collocations(docs(spark, [])).count() == 0 and m.collocations(docs(spark, [None, "", "one"])).count() == 0
 
 
+def test_counting_tasks_hold_no_table_of_buckets():
+    """A task's memory follows the positions that it works on; a count for each of 2^28 buckets would be a gigabyte in every task."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    from pricelore.llm import collocations as m
+
+    held = []
+
+    def keep(f, schema):
+        held.append(f)
+        raise StopIteration
+
+    context = SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value, destroy=lambda: None))
+    with pytest.raises(StopIteration):
+        m.full_buckets(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context), mapInArrow=keep), 2, {}, 1 << 28, 100)
+    x = np.random.default_rng(1).integers(0, 1000, 100_000).astype("<i4")
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in held[0](iter([pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["ids"])])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows and peak < 50e6
+
+
+@pytest.mark.parametrize("least", [4, 60])
+def test_candidates_of_many_parts(spark, monkeypatch, least):
+    """Parts that tell all (least 4: a share of one at most, so the candidates are what is frequent) and parts that keep small counts to themselves; all phrases begin with few words."""
+    from pricelore.llm import collocations as m
+
+    for name, value in {"POSITIONS": 400, "BLOCK_WORDS": 300, "PIECES": 8, "SHARD_PHRASES": 30}.items():
+        monkeypatch.setattr(m, name, value)
+    rnd = np.random.default_rng(4)
+    rows = [rnd.choice([0, 1, 1, 1, 2, 3, 4, 5, 6], 300).astype("<i4") for _ in range(40)]
+    ids = spark.createDataFrame([(bytearray(x.tobytes()),) for x in rows], "ids binary").repartition(3)
+    words, counts = sum(int(np.count_nonzero(x)) for x in rows), Counter()
+    for x in rows:
+        for k in range(1, 6):
+            counts.update(tuple(p) for p in np.lib.stride_tricks.sliding_window_view(x, k).tolist() if 0 not in p)
+    frequent = {p for p, a in counts.items() if len(p) > 1 and a >= least}
+    full = {}
+    for k in m.HASHED:
+        full[k] = m.full_buckets(ids, k, full, 1 << 16, least)
+        assert {p for p in counts if len(p) == k and full[k][(b := int(m._hash(np.array(p), np.array([0]), k, 1 << 16)[0])) >> 3] >> (b & 7) & 1} >= {p for p in frequent if len(p) == k}
+    found = m.cut(m.candidates(m.told(ids, full, 1 << 16, least, words), least))
+    got = [tuple(p) for r in found.collect() for p in np.array(r["phrases"]).reshape(-1, r["k"]).tolist()]
+    assert len(got) == len(set(got)) and set(got) >= frequent and {p[:-1] for p in got if len(p) > 2} <= set(got)
+    assert least > 4 or set(got) == frequent
+    assert m.tries(found).count() > 1
+    assert {tuple(r["phrase"]): r["a"] for r in m.phrase_counts(ids, found, least).collect()} == {p: counts[p] for p in frequent}
+
+
 def test_trie_walks_as_a_dictionary_does():
     from pricelore.llm import collocations as m
 
